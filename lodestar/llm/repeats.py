@@ -40,6 +40,7 @@ INDEX_BYTES = 2 << 20
 _NO_ID = -(1 << 63)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _WINDOW = np.dtype([("anchor", "<u8"), ("digest", "<u8"), ("doc", "<i8"), ("tag", "<u4"), ("at", "<u4"), ("n", "<u2")])
+_MARK = np.dtype([("doc", "<i8"), ("tag", "<u4"), ("at", "<u4"), ("n", "<u2")])
 
 
 def gram_size(length: int) -> int:
@@ -154,13 +155,27 @@ def _grouped(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return w, same & ((w["doc"] != w["doc"][head]) | (w["at"] != w["at"][head]))
 
 
-def _marks(w: np.ndarray) -> pa.RecordBatch:
-    """Rows (group -1, doc, tag, starts): the marked starts of each document as pairs (at, n)."""
+def _marks(w: np.ndarray, deal: int) -> pa.RecordBatch:
+    """Rows (group -1, bucket, 0, windows): marked windows, a row for each bucket of documents."""
+    with np.errstate(over="ignore"):
+        bucket = (_mix(w["doc"].copy().view(np.uint64)) % np.uint64(deal)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    bucket, marks = bucket[order], np.empty(len(w), _MARK)
+    for c in _MARK.names:
+        marks[c] = w[c][order]
+    w = marks
+    cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(w) else np.zeros(0, np.int64)
+    body = [w[a:z].tobytes() for a, z in zip(cut, np.append(cut[1:], len(w)))]
+    return pa.RecordBatch.from_pydict({"group": pa.array(np.full(len(cut), -1), pa.int64()), "doc": pa.array(bucket[cut]), "tag": pa.array(np.zeros(len(cut), np.int64)), "body": pa.array(body, pa.binary())})
+
+
+def _by_document(w: np.ndarray) -> pa.RecordBatch:
+    """Rows (doc, tag, starts): the marked starts of each document as pairs (at, n)."""
     w = w[np.lexsort((w["at"], w["tag"], w["doc"]))]
     cut = np.flatnonzero(np.append(True, (w["doc"][1:] != w["doc"][:-1]) | (w["tag"][1:] != w["tag"][:-1]))) if len(w) else np.zeros(0, np.int64)
     pairs = np.stack([w["at"].astype("<u4"), w["n"].astype("<u4")], 1)
     body = [pairs[a:z].tobytes() for a, z in zip(cut, np.append(cut[1:], len(w)))]
-    return pa.RecordBatch.from_pydict({"group": pa.array(np.full(len(cut), -1), pa.int64()), "doc": pa.array(w["doc"][cut], pa.int64()), "tag": pa.array(w["tag"][cut].astype(np.int64)), "body": pa.array(body, pa.binary())})
+    return pa.RecordBatch.from_pydict({"doc": pa.array(w["doc"][cut], pa.int64()), "tag": pa.array(w["tag"][cut].astype(np.int64)), "body": pa.array(body, pa.binary())})
 
 
 def _rows(group: np.ndarray, body: list[bytes]) -> pa.RecordBatch:
@@ -278,7 +293,7 @@ def _index_marks(pieces: list[bytes], doc: np.ndarray, tag: np.ndarray, at: np.n
 
 
 def repeat_starts(slim: DataFrame, length: int = 100) -> DataFrame:
-    """(doc, tag, body): the starts of repeated strings of ``slim(doc_id, text)`` as pairs (at, n); several rows a document."""
+    """(doc, tag, body): the starts of repeated strings of ``slim(doc_id, text)`` as pairs (at, n), a row for each document with any."""
     sc = slim.sparkSession.sparkContext
     size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     deal = max(1, size * 2 // (length - gram_size(length) + 2) // GROUP + 1)
@@ -286,7 +301,7 @@ def repeat_starts(slim: DataFrame, length: int = 100) -> DataFrame:
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def hand_on(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             w, repeat = _grouped(np.concatenate(held))
-            yield _marks(w[repeat])
+            yield _marks(w[repeat], deal)
             w = w[~repeat]
             group = (w["anchor"] >> np.uint64(3)).astype(np.int64) % deal
             order = np.argsort(group, kind="stable")
@@ -307,7 +322,7 @@ def repeat_starts(slim: DataFrame, length: int = 100) -> DataFrame:
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def decide(bodies: list[bytes]) -> Iterator[pa.RecordBatch]:
             w, repeat = _grouped(np.frombuffer(b"".join(bodies), _WINDOW))
-            yield _marks(w[repeat])
+            yield _marks(w[repeat], deal)
             kinds = w[np.append(True, (w["anchor"][1:] != w["anchor"][:-1]) | (w["digest"][1:] != w["digest"][:-1]))]
             anchor, count = np.unique(kinds["anchor"], return_counts=True)
             yield _rows(np.array([-2, -3]), [anchor[count > 1].tobytes(), anchor[count > HOT].tobytes()])
@@ -400,7 +415,7 @@ def repeat_starts(slim: DataFrame, length: int = 100) -> DataFrame:
                 if sizes[z - 1] - (sizes[a - 1] if a else 0) >= INDEX_BYTES or z == len(route):
                     part = t.slice(a, z - a)
                     doc, tag, at, n = (part.column(c).to_numpy() for c in ("doc", "tag", "at", "n"))
-                    yield _marks(_index_marks(part.column("body").to_pylist(), doc, tag, at, n, length))
+                    yield _marks(_index_marks(part.column("body").to_pylist(), doc, tag, at, n, length), deal)
                     a = z
 
         held: list[pa.RecordBatch] = []
@@ -411,7 +426,7 @@ def repeat_starts(slim: DataFrame, length: int = 100) -> DataFrame:
                 w = np.zeros(local.num_rows, _WINDOW)
                 for c in ("doc", "tag", "at", "n"):
                     w[c] = local.column(c).to_numpy()
-                yield _marks(w)
+                yield _marks(w, deal)
             batch = batch.filter(pa.compute.is_valid(batch.column("body")))
             if not batch.num_rows:
                 continue
@@ -431,7 +446,21 @@ def repeat_starts(slim: DataFrame, length: int = 100) -> DataFrame:
 
     sent = mapped(slim, second_pass, "route long, doc long, tag long, at long, n long, body binary")
     indexed = mapped(sent.repartition("route").sortWithinPartitions("route"), index, _ROW)
-    return decided.where(F.col("group") == -1).union(indexed).select("doc", "tag", "body")
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for bucket, body in zip(batch.column("doc").to_pylist(), batch.column("body").to_pylist()):
+                if bucket != now and held:
+                    yield _by_document(np.frombuffer(b"".join(held), _MARK))
+                    held = []
+                now = bucket
+                held.append(body)
+        if held:
+            yield _by_document(np.frombuffer(b"".join(held), _MARK))
+
+    marks = decided.where(F.col("group") == -1).union(indexed).select("doc", "body")
+    return mapped(marks.repartition("doc").sortWithinPartitions("doc"), collect, "doc long, tag long, body binary")
 
 
 def merged(pairs: np.ndarray, length: int) -> np.ndarray:
@@ -457,7 +486,7 @@ def dedup_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", te
     docs = docs.drop("kept", "n_bytes", "n_removed", "n_spans", "spans")
     columns = docs.columns
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    starts = durable(repeat_starts(slim, length).groupBy("doc", "tag").agg(F.collect_list("body").alias("__marks")))
+    starts = durable(repeat_starts(slim, length).withColumnRenamed("body", "__marks"))
     segments = segments_for(starts.count())
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -480,7 +509,7 @@ def dedup_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", te
             kept, size, removed, spans = [], [], [], []
             for x, marks in zip(batch.column(text_col).cast(pa.large_binary()), batch.column("__marks").to_pylist()):
                 b = x.as_py() or b""
-                runs = merged(np.frombuffer(b"".join(marks), "<u4").reshape(-1, 2), length).tolist() if marks else []
+                runs = merged(np.frombuffer(marks, "<u4").reshape(-1, 2), length).tolist() if marks else []
                 at, out = 0, []
                 for a, z in runs:
                     out.append(b[at:a])
