@@ -171,7 +171,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_i
     found = own
     if shards > 1:
         kth = own.groupBy("query_id").agg(F.count("*").alias("have"), F.min("score").alias("kth")).where(F.col("have") >= k)
-        others = asked.join(kth, asked["id"] == kth["query_id"], "left").select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("long").alias("other"), "shard", "id", "point", "kth").where("other <> shard")
+        others = asked.join(kth, asked["id"] == kth["query_id"], "left").select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<bigint>")).alias("other"), "shard", "id", "point", "kth").where("other <> shard")
         found = own.union(_searched(base.union(others.select(F.col("other").alias("shard"), F.lit(1), "id", "point", "kth")), k, width, wide))
     ranked = found.distinct().withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
