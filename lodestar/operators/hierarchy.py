@@ -80,10 +80,13 @@ def ordered_closure(types: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def supertype_walk(types: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(start, names, resolved): all supertypes of each wanted name that resolves, and whether every one of them resolves. No ceiling."""
-    chain = durable(superclass_chain(types, wanted, 1 << 30))
-    closure = durable(interface_closure(types, chain, None, unresolved=True))
-    known = types.select(F.col("name").alias("k")).distinct()
-    ends = chain.join(types.select("name", "super"), "name").where(F.col("super").isNotNull()).join(known, F.col("super") == F.col("k"), "left_anti").select("start", F.col("super").alias("name"), F.lit(False).alias("found"))
-    every = chain.select("start", "name", F.lit(True).alias("found")).union(closure.select("start", "name", "found")).union(ends)
-    return every.groupBy("start").agg(F.array_sort(F.collect_set("name")).alias("names"), F.bool_and("found").alias("resolved"))
+    """(start, names, resolved): all supertypes of each wanted name that resolves, over superclasses and interfaces, and whether every one of them resolves. No ceiling."""
+    up = types.select("name", F.array_compact(F.array_append("interfaces", F.col("super"))).alias("above"))
+    now = durable(wanted.select("name").where("name is not null").distinct().join(up, "name").select(F.col("name").alias("start"), "name", "above"))
+    found = now.select("start", "name", F.lit(True).alias("found"))
+    while not now.isEmpty():
+        ahead = now.select("start", F.explode("above").alias("name")).distinct().join(found, ["start", "name"], "left_anti")
+        ahead = durable(ahead.join(up, "name", "left").select("start", "name", "above", F.col("above").isNotNull().alias("found")))
+        found = durable(found.union(ahead.select("start", "name", "found")))
+        now = ahead.where("found").select("start", "name", "above")
+    return found.groupBy("start").agg(F.array_sort(F.collect_set("name")).alias("names"), F.bool_and("found").alias("resolved"))

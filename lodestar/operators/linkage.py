@@ -63,7 +63,7 @@ def resolve_members(types: DataFrame, wanted: DataFrame) -> DataFrame:
     paths = closure.join(asks.select("start").distinct(), "start")
     objects = owners.where(has(F.col("access"), INTERFACE)).select(F.col("name").alias("start"))
     extra = objects.select("start", F.lit(1).alias("phase"), F.lit(-1).alias("generation"), F.array(F.lit(0)).alias("key"), F.lit(OBJECT).alias("ancestor"), F.lit(True).alias("is_interface"), F.lit(True).alias("inherited"))
-    paths = paths.select("start", F.col("phase") * 2, "generation", "key", F.col("name").alias("ancestor"), "is_interface", F.lit(False)).union(extra)
+    paths = paths.select("start", (F.col("phase") * 2).alias("phase"), "generation", "key", F.col("name").alias("ancestor"), "is_interface", F.lit(False).alias("inherited")).union(extra)
     declared = types.select(F.col("name").alias("ancestor"), F.explode("members").alias("m")).select("ancestor", "m.name", "m.descriptor", F.col("m.access").alias("member_access"))
     hits = asks.join(declared, ["name", "descriptor"]).join(paths, ["start", "ancestor"])
     through_interface = F.col("is_method") & F.col("is_interface")
