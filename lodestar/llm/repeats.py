@@ -30,13 +30,15 @@ from lodestar.llm.bloom import Filter, packed, seen_filter, segments_for
 from lodestar.llm.common import durable, mapped, texts
 
 #: Windows that a task holds before it hands them on.
-FLUSH = 1_500_000
+FLUSH = 500_000
 #: Windows dealt to one group of the reduction, about.
 GROUP = 400_000
 #: Different windows of one anchor beyond which its strings are dealt one by one.
 HOT = 4096
 #: Bytes that one run-length index covers, about.
-INDEX_BYTES = 2 << 20
+INDEX_BYTES = 1 << 19
+#: Bytes of text whose windows are found at once; working arrays take some hundred times as much.
+BLOCK_BYTES = 1 << 20
 _NO_ID = -(1 << 63)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _WINDOW = np.dtype([("anchor", "<u8"), ("digest", "<u8"), ("doc", "<i8"), ("tag", "<u4"), ("at", "<u4"), ("n", "<u2")])
@@ -132,7 +134,7 @@ def _digests(raw: bytes, first: np.ndarray, size: np.ndarray) -> np.ndarray:
 def _scan(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[np.ndarray, bytes, np.ndarray]]:
     """Windows of a block of documents, the block's bytes and each window's place in them."""
     for batch in batches:
-        for ids, block in texts(batch):
+        for ids, block in texts(batch, most=BLOCK_BYTES):
             raw = b"".join(block)
             sizes = np.fromiter(map(len, block), np.int64, len(block))
             ends = np.cumsum(sizes)
@@ -381,7 +383,7 @@ def repeat_starts(slim: DataFrame, length: int = 100) -> DataFrame:
                 bodies.append(raw[first[i] : first[i] + w["n"][i] + length - 1])
             if rows:
                 yield out(w["anchor"][rows], w[rows], bodies)
-            if len(known) > FLUSH // 4:
+            if len(known) > FLUSH:
                 known.clear()
             if very.any():
                 some = pick[very]
