@@ -22,6 +22,11 @@ SCANNED = (
     "names array<string>, notes array<struct<code:string,kind:string,detail:string>>, services array<struct<service:string,text:string>>, refusal string, expanded long"
 )
 
+SCANNED_COLUMNS = (
+    "position", "row", "ordinal", "entry_name", "internal_name", "major", "minor", "digest", "source_file", "shape", "type_refs", "member_refs", "module", "status",
+    "manifest", "sealed", "coordinate", "names", "notes", "services", "refusal", "expanded",
+)
+
 LOCATION = "struct<artifact:string,class_entry:string,source_file:string,line:int>"
 FINDING = f"code string, severity string, predicted_error string, location {LOCATION}, subject string, summary string, explanation string, evidence array<string>, remediation array<string>"
 FINDING_COLUMNS = ("code", "severity", "predicted_error", "location", "subject", "summary", "explanation", "evidence", "remediation")

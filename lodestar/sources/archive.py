@@ -105,7 +105,7 @@ def layout_notes(names: list[str], multi_release: bool) -> list[dict]:
 
 
 def _empty(position: int) -> dict:
-    return {c: None for c in schema.struct(schema.SCANNED).fieldNames()} | {"position": position}
+    return dict.fromkeys(schema.SCANNED_COLUMNS) | {"position": position}
 
 
 def scan(position: int, c: Contents, release: int, folder: bool = False, references: bool = True) -> Iterator[dict]:
