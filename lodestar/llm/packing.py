@@ -10,11 +10,12 @@ look their place up. No row but the histogram and the placements ever meets the
 from __future__ import annotations
 
 import re
-import struct
+import sys
 import unicodedata
 import zlib
+from array import array
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +27,9 @@ from lodestar.llm.common import documents, durable, mapped
 Group = tuple[list[tuple[int, int]], int]  # ([(length, how many of it in each sequence)], sequences)
 
 #: Ranked rows of one length in one task, about.
-SALT_ROWS = 8192
+SALT_ROWS = 512
 #: Words whose ids a worker remembers, in each of two generations.
 CACHE_WORDS = 400_000
-#: Four bytes that no id has.
-_MARK = b"\xff\xff\xff\xff"
 #: Below this code point letters, digits and case never changed between Unicode versions and nothing composes.
 _STABLE = 0x250
 
@@ -46,6 +45,25 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+class _Memory(dict):
+    """A dict that works out what it lacks, in two generations: what was used lately stays when it grows too large."""
+
+    def __init__(self, work: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self.work, self.older = work, {}
+
+    def __missing__(self, key: str) -> bytes:
+        if (found := self.older.get(key)) is None:
+            found = self.work(key)
+        self[key] = found
+        return found
+
+    def trim(self) -> None:
+        if len(self) > CACHE_WORDS:
+            self.older = dict(self)
+            self.clear()
+
+
 class WordEncoder:
     """Token ids of whole texts, by a lower-casing tokenizer whose pre-tokens never span white space.
 
@@ -59,54 +77,40 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.model = self.tokenizer.model
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {"\n": _MARK}
+        self.tokens = self.tokenizer.model.tokenize
         letter, number = _classes("L"), _classes("N")
-        self.split = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^\s{letter}{number}]+|\n").findall
+        self.split = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^\s{letter}{number}]+").findall
         self.hard = re.compile(rf"[\u0130{chr(_STABLE)}-\U0010ffff]").search
         self.other_space = re.compile(r"[\x1c-\x1f]").search
         self.letters = _byte_letters()
+        self.parts, self.known = _Memory(self._part), _Memory(self._piece)
 
     def _plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _part(self, part: str) -> bytes:
         shown = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.letters)
-        ids = [t.id for t in self.model.tokenize(shown)]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _learn(self, pieces: list[str]) -> None:
-        easy = pieces
-        if self.hard("\n".join(pieces)):
-            easy = [p for p in pieces if not self.hard(p)]
-            for p in pieces:
-                if self.hard(p):
-                    self.known[p] = self._plain(p)
-        if len(self.parts) > CACHE_WORDS:
-            self.parts = {"\n": _MARK}
-        parts = self.split("\n".join(easy).lower())
-        for p in set(parts).difference(self.parts):
-            self.parts[p] = self._part(p)
-        self.known.update(zip(easy, b"".join(map(self.parts.__getitem__, parts)).split(_MARK)))
+        return _ids(t.id for t in self.tokens(shown))
+
+    def _piece(self, piece: str) -> bytes:
+        if not piece.isascii() and self.hard(piece):
+            return self._plain(piece)
+        parts = self.split(piece.lower())
+        return self.parts[parts[0]] if len(parts) == 1 else b"".join(map(self.parts.__getitem__, parts))
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.known) > CACHE_WORDS:  # two generations: what was used lately stays
-            self.older, self.known = self.known, {}
-        split = [t.split() for t in batch]
-        new: list[str] = []
-        older = self.older
-        for p in set().union(*split).difference(self.known):
-            if (found := older.get(p)) is None:
-                new.append(p)
-            else:
-                self.known[p] = found
-        if new:
-            self._learn(new)
+        self.known.trim()
+        self.parts.trim()
         get = self.known.__getitem__
-        return [b"".join(map(get, w)) if not self.other_space(t) else self._plain(t) for t, w in zip(batch, split)]
+        return [b"".join(map(get, t.split())) if not self.other_space(t) else self._plain(t) for t in batch]
+
+
+def _ids(ids: Iterable[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
 
 
 _encoders: dict[str, WordEncoder] = {}
