@@ -6,6 +6,7 @@ before the loop; a call site is dispatched to every allocated class below its ow
 
 from __future__ import annotations
 
+import heapq
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -103,3 +104,101 @@ def reachable_methods(types: DataFrame, classes: DataFrame, member_refs: DataFra
         reached, allocated, open_sites = durable(reached.union(fresh)), durable(everyone), durable(open_sites.union(now_sites))
         new_types = made_now.limit(0)
     return reached
+
+
+def first_callers(types: DataFrame, classes: DataFrame, member_refs: DataFrame, type_refs: DataFrame, reached: DataFrame) -> dict[tuple[str, str], tuple[str, str]]:
+    """Who reached each method first, when methods are taken in (owner, signature) order and references in class order.
+
+    Which methods are reached does not depend on the order, who reaches them first does; so the set is found by joins and
+    only its own subgraph comes to the driver, where the ordered worklist is replayed. ``member_refs`` carries ``ref``,
+    the order of references in a class.
+    """
+    mine = durable(types.where("not from_platform").select("name", "super", "interfaces", "members"))
+    silent = probes(types, type_refs)
+    at = reached.select(F.col("owner").alias("internal_name"), F.col("sig").alias("method")).join(silent.select(F.col("owner").alias("internal_name"), F.col("sig").alias("method")), ["internal_name", "method"], "left_anti")
+    refs = durable(member_refs.join(at, ["internal_name", "method"], "left_semi").where(~F.col("owner").startswith("[")))
+    live = classes.join(mine.select(F.col("name").alias("internal_name"), "members", "super"), "internal_name")
+    application = live.where("origin = 'APPLICATION'")
+    made = refs.where(F.col("name").startswith("<") & (F.col("name") != "<clinit>")).select(F.col("owner").alias("name"))
+    used = durable(made.union(application.select("internal_name")).union(refs.where(F.col("kind").isin(*INITIALIZING)).select("owner")).distinct().join(mine.select("name"), "name", "left_semi"))
+    chain = durable(superclass_chain(types, used))
+    above: dict[str, list[str]] = {}
+    for r in chain.orderBy("start", "depth").collect():
+        above.setdefault(r["start"], []).append(r["name"])
+    chains = {k: list(v) for k, v in above.items()}
+    for r in interface_closure(types, chain).orderBy("start", "generation", "key").collect():
+        above[r["start"]].append(r["name"])
+    calls = refs.where(F.col("descriptor").startswith("("))
+    sites = calls.where(F.col("kind").isin(*DISPATCHED)).select("owner", "name", "descriptor").distinct()
+    pairs = spark_pairs(types, above)
+    asked = calls.select("owner", "name", "descriptor").union(sites.join(pairs, sites["owner"] == pairs["up"]).select("start", sites["name"], "descriptor"))
+    runs = {(r["owner"], r["name"], r["descriptor"]): (r["declarer"], r["name"] + r["descriptor"]) for r in resolve_members(types, asked).join(mine.select(F.col("name").alias("declarer")), "declarer", "left_semi").collect()}
+    parents = {r["name"]: r["super"] for r in mine.join(refs.select(F.col("internal_name").alias("name")).distinct(), "name", "left_semi").select("name", "super").collect()}
+    initial = {r["name"] for r in mine.where(F.exists("members", lambda m: (m["name"] == "<clinit>") & (m["descriptor"] == "()V"))).join(chain.select("name").distinct(), "name", "left_semi").select("name").collect()}
+    by: dict[tuple[str, str], list] = {}
+    for r in refs.orderBy("internal_name", "method", "ref").collect():
+        by.setdefault((r["internal_name"], r["method"]), []).append((r["kind"], r["owner"], r["name"], r["descriptor"]))
+    own = application.select("internal_name", F.explode("members").alias("m")).where(F.col("m.descriptor").startswith("(")).select("internal_name", F.concat("m.name", "m.descriptor").alias("sig"))
+    entry = sorted({(r["internal_name"], r["sig"]) for r in own.collect()}, key=_java)
+    return _replay(entry, [r["internal_name"] for r in application.select("internal_name").collect()], by, runs, above, chains, parents, initial)
+
+
+def spark_pairs(types: DataFrame, above: dict[str, list[str]]) -> DataFrame:
+    """(start, up) rows of the supertypes that the driver knows of."""
+    return types.sparkSession.createDataFrame([(s, u) for s, ups in above.items() for u in ups], "start string, up string")
+
+
+def _java(node) -> tuple:
+    """Java's order of strings, by UTF-16 units."""
+    return tuple(x.encode("utf-16-be") for x in node)
+
+
+def _replay(entry, application, by, runs, above, chains, parents, initial) -> dict:
+    reached, callers, pending = set(entry), {}, [(_java(n), n) for n in entry]
+    heapq.heapify(pending)
+    allocated: set[str] = set(application)
+    sites: dict[str, dict[str, tuple]] = {}
+
+    def reach(caller, target) -> None:
+        if target and target not in reached:
+            reached.add(target)
+            callers[target] = caller
+            heapq.heappush(pending, (_java(target), target))
+
+    def initialize(caller, name) -> None:
+        for up in chains.get(name, ()):
+            if up in initial:
+                reach(caller, (up, CLINIT))
+
+    while pending:
+        _, at = heapq.heappop(pending)
+        for kind, owner, name, descriptor in by.get(at, ()):
+            if kind in INITIALIZING:
+                initialize(at, owner)
+            constructs = name.startswith("<") and not CLINIT.startswith(name)
+            if constructs and owner in above and owner not in allocated:
+                if not (at[1].startswith("<") and not CLINIT.startswith(at[1]) and owner in (at[0], parents.get(at[0]))):
+                    allocated.add(owner)
+                    initialize(at, owner)
+                    for up in above[owner]:
+                        for _, (caller, n, d) in sorted(sites.get(up, {}).items(), key=lambda x: _java([x[0]])):
+                            reach(caller, runs.get((owner, n, d)))
+            if kind in DIRECT:
+                reach(at, runs.get((owner, name, descriptor)))
+            if kind in DISPATCHED:
+                sites.setdefault(owner, {}).setdefault(name + descriptor, (at, name, descriptor))
+                reach(at, runs.get((owner, name, descriptor)))
+                for receiver in sorted((a for a in allocated if owner in above.get(a, ())), key=lambda a: _java([a])):
+                    reach(at, runs.get((receiver, name, descriptor)))
+    return callers
+
+
+def chain_text(callers: dict[tuple[str, str], tuple[str, str]], node: tuple[str, str]) -> str:
+    """``entry -> ... -> node``; of more than 12 steps the first and last five stay."""
+    steps = [node]
+    while steps[-1] in callers:
+        steps.append(callers[steps[-1]])
+    texts = [f"{owner.replace('/', '.')}#{sig}" for owner, sig in reversed(steps)]
+    if len(texts) > 12:
+        texts = [*texts[:5], f"... {len(texts) - 10} hops ...", *texts[-5:]]
+    return " -> ".join(texts)

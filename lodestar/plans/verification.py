@@ -133,13 +133,15 @@ def hierarchy_types(f: Facts) -> DataFrame:
     return durable(linkage.resolved_types(f.classes.select("internal_name", "position", "ordinal", "shape"), f.platform))
 
 
-def reached(f: Facts, types: DataFrame) -> DataFrame:
-    """(owner, sig) of methods that the application may run."""
+def reached(f: Facts, types: DataFrame) -> tuple[DataFrame, dict]:
+    """(owner, sig) of methods that the application may run, and who reached each first."""
     first = duplicates.winners(f.classes.select("internal_name", "position", "ordinal", "origin", "member_refs", "type_refs")).join(types.where("not from_platform").select(F.col("name").alias("internal_name")), "internal_name", "left_semi")
     first = durable(first)
-    members = first.select("internal_name", F.explode("member_refs").alias("r")).select("internal_name", "r.method", "r.kind", "r.owner", "r.name", "r.descriptor")
+    members = first.select("internal_name", F.posexplode("member_refs").alias("ref", "r")).select("internal_name", "ref", "r.method", "r.kind", "r.owner", "r.name", "r.descriptor")
     targets = first.select("internal_name", F.explode("type_refs").alias("r")).select("internal_name", "r.method", "r.target")
-    return reachability.reachable_methods(types, first.select("internal_name", "origin"), members, targets)
+    facts = (types, first.select("internal_name", "origin"), members, targets)
+    live = reachability.reachable_methods(*facts)
+    return live, reachability.first_callers(*facts, live)
 
 
 def linkage_findings(f: Facts, request: Request, types: DataFrame) -> DataFrame:
@@ -156,13 +158,19 @@ def linkage_findings(f: Facts, request: Request, types: DataFrame) -> DataFrame:
     t = c.select(*base, F.posexplode("type_refs").alias("ref", "r")).select("*", "r.*").drop("r").withColumn("phase", F.lit(0))
     m = c.select(*base, F.col("shape.super").alias("caller_super"), F.col("host").alias("caller_host"), F.posexplode("member_refs").alias("ref", "r")).select("*", "r.*").drop("r").withColumn("phase", F.lit(1))
     if request.scope == "REACHABLE":
-        live = durable(reached(f, types).select(F.col("owner").alias("caller"), F.col("sig").alias("method")))
+        found, callers = reached(f, types)
+        live = durable(found.select(F.col("owner").alias("caller"), F.col("sig").alias("method")))
         t, m = t.join(live, ["caller", "method"], "left_semi"), m.join(live, ["caller", "method"], "left_semi")
     cols = ["code", "subject", "display", "entry_name", "position", "ordinal", "phase", "ref", "source_file", "severity", "line", "caller", "method"]
     every = linkage.type_verdicts(types, unread, t).where("code is not null").select(*cols).union(linkage.member_verdicts(types, unread, m).where("code is not null").select(*cols))
     once = linkage.first_observed(every, ["position", "ordinal", "phase", "ref"])
     detail = F.concat_ws(" ", "subject", F.lit("from"), F.concat(binary_name(F.col("caller")), F.lit("#"), F.col("method")))
-    evidence = F.array(detail) if request.scope != "REACHABLE" else F.array(detail, F.concat(F.lit("reachable via: "), binary_name(F.col("caller")), F.lit("#"), F.col("method")))
+    evidence = F.array(detail)
+    if request.scope == "REACHABLE":
+        at = once.select("caller", "method").distinct().collect()  # methods with findings, of which a run may have a bounded number
+        chains = f.entries.sparkSession.createDataFrame([(r["caller"], r["method"], reachability.chain_text(callers, (r["caller"], r["method"]))) for r in at], "caller string, method string, chain string")
+        once = once.join(chains, ["caller", "method"])
+        evidence = F.array(detail, F.concat(F.lit("reachable via: "), F.col("chain")))
     return _found(once, F.col("code"), F.col("subject"), detail, severity=F.col("severity"), entry=F.col("entry_name"), source=F.col("source_file"), line=F.col("line"), evidence=evidence)
 
 

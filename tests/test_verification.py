@@ -79,6 +79,17 @@ def test_reachable_scope_keeps_application_breaks(spark, symbols, pairs):
     assert all(any(e.startswith("reachable via: ") for e in r["evidence"]) for r in rows if r["code"].startswith("JP1"))
 
 
+def test_chains_name_the_first_caller(spark, symbols, tmp_path):
+    v1 = k.compiled(tmp_path / "v1", {"Lib.java": "public class Lib { public static void gone() {} }"})
+    v2 = k.compiled(tmp_path / "v2", {"Lib.java": "public class Lib { }"})
+    front = k.compiled(tmp_path / "front", {"Go.java": "public class Go { public static void go() { Mid2.live(); } }", "Mid2.java": "class Mid2 { static void live() { new Leaf().act(); } static void dead() { Lib.gone(); } }", "Stem.java": "abstract class Stem { abstract void act(); }", "Leaf.java": "class Leaf extends Stem { void act() { Lib.gone(); } }"}, [v1])
+    start = k.compiled(tmp_path / "start", {"Start.java": "public class Start { public static void main(String[] a) { Go.go(); } }"}, [front])
+    _, rows = found(spark, symbols, [start], [front, v2], scope="REACHABLE")
+    (r,) = [x for x in rows if x["code"] == "JP1003"]
+    assert r["location"]["class_entry"] == "Leaf.class" and r["severity"] == "ERROR"
+    assert r["evidence"][1] == "reachable via: Start#main([Ljava/lang/String;)V -> Go#go()V -> Mid2#live()V -> Leaf#act()V"
+
+
 def test_conflicts_services_and_layout(spark, symbols, tmp_path):
     one = k.compiled(tmp_path / "a", {"p/Twice.java": "package p; public class Twice { int a; }", "p/Same.java": "package p; public class Same {}", "p/Svc.java": "package p; public interface Svc {}", "p/Good.java": "package p; public class Good implements Svc {}", "p/Abs.java": "package p; public abstract class Abs implements Svc {}", "p/Wrong.java": "package p; public class Wrong {}"})
     two = k.compiled(tmp_path / "b", {"p/Twice.java": "package p; public class Twice { long b; }"})
