@@ -80,7 +80,7 @@ def dedup_lines(docs: DataFrame, least_chars: int = 20, least_docs: int = 3, id_
 
     found = durable(mapped(slim, suspects, "id long, key binary"))
     counts = found.groupBy("key").agg((F.count_distinct("id") + F.max(F.col("id").isNull().cast("int"))).alias("n"), F.max("id").alias("keeper"))
-    repeated = counts.where(F.col("n") >= least_docs).select("key", "keeper")
+    repeated = durable(counts.where(F.col("n") >= least_docs).select("key", "keeper"))  # a plain side: a key that very many documents hold can be split in the join
     drops = found.join(repeated, "key").where(~F.col("id").eqNullSafe(F.col("keeper"))).groupBy("id").agg(F.collect_set("key").alias("__drops")).withColumnRenamed("id", "__id")
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
