@@ -146,4 +146,20 @@ d AS (SELECT k.doc_id, i, line, keeper IS NOT NULL AND keeper <> k.doc_id AS gon
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM d GROUP BY doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_chat": _OP4, "op8_topk": _OP8, "op10_lines": _OP10}
+_OP9 = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+n AS (SELECT doc_id, b, octet_length(b) AS len FROM d),
+g AS (SELECT doc_id, i, b[i : i + 99] AS s FROM (SELECT doc_id, b, unnest(range(1, len - 98)) AS i FROM n WHERE len >= 100)),
+m AS (SELECT doc_id, i FROM g QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1),
+j AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100, TRUE) AS fresh FROM m),
+k AS (SELECT doc_id, i, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM j),
+r AS (SELECT doc_id, run, min(i) AS a, max(i) + 100 AS z FROM k GROUP BY 1, 2),
+gaps AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 1) AS a, a AS z FROM r
+  UNION ALL SELECT n.doc_id, coalesce(max(r.z), 1), n.len + 1 FROM n LEFT JOIN r USING (doc_id) GROUP BY n.doc_id, n.len),
+kept AS (SELECT doc_id, string_agg(hex(b[gaps.a : gaps.z - 1]), '' ORDER BY gaps.a) AS h FROM gaps JOIN n USING (doc_id) WHERE gaps.z > gaps.a GROUP BY 1),
+t AS (SELECT doc_id, sum(z - a) AS removed, count(*) AS spans FROM r GROUP BY 1)
+SELECT n.doc_id, n.len::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(h, ''))) AS kept_sha256
+FROM n LEFT JOIN t USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_chat": _OP4, "op8_topk": _OP8, "op9_repeats": _OP9, "op10_lines": _OP10}
