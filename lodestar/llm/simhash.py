@@ -79,7 +79,7 @@ def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, minima: int =
                 for b in block:
                     h = shingle_hashes(b, words)
                     fps.append(vote(h, lanes).astype(">u8").tobytes())
-                    keys.append([int(mix(h, k + 5).min()) - (1 << 63) for k in range(minima)] if len(h) else [0] * min(1, minima))
+                    keys.append([int(mix(h, k + 5).min()) - (1 << 63) for k in range(minima)] if len(h) else [0] * minima)
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "fp": pa.array(fps, pa.binary()), "keys": pa.array(keys, pa.list_(pa.int64()))})
 
     return mapped(documents(docs, id_col, text_col), run, "doc_id long, fp binary, keys array<long>")
@@ -150,11 +150,11 @@ def _flips(fp: np.ndarray) -> np.ndarray:
     return np.where(np.unpackbits(np.ascontiguousarray(fp).view(np.uint8), bitorder="little"), _ALL, np.uint64(0))
 
 
-def block_links(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
+def block_links(fp: np.ndarray, radius: int, same: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
     """Links (member, root) that connect the members of one block that are within the radius of each other, step by step.
 
     From the first row left on, each row found is compared with all rows not found yet, so a row is compared once and a
-    group of m rows gives m - 1 links.
+    group of m rows gives m - 1 links. ``same(x, y)`` is asked about rows within the radius, where it is given.
     """
     n, out = len(fp), []
     parts = [(at, min(64 * LANES, n - at)) for at in range(0, n, 64 * LANES)]
@@ -172,13 +172,19 @@ def block_links(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
         drop(root)
         queue = [root]
         while queue:
-            flip = _flips(fp[queue.pop()])
+            now = queue.pop()
+            flip = _flips(fp[now])
             for (at, m), plane, free in zip(parts, held, left):
                 if not free.any():
                     continue
                 mask = near(lambda p: plane[p] ^ flip[p], len(plane), m, radius) & free  # noqa: B023
-                free &= ~mask
                 found = (_rows(mask) + at).tolist()
+                if same is None:
+                    free &= ~mask
+                else:
+                    found = [x for x in found if same(x, now)]
+                    for x in found:
+                        drop(x)
                 for x in found:
                     seen[x] = True
                 out += [(x, root) for x in found]
@@ -186,7 +192,7 @@ def block_links(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return out
 
 
-def sorted_links(key: np.ndarray, fp: np.ndarray, radius: int, small: int = 48) -> list[tuple[int, int]]:
+def sorted_links(key: np.ndarray, fp: np.ndarray, radius: int, small: int = 48, same: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
     """Spanning links of all blocks of rows sorted by ``key``.
 
     Blocks of up to ``small`` rows are compared together: row i with row i + d for all i at once, d = 1, 2, ...; larger
@@ -197,7 +203,8 @@ def sorted_links(key: np.ndarray, fp: np.ndarray, radius: int, small: int = 48)
     out: list[tuple[int, int]] = []
     for k in np.flatnonzero(sizes > small):
         a = int(starts[k])
-        out += [(x + a, y + a) for x, y in block_links(fp[a : a + int(sizes[k])], radius)]
+        inside = None if same is None else lambda x, y, a=a: same(x + a, y + a)
+        out += [(x + a, y + a) for x, y in block_links(fp[a : a + int(sizes[k])], radius, inside)]
     rest = np.repeat(np.where(sizes > small, 0, starts + sizes), sizes)  # the end of each row's block
     at = np.arange(len(key))
     up: dict[int, int] = {}
@@ -216,7 +223,7 @@ def sorted_links(key: np.ndarray, fp: np.ndarray, radius: int, small: int = 48)
             a, b = planes(fp[some]), planes(fp[some + d])
             for i in some[_rows(near(lambda p: a[p] ^ b[p], len(a), len(some), radius))].tolist():  # noqa: B023
                 x, y = root(i), root(i + d)
-                if x != y:
+                if x != y and (same is None or same(i, i + d)):
                     up[y] = x
                     out.append((i + d, i))
     return out
@@ -335,20 +342,97 @@ def near_links(nodes: DataFrame, lanes: int, radius: int, how: str) -> DataFrame
     return cold.union(_compared(_again(rows.join(large, "key", "left_semi"), lanes, radius, how), lanes, radius))
 
 
-def groups(docs: DataFrame, words: int = 3, radius: int = 2, lanes: int = 1, minima: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _with_sets(docs: DataFrame, wanted: DataFrame, words: int, lanes: int) -> DataFrame:
+    """(key, fp, shingles) for ``wanted(doc_id, fp, keys)``: the sorted distinct shingles of each text, 32 bits each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, fps, sets = [], [], []
+            for x, fp, own in zip(batch.column("text").cast(pa.large_binary()), batch.column("fp").to_pylist(), batch.column("keys").to_pylist()):
+                h = shingle_hashes(x.as_py(), words)
+                if vote(h, lanes).astype(">u8").tobytes() == fp:  # rows may share an id
+                    keys += own
+                    fps += [fp] * len(own)
+                    sets += [np.unique((h >> np.uint64(32)).astype("<u4")).tobytes()] * len(own)
+            yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.int64()), "fp": pa.array(fps, pa.binary()), "shingles": pa.array(sets, pa.binary())})
+
+    return mapped(docs.join(wanted, "doc_id").select("text", "fp", "keys"), run, "key long, fp binary, shingles binary")
+
+
+def _alike(a: bytes, b: bytes, similarity: float) -> bool:
+    """Whether two sets of shingles share so much of their union."""
+    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    if min(len(x), len(y)) < similarity * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= similarity * (len(x) + len(y) - both)
+
+
+def _verified(rows: DataFrame, lanes: int, radius: int, similarity: float) -> DataFrame:
+    """Links of the blocks of ``rows(key, fp, shingles)`` whose texts are as similar as wanted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, fps, sets = np.zeros(0, np.int64), [], []
+
+        def links(upto: int) -> pa.RecordBatch:
+            fp = np.frombuffer(b"".join(fps[:upto]), ">u8").astype(np.uint64).reshape(-1, lanes)
+            found = sorted_links(key[:upto], fp, radius, same=lambda x, y: _alike(sets[x], sets[y], similarity))
+            return pa.RecordBatch.from_pydict({"a": pa.array([fps[x] for x, _ in found], pa.binary()), "b": pa.array([fps[y] for _, y in found], pa.binary())})
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.append(key, batch.column("key").to_numpy())
+            fps += batch.column("fp").to_pylist()
+            sets += batch.column("shingles").to_pylist()
+            upto = int(np.searchsorted(key == key[-1], True))
+            if upto:
+                yield links(upto)
+                key, fps, sets = key[upto:], fps[upto:], sets[upto:]
+        if len(key):
+            yield links(len(key))
+
+    return mapped(rows.repartition("key").sortWithinPartitions("key"), run, "a binary, b binary")
+
+
+def similar_links(docs: DataFrame, prints: DataFrame, words: int, lanes: int, radius: int, similarity: float) -> DataFrame:
+    """Links between fingerprints within the radius whose texts' shingle sets have the wanted Jaccard similarity.
+
+    Only texts that share a block with another one are read again.
+    """
+    shared = lambda rows: rows.join(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
+    nodes = prints.where("doc_id is not null").groupBy("fp", "keys").agg(F.min("doc_id").alias("doc_id"))
+    rows = durable(_keyed(nodes.select("fp", "keys"), lanes, radius, "shingles").dropDuplicates(["key", "fp"]))
+    blocks = durable(shared(rows))
+    again = shared(_again(blocks.where(F.col("n") > BLOCK).select("key", "fp", "mates"), lanes, radius, "shingles"))
+    keys = blocks.where(F.col("n") <= BLOCK).select("key", "fp").union(again.select("key", "fp"))
+    reps = nodes.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
+    wanted = durable(keys.groupBy("fp").agg(F.collect_set("key").alias("keys")).join(reps, "fp").select("doc_id", "fp", "keys"))
+    return _verified(_with_sets(docs, wanted, words, lanes).dropDuplicates(["key", "fp"]), lanes, radius, similarity)
+
+
+def groups(docs: DataFrame, words: int = 3, radius: int = 2, lanes: int = 1, minima: int = 0, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id): fingerprints and the smallest doc_id of each group of linked documents.
 
     Two documents link if their fingerprints differ in at most ``radius`` bits; without ``minima`` every such pair is
-    found, with them pairs that share one of so many minima of their shingle hashes. Texts without words have the
-    fingerprint zero and link like any other. Null texts are empty; documents without an id keep their row and have no
-    say in component_id. Repeated rows and ids keep their rows. An empty table stays empty.
+    found, with them pairs that share one of so many minima of their shingle hashes. With ``similarity`` they must also
+    share so much of their shingles (Jaccard), which is checked exactly inside the blocks; documents without an id then
+    link by equal fingerprints only. Texts without words have the fingerprint zero and link like any other. Null texts
+    are empty; documents without an id keep their row and have no say in component_id. Repeated rows and ids keep their
+    rows. An empty table stays empty.
     """
     if not minima and lanes != 1:
         raise ValueError("bands are for fingerprints of 64 bits")
+    if similarity is not None and not minima:
+        raise ValueError("similarity is checked in blocks of shingle minima")
     prints = durable(fingerprints(docs, words, lanes, minima, id_col, text_col))
     low = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    nodes = prints.select("fp").distinct().withColumn("keys", F.lit(None).cast("array<long>")) if not minima else prints.select("fp", "keys").distinct()
-    roots = components(near_links(nodes, lanes, radius, "shingles" if minima else "bands"))
+    if similarity is not None:
+        links = similar_links(documents(docs, id_col, text_col), prints, words, lanes, radius, similarity)
+    else:
+        nodes = prints.select("fp").distinct().withColumn("keys", F.lit(None).cast("array<long>")) if not minima else prints.select("fp", "keys").distinct()
+        links = near_links(nodes, lanes, radius, "shingles" if minima else "bands")
+    roots = components(links)
     named = durable(low.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root")))
     least = named.groupBy("root").agg(F.min("low").alias("component_id"))
     return prints.select("doc_id", "fp").join(named.join(least, "root").select("fp", "component_id"), "fp")

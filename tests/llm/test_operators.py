@@ -215,6 +215,28 @@ def test_near_groups_by_shingle_minima(spark):
     assert {r["doc_id"]: r["component_id"] for r in out} == {i: i // 10 * 10 for i, _, _ in rows}
 
 
+@pytest.mark.parametrize("block", [2048, 3])
+def test_similar_groups_are_exact(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = random.Random(14)
+    rows = [(None, "no id here at all, but words", "en"), (500, "", "en"), (501, None, "en")]
+    for k in range(6):
+        base = words(rng, 200, 5000).split()
+        for m in range(10):
+            text = list(base)
+            for at in rng.sample(range(200), m):
+                text[at] = f"new{m}x{at}"
+            rows.append((10 * k + m, " ".join(text), "en"))
+    rows += [(9, rows[5][1], "de")]  # an id of two texts
+    sets = [set(simhash.shingle_hashes((t or "").encode(), 5).tolist()) for _, t, _ in rows]
+    same = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    got = [(r["doc_id"], r["fp"], r["component_id"]) for r in simhash.groups(frame(spark, rows), words=5, radius=72, lanes=4, minima=8, similarity=0.8).collect()]
+    roots = groups_of([(a, b) for a in range(len(rows)) for b in range(a) if same(sets[a], sets[b])], len(rows))
+    prints = [simhash.vote(simhash.shingle_hashes((t or "").encode(), 5), 4).astype(">u8").tobytes() for _, t, _ in rows]
+    want = [(rows[k][0], prints[k], min((rows[m][0] for m in range(len(rows)) if roots[m] == roots[k] and rows[m][0] is not None), default=None)) for k in range(len(rows))]
+    assert Counter((i, bytes(f), c) for i, f, c in got) == Counter(want)
+
+
 # Bloom filters and lines
 
 
