@@ -24,8 +24,8 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def declared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Declarations without their entry: distinct (supplier, part) of large lines; parts of size above 45 stay undeclared."""
-    li = table(spark, sf_dir, "lineitem").where("l_quantity >= 40").select("l_suppkey", "l_partkey", "l_linenumber", "l_returnflag", "l_linestatus")
+    """Declarations without their entry: distinct (supplier, part) of all lines; parts of size above 45 stay undeclared."""
+    li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_linenumber", "l_returnflag", "l_linestatus")
     p = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand")
     j = li.join(p, F.col("l_partkey") == F.col("p_partkey")).where("p_size <= 45")
     grouped = j.groupBy("l_suppkey", "l_partkey", "p_size", "p_brand").agg(F.max("l_linenumber").alias("line"), F.min(F.concat("l_returnflag", "l_linestatus")).alias("kind"))
@@ -41,10 +41,17 @@ def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return declared(spark, sf_dir).join(entries(spark, sf_dir), "position")
 
 
-def sparse_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(position, major) of few lines a supplier, so that some have one level only."""
-    li = table(spark, sf_dir, "lineitem").where("l_quantity >= 50 and l_linenumber <= 2 and l_returnflag = 'R'")
-    return li.select(F.col("l_suppkey").cast("int").alias("position"), (F.lit(52) + F.col("l_linenumber")).cast("int").alias("major"))
+def order_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(position, major): orders as artifacts, their lines as classes."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(F.col("l_orderkey").cast("int").alias("position"), (F.lit(52) + F.col("l_linenumber")).cast("int").alias("major"))
+
+
+def roots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Customers as application entries, their urgent orders as classes, those in debt as faults of the scan."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("int").alias("position"), F.col("c_name").alias("display"), F.lit("APPLICATION").alias("origin"), "c_acctbal")
+    o = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").cast("int").alias("position"))
+    return c.drop("c_acctbal"), o, c.where("c_acctbal < 0")
 
 
 def types(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,12 +74,12 @@ def types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wanted_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").where("p_size <= 3").select(F.concat(F.lit("C"), F.col("p_partkey").cast("string")).alias("name"))
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("C"), F.col("p_partkey").cast("string")).alias("name"))
 
 
 def member_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ref, caller, caller_super, caller_host, kind, owner, name, descriptor): an order line each."""
-    li = table(spark, sf_dir, "lineitem").where("l_quantity >= 45").select("l_orderkey", "l_partkey", "l_linenumber").distinct()
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber").distinct()
     kinds = F.array(*[F.lit(k) for k in ("INVOKE_VIRTUAL", "INVOKE_STATIC", "INVOKE_INTERFACE", "GET_STATIC", "GET_FIELD", "METHOD_HANDLE")])
     kind = F.element_at(kinds, (F.col("l_orderkey") % 6 + 1).cast("int"))
     caller = F.concat(F.lit("C"), (F.col("l_partkey") % 97 + 1).cast("string"))
@@ -85,8 +92,8 @@ def member_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src, dst): consecutive parts of one order."""
-    li = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_quantity >= 44").select("l_orderkey", "l_linenumber", "l_partkey").distinct()
+    """(src, dst): consecutive returned parts of one order."""
+    li = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select("l_orderkey", "l_linenumber", "l_partkey").distinct()
     a, b = li.select("l_orderkey", F.col("l_linenumber").alias("__a"), F.col("l_partkey").alias("src")), li.select("l_orderkey", (F.col("l_linenumber") - 1).alias("__a"), F.col("l_partkey").alias("dst"))
     return a.join(b, ["l_orderkey", "__a"]).select("src", "dst").distinct()
 
@@ -97,22 +104,23 @@ def coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sealed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(display, package): every seventh supplier seals the packages of its parts with a low key."""
-    return classes(spark, sf_dir).where("position % 7 = 0 and part % 50 = 0 and package is not null").select("display", "package").distinct()
+    """(display, package): suppliers in debt seal the packages of their classes."""
+    debt = table(spark, sf_dir, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").cast("int").alias("position"))
+    return classes(spark, sf_dir).join(debt, "position", "left_semi").where("package is not null").select("display", "package").distinct()
 
 
 def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(position, base_name, version, entry_name) from order lines."""
-    li = table(spark, sf_dir, "lineitem").where("l_quantity >= 48").select("l_suppkey", "l_partkey", "l_linenumber").distinct()
+    li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_linenumber").distinct()
     v = F.when(F.col("l_linenumber") == 1, 0).otherwise(F.col("l_linenumber") + 7).cast("int")
     return li.select(F.col("l_suppkey").cast("int").alias("position"), F.concat(F.lit("C"), F.col("l_partkey").cast("string")).alias("base_name"), v.alias("version"), F.concat(F.lit("v"), v.cast("string"), F.lit("/C"), F.col("l_partkey").cast("string")).alias("entry_name"))
 
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(code, severity, artifact, class_entry, subject, summary, position, ordinal) from events."""
+    """(code, severity, artifact, class_entry, subject, summary, position, ordinal, value) from events."""
     e = table(spark, sf_dir, "events")
     return e.select(
         F.concat(F.lit("JP100"), (F.col("event_id") % 7 + 1).cast("string")).alias("code"), F.element_at(F.array(F.lit("INFO"), F.lit("WARNING"), F.lit("ERROR")), (F.col("user_id") % 3 + 1).cast("int")).alias("severity"),
         F.concat(F.lit("lib"), (F.col("user_id") % 20).cast("string"), F.lit(".jar")).alias("artifact"), F.when(F.col("user_id") % 5 != 0, F.concat(F.lit("E"), (F.col("user_id") % 50).cast("string"))).alias("class_entry"),
-        F.col("event_type").alias("subject"), F.concat_ws(" ", "event_type", F.col("event_id").cast("string")).alias("summary"), (F.col("event_id") % 100).cast("int").alias("position"), F.col("event_id").alias("ordinal"),
+        F.col("event_type").alias("subject"), F.concat_ws(" ", "event_type", F.col("event_id").cast("string")).alias("summary"), (F.col("event_id") % 100).cast("int").alias("position"), F.col("event_id").alias("ordinal"), "value",
     )

@@ -19,7 +19,7 @@ ORACLE_SQL: dict[str, str] = {}
 _ENTRIES = """entries AS (SELECT s_suppkey::INT AS position, s_name AS display, CASE WHEN s_suppkey % 10 = 0 THEN 'APPLICATION' ELSE 'CLASSPATH' END AS origin,
   CASE WHEN s_suppkey % 3 = 0 THEN 'w' || (s_suppkey % 2) END AS wildcard_source FROM supplier)"""
 _CLASSES = _ENTRIES + """, g AS (SELECT l_suppkey, l_partkey, p_size, p_brand, max(l_linenumber) AS line, min(l_returnflag || l_linestatus) AS kind
-  FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 40 AND p_size <= 45 GROUP BY ALL),
+  FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size <= 45 GROUP BY ALL),
 d AS (SELECT l_suppkey::INT AS position, l_partkey::INT AS ordinal, CASE WHEN p_size = 1 THEN NULL ELSE 'p/' || replace(p_brand, '#', '') END AS package, sha256(kind) AS digest,
   (52 + line)::INT AS major, (CASE WHEN l_partkey % 17 = 0 THEN 65535 ELSE 0 END)::INT AS minor, l_partkey AS part FROM g),
 classes AS (SELECT d.*, coalesce(package || '/', '') || 'C' || part AS internal_name, display, origin, wildcard_source FROM d JOIN entries USING (position))"""
@@ -29,13 +29,13 @@ _TYPES = """types AS (SELECT 'C' || p_partkey AS name, CASE WHEN p_partkey >= 3
   (CASE p_partkey % 5 WHEN 0 THEN 2 WHEN 1 THEN 4 WHEN 2 THEN 0 ELSE 1 END) + (CASE WHEN p_partkey % 2 = 0 THEN 8 ELSE 0 END) AS member_access, p_partkey % 13 = 0 AS from_platform,
   CASE WHEN p_partkey % 9 = 0 THEN 'C' || (p_partkey + 1) END AS nest_host, CASE WHEN p_partkey % 9 = 1 THEN 'C' || (p_partkey - 1) END AS nest_member,
   'm' || (p_partkey % 7) AS m, 'f' || (p_partkey % 4) AS f FROM part WHERE p_size <= 45)"""
-_WANTED = "wanted AS (SELECT 'C' || p_partkey AS name FROM part WHERE p_size <= 3)"
-_EDGES = """edges AS (SELECT DISTINCT a.l_partkey AS src, z.l_partkey AS dst FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 44) a
-  JOIN (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 44) z ON a.l_orderkey = z.l_orderkey AND a.l_linenumber = z.l_linenumber - 1)"""
+_WANTED = "wanted AS (SELECT 'C' || p_partkey AS name FROM part)"
+_EDGES = """edges AS (SELECT DISTINCT a.l_partkey AS src, z.l_partkey AS dst FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_returnflag = 'R') a
+  JOIN (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_returnflag = 'R') z ON a.l_orderkey = z.l_orderkey AND a.l_linenumber = z.l_linenumber - 1)"""
 _FINDINGS = """findings AS (SELECT 'JP100' || (event_id % 7 + 1) AS code, ['INFO', 'WARNING', 'ERROR'][user_id % 3 + 1] AS severity, 'lib' || (user_id % 20) || '.jar' AS artifact,
-  CASE WHEN user_id % 5 <> 0 THEN 'E' || (user_id % 50) END AS class_entry, event_type AS subject, event_type || ' ' || event_id AS summary, (event_id % 100)::INT AS position, event_id AS ordinal FROM events),
+  CASE WHEN user_id % 5 <> 0 THEN 'E' || (user_id % 50) END AS class_entry, event_type AS subject, event_type || ' ' || event_id AS summary, (event_id % 100)::INT AS position, event_id AS ordinal, value FROM events),
 printed AS (SELECT *, code || '|' || artifact || '|' || coalesce(class_entry, '') || '|' || subject AS fingerprint FROM findings),
-accepted AS (SELECT DISTINCT fingerprint FROM printed WHERE ordinal % 3 = 0 UNION SELECT 'gone|' || fingerprint FROM printed WHERE ordinal % 50 = 0)"""
+accepted AS (SELECT DISTINCT fingerprint FROM printed WHERE value > (SELECT avg(value) FROM events) * 1.5 UNION SELECT 'gone|' || fingerprint FROM printed WHERE value < (SELECT avg(value) FROM events) * 0.01)"""
 
 
 def query(sql: str | None = None):
@@ -86,7 +86,7 @@ def split_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_CLASSES}, k AS (SELECT package, count(DISTINCT display) AS artifacts FROM classes WHERE package IS NOT NULL GROUP BY 1 HAVING count(DISTINCT display) > 1)
-SELECT DISTINCT package, display, artifacts FROM classes JOIN k USING (package) WHERE position % 7 = 0 AND part % 50 = 0""")
+SELECT DISTINCT package, display, artifacts FROM classes JOIN k USING (package) WHERE position IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)""")
 def sealed_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.sealed_violations(b.classes(spark, sf_dir), b.sealed(spark, sf_dir))
 
@@ -109,20 +109,19 @@ def invalid_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return levels.invalid_preview(b.classes(spark, sf_dir), b.TARGET, True).select("position", "internal_name", "major")
 
 
-@query("""WITH s AS (SELECT l_suppkey::INT AS position, (52 + l_linenumber)::INT AS major, count(*) AS n FROM lineitem WHERE l_quantity >= 50 AND l_linenumber <= 2 AND l_returnflag = 'R' GROUP BY ALL)
+@query("""WITH s AS (SELECT l_orderkey::INT AS position, (52 + l_linenumber)::INT AS major, count(*) AS n FROM lineitem GROUP BY ALL)
 SELECT position, string_agg(major || ':' || n, ',' ORDER BY major) AS levels FROM s GROUP BY 1 HAVING count(*) > 1""")
 def mixed_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = levels.mixed_levels(b.sparse_levels(spark, sf_dir))
+    out = levels.mixed_levels(b.order_levels(spark, sf_dir))
     return out.select("position", F.array_join(F.transform("levels", lambda x: F.concat_ws(":", x["major"].cast("string"), x["n"].cast("string"))), ",").alias("levels"))
 
 
-@query(f"""WITH {_ENTRIES} SELECT position, display FROM entries WHERE origin = 'APPLICATION' AND position NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity >= 50 AND l_linenumber <= 2 AND l_returnflag = 'R') AND position % 20 <> 0""")
+@query("SELECT c_custkey::INT AS position, c_name AS display FROM customer WHERE c_acctbal >= 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def empty_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = b.entries(spark, sf_dir)
-    return levels.empty_roots(e, b.sparse_levels(spark, sf_dir), e.where("position % 20 = 0")).select("position", "display")
+    return levels.empty_roots(*b.roots(spark, sf_dir)).select("position", "display")
 
 
-@query("""WITH v AS (SELECT DISTINCT l_suppkey::INT AS position, 'C' || l_partkey AS base_name, (CASE WHEN l_linenumber = 1 THEN 0 ELSE l_linenumber + 7 END)::INT AS version, l_partkey FROM lineitem WHERE l_quantity >= 48)
+@query("""WITH v AS (SELECT DISTINCT l_suppkey::INT AS position, 'C' || l_partkey AS base_name, (CASE WHEN l_linenumber = 1 THEN 0 ELSE l_linenumber + 7 END)::INT AS version, l_partkey FROM lineitem)
 SELECT position, base_name, version, 'v' || version || '/C' || l_partkey AS entry_name FROM v WHERE version = 0 OR version BETWEEN 9 AND 12 QUALIFY row_number() OVER (PARTITION BY position, base_name ORDER BY version DESC) = 1""")
 def multi_release_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return levels.version_pick(b.versions(spark, sf_dir), b.TARGET)
@@ -152,10 +151,10 @@ def supertype_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("start", F.array_join("names", ",").alias("names"), "resolved")
 
 
-@query("""WITH p AS (SELECT DISTINCT l_partkey AS part FROM lineitem WHERE l_quantity >= 49)
+@query("""WITH p AS (SELECT l_partkey AS part FROM lineitem)
 SELECT 'C' || part AS target, count(*) AS refs FROM p JOIN part ON part = p_partkey WHERE p_size > 45 GROUP BY 1""")
 def missing_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = b.table(spark, sf_dir, "lineitem").where("l_quantity >= 49").select("l_partkey").distinct()
+    li = b.table(spark, sf_dir, "lineitem").select("l_partkey")
     refs = li.select(F.lit("C0").alias("caller"), F.concat(F.lit("C"), F.col("l_partkey").cast("string")).alias("target"))
     none = spark.createDataFrame([], "name string")
     out = linkage.type_verdicts(b.types(spark, sf_dir), none, refs).where("code = 'JP1001'")
@@ -163,7 +162,7 @@ def missing_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _KINDS = "['INVOKE_VIRTUAL', 'INVOKE_STATIC', 'INVOKE_INTERFACE', 'GET_STATIC', 'GET_FIELD', 'METHOD_HANDLE'][l_orderkey % 6 + 1]"
-_REFS = f"""r0 AS (SELECT DISTINCT l_orderkey, l_partkey, l_linenumber FROM lineitem WHERE l_quantity >= 45),
+_REFS = f"""r0 AS (SELECT DISTINCT l_orderkey, l_partkey, l_linenumber FROM lineitem),
 r AS (SELECT l_orderkey || '-' || l_partkey || '-' || l_linenumber AS ref, l_partkey % 97 + 1 AS k, 'C' || (l_partkey % 97 + 1) AS caller, {_KINDS} AS kind, 'C' || l_partkey AS owner,
   CASE WHEN {_KINDS} IN ('GET_STATIC', 'GET_FIELD') THEN 'f' ELSE 'm' END || (l_orderkey % 3) AS name, {_KINDS} NOT IN ('GET_STATIC', 'GET_FIELD') AS method FROM r0)"""
 _RESOLVED = f"""WITH RECURSIVE {_TYPES}, {_REFS}, o AS (SELECT DISTINCT owner FROM r JOIN types ON owner = types.name),
@@ -215,20 +214,19 @@ def reachable_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reachability.closure_from(b.call_edges(spark, sf_dir), roots)
 
 
-@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_number FROM documents WHERE text NOT LIKE '%' || chr(13) || '%'),
+@query("""WITH l AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\\r\\n|\\r|\\n')) AS line, generate_subscripts(regexp_split_to_array(text, '\\r\\n|\\r|\\n'), 1) AS line_number FROM documents),
 n AS (SELECT doc_id, line_number::INT AS line_number, regexp_replace(string_split(line, '#')[1], '^\\s+|\\s+$', '', 'g') AS declared_name FROM l)
 SELECT doc_id, line_number, declared_name FROM n WHERE declared_name <> ''""")
 def service_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = b.table(spark, sf_dir, "documents").where(~F.col("text").contains("\r")).select("doc_id", "text")
-    return services.provider_lines(d)
+    return services.provider_lines(b.table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-_LINES = """l AS (SELECT DISTINCT o_orderkey AS file, o_custkey % 50 AS svc, l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 40 = 0),
+_LINES = """l AS (SELECT DISTINCT o_orderkey AS file, o_custkey % 50 AS svc, l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
 s AS (SELECT file, 'C' || (svc + 1) AS service, 'C' || l_partkey AS provider FROM l)"""
 
 
 def _service_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = b.table(spark, sf_dir, "orders").where("o_orderkey % 40 = 0").select("o_orderkey", "o_custkey")
+    o = b.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     j = o.join(b.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey"), F.col("o_orderkey") == F.col("l_orderkey"))
     return j.select(F.col("o_orderkey").alias("file"), F.concat(F.lit("C"), (F.col("o_custkey") % 50 + 1).cast("string")).alias("service_name"), F.concat(F.lit("C"), F.col("l_partkey").cast("string")).alias("declared_name")).distinct()
 
@@ -256,10 +254,10 @@ def service_not_instantiable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _verdicts(spark, sf_dir).where(F.size("faults") > 0).select("file", "service", "provider", F.array_join("faults", ",").alias("faults"))
 
 
-@query("""WITH l AS (SELECT o_custkey, 'x.' || replace(replace(p_type, ' ', '_'), '-', '_') AS declared_name, o_orderkey::INT AS line_number FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey WHERE o_custkey % 20 = 0)
+@query("""WITH l AS (SELECT o_custkey, 'x.' || replace(replace(p_type, ' ', '_'), '-', '_') AS declared_name, o_orderkey::INT AS line_number FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey)
 SELECT o_custkey, declared_name, count(*) AS times, min(line_number) AS line_number FROM l GROUP BY 1, 2 HAVING count(*) > 1""")
 def service_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = b.table(spark, sf_dir, "orders").where("o_custkey % 20 = 0").select("o_custkey", "o_orderkey")
+    o = b.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
     j = o.join(b.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey"), F.col("o_orderkey") == F.col("l_orderkey")).join(b.table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     lines = j.select("o_custkey", F.concat(F.lit("x."), F.translate("p_type", " -", "__")).alias("declared_name"), F.col("o_orderkey").cast("int").alias("line_number"))
     return services.repeated_lines(lines, ["o_custkey"])
@@ -310,8 +308,10 @@ def module_illegal_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _findings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     f = b.findings(spark, sf_dir)
     f = f.withColumn("fingerprint", results.fingerprint(F.col("code"), F.col("artifact"), F.col("class_entry"), F.col("subject")))
-    gone = f.where("ordinal % 50 = 0").select(F.concat(F.lit("gone|"), "fingerprint").alias("fingerprint"))
-    return f, f.where("ordinal % 3 = 0").select("fingerprint").union(gone).distinct()
+    mean = f.agg(F.avg("value").alias("mean"))
+    valued = f.crossJoin(F.broadcast(mean))  # one row
+    gone = valued.where("value < mean * 0.01").select(F.concat(F.lit("gone|"), "fingerprint").alias("fingerprint"))
+    return f, valued.where("value > mean * 1.5").select("fingerprint").union(gone).distinct()
 
 
 @query(f"WITH {_FINDINGS} SELECT code, artifact, class_entry, subject, summary, ordinal FROM findings QUALIFY row_number() OVER (PARTITION BY code, subject, artifact, class_entry ORDER BY position, ordinal) = 1")
@@ -335,9 +335,9 @@ def baseline_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.stale_fingerprints(*_findings(spark, sf_dir))
 
 
-@query(f"WITH {_FINDINGS} SELECT artifact, code, subject, class_entry, summary, row_number() OVER (ORDER BY artifact, code, subject, coalesce(class_entry, ''), summary, ordinal) AS place FROM findings WHERE ordinal < 2000")
+@query(f"WITH {_FINDINGS} SELECT artifact, code, subject, class_entry, summary, row_number() OVER (ORDER BY artifact, code, subject, coalesce(class_entry, ''), summary, ordinal) AS place FROM findings")
 def canonical_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = b.findings(spark, sf_dir).where("ordinal < 2000")  # a report's ceiling, not the table's size
+    f = b.findings(spark, sf_dir)
     f = f.withColumn("location", F.struct("artifact", "class_entry"))
     from pyspark.sql import Window
 
@@ -358,12 +358,12 @@ def inspect_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return level_histogram(b.classes(spark, sf_dir))
 
 
-@query("""WITH w AS (SELECT DISTINCT left(p_name, 8) AS word FROM part), v AS (SELECT DISTINCT right(p_name, 8) AS name FROM part),
+@query("""WITH w AS (SELECT DISTINCT p_name AS word FROM part), v AS (SELECT DISTINCT p_name AS name FROM part),
 p AS (SELECT word, name AS suggestion, levenshtein(word, name)::INT AS distance FROM w JOIN v ON levenshtein(word, name) BETWEEN 1 AND 2)
 SELECT word, suggestion, distance, row_number() OVER (PARTITION BY word ORDER BY distance, suggestion)::INT AS rank FROM p QUALIFY rank <= 2""")
 def spelling_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = b.table(spark, sf_dir, "part")
-    return fn.spelling_suggestions(p.select(F.expr("left(p_name, 8)").alias("word")), p.select(F.expr("right(p_name, 8)").alias("name")))
+    return fn.spelling_suggestions(p.select(F.col("p_name").alias("word")), p.select(F.col("p_name").alias("name")))
 
 
 @query(f"""WITH {_CLASSES} SELECT DISTINCT internal_name, package, replace(internal_name, '/', '.') AS binary_name, major - 44 AS release, internal_name || ' ' || CASE WHEN ordinal % 3 = 1 THEN '1 class' ELSE (ordinal % 3) || ' classes' END AS counted,
