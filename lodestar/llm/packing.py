@@ -98,6 +98,10 @@ class WordEncoder:
         parts = self.split(piece.lower())
         return self.parts[parts[0]] if len(parts) == 1 else b"".join(map(self.parts.__getitem__, parts))
 
+    def rest(self) -> None:
+        """Keep only the younger generation until the next task."""
+        self.known.older, self.parts.older = {}, {}
+
     def encode(self, batch: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         self.known.trim()
@@ -142,6 +146,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end
                 doc, k, lo, n, crc, part = zip(*rows)
                 out = {"doc_id": pa.array(doc, pa.int64()), "piece": pa.array(k, pa.int32()), "start": pa.array(lo, pa.int64()), "length": pa.array(n, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())}
                 yield pa.RecordBatch.from_pydict(out | ({"ids": pa.array(part, pa.binary())} if ids else {}))
+        enc.rest()
 
     return mapped(documents(docs, id_col, text_col), run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * ids)
 

@@ -398,17 +398,14 @@ def _verified(rows: DataFrame, lanes: int, radius: int, similarity: float) -> Da
 def similar_links(docs: DataFrame, prints: DataFrame, words: int, lanes: int, radius: int, similarity: float) -> DataFrame:
     """Links between fingerprints within the radius whose texts' shingle sets have the wanted Jaccard similarity.
 
-    Only texts that share a block with another one are read again.
+    Links by fingerprint alone come first. Only the texts of their components are read again, each once, and compared
+    inside the component: by bit planes, and where those are near enough by their sets.
     """
-    shared = lambda rows: rows.join(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
-    nodes = prints.where("doc_id is not null").groupBy("fp", "keys").agg(F.min("doc_id").alias("doc_id"))
-    rows = durable(_keyed(nodes.select("fp", "keys"), lanes, radius, "shingles").dropDuplicates(["key", "fp"]))
-    blocks = durable(shared(rows))
-    again = shared(_again(blocks.where(F.col("n") > BLOCK).select("key", "fp", "mates"), lanes, radius, "shingles"))
-    keys = blocks.where(F.col("n") <= BLOCK).select("key", "fp").union(again.select("key", "fp"))
-    reps = nodes.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
-    wanted = durable(keys.groupBy("fp").agg(F.collect_set("key").alias("keys")).join(reps, "fp").select("doc_id", "fp", "keys"))
-    return _verified(_with_sets(docs, wanted, words, lanes).dropDuplicates(["key", "fp"]), lanes, radius, similarity)
+    nodes = prints.where("doc_id is not null")
+    near = components(near_links(nodes.select("fp", "keys").distinct(), lanes, radius, "shingles"))
+    low = nodes.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
+    wanted = near.withColumnRenamed("node", "fp").join(low, "fp").select("doc_id", "fp", F.array(F.xxhash64("root")).alias("keys"))
+    return _verified(_with_sets(docs, durable(wanted), words, lanes).dropDuplicates(["key", "fp"]), lanes, radius, similarity)
 
 
 def groups(docs: DataFrame, words: int = 3, radius: int = 2, lanes: int = 1, minima: int = 0, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
