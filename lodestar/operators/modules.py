@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.operators.hierarchy import supertype_walk
-from lodestar.operators.linkage import PUBLIC, STATIC, has
-from lodestar.operators.services import instantiability_faults, internal, legal_name
+from lodestar.operators.linkage import PUBLIC, STATIC
+from lodestar.operators.services import instantiability_faults, legal_name
 
 
 def module_name() -> Column:
@@ -66,9 +66,3 @@ def provider_faults(claims: DataFrame, types: DataFrame, own: DataFrame) -> Data
     )
     return j.withColumn("faults", faults).where(F.size("faults") > 0).select("position", "display", "module", "service", "provider", "faults")
 
-
-def binary(name: Column) -> Column:
-    return F.translate(name, "/", ".")
-
-
-__all__ = ["binary", "empty_exposed", "has", "illegal_automatic_names", "internal", "missing_requirements", "missing_services", "module_splits", "provider_faults"]

@@ -130,7 +130,7 @@ def first_callers(types: DataFrame, classes: DataFrame, member_refs: DataFrame,
         above[r["start"]].append(r["name"])
     calls = refs.where(F.col("descriptor").startswith("("))
     sites = calls.where(F.col("kind").isin(*DISPATCHED)).select("owner", "name", "descriptor").distinct()
-    pairs = spark_pairs(types, above)
+    pairs = _pairs(types, above)
     asked = calls.select("owner", "name", "descriptor").union(sites.join(pairs, sites["owner"] == pairs["up"]).select("start", sites["name"], "descriptor"))
     runs = {(r["owner"], r["name"], r["descriptor"]): (r["declarer"], r["name"] + r["descriptor"]) for r in resolve_members(types, asked).join(mine.select(F.col("name").alias("declarer")), "declarer", "left_semi").collect()}
     parents = {r["name"]: r["super"] for r in mine.join(refs.select(F.col("internal_name").alias("name")).distinct(), "name", "left_semi").select("name", "super").collect()}
@@ -143,7 +143,7 @@ def first_callers(types: DataFrame, classes: DataFrame, member_refs: DataFrame,
     return _replay(entry, [r["internal_name"] for r in application.select("internal_name").collect()], by, runs, above, chains, parents, initial)
 
 
-def spark_pairs(types: DataFrame, above: dict[str, list[str]]) -> DataFrame:
+def _pairs(types: DataFrame, above: dict[str, list[str]]) -> DataFrame:
     """(start, up) rows of the supertypes that the driver knows of."""
     return types.sparkSession.createDataFrame([(s, u) for s, ups in above.items() for u in ups], "start string, up string")
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from lodestar.operators.duplicates import first_by
 from lodestar.operators.hierarchy import supertype_walk
 from lodestar.operators.linkage import INTERFACE, PUBLIC, has
-from lodestar.session import durable
 
 ABSTRACT = 0x400
 _START, _PART = r"\p{javaJavaIdentifierStart}", r"\p{javaJavaIdentifierPart}"
@@ -69,7 +68,3 @@ def provider_verdicts(types: DataFrame, declared: DataFrame, lines: DataFrame) -
     faults = F.when(F.col("access").isNotNull(), instantiability_faults(F.col("access"), F.col("members"))).otherwise(F.array().cast("array<string>"))
     return j.withColumn("missing", F.col("__known").isNull()).withColumn("wrong_type", wrong).withColumn("faults", faults).drop("__known", "__service", "__names", "__resolved", "access", "members")
 
-
-def first_per_entry(findings: DataFrame, order: list[str]) -> DataFrame:
-    """Service findings once for each (code, subject, artifact, entry): the first, made durable as several reports use it."""
-    return durable(first_by(findings, ["code", "subject", "display", "entry_name"], order))
