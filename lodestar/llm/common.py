@@ -86,14 +86,43 @@ def texts(batch: pa.RecordBatch, column: str = "text", most: int = 4 << 20) -> I
 PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 
 
+#: Links that one task joins by itself instead of in rounds.
+FEW_LINKS = 200_000
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of all links in the batches, by union-find with the smallest node as root."""
+    up: dict = {}
+
+    def root(x):
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
+
+    kind = None
+    for batch in batches:
+        kind = batch.schema.field("a").type
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+            a, b = root(a), root(b)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+    if kind is not None:
+        nodes = list(up)
+        yield pa.RecordBatch.from_pydict({"node": pa.array(nodes, kind), "root": pa.array([root(x) for x in nodes], kind)})
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of ``links(a, b)``: (node, root), root the smallest node reachable.
 
     Each round hooks every node to its smallest neighbour, follows the hooks to their end by pointer jumping and
     contracts the graph; at least half of the nodes that still have links go, so the rounds are logarithmic. Nothing
-    reaches the driver but counts. Nodes without links are not returned.
+    reaches the driver but counts. Nodes without links are not returned. At most ``FEW_LINKS`` links are joined by one
+    task, with the same result.
     """
     edges = durable(links.where("a <> b").select("a", "b").distinct())
+    if edges.count() <= FEW_LINKS:
+        kind = dict(edges.dtypes)["a"]
+        return durable(mapped(edges.coalesce(1), _joined, f"node {kind}, root {kind}"))
     found: DataFrame | None = None
     while True:
         both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a"))

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lodestar.llm import bloom, kdtree, packing, repeats, simhash
+from lodestar.llm import bloom, common, kdtree, packing, repeats, simhash
 from lodestar.llm.attribution import attribute, encoding, line_sections, section_tokens
 from lodestar.llm.chat import rotate_perspectives
 from lodestar.llm.common import components
@@ -37,7 +37,9 @@ def words(rng, n, vocabulary=60):
 # components
 
 
-def test_components_are_those_of_union_find(spark):
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_components_are_those_of_union_find(spark, monkeypatch, few):
+    monkeypatch.setattr(common, "FEW_LINKS", few)
     rng = random.Random(5)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(400, 460)] + [(1, 1)]
     up = {}
@@ -183,6 +185,7 @@ def test_bit_sliced_links(lanes, radius, small):
 @pytest.mark.parametrize("block", [2048, 4])
 def test_simhash_groups(spark, monkeypatch, block):
     monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(common, "FEW_LINKS", 0 if block == 4 else 200_000)
     rng = random.Random(8)
     rows = list(ODD)
     for k in range(10, 90):
