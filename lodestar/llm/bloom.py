@@ -35,7 +35,7 @@ def _bits(h: np.ndarray) -> Iterator[np.ndarray]:
 
 def _segment(h: np.ndarray, segments: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44) & np.uint64(segments - 1)).astype(np.int64)
+        return ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(34) & np.uint64(segments - 1)).astype(np.int64)
 
 
 class Filter:
@@ -78,21 +78,26 @@ def seen_filter(rows: DataFrame, segments: int, times: int = 2) -> Filter:
     """The filter of hashes seen at least ``times`` (1 or 2) times, from ``rows(segment, hashes)``.
 
     A task takes its segments one after another: a hash whose bits are all set in the segment's once-seen filter, or
-    that comes twice in one row, enters the twice-seen filter. Only those filters go to the driver, at most
-    ``MOST_BITS`` bits after folding; a folded filter lets more hashes pass that were seen once, and none less.
+    that comes twice in one row, enters the twice-seen filter. Tasks fold those filters to at most ``MOST_BITS`` bits
+    together before they are joined, so that neither a shuffle nor the driver sees more, however many segments there
+    are; a folded filter lets more hashes pass that were seen once, and none less.
     """
+    slots = max(1, min(segments, MOST_BITS // SEGMENT_BITS))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, once, again = -1, None, None
+        folded: dict[int, np.ndarray] = {}
 
-        def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"segment": pa.array([now], pa.int64()), "bits": pa.array([np.packbits(again, bitorder="little").tobytes()], pa.binary())})
+        def done() -> None:
+            bits = np.packbits(again, bitorder="little")
+            slot = now % slots
+            folded[slot] = folded[slot] | bits if slot in folded else bits
 
         for batch in batches:
             for s, raw in zip(batch.column("segment").to_pylist(), batch.column("hashes").to_pylist()):
                 if s != now:
                     if now >= 0:
-                        yield done()
+                        done()
                     now, once, again = s, np.zeros(SEGMENT_BITS, bool), np.zeros(SEGMENT_BITS, bool)
                 h = np.sort(np.frombuffer(raw, np.uint64))
                 seen = np.append(h[1:] == h[:-1], False)
@@ -104,9 +109,25 @@ def seen_filter(rows: DataFrame, segments: int, times: int = 2) -> Filter:
                 for at in _bits(h):
                     once[at] = True
         if now >= 0:
-            yield done()
+            done()
+        for slot, bits in folded.items():
+            yield _slot(slot, bits)
 
-    out = Filter(segments, MOST_BITS // SEGMENT_BITS)
-    for r in mapped(rows.repartition("segment").sortWithinPartitions("segment"), run, "segment long, bits binary").toLocalIterator():
-        out.merge(r["segment"], r["bits"])
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folded: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for slot, raw in zip(batch.column("slot").to_pylist(), batch.column("bits").to_pylist()):
+                bits = np.frombuffer(raw, np.uint8)
+                folded[slot] = folded[slot] | bits if slot in folded else bits
+        for slot, bits in folded.items():
+            yield _slot(slot, bits)
+
+    built = mapped(rows.repartition("segment").sortWithinPartitions("segment"), build, "slot long, bits binary")
+    out = Filter(segments, slots)
+    for r in mapped(built.repartition("slot"), join, "slot long, bits binary").toLocalIterator():
+        out.merge(r["slot"], r["bits"])
     return out
+
+
+def _slot(slot: int, bits: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"slot": pa.array([slot], pa.int64()), "bits": pa.array([bits.tobytes()], pa.binary())})
