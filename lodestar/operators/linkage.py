@@ -65,7 +65,7 @@ def resolve_members(types: DataFrame, wanted: DataFrame) -> DataFrame:
     extra = objects.select("start", F.lit(1).alias("phase"), F.lit(-1).alias("generation"), F.array(F.lit(0)).alias("key"), F.lit(OBJECT).alias("ancestor"), F.lit(True).alias("is_interface"), F.lit(True).alias("inherited"))
     paths = paths.select("start", (F.col("phase") * 2).alias("phase"), "generation", "key", F.col("name").alias("ancestor"), "is_interface", F.lit(False).alias("inherited")).union(extra)
     declared = types.select(F.col("name").alias("ancestor"), F.explode("members").alias("m")).select("ancestor", "m.name", "m.descriptor", F.col("m.access").alias("member_access"))
-    hits = asks.join(declared, ["name", "descriptor"]).join(paths, ["start", "ancestor"])
+    hits = asks.join(paths, "start").join(declared, ["ancestor", "name", "descriptor"])  # ancestors of an owner are few, declarers of a name are not
     through_interface = F.col("is_method") & F.col("is_interface")
     allowed = F.when(F.col("inherited"), through_interface & has(F.col("member_access"), PUBLIC) & ~has(F.col("member_access"), STATIC)).otherwise(~through_interface | (F.col("phase") > 0) | (F.col("ancestor") == F.col("start")))
     best = first_by(hits.where(allowed).select("start", "name", "descriptor", "phase", "generation", "key", F.col("ancestor").alias("declarer"), "member_access"), ["start", "name", "descriptor"], ["phase", "generation", "key"])
