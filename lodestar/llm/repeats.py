@@ -383,7 +383,7 @@ def repeat_starts(slim: DataFrame, length: int = 100) -> DataFrame:
                 bodies.append(raw[first[i] : first[i] + w["n"][i] + length - 1])
             if rows:
                 yield out(w["anchor"][rows], w[rows], bodies)
-            if len(known) > FLUSH:
+            if len(known) > FLUSH // 4:
                 known.clear()
             if very.any():
                 some = pick[very]
@@ -403,6 +403,22 @@ def repeat_starts(slim: DataFrame, length: int = 100) -> DataFrame:
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def marks(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(held)
+            doc, tag, at, n = (t.column(c).to_numpy() for c in ("doc", "tag", "at", "n"))
+            place = list(zip(doc.tolist(), at.tolist()))
+            best: dict[tuple[int, bytes], int] = {}  # the first of equal windows; the index holds each once
+            same = np.empty(t.num_rows, np.int64)
+            names = list(zip(t.column("route").to_pylist(), t.column("body").to_pylist()))
+            for i, name in enumerate(names):
+                if (old := best.get(name)) is None or place[i] < place[old]:
+                    best[name] = i
+            for i, name in enumerate(names):
+                same[i] = best[name]
+            later = np.flatnonzero((doc != doc[same]) | (at != at[same]))
+            if later.size:
+                w = np.zeros(later.size, _WINDOW)
+                w["doc"], w["tag"], w["at"], w["n"] = doc[later], tag[later], at[later], n[later]
+                yield _marks(w, deal)
+            t = t.take(pa.array(np.unique(same)))
             route = t.column("route").to_numpy()
             count = np.unique(route, return_counts=True)
             keep = np.flatnonzero(np.isin(route, count[0][count[1] > 1]))
