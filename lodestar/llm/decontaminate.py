@@ -2,7 +2,8 @@
 
 Fixed masks look at some of a run of words and ignore the others. Hashes of the masked words of benchmark items and of
 documents are joined; each hit gives a diagonal on which document and item are compared word by word, with substitutions
-allowed, and the best-agreeing stretch decides.
+allowed, and the stretch with most agreeing words decides. Items that need fewer agreeing words than a passage has are
+cut into one piece more than words of them may differ, and hashed by whole pieces too: one of the pieces is unchanged.
 
 The benchmark side is sent to all tasks in blocks of bounded size; a larger benchmark takes more than one pass.
 """
@@ -10,6 +11,7 @@ The benchmark side is sent to all tasks in blocks of bounded size; a larger benc
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 from itertools import repeat
 
 import numpy as np
@@ -45,9 +47,9 @@ class SeedTable:
     """Benchmark items as word numbers, with the sorted hashes of their masked words."""
 
     def __init__(self, items: list[tuple[int, str]], least_words: int, identity: float) -> None:
-        self.least_words, self.identity = least_words, identity
+        self.least_words, self.identity = least_words, Fraction(str(identity))
         self.vocabulary: dict[bytes, int] = {}
-        self.names, self.words = [], []
+        self.names, self.words, self.widths = [], [], set()
         hashes, owner, place = [], [], []
         for name, text in items:
             ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in text.encode().translate(PLAIN).split()], np.int64)
@@ -56,6 +58,11 @@ class SeedTable:
                 hashes.append(h)
                 owner.append(np.full(len(h), len(self.names)))
                 place.append(np.arange(len(h)))
+            for at, n in self._pieces(len(ids)):
+                hashes.append(_masked(ids[at : at + n], tuple(range(n)), len(MASKS) + n))
+                owner.append(np.array([len(self.names)]))
+                place.append(np.array([at]))
+                self.widths.add(n)
             self.names.append(name)
             self.words.append(ids)
         h = np.concatenate([*hashes, np.zeros(0, np.uint64)])
@@ -65,9 +72,20 @@ class SeedTable:
         self.coarse = np.zeros(1 << 20, bool)
         self.coarse[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
 
+    def _need(self, n: int) -> int:
+        """Agreeing words that a passage of an item of ``n`` words has."""
+        return min(self.least_words, -int(-n * self.identity // 1))
+
+    def _pieces(self, n: int) -> list[tuple[int, int]]:
+        """(from, words) of the pieces of an item that is shorter than the seeds are sure for."""
+        if not n or (need := self._need(n)) >= self.least_words:
+            return []
+        cut = [n * k // (n - need + 1) for k in range(n - need + 2)]
+        return [(a, z - a) for a, z in zip(cut, cut[1:])]
+
     def hits(self, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(position, item, position in the item) of equal masked words."""
-        for k, mask in enumerate(MASKS):
+        for k, mask in [*enumerate(MASKS), *((len(MASKS) + n, tuple(range(n))) for n in sorted(self.widths))]:
             h = _masked(ids, mask, k)
             at = np.flatnonzero((h > 0) & self.coarse[(h >> np.uint64(44)).astype(np.int64)])
             lo, hi = np.searchsorted(self.hashes, h[at], "left"), np.searchsorted(self.hashes, h[at], "right")
@@ -96,13 +114,21 @@ class SeedTable:
         return [(text, self.names[item], *x) for (text, item), x in sorted(best.items())]
 
     def _stretch(self, same: np.ndarray, n: int) -> tuple[int, int, int] | None:
-        """The stretch with the largest gain, a mismatch costing what keeps ``identity``; None if it is too short."""
-        gain = np.append(0.0, np.cumsum(np.where(same, 1 - self.identity, -self.identity) + 1e-9))
-        low = np.minimum.accumulate(gain)
-        z = int((gain - low).argmax())
-        a = int(gain[: z + 1].argmin())
-        agree = int(same[a:z].sum())
-        return (a, z - a, agree) if agree >= min(self.least_words, -int(-n * self.identity // 1)) and agree else None
+        """The stretch with most agreeing words of those with a share of ``identity`` of them, the shortest of several; None if it has too few.
+
+        A stretch has the share where the gain, of which a mismatch costs what keeps ``identity``, does not fall over it.
+        The earlier it begins the more words agree, so each end goes with the first begin whose gain is not above its own.
+        """
+        p, q = self.identity.numerator, self.identity.denominator
+        gain, agree = np.append(0, np.cumsum(np.where(same, q - p, -p))), np.append(0, np.cumsum(same))
+        held = agree - agree[np.searchsorted(-np.minimum.accumulate(gain), -gain, "left")]
+        most = int(held.max())
+        if most < max(1, self._need(n)):
+            return None
+        z = np.flatnonzero(held == most)
+        a = np.flatnonzero(same)[agree[z] - most]
+        k = int((z - a).argmin())
+        return int(a[k]), int(z[k] - a[k]), most
 
 
 def seed_tables(benchmark: DataFrame, least_words: int = 13, identity: float = 0.8, id_col: str = "item_id", text_col: str = "text") -> Iterator[SeedTable]:
@@ -119,9 +145,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least_words: int = 13, ide
     """(doc_id, item_id, first_word, n_words, n_agree) for each document that holds a passage of a benchmark item.
 
     A passage is a stretch of words with a share of at least ``identity`` equal to the item's words at the same
-    distances, and at least ``least_words`` equal ones (or that share of a shorter item). Words are runs of letters,
-    digits and non-ASCII characters, lower-cased. Items of fewer words than a mask spans have no seeds and are not
-    found. Null and empty texts hold nothing; rows that share an id give the best passage once; rows without an id are
+    distances, and at least ``least_words`` equal ones (or that share of a shorter item). At the given values every
+    passage is found: one of at least 13 equal words holds a seed wherever the others are, and shorter items go by pieces.
+    Words are runs of letters, digits and non-ASCII characters, lower-cased. Null and empty texts hold nothing; rows that share an id give the best passage once; rows without an id are
     reported as one document without an id.
     """
     out = None

@@ -15,7 +15,7 @@ from lodestar.llm import bloom, common, kdtree, packing, repeats, simhash
 from lodestar.llm.attribution import attribute, encoding, line_sections, section_tokens
 from lodestar.llm.chat import rotate_perspectives
 from lodestar.llm.common import components
-from lodestar.llm.decontaminate import decontaminate, find_leaks
+from lodestar.llm.decontaminate import SeedTable, decontaminate, find_leaks
 from lodestar.llm.kdtree import top_k
 from lodestar.llm.lines import dedup_lines
 from lodestar.llm.notices import Notice, scan_notices
@@ -365,6 +365,34 @@ def test_leaks(spark):
     assert find_leaks(docs, bench.limit(0)).count() == 0 and find_leaks(docs.limit(0), bench).count() == 0
 
 
+def test_every_passage_of_the_rule_is_found():
+    def passes(text, item):
+        """The documented rule over all diagonals and stretches: the most agreeing words, 0 for no passage."""
+        best = 0
+        for d in range(1 - len(item), len(text)):
+            same = [0 <= k - d < len(item) and w == item[k - d] for k, w in enumerate(text)]
+            for a in range(len(text)):
+                for z in range(a + 1, len(text) + 1):
+                    if 5 * sum(same[a:z]) >= 4 * (z - a):
+                        best = max(best, sum(same[a:z]))
+        return best if best >= min(13, -(-4 * len(item) // 5)) else 0
+
+    rng = random.Random(15)
+    for n in [1, 3, 5, 6, 9, 10, 14, *range(15, 21), 25, 30]:
+        for changed in (0, 1, 2, 3, 5):
+            for _ in range(4):
+                item = words(rng, n, 10_000).split()
+                other = set(rng.sample(range(n), min(n, changed)))
+                copy = [f"new{k}" if k in other else w for k, w in enumerate(item)]
+                text = [*words(rng, 3).upper().split(), *copy, "tail"]
+                got = SeedTable([(7, " ".join(item))], 13, 0.8).leaks([" ".join(text).encode()])
+                want = passes(text, item)
+                assert [x[4] for x in got] == ([want] if want else []), (n, changed)
+    item = words(rng, 16, 10_000).split()
+    copy = ["new" if k in (8, 12) else w for k, w in enumerate(item)]
+    assert SeedTable([(7, " ".join(item))], 13, 0.8).leaks([" ".join(copy).encode()]) == [(0, 7, 0, 16, 14)]
+
+
 # quality
 
 
