@@ -21,8 +21,9 @@ from lodestar.llm.queries import table, tokenizer_file
 from lodestar.llm.simhash import groups
 
 #: Near-duplicates: words of a shingle, 64-bit lanes of a fingerprint, differing bits of all lanes, shingle minima, Jaccard
-#: similarity. Texts that share 0.8 of their shingles differ in 39 of 256 bits on average, with a standard deviation of 6.
-NEAR = {"words": 5, "lanes": 4, "radius": 64, "minima": 8, "similarity": 0.8}
+#: similarity. Each different shingle votes once, so texts that share 0.8 of their shingles differ in 39 of 256 bits on
+#: average, with a standard deviation of 6; one in 10 million lies beyond the radius, of texts of 4 or 5 shingles one in 10,000.
+NEAR = {"words": 5, "lanes": 4, "radius": 72, "minima": 8, "similarity": 0.8}
 CUT = 0.3
 
 

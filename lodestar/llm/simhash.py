@@ -69,8 +69,11 @@ def vote(h: np.ndarray, lanes: int = 1) -> np.ndarray:
     return np.packbits(count * 2 > len(h), bitorder="little").view(np.uint64)
 
 
-def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, minima: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, keys): fingerprint as big-endian bytes, and ``minima`` minima of the shingle hashes. No words: all zero."""
+def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, minima: int = 0, sets: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp, keys): fingerprint as big-endian bytes, and ``minima`` minima of the shingle hashes. No words: all zero.
+
+    With ``sets`` each different shingle votes once, as sets are what is compared.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,6 +81,7 @@ def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, minima: int =
                 fps, keys = [], []
                 for b in block:
                     h = shingle_hashes(b, words)
+                    h = np.unique(h) if sets else h
                     fps.append(vote(h, lanes).astype(">u8").tobytes())
                     keys.append([int(mix(h, k + 5).min()) - (1 << 63) for k in range(minima)] if len(h) else [0] * minima)
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "fp": pa.array(fps, pa.binary()), "keys": pa.array(keys, pa.list_(pa.int64()))})
@@ -349,7 +353,7 @@ def _with_sets(docs: DataFrame, wanted: DataFrame, words: int, lanes: int) -> Da
         for batch in batches:
             keys, fps, sets = [], [], []
             for x, fp, own in zip(batch.column("text").cast(pa.large_binary()), batch.column("fp").to_pylist(), batch.column("keys").to_pylist()):
-                h = shingle_hashes(x.as_py(), words)
+                h = np.unique(shingle_hashes(x.as_py(), words))
                 if vote(h, lanes).astype(">u8").tobytes() == fp:  # rows may share an id
                     keys += own
                     fps += [fp] * len(own)
@@ -413,7 +417,8 @@ def groups(docs: DataFrame, words: int = 3, radius: int = 2, lanes: int = 1, min
 
     Two documents link if their fingerprints differ in at most ``radius`` bits; without ``minima`` every such pair is
     found, with them pairs that share one of so many minima of their shingle hashes. With ``similarity`` they must also
-    share so much of their shingles (Jaccard), which is checked exactly inside the blocks; documents without an id then
+    share so much of their shingles (Jaccard), which is checked exactly inside the blocks, and each different shingle has
+    one vote in the fingerprint, however often a text repeats it; documents without an id then
     link by equal fingerprints only. Texts without words have the fingerprint zero and link like any other. Null texts
     are empty; documents without an id keep their row and have no say in component_id. Repeated rows and ids keep their
     rows. An empty table stays empty.
@@ -422,7 +427,7 @@ def groups(docs: DataFrame, words: int = 3, radius: int = 2, lanes: int = 1, min
         raise ValueError("bands are for fingerprints of 64 bits")
     if similarity is not None and not minima:
         raise ValueError("similarity is checked in blocks of shingle minima")
-    prints = durable(fingerprints(docs, words, lanes, minima, id_col, text_col))
+    prints = durable(fingerprints(docs, words, lanes, minima, similarity is not None, id_col, text_col))
     low = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
     if similarity is not None:
         links = similar_links(documents(docs, id_col, text_col), prints, words, lanes, radius, similarity)

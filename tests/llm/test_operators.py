@@ -11,6 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from lodestar.llm import bloom, common, kdtree, packing, repeats, simhash
 from lodestar.llm.attribution import attribute, encoding, line_sections, section_tokens
 from lodestar.llm.chat import rotate_perspectives
@@ -240,6 +241,16 @@ def test_similar_groups_are_exact(spark, monkeypatch, block):
     assert Counter((i, bytes(f), c) for i, f, c in got) == Counter(want)
 
 
+def test_near_copies_that_repeat_a_passage_are_found(spark):
+    rng = random.Random(16)
+    rows = []
+    for k, (n, passage, times) in enumerate([(200, 10, 10), (500, 20, 10), (500, 20, 30), (100, 8, 8)]):
+        base = [f"t{k}w{x}" for x in rng.sample(range(5000), n)]
+        rows += [(10 * k, " ".join(base), "en"), (10 * k + 1, " ".join(base[:40] + base[40 : 40 + passage] * times + base[40 + passage :]), "en")]
+    out = simhash.groups(frame(spark, rows), **corpus_pipeline.NEAR).collect()
+    assert {r["doc_id"]: r["component_id"] for r in out} == {i: i // 10 * 10 for i, _, _ in rows}
+
+
 # Bloom filters and lines
 
 
