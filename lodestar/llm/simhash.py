@@ -1,7 +1,7 @@
 """SimHash near-duplicate groups with bit-sliced comparison.
 
-Fingerprints are majority votes over the hashes of a document's word shingles. Equal fingerprints are one node. Nodes
-that may link meet in blocks of a block key; there the fingerprints lie vertically, bit plane by bit plane, and one
+Fingerprints are majority votes over the hashes of a document's word shingles. Equal fingerprints are one node (where
+similarity is asked for, equal sets of shingles). Nodes that may link meet in blocks of a block key; there the fingerprints lie vertically, bit plane by bit plane, and one
 fingerprint is compared with 64 others per machine word: each plane's XOR enters carry-save counters, and a part of the
 block is abandoned as soon as all its counters exceed the radius. Blocks give star links, never all pairs, and the
 links' components are the groups.
@@ -57,6 +57,11 @@ def shingle_hashes(text: bytes, words: int) -> np.ndarray:
     return np.fromiter((digest(b" ".join(s), 42) for s in zip(*(w[k:] for k in range(words)))), np.uint64, len(w) - words + 1)
 
 
+def set_digest(h: np.ndarray) -> bytes:
+    """What names a set of shingles, given as its sorted distinct hashes."""
+    return xxhash.xxh3_128_digest(h.astype("<u8").tobytes())
+
+
 def vote(h: np.ndarray, lanes: int = 1) -> np.ndarray:
     """The fingerprint, ``lanes`` times 64 bits: a bit is set if it is in over half of the hashes. Counts add up in bytes, 255 rows at a time."""
     if not len(h):
@@ -70,23 +75,25 @@ def vote(h: np.ndarray, lanes: int = 1) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, minima: int = 0, sets: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, keys): fingerprint as big-endian bytes, and ``minima`` minima of the shingle hashes. No words: all zero.
+    """(doc_id, fp, keys, node): fingerprint as big-endian bytes, and ``minima`` minima of the shingle hashes. No words: all zero.
 
-    With ``sets`` each different shingle votes once, as sets are what is compared.
+    A node is a fingerprint. With ``sets`` each different shingle votes once, as sets are what is compared, and a node
+    is the digest of a set of shingles.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, block in texts(batch):
-                fps, keys = [], []
+                fps, keys, nodes = [], [], []
                 for b in block:
                     h = shingle_hashes(b, words)
                     h = np.unique(h) if sets else h
                     fps.append(vote(h, lanes).astype(">u8").tobytes())
                     keys.append([int(mix(h, k + 5).min()) - (1 << 63) for k in range(minima)] if len(h) else [0] * minima)
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "fp": pa.array(fps, pa.binary()), "keys": pa.array(keys, pa.list_(pa.int64()))})
+                    nodes.append(set_digest(h) if sets else fps[-1])
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "fp": pa.array(fps, pa.binary()), "keys": pa.array(keys, pa.list_(pa.int64())), "node": pa.array(nodes, pa.binary())})
 
-    return mapped(documents(docs, id_col, text_col), run, "doc_id long, fp binary, keys array<long>")
+    return mapped(documents(docs, id_col, text_col), run, "doc_id long, fp binary, keys array<long>, node binary")
 
 
 def planes(fp: np.ndarray) -> np.ndarray:
@@ -346,21 +353,22 @@ def near_links(nodes: DataFrame, lanes: int, radius: int, how: str) -> DataFrame
     return cold.union(_compared(_again(rows.join(large, "key", "left_semi"), lanes, radius, how), lanes, radius))
 
 
-def _with_sets(docs: DataFrame, wanted: DataFrame, words: int, lanes: int) -> DataFrame:
-    """(key, fp, shingles) for ``wanted(doc_id, fp, keys)``: the sorted distinct shingles of each text, 32 bits each."""
+def _with_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(key, node, fp, shingles) for ``wanted(doc_id, node, fp, keys)``: the sorted distinct shingles of each text, 32 bits each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, fps, sets = [], [], []
-            for x, fp, own in zip(batch.column("text").cast(pa.large_binary()), batch.column("fp").to_pylist(), batch.column("keys").to_pylist()):
+            keys, nodes, fps, sets = [], [], [], []
+            for x, node, fp, own in zip(batch.column("text").cast(pa.large_binary()), *(batch.column(c).to_pylist() for c in ("node", "fp", "keys"))):
                 h = np.unique(shingle_hashes(x.as_py(), words))
-                if vote(h, lanes).astype(">u8").tobytes() == fp:  # rows may share an id
+                if set_digest(h) == node:  # rows may share an id
                     keys += own
+                    nodes += [node] * len(own)
                     fps += [fp] * len(own)
                     sets += [np.unique((h >> np.uint64(32)).astype("<u4")).tobytes()] * len(own)
-            yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.int64()), "fp": pa.array(fps, pa.binary()), "shingles": pa.array(sets, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.int64()), "node": pa.array(nodes, pa.binary()), "fp": pa.array(fps, pa.binary()), "shingles": pa.array(sets, pa.binary())})
 
-    return mapped(docs.join(wanted, "doc_id").select("text", "fp", "keys"), run, "key long, fp binary, shingles binary")
+    return mapped(docs.join(wanted, "doc_id").select("text", "node", "fp", "keys"), run, "key long, node binary, fp binary, shingles binary")
 
 
 def _alike(a: bytes, b: bytes, similarity: float) -> bool:
@@ -373,26 +381,27 @@ def _alike(a: bytes, b: bytes, similarity: float) -> bool:
 
 
 def _verified(rows: DataFrame, lanes: int, radius: int, similarity: float) -> DataFrame:
-    """Links of the blocks of ``rows(key, fp, shingles)`` whose texts are as similar as wanted."""
+    """Links (a, b) of nodes in the blocks of ``rows(key, node, fp, shingles)`` whose texts are as similar as wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, fps, sets = np.zeros(0, np.int64), [], []
+        key, nodes, fps, sets = np.zeros(0, np.int64), [], [], []
 
         def links(upto: int) -> pa.RecordBatch:
             fp = np.frombuffer(b"".join(fps[:upto]), ">u8").astype(np.uint64).reshape(-1, lanes)
             found = sorted_links(key[:upto], fp, radius, same=lambda x, y: _alike(sets[x], sets[y], similarity))
-            return pa.RecordBatch.from_pydict({"a": pa.array([fps[x] for x, _ in found], pa.binary()), "b": pa.array([fps[y] for _, y in found], pa.binary())})
+            return pa.RecordBatch.from_pydict({"a": pa.array([nodes[x] for x, _ in found], pa.binary()), "b": pa.array([nodes[y] for _, y in found], pa.binary())})
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             key = np.append(key, batch.column("key").to_numpy())
+            nodes += batch.column("node").to_pylist()
             fps += batch.column("fp").to_pylist()
             sets += batch.column("shingles").to_pylist()
             upto = int(np.searchsorted(key == key[-1], True))
             if upto:
                 yield links(upto)
-                key, fps, sets = key[upto:], fps[upto:], sets[upto:]
+                key, nodes, fps, sets = key[upto:], nodes[upto:], fps[upto:], sets[upto:]
         if len(key):
             yield links(len(key))
 
@@ -400,16 +409,19 @@ def _verified(rows: DataFrame, lanes: int, radius: int, similarity: float) -> Da
 
 
 def similar_links(docs: DataFrame, prints: DataFrame, words: int, lanes: int, radius: int, similarity: float) -> DataFrame:
-    """Links between fingerprints within the radius whose texts' shingle sets have the wanted Jaccard similarity.
+    """Links between nodes of fingerprints within the radius whose texts' shingle sets have the wanted Jaccard similarity.
 
-    Links by fingerprint alone come first. Only the texts of their components are read again, each once, and compared
-    inside the component: by bit planes, and where those are near enough by their sets.
+    Links by fingerprint alone come first; equal fingerprints of different sets need none. Only the texts of their
+    components are read again, one for each set, and compared inside the component: by bit planes, and where those are
+    near enough by their sets.
     """
     nodes = prints.where("doc_id is not null")
     near = components(near_links(nodes.select("fp", "keys").distinct(), lanes, radius, "shingles"))
-    low = nodes.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
-    wanted = near.withColumnRenamed("node", "fp").join(low, "fp").select("doc_id", "fp", F.array(F.xxhash64("root")).alias("keys"))
-    return _verified(_with_sets(docs, durable(wanted), words, lanes).dropDuplicates(["key", "fp"]), lanes, radius, similarity)
+    low = nodes.groupBy("node", "fp").agg(F.min("doc_id").alias("doc_id"))
+    shared = low.groupBy("fp").count().where(F.col("count") > 1).select("fp", F.col("fp").alias("root"))
+    roots = near.withColumnRenamed("node", "fp").union(shared.join(near.select(F.col("node").alias("fp")), "fp", "left_anti"))
+    wanted = roots.join(low, "fp").select("doc_id", "node", "fp", F.array(F.xxhash64("root")).alias("keys"))
+    return _verified(_with_sets(docs, durable(wanted), words).dropDuplicates(["key", "node"]), lanes, radius, similarity)
 
 
 def groups(docs: DataFrame, words: int = 3, radius: int = 2, lanes: int = 1, minima: int = 0, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -419,7 +431,7 @@ def groups(docs: DataFrame, words: int = 3, radius: int = 2, lanes: int = 1, min
     found, with them pairs that share one of so many minima of their shingle hashes. With ``similarity`` they must also
     share so much of their shingles (Jaccard), which is checked exactly inside the blocks, and each different shingle has
     one vote in the fingerprint, however often a text repeats it; documents without an id then
-    link by equal fingerprints only. Texts without words have the fingerprint zero and link like any other. Null texts
+    link by equal sets only. Texts without words have the fingerprint zero and link like any other. Null texts
     are empty; documents without an id keep their row and have no say in component_id. Repeated rows and ids keep their
     rows. An empty table stays empty.
     """
@@ -428,13 +440,13 @@ def groups(docs: DataFrame, words: int = 3, radius: int = 2, lanes: int = 1, min
     if similarity is not None and not minima:
         raise ValueError("similarity is checked in blocks of shingle minima")
     prints = durable(fingerprints(docs, words, lanes, minima, similarity is not None, id_col, text_col))
-    low = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    low = prints.groupBy("node").agg(F.min("doc_id").alias("low"))
     if similarity is not None:
         links = similar_links(documents(docs, id_col, text_col), prints, words, lanes, radius, similarity)
     else:
         nodes = prints.select("fp").distinct().withColumn("keys", F.lit(None).cast("array<long>")) if not minima else prints.select("fp", "keys").distinct()
         links = near_links(nodes, lanes, radius, "shingles" if minima else "bands")
     roots = components(links)
-    named = durable(low.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root")))
+    named = durable(low.join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root")))
     least = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    return prints.select("doc_id", "fp").join(named.join(least, "root").select("fp", "component_id"), "fp")
+    return prints.select("doc_id", "fp", "node").join(named.join(least, "root").select("node", "component_id"), "node").select("doc_id", "fp", "component_id")

@@ -251,6 +251,19 @@ def test_near_copies_that_repeat_a_passage_are_found(spark):
     assert {r["doc_id"]: r["component_id"] for r in out} == {i: i // 10 * 10 for i, _, _ in rows}
 
 
+def test_equal_fingerprints_of_different_texts_are_compared(spark):
+    rng = random.Random(17)
+    rows = [(k, " ".join([x] * times + [f"own{k}w{m}" for m in range(60)]), "en") for k, (x, times) in enumerate([("same", 120)] * 3 + [("a b c", 100)] * 3)]
+    out = simhash.groups(frame(spark, rows), **corpus_pipeline.NEAR).collect()
+    assert {r["doc_id"]: r["component_id"] for r in out} == {i: i for i, _, _ in rows}
+    # all fingerprints equal: the sets alone decide
+    rows = [(2 * k + m, " ".join([f"t{k}w{x}" for x in range(100)] + [f"end{m}"]), "en") for k in range(5) for m in range(2)]
+    nodes = {i: simhash.set_digest(np.unique(simhash.shingle_hashes(t.encode(), 5))) for i, t, _ in rows}
+    prints = frame(spark, [(i, bytes(32), [0] * 8, bytearray(x)) for i, x in nodes.items()], "doc_id long, fp binary, keys array<long>, node binary")
+    links = simhash.similar_links(frame(spark, rows), prints, 5, 4, 72, 0.8).collect()
+    assert {frozenset((bytes(r["a"]), bytes(r["b"]))) for r in links} == {frozenset((nodes[i], nodes[i + 1])) for i in range(0, 10, 2)}
+
+
 # Bloom filters and lines
 
 
