@@ -68,20 +68,22 @@ class WordEncoder:
     """Token ids of whole texts, by a lower-casing tokenizer whose pre-tokens never span white space.
 
     ``str.split`` pieces are encoded once and remembered, and so are the pre-tokens in them, which go to the
-    tokenizer's own model. Pieces with characters above Latin Extended-B, and texts with the four separators that only
-    Python counts as white space, go through the whole tokenizer.
+    tokenizer's own model. Pieces with characters above Latin Extended-B, also once lower-cased, and texts with an added token or
+    the four separators that only Python counts as white space, go through the whole tokenizer.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.tokens = self.tokenizer.model.tokenize
         letter, number = _classes("L"), _classes("N")
         self.split = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^\s{letter}{number}]+").findall
         self.hard = re.compile(rf"[\u0130{chr(_STABLE)}-\U0010ffff]").search
         self.other_space = re.compile(r"[\x1c-\x1f]").search
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        # what is looked for in normalized text may stand in any
+        self.added = [""] if any(t.normalized for t in added) else [t.content for t in added]
         self.letters = _byte_letters()
         self.parts, self.known = _Memory(self._part), _Memory(self._piece)
 
@@ -93,11 +95,16 @@ class WordEncoder:
         return _ids(t.id for t in self.tokens(shown))
 
     def _piece(self, piece: str) -> bytes:
-        if not piece.isascii() and self.hard(piece):
+        low = piece.lower()
+        if not piece.isascii() and (self.hard(piece) or self.hard(low)):
             return self._plain(piece)
-        parts = self.split(piece.lower())
+        parts = self.split(low)
         return self.parts[parts[0]] if len(parts) == 1 else b"".join(map(self.parts.__getitem__, parts))
 
+    def _whole(self, text: str) -> bool:
+        """Whether a text must go through the whole tokenizer."""
+        return bool(self.other_space(text)) or any(x in text for x in self.added)
+
     def rest(self) -> None:
         """Keep only the younger generation until the next task."""
         self.known.older, self.parts.older = {}, {}
@@ -107,7 +114,7 @@ class WordEncoder:
         self.known.trim()
         self.parts.trim()
         get = self.known.__getitem__
-        return [b"".join(map(get, t.split())) if not self.other_space(t) else self._plain(t) for t in batch]
+        return [b"".join(map(get, t.split())) if not self._whole(t) else self._plain(t) for t in batch]
 
 
 def _ids(ids: Iterable[int]) -> bytes:

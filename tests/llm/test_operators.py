@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import tokenizers
 import xxhash
 from pyspark.sql import functions as F
 
@@ -120,6 +121,14 @@ def test_word_encoder_equals_the_tokenizer():
     assert enc.encode(texts) == plain == enc.encode(texts)
 
 
+def test_word_encoder_equals_a_fresh_tokenizer():
+    enc, fresh = packing.WordEncoder(P.path("word_bpe_49k.json")), tokenizers.Tokenizer.from_file(str(P.path("word_bpe_49k.json")))
+    texts = [f for k in range(0x250) for f in (chr(k), chr(k) + "li", "a" + chr(k) + "B7", f"x {chr(k)}{chr(k)} y's")]
+    texts += ["a <|endoftext|> b", "a<|endoftext|>b", "<|startoftext|>", "<|ENDOFTEXT|> c", "<|endoftext", "q<|endoftext|><|startoftext|>\n"]
+    want = [np.array(fresh.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert [t for t, a, b in zip(texts, enc.encode(texts), want) if a != b] == []
+
+
 def test_packed_documents(spark):
     rng = random.Random(4)
     rows = ODD + [(k, words(rng, rng.choice([1, 5, 300, 6000]), 9000), "en") for k in range(10, 60)]
