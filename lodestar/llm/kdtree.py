@@ -28,14 +28,17 @@ _EXACT = 1 << 53
 
 
 class Tree:
-    """Median splits over integer vectors; ``ids`` break ties. Equal vectors beyond the ``k`` + 1 smallest ids cannot be results."""
+    """Median splits over integer vectors; ``ids`` break ties. Equal rows beyond ``k``, and equal vectors beyond the 2 ``k`` smallest ids of the rest, cannot be results."""
 
     def __init__(self, ids: np.ndarray, points: np.ndarray, k: int) -> None:
         order = np.lexsort((ids, *points.T[::-1])) if points.shape[1] else np.argsort(ids)
         ids, points = ids[order], points[order]
-        head = np.append(True, (points[1:] != points[:-1]).any(1)) if len(ids) else np.zeros(0, bool)
-        run = np.arange(len(ids)) - np.maximum.accumulate(np.where(head, np.arange(len(ids)), 0)) if len(ids) else np.zeros(0, np.int64)
-        ids, points = ids[run <= k], points[run <= k]
+        for most in (k, 2 * k):  # a query leaves out its own id, of which k rows are left at most
+            head = np.append(True, (points[1:] != points[:-1]).any(1)) if len(ids) else np.zeros(0, bool)
+            if most == k and len(ids):
+                head[1:] |= ids[1:] != ids[:-1]
+            run = np.arange(len(ids)) - np.maximum.accumulate(np.where(head, np.arange(len(ids)), 0)) if len(ids) else np.zeros(0, np.int64)
+            ids, points = ids[run < most], points[run < most]
         leaves: list[np.ndarray] = []
         self.children: list[tuple[int, int]] = []  # of a node; a leaf has (-1, leaf)
         low, high = [], []
@@ -106,30 +109,31 @@ def _typed(points: list[list[int]], width: int) -> np.ndarray:
 
 
 def _searched(rows: DataFrame, k: int, width: int, wide: bool) -> DataFrame:
-    """Search ``rows(shard, kind, id, point, floor)``, the shard's points (kind 0) before the queries (kind 1)."""
+    """Search ``rows(shard, kind, id, point, floor, times)``, the shard's points (kind 0) before the queries (kind 1), which count so many times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, tree, held, asked = None, None, [], []
         kind_of = object if wide else np.float64
 
         def matrix(rows: list) -> np.ndarray:
-            return np.array([p for _, p, _ in rows], kind_of).reshape(len(rows), width)
+            return np.array([p for _, p, *_ in rows], kind_of).reshape(len(rows), width)
 
         def answers() -> Iterator[pa.RecordBatch]:
             nonlocal tree, held, asked
             if tree is None:
-                tree, held = Tree(np.array([i for i, _, _ in held], np.int64), matrix(held), k), []
+                tree, held = Tree(np.array([i for i, *_ in held], np.int64), matrix(held), k), []
             if not asked:
                 return
-            names = np.array([i for i, _, _ in asked], np.int64)
-            floor = np.array([-np.inf if f is None else f for _, _, f in asked], object if wide else np.float64)
+            names = np.array([i for i, *_ in asked], np.int64)
+            floor = np.array([-np.inf if f is None else f for _, _, f, _ in asked], object if wide else np.float64)
             found = tree.search(names, matrix(asked), k, floor)
+            found = [(np.repeat(s, n)[:k], np.repeat(i, n)[:k]) for (s, i), (*_, n) in zip(found, asked)]
             counts = [len(i) for _, i in found]
             yield pa.RecordBatch.from_pydict({"query_id": pa.array(np.repeat(names, counts)), "vec_id": pa.array(np.concatenate([i for _, i in found]), pa.int64()), "score": pa.array([int(x) for s, _ in found for x in s], pa.int64())})
             asked = []
 
         for batch in batches:
-            for s, kind, i, point, floor in zip(batch.column("shard").to_pylist(), batch.column("kind").to_pylist(), batch.column("id").to_pylist(), _numbers(batch), batch.column("floor").to_pylist()):
+            for s, kind, i, point, floor, times in zip(batch.column("shard").to_pylist(), batch.column("kind").to_pylist(), batch.column("id").to_pylist(), _numbers(batch), batch.column("floor").to_pylist(), batch.column("times").to_pylist()):
                 if s != shard:
                     if shard is not None:
                         yield from answers()
@@ -137,7 +141,7 @@ def _searched(rows: DataFrame, k: int, width: int, wide: bool) -> DataFrame:
                 if kind == 0:
                     held.append((i, point, None))
                 else:
-                    asked.append((i, point, floor))
+                    asked.append((i, point, floor, times))
                     if len(asked) == QUERY_BLOCK:
                         yield from answers()
         if shard is not None:
@@ -152,8 +156,8 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_i
 
     Components become floor(scale * x) in doubles; scores are whole numbers, ties go to the smaller id, a row is no
     result of its own query. Rows without an id, with a null vector, or with a null or non-finite component take no
-    part; vectors of another length than the longest do not either. Rows that share an id are candidates each, and
-    queries each, of which the answer is given once. No queries, or an empty table: no rows. Scores beyond 64 bits are
+    part; vectors of another length than the longest do not either. Rows that share an id, equal ones too, are candidates
+    each, and queries each: an id's answer is the best ``k`` of all its rows' pairs, as in a join. No queries, or an empty table: no rows. Scores beyond 64 bits are
     refused with an error.
     """
     x = F.col(vector_col)
@@ -165,13 +169,13 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_i
     wide = most * most * max(1, width) >= _EXACT
     points = points.where(F.size("point") == width).withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
     none = F.lit(None).cast("long")
-    base = points.select("shard", F.lit(0).alias("kind"), "id", "point", none.alias("floor"))
-    asked = points.where("asks").dropDuplicates(["id", "point"])
-    own = durable(_searched(base.union(asked.select("shard", F.lit(1), "id", "point", none)), k, width, wide))
+    base = points.select("shard", F.lit(0).alias("kind"), "id", "point", none.alias("floor"), F.lit(1).alias("times"))
+    asked = points.where("asks").groupBy("shard", "id", "point").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("times"))
+    own = durable(_searched(base.union(asked.select("shard", F.lit(1), "id", "point", none, "times")), k, width, wide))
     found = own
     if shards > 1:
         kth = own.groupBy("query_id").agg(F.count("*").alias("have"), F.min("score").alias("kth")).where(F.col("have") >= k)
-        others = asked.join(kth, asked["id"] == kth["query_id"], "left").select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<bigint>")).alias("other"), "shard", "id", "point", "kth").where("other <> shard")
-        found = own.union(_searched(base.union(others.select(F.col("other").alias("shard"), F.lit(1), "id", "point", "kth")), k, width, wide))
-    ranked = found.distinct().withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+        others = asked.join(kth, asked["id"] == kth["query_id"], "left").select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<bigint>")).alias("other"), "shard", "id", "point", "kth", "times").where("other <> shard")
+        found = own.union(_searched(base.union(others.select(F.col("other").alias("shard"), F.lit(1), "id", "point", "kth", "times")), k, width, wide))
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

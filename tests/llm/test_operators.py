@@ -503,6 +503,19 @@ def test_top_k(spark, monkeypatch, shard, big):
     assert top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_top_k_keeps_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(kdtree, "SHARD", 60)
+    rng = np.random.default_rng(4)
+    rows = [(k, rng.integers(-9, 9, 3).astype(float).tolist()) for k in range(200)]
+    rows += [(7, [9.0, 9.0, 9.0])] * 25 + [(20, [9.0, 9.0, 9.0])] * 25 + [(21, [9.0, 9.0, 9.0]), (40, rows[40][1]), (40, rows[40][1]), (40, [1.0, -8.0, 2.0])]
+    got = {}
+    for r in top_k(frame(spark, rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 20).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    for q in range(0, 200, 20):
+        pairs = sorted((-sum(int(64 * a) * int(64 * b) for a, b in zip(x, y)), j) for i, x in rows if i == q for j, y in rows if j != q)[:20]
+        assert sorted(got[q]) == [(n + 1, j, -s) for n, (s, j) in enumerate(pairs)]
+
+
 # repeats
 
 
