@@ -29,8 +29,8 @@ def rotate_perspectives(turns: DataFrame, system: tuple[str, ...] = ("system",),
     rows stay, in turn order. An empty table stays empty.
 
     Parts are ``PART_TURNS`` turn numbers wide. Where more than ``SPLIT_ROWS`` rows share a turn number, each number of
-    that stretch has parts of its own, and the crowded ones several, by a hash of the row, which goes before role and
-    text in their order.
+    that stretch has parts of its own, and the crowded ones several, cut by rank of role and text, so that the order is
+    the same at every size.
     """
     t = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col), F.lit("unknown")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("said"))
     t = t.withColumn("block", F.floor(F.col("turn") / PART_TURNS))
@@ -39,7 +39,10 @@ def rotate_perspectives(turns: DataFrame, system: tuple[str, ...] = ("system",),
     crowded = crowded.select(F.col("conv_id").alias("c"), F.col("block").alias("b"), "ways")
     t = t.join(crowded, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("block").eqNullSafe(F.col("b")), "left")
     way = F.coalesce(F.element_at("ways", F.coalesce("turn", F.lit(-1))), F.lit(1))
-    t = t.withColumn("key", F.struct("block", F.when(F.col("ways").isNotNull(), F.col("turn")).alias("only"), F.when(way > 1, F.pmod(F.xxhash64("role", "said"), way)).otherwise(0).alias("way")))
+    t = t.withColumn("split", way > 1)
+    rank = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "said"))
+    t = t.where(~F.col("split")).withColumn("way", F.lit(0)).union(t.where("split").withColumn("way", F.floor((rank - 1) / SPLIT_ROWS).cast("int")))
+    t = t.withColumn("key", F.struct("block", F.when(F.col("ways").isNotNull(), F.col("turn")).alias("only"), "way"))
 
     parts = t.groupBy("conv_id", "key").agg(F.array_sort(F.collect_list(F.struct(F.col("turn").isNotNull().alias("numbered"), "turn", "role", "said"))).alias("turns"))
     speakers = t.where(~F.col("role").isin(*system)).select(F.col("conv_id").alias("c"), F.col("role").alias("perspective")).distinct()

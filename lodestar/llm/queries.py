@@ -54,9 +54,17 @@ def op3_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def whole_renderings(parts: DataFrame) -> DataFrame:
+    """The parts of each rendering joined in their order, as the query's SQL gives them: one row with part 0."""
+    every = parts.groupBy("conv_id", "perspective").agg(F.array_sort(F.collect_list(F.struct("part", "text", "mask", "n_turns"))).alias("parts"))
+    text, mask = F.array_join(F.col("parts.text"), ""), F.flatten(F.col("parts.mask"))
+    total = F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + p["n_turns"])
+    return every.select("conv_id", "perspective", F.lit(0).alias("part"), F.lit(0).cast("long").alias("start_char"), text.alias("text"), mask.alias("mask"), total.alias("n_turns"))
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation from every participant's perspective, with masks."""
-    out = rotate_perspectives(table(spark, sf_dir, "conversations"))
+    out = whole_renderings(rotate_perspectives(table(spark, sf_dir, "conversations")))
     mask = F.array_join(F.transform("mask", lambda m: F.concat_ws("-", m["from"].cast("string"), m["to"].cast("string"))), ",")
     return out.select("conv_id", "perspective", F.col("part").cast("long").alias("part"), "start_char", "text", mask.alias("mask"), F.col("n_turns").cast("long").alias("n_turns"))
 

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestar.llm import bloom, common, kdtree, packing, repeats, simhash
+from lodestar.llm import bloom, common, kdtree, packing, queries, repeats, simhash
 from lodestar.llm.attribution import attribute, encoding, line_sections, section_tokens
 from lodestar.llm.chat import rotate_perspectives
 from lodestar.llm.common import components
@@ -371,6 +371,17 @@ def test_long_conversations_come_in_parts(spark):
     assert rotate_perspectives(frame(spark, [], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_long_conversations_equal_the_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    turns = [(1, k, "ab"[k % 2], f"t{k}") for k in range(150)] + [(1, 70, "ab"[k % 2], f"z{k}") for k in range(600)] + [(2, 0, "a", "x")]
+    frame(spark, turns, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    rel = db.execute(queries.ORACLE_SQL["op4_chat"])
+    cols = [d[0] for d in rel.description]
+    assert sorted(map(tuple, queries.op4_chat(spark, str(tmp_path)).select(cols).collect())) == sorted(rel.fetchall())
+
+
 # decontamination
 
 
