@@ -66,12 +66,21 @@ class _Search:
                 spans.append([lo, hi])
         out = {(at, at + len(self.phrase)): 0 for at in self._exact(norm)} if starts else {}
         for lo, hi in spans:
-            for m in self.match.finditer(norm, lo, hi):
+            for m in self._matches(norm, lo, hi):
                 if (lo == 0 or m.start() > lo or norm[lo - 1] == 32) and (hi == len(norm) or m.end() < hi or norm[hi] == 32):
                     if not any(a < m.end() and m.start() < z for a, z in out):
                         out[m.span()] = sum(m.fuzzy_counts)
         return sorted((a, z, k) for (a, z), k in out.items())
 
+    def _matches(self, norm: bytes, lo: int, hi: int) -> Iterator[regex.Match]:
+        """The best match of a window, then those of what it leaves before and behind it."""
+        left = [(lo, hi)]
+        while left:
+            a, z = left.pop()
+            if z - a >= len(self.phrase) - self.notice.errors and (m := self.match.search(norm, a, z)):
+                yield m
+                left += [(m.end() + 1, z), (a, m.start() - 1)]
+
     def _exact(self, norm: bytes) -> Iterator[int]:
         """Places where the phrase stands between word ends."""
         n = len(self.phrase)

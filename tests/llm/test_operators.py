@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestar.llm import bloom, common, kdtree, packing, queries, repeats, simhash
+from lodestar.llm import bloom, common, kdtree, notices, packing, queries, repeats, simhash
 from lodestar.llm.attribution import attribute, encoding, line_sections, section_tokens
 from lodestar.llm.chat import rotate_perspectives
 from lodestar.llm.common import components
@@ -333,6 +333,12 @@ def test_notices(spark):
     assert scan_notices(frame(spark, [])).count() == 0
 
 
+def test_inexact_notices_before_a_better_one_are_found():
+    search = notices._Search(Notice("reserved", "all rights reserved", 1, True))
+    assert search.places(b"all right reserved x all rights reserved") == [(0, 18, 1), (21, 40, 0)]
+    assert search.places(b"all right reserved x all rights reserved all rights reservd") == [(0, 18, 1), (21, 40, 0), (41, 59, 1)]
+
+
 def test_every_exact_place_is_found(spark):
     rng = random.Random(7)
     bag = ["all", "rights", "reserved", "cc", "by", "general", "public", "license", "x"]
