@@ -4,43 +4,26 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import os
-import tempfile
-import zipfile
-from collections.abc import Callable, Iterator
-from pathlib import Path
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_PACKAGE = Path(__file__).resolve().parents[1]
+from lodestar.session import durable, shared_folder, ship
 
+__all__ = ["components", "documents", "durable", "mapped", "prefix_sums", "shared_folder", "texts", "unused"]
 
-def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package, also where they do not share the driver's folders."""
-    sc = spark.sparkContext
-    root = str(_PACKAGE.parent)
-    if getattr(sc, "_lodestar_shipped", False) or root in os.environ.get("PYTHONPATH", "").split(os.pathsep):
-        return
-    target = Path(tempfile.mkdtemp(prefix="lodestar-")) / "lodestar_pkg.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for p in sorted(_PACKAGE.rglob("*.py")):
-            z.write(p, p.relative_to(_PACKAGE.parent).as_posix())
-    sc.addPyFile(str(target))
-    sc._lodestar_shipped = True
 
-
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder.
-
-    The folder is the one the session names in ``spark.checkpoint.dir``; only where none is set (tests on one
-    machine) a temporary one is made. Files go when the driver no longer refers to the frame.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lodestar-cp-"))
-    return df.checkpoint(eager=True)
+def unused(names: Iterable[str], *wanted: str) -> list[str]:
+    """The wanted column names, lengthened where one of ``names`` is like it; names are compared as Spark does, in any case."""
+    taken, out = {n.lower() for n in names}, []
+    for w in wanted:
+        while w.lower() in taken:
+            w += "_"
+        taken.add(w.lower())
+        out.append(w)
+    return out
 
 
 def mapped(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -143,3 +126,22 @@ def components(links: DataFrame) -> DataFrame:
         edges = durable(edges.join(ra, "a").join(rb, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
         if edges.isEmpty():
             return found
+
+
+#: Values of ``order`` that one range of prefix sums covers.
+RANGE = 1024
+
+
+def prefix_sums(rows: DataFrame, keys: list[str], order: str, value: Column, name: str) -> DataFrame:
+    """``rows`` with the sum of ``value`` over the rows of the same ``keys`` (not null) before each, by ``order``, a whole number that differs.
+
+    In two levels: ranges of ``order`` are summed, the ranges' own prefix sums are joined to the sums inside them, so no
+    task orders more rows of a key than there are ranges, or values in a range.
+    """
+    part, inner, base, total = unused([*rows.columns, name], "part", "inner", "base", "total")
+    rows = rows.withColumn(part, F.floor(F.col(order) / RANGE)).withColumn(inner, value)
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*keys, part).agg(F.sum(inner).alias(total))
+    sums = sums.select(*keys, part, F.coalesce(F.sum(total).over(before(Window.partitionBy(*keys).orderBy(part))), F.lit(0)).alias(base))
+    own = F.coalesce(F.sum(inner).over(before(Window.partitionBy(*keys, part).orderBy(order))), F.lit(0))
+    return rows.withColumn(name, own).join(sums, [*keys, part]).withColumn(name, F.col(name) + F.col(base)).drop(part, inner, base)

@@ -54,17 +54,9 @@ def op3_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def whole_renderings(parts: DataFrame) -> DataFrame:
-    """The parts of each rendering joined in their order, as the query's SQL gives them: one row with part 0."""
-    every = parts.groupBy("conv_id", "perspective").agg(F.array_sort(F.collect_list(F.struct("part", "text", "mask", "n_turns"))).alias("parts"))
-    text, mask = F.array_join(F.col("parts.text"), ""), F.flatten(F.col("parts.mask"))
-    total = F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + p["n_turns"])
-    return every.select("conv_id", "perspective", F.lit(0).alias("part"), F.lit(0).cast("long").alias("start_char"), text.alias("text"), mask.alias("mask"), total.alias("n_turns"))
-
-
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation from every participant's perspective, with masks."""
-    out = whole_renderings(rotate_perspectives(table(spark, sf_dir, "conversations")))
+    """Every conversation from every participant's perspective, in parts, with masks."""
+    out = rotate_perspectives(table(spark, sf_dir, "conversations"))
     mask = F.array_join(F.transform("mask", lambda m: F.concat_ws("-", m["from"].cast("string"), m["to"].cast("string"))), ",")
     return out.select("conv_id", "perspective", F.col("part").cast("long").alias("part"), "start_char", "text", mask.alias("mask"), F.col("n_turns").cast("long").alias("n_turns"))
 
@@ -127,16 +119,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 _OP4 = r"""
-WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS said FROM conversations),
+WITH t AS (SELECT conv_id, turn, coalesce(floor(turn / 64), -1e18) AS block, coalesce(role, 'unknown') AS role, coalesce(text, '') AS said FROM conversations),
+c AS (SELECT *, (row_number() OVER (PARTITION BY conv_id, block ORDER BY turn NULLS FIRST, role, said) - 1) // 256 AS cut FROM t),
+n AS (SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY block, cut) - 1 AS part FROM c),
 p AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'),
-s AS (SELECT t.conv_id, perspective, turn, role, said, role = perspective AS own,
+s AS (SELECT n.conv_id, perspective, part, turn, role, said, role = perspective AS own,
         '<|' || CASE WHEN role = perspective THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user:' || role END || '|>' || chr(10) AS head,
         said || '<|end|>' || chr(10) AS tail
-      FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
-o AS (SELECT *, coalesce(sum(length(head) + length(tail)) OVER (PARTITION BY conv_id, perspective ORDER BY turn, role, said ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM s)
-SELECT conv_id, perspective, 0::BIGINT AS part, 0::BIGINT AS start_char, string_agg(head || tail, '' ORDER BY turn, role, said) AS text,
-  coalesce(string_agg((pos + length(head))::VARCHAR || '-' || (pos + length(head) + length(tail))::VARCHAR, ',' ORDER BY turn, role, said) FILTER (own), '') AS mask, count(*) AS n_turns
-FROM o GROUP BY conv_id, perspective
+      FROM n JOIN p ON n.conv_id IS NOT DISTINCT FROM p.conv_id),
+o AS (SELECT *, coalesce(sum(length(head) + length(tail)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, role, said ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM s)
+SELECT conv_id, perspective, part::BIGINT AS part, min(pos) AS start_char, string_agg(head || tail, '' ORDER BY turn NULLS FIRST, role, said) AS text,
+  coalesce(string_agg((pos + length(head))::VARCHAR || '-' || (pos + length(head) + length(tail))::VARCHAR, ',' ORDER BY turn NULLS FIRST, role, said) FILTER (own), '') AS mask, count(*) AS n_turns
+FROM o GROUP BY conv_id, perspective, part
 """
 
 _OP8 = """
