@@ -4,6 +4,7 @@ Fixed masks look at some of a run of words and ignore the others. Hashes of the
 documents are joined; each hit gives a diagonal on which document and item are compared word by word, with substitutions
 allowed, and the stretch with most agreeing words decides. Items that need fewer agreeing words than a passage has are
 cut into one piece more than words of them may differ, and hashed by whole pieces too: one of the pieces is unchanged.
+Texts whose words repeat so often that hits would be very many mark their diagonals item by item instead of listing hits.
 
 The benchmark side is sent to all tasks in blocks of bounded size; a larger benchmark takes more than one pass.
 """
@@ -25,6 +26,10 @@ from lodestar.llm.common import PLAIN, documents, mapped, texts
 MASKS = ((0, 1, 2, 4, 5, 6), (0, 1, 3, 6, 8, 9), (0, 2, 3, 7, 9, 10))
 #: Characters of benchmark text in one block.
 BLOCK_CHARS = 32 << 20
+#: Hits of one text that are listed; beyond, diagonals are marked.
+HITS = 100_000
+#: Words that are compared at once.
+COMPARED = 1 << 20
 _PRIME = 0x9E3779B97F4A7C15 | 1
 
 
@@ -83,15 +88,41 @@ class SeedTable:
         cut = [n * k // (n - need + 1) for k in range(n - need + 2)]
         return [(a, z - a) for a, z in zip(cut, cut[1:])]
 
-    def hits(self, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(position, item, position in the item) of equal masked words."""
+    def hits(self, ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(positions, from, to) of words that a mask finds among the items: seeds from ``from`` to ``to`` of the table are equal."""
+        out = []
         for k, mask in [*enumerate(MASKS), *((len(MASKS) + n, tuple(range(n))) for n in sorted(self.widths))]:
             h = _masked(ids, mask, k)
             at = np.flatnonzero((h > 0) & self.coarse[(h >> np.uint64(44)).astype(np.int64)])
             lo, hi = np.searchsorted(self.hashes, h[at], "left"), np.searchsorted(self.hashes, h[at], "right")
-            n = hi - lo
-            row = np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            yield np.repeat(at, n), self.owner[row], self.place[row]
+            found = hi > lo
+            out.append((at[found], lo[found], hi[found]))
+        return out
+
+    def _listed(self, at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Different (item, diagonal) of hits."""
+        n = hi - lo
+        row = np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        return np.unique(np.stack([self.owner[row], np.repeat(at, n) - self.place[row]], 1), axis=0)
+
+    def _marked(self, words: int, hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[tuple[int, np.ndarray]]:
+        """(item, its diagonals) of the hits of a text of so many words, one item at a time."""
+        spots: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for at, lo, hi in hits:
+            order = np.argsort(lo, kind="stable")
+            cut = np.flatnonzero(np.append(True, lo[order][1:] != lo[order][:-1])) if len(lo) else []
+            for same in np.split(order, cut[1:]) if len(lo) else []:
+                a, z = int(lo[same[0]]), int(hi[same[0]])
+                owners, first = np.unique(self.owner[a:z], return_index=True)
+                for item, places in zip(owners.tolist(), np.split(self.place[a:z], first[1:])):
+                    spots.setdefault(item, []).append((at[same], places))
+        for item in sorted(spots):
+            n = len(self.words[item])
+            marks = np.zeros(words + n, bool)
+            for where, places in spots[item]:
+                for p in places.tolist():
+                    marks[where - p + n] = True
+            yield item, np.flatnonzero(marks) - n
 
     def leaks(self, block: list[bytes]) -> list[tuple[int, int, int, int, int]]:
         """(text, item, first word, words, agreeing words): the best stretch of each text and item that passes."""
@@ -100,18 +131,45 @@ class SeedTable:
         get = self.vocabulary.get
         ids = np.concatenate([np.zeros(0, np.int64), *(np.fromiter(map(get, w, repeat(0)), np.int64, len(w)) for w in split)])
         ends = np.cumsum(sizes)
-        found = [np.stack([np.searchsorted(ends, at, "right"), item, at - place], 1) for at, item, place in self.hits(ids)]
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for text, item, diagonal in np.unique(np.concatenate(found), axis=0).tolist():
-            begin, end, words = int(ends[text] - sizes[text]), int(ends[text]), self.words[item]
-            a, z = max(begin, diagonal), min(end, diagonal + len(words))
-            if z <= a:
-                continue
-            same = ids[a:z] == words[a - diagonal : z - diagonal]
-            got = self._stretch(same, len(words))
-            if got and got[2] > best.get((text, item), (0, 0, 0))[2]:
-                best[text, item] = (a - begin + got[0], got[1], got[2])
-        return [(text, self.names[item], *x) for (text, item), x in sorted(best.items())]
+        begins = ends - sizes
+        hits = self.hits(ids)
+        out = []
+        for text in np.unique(np.concatenate([np.searchsorted(ends, at, "right") for at, _, _ in hits])).tolist():
+            a, z = int(begins[text]), int(ends[text])
+            own = [(at[i:k] - a, lo[i:k], hi[i:k]) for at, lo, hi in hits for i, k in [np.searchsorted(at, (a, z))]]
+            if sum(int((hi - lo).sum()) for _, lo, hi in own) <= HITS:
+                pairs = self._listed(*(np.concatenate(x) for x in zip(*own)))
+                item, first = np.unique(pairs[:, 0], return_index=True)
+                by_item = zip(item.tolist(), np.split(pairs[:, 1], first[1:]))
+            else:
+                by_item = self._marked(z - a, own)
+            for item, diagonals in by_item:
+                if got := self._best(ids[a:z], item, diagonals):
+                    out.append((text, self.names[item], *got))
+        return out
+
+    def _best(self, ids: np.ndarray, item: int, diagonals: np.ndarray) -> tuple[int, int, int] | None:
+        """The best stretch of a text on any of the diagonals, the first of several."""
+        words, best = self.words[item], None
+        n = len(words)
+        p, q = self.identity.numerator, self.identity.denominator
+        padded = np.concatenate([np.full(n, -1), ids, np.full(n, -1)])
+        at_once = max(1, COMPARED // n)
+        for lo in range(0, len(diagonals), at_once):
+            some = diagonals[lo : lo + at_once]
+            same = np.lib.stride_tricks.sliding_window_view(padded, n)[some + n] == words
+            total = same.sum(1)
+            for k in np.flatnonzero(total >= max(1, self._need(n))).tolist():
+                if best and total[k] <= best[2]:
+                    continue
+                if q * int(total[k]) >= p * n:  # the whole item agrees well enough, so all that agrees counts
+                    where = np.flatnonzero(same[k])
+                    got = int(where[0]), int(where[-1] - where[0] + 1), int(total[k])
+                else:
+                    got = self._stretch(same[k], n)
+                if got and got[2] > (best[2] if best else 0):
+                    best = (int(some[k]) + got[0], got[1], got[2])
+        return best
 
     def _stretch(self, same: np.ndarray, n: int) -> tuple[int, int, int] | None:
         """The stretch with most agreeing words of those with a share of ``identity`` of them, the shortest of several; None if it has too few.
@@ -147,8 +205,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least_words: int = 13, ide
     A passage is a stretch of words with a share of at least ``identity`` equal to the item's words at the same
     distances, and at least ``least_words`` equal ones (or that share of a shorter item). At the given values every
     passage is found: one of at least 13 equal words holds a seed wherever the others are, and shorter items go by pieces.
-    Words are runs of letters, digits and non-ASCII characters, lower-cased. Null and empty texts hold nothing; rows that share an id give the best passage once; rows without an id are
-    reported as one document without an id.
+    Words are runs of letters, digits and non-ASCII characters, lower-cased. Null and empty texts and items hold
+    nothing; rows that share an id give the best passage once, of equally good ones the earliest; rows without an id are
+    reported as one document without an id. Other columns play no part. An empty table on either side gives no rows.
     """
     out = None
     for table in seed_tables(benchmark, least_words, identity):
@@ -168,7 +227,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least_words: int = 13, ide
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least_words: int = 13, identity: float = 0.8, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no passage of a benchmark item, as they are; see ``find_leaks``."""
+    """The rows of ``docs`` that hold no passage of a benchmark item, as they are, whatever their columns are called; see ``find_leaks``.
+
+    Each row is judged by its own text; null and empty texts stay, and so do rows without an id and repeated rows.
+    """
     types = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
     for table in seed_tables(benchmark, least_words, identity):
         sent = docs.sparkSession.sparkContext.broadcast(table)
