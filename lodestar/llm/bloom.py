@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from lodestar.llm.common import mapped
+from lodestar.llm.common import mapped, unused
+from lodestar.session import ship
 
 #: Bits of a segment; a hash sets all its bits in one segment.
 SEGMENT_BITS = 1 << 20
@@ -131,3 +134,41 @@ def seen_filter(rows: DataFrame, segments: int, times: int = 2) -> Filter:
 
 def _slot(slot: int, bits: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"slot": pa.array([slot], pa.int64()), "bits": pa.array([bits.tobytes()], pa.binary())})
+
+
+def _scattered(ids: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ h >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ h >> np.uint64(29)
+
+
+def may_be_among(ids: DataFrame, column: str, of: Column) -> Column:
+    """Whether ``of`` may be one of the values of ``ids``, whole numbers or null: true for each that is, rarely for others.
+
+    The filter that is sent has ``MOST_BITS`` bits at most. It looks at the one column only, so that rows which no other
+    table has a say in need not move.
+    """
+    some = ids.select(F.coalesce(F.col(column).cast("long"), F.lit(-(1 << 63))).alias("id"))
+    segments = segments_for(some.count())
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield packed(_scattered(batch.column("id").to_numpy()), segments)
+
+    ship(ids.sparkSession)
+    sent = ids.sparkSession.sparkContext.broadcast(seen_filter(mapped(some, pack, "segment long, hashes binary"), segments, 1))
+
+    @F.pandas_udf("boolean")
+    def among(x: pd.Series) -> pd.Series:
+        return pd.Series(sent.value.has(_scattered(x.to_numpy())))
+
+    return among(F.coalesce(of.cast("long"), F.lit(-(1 << 63))))
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` without the rows whose id is in ``ids(id_col)``; rows without an id stay, and only rows that may go are shuffled."""
+    (name,) = unused(docs.columns, "gone")
+    gone = ids.select(F.col(id_col).cast("long").alias(name)).where(F.col(name).isNotNull())
+    suspect = may_be_among(gone, name, F.col(id_col))
+    return docs.where(~suspect).union(docs.where(suspect).join(gone, F.col(id_col).cast("long") == F.col(name), "left_anti"))

@@ -11,8 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.bloom import packed, seen_filter, segments_for
-from lodestar.llm.common import durable, mapped
+from lodestar.llm.bloom import may_be_among, packed, seen_filter, segments_for
+from lodestar.llm.common import durable, mapped, unused
 
 
 def line_key(line: bytes) -> bytes:
@@ -48,8 +48,8 @@ def dedup_lines(docs: DataFrame, least_chars: int = 20, least_docs: int = 3, id_
     replaced. An empty table stays empty.
 
     Pass one hashes each task's lines; the hashes go to Bloom segments for once-seen and twice-seen. Pass two probes
-    the twice-seen filter: documents without a suspect are done and their texts never move. Suspects are confirmed by
-    SHA-256 of the key, with partial counts before the shuffle.
+    the twice-seen filter. Suspects are confirmed by SHA-256 of the key, with partial counts before the shuffle; only
+    texts of documents that lose a line move.
     """
     if least_docs < 2:
         raise ValueError("a repeat needs two documents")
@@ -81,36 +81,28 @@ def dedup_lines(docs: DataFrame, least_chars: int = 20, least_docs: int = 3, id_
     found = durable(mapped(slim, suspects, "id long, key binary"))
     counts = found.groupBy("key").agg((F.count_distinct("id") + F.max(F.col("id").isNull().cast("int"))).alias("n"), F.max("id").alias("keeper"))
     repeated = durable(counts.where(F.col("n") >= least_docs).select("key", "keeper"))  # a plain side: a key that very many documents hold can be split in the join
-    drops = found.join(repeated, "key").where(~F.col("id").eqNullSafe(F.col("keeper"))).groupBy("id").agg(F.collect_set("key").alias("__drops")).withColumnRenamed("id", "__id")
-
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flags, counted = [], []
-            for t in _raw(batch, text_col):
-                own = list(document_keys(t, least_chars))
-                flags.append(bool(own) and bool(seen.value.has(_hashes(own)).any()))
-                counted.append(t.count(b"\n") + 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counted, pa.int64()), pa.array(flags, pa.bool_())], [*batch.schema.names, "n_lines", "__suspect"])
-
-    types = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    every = mapped(docs, marked, f"{types}, n_lines long, __suspect boolean")
+    own, gone = unused([*names, "n_lines", "n_dropped"], "id", "drops")
+    drops = durable(found.join(repeated, "key").where(~F.col("id").eqNullSafe(F.col("keeper"))).groupBy("id").agg(F.collect_set("key").alias(gone)).withColumnRenamed("id", own))
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, dropped = [], []
-            for t, gone in zip(_raw(batch, text_col), batch.column("__drops").to_pylist()):
-                if not gone:
+            for t, keys in zip(_raw(batch, text_col), batch.column(gone).to_pylist()):
+                if not keys:
                     texts.append(t)
                     dropped.append(0)
                     continue
-                gone, all_lines = set(gone), t.split(b"\n")
-                kept = [x for x in all_lines if not (_long(k := line_key(x), least_chars) and hashlib.sha256(k).digest() in gone)]
+                keys, all_lines = set(keys), t.split(b"\n")
+                kept = [x for x in all_lines if not (_long(k := line_key(x), least_chars) and hashlib.sha256(k).digest() in keys)]
                 texts.append(b"\n".join(kept))
                 dropped.append(len(all_lines) - len(kept))
             cols = {c: batch.column(c) for c in [*names, "n_lines"]}
             cols[text_col] = pa.array(texts, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_pydict(cols | {"n_dropped": pa.array(dropped, pa.int64())})
 
-    clean = every.where("not __suspect").withColumn(text_col, F.coalesce(F.col(text_col), F.lit(""))).select(*names, "n_lines", F.lit(0).cast("long").alias("n_dropped"))
-    touched = every.where("__suspect").join(drops, F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left").select(*names, "n_lines", "__drops")
-    return clean.union(mapped(touched, rewrite, f"{types}, n_lines long, n_dropped long"))
+    types = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    every = docs.withColumn(text_col, text).withColumn("n_lines", (F.length(text_col) - F.length(F.replace(text_col, F.lit("\n"))) + 1).cast("long"))
+    loses = may_be_among(drops, own, F.col(id_col))
+    touched = every.where(loses).join(drops, F.col(id_col).cast("long").eqNullSafe(F.col(own)), "left").select(*names, "n_lines", gone)
+    return every.where(~loses).select(*names, "n_lines", F.lit(0).cast("long").alias("n_dropped")).union(mapped(touched, rewrite, f"{types}, n_lines long, n_dropped long"))
