@@ -8,17 +8,18 @@ overlap; together they are its window, a hundred odd bytes.
    and go no further. The rest is dealt by anchor; windows equal to an earlier one are repeats.
 2. Anchors with several different windows are where copies begin and end. Only their windows travel as text; each task
    builds a run-length index of the windows that share anchors: Burrows-Wheeler transform, suffix samples at run ends,
-   match lengths at run heads. Matching statistics follow in text order from the run heads alone, and every start with a
-   match of ``length`` bytes or more joins the class of its string, of which all but the first place are repeats.
-   Anchors with very many windows are dealt string by string instead.
+   match lengths at run heads. From these alone follow, in text order, the matching statistics and the suffix above each
+   suffix; every start with a match of ``length`` bytes or more joins the class of the suffix above it, and of a class
+   all but the first place are repeats. Anchors with very many windows are dealt string by string instead.
 3. The repeats of a document are joined to its text and cut out. Texts without repeats never move.
 
-Results are exact: digests only group windows inside one 64-bit anchor.
+Equal windows are told by anchor and digest, 64 bits each, and not compared byte by byte; the index compares bytes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.bloom import Filter, packed, seen_filter, segments_for
-from lodestar.llm.common import durable, mapped, texts
+from lodestar.llm.bloom import Filter, may_be_among, packed, seen_filter, segments_for
+from lodestar.llm.common import durable, mapped, texts, unused
 
 #: Windows that a task holds before it hands them on.
 FLUSH = 500_000
@@ -144,7 +145,7 @@ def _scan(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[np.n
             out["anchor"], out["n"] = anchor, n
             out["digest"] = _digests(raw, first, n + length - 1)
             out["doc"] = np.array([_NO_ID if i is None else i for i in ids], np.int64)[owner]
-            out["tag"] = np.fromiter(map(xxhash.xxh32_intdigest, block), np.uint32, len(block))[owner]
+            out["tag"] = np.fromiter(map(zlib.crc32, block), np.uint32, len(block))[owner]
             out["at"] = first - (ends - sizes)[owner]
             yield out, raw, first
 
@@ -215,81 +216,103 @@ def _suffix_array(text: np.ndarray, left: np.ndarray, owner: np.ndarray) -> np.n
     return order
 
 
+def _common(text: np.ndarray, left: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Common bytes from a and from b, within their windows; 0 where a is -1."""
+    most = np.where(a < 0, 0, np.minimum(left[a], left[b]))
+    words = np.lib.stride_tricks.sliding_window_view(np.append(text, np.zeros(8, np.uint8)), 8)
+    out, going = np.zeros(len(a), np.int64), np.flatnonzero(most > 0)
+    while going.size:
+        differ = words[a[going] + out[going]] != words[b[going] + out[going]]
+        got = np.where(differ.any(1), differ.argmax(1), 8)
+        out[going] += got
+        going = going[(got == 8) & (out[going] < most[going])]
+    return np.minimum(out, most)
+
+
 class RunIndex:
-    """Run-compressed Burrows-Wheeler transform of windows, sampled at run ends, with match lengths at run heads."""
+    """Run-compressed Burrows-Wheeler transform of windows.
+
+    What is kept is as long as there are runs: each run's symbol, and by the place of its head in the text the sample at
+    the end of the run above and how far the two agree. Text and suffix order go once it is built.
+    """
 
     def __init__(self, pieces: list[bytes]) -> None:
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1
-        self.text = np.frombuffer(b"\xff".join(pieces) + b"\xff", np.uint8)  # no UTF-8 text has this byte
+        text = np.frombuffer(b"\xff".join(pieces) + b"\xff", np.uint8)  # no UTF-8 text has this byte
         ends = np.cumsum(sizes)
-        self.begins = ends - sizes
-        self.owner = np.repeat(np.arange(len(pieces)), sizes)
-        self.left = ends[self.owner] - 1 - np.arange(len(self.text))
-        order = _suffix_array(self.text, self.left, self.owner)
-        before = np.where(order > 0, self.text[order - 1].astype(np.int64), -1)
-        edge = self.left[order - 1] == 0  # a window's first byte follows a separator that is like no other
-        before[edge] = -1 - self.owner[order[edge]]
-        head = np.append(True, before[1:] != before[:-1])
-        self.head_rows = np.flatnonzero(head)
-        self.runs = len(self.head_rows)
-        tail_rows = np.append(self.head_rows[1:] - 1, len(order) - 1)
-        self.head_samples, self.tail_samples = order[self.head_rows], order[tail_rows]
-        self.head_symbols = before[self.head_rows]
-        above = np.append(-1, self.tail_samples[:-1])  # the suffix above a run head ends the run before
-        self.head_match = self._match(above, self.head_samples)
-        self.order = order
-
-    def _match(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Common bytes from a and from b, within their windows; 0 where a is -1."""
-        most = np.where(a < 0, 0, np.minimum(self.left[a], self.left[b]))
-        padded = np.append(self.text, np.zeros(8, np.uint8))
-        words = np.lib.stride_tricks.sliding_window_view(padded, 8)
-        out, going = np.zeros(len(a), np.int64), np.flatnonzero(most > 0)
-        while going.size:
-            x, y = a[going] + out[going], b[going] + out[going]
-            differ = words[x] != words[y]
-            got = np.where(differ.any(1), differ.argmax(1), 8)
-            out[going] += got
-            going = going[(got == 8) & (out[going] < most[going])]
-        return np.minimum(out, most)
-
-    def matching_statistics(self) -> np.ndarray:
-        """For each position, how far the suffix above it in order agrees: known at run heads, one less per step after."""
-        value = np.zeros(len(self.text), np.int64)
-        known = np.zeros(len(self.text), np.int64)
-        value[self.head_samples] = self.head_match
-        known[self.head_samples] = self.head_samples
-        at = np.maximum.accumulate(known)
-        return np.maximum(0, value[at] - (np.arange(len(self.text)) - at))
-
-    def repeated(self, length: int, rank: np.ndarray) -> np.ndarray:
-        """Positions at which a string of ``length`` bytes starts that also starts at a smaller ``rank``."""
-        joined = self.matching_statistics()[self.order] >= length
-        joined[0] = False
-        starts = np.flatnonzero(~joined)
-        low = np.minimum.reduceat(rank[self.order], starts)
-        cls = np.cumsum(~joined) - 1
-        out = np.zeros(len(self.text), bool)
-        out[self.order] = rank[self.order] > low[cls]
-        return out & (self.left >= length)
+        self.begins, self.length = ends - sizes, len(text)
+        owner = np.repeat(np.arange(len(pieces)), sizes)
+        left = ends[owner] - 1 - np.arange(len(text))
+        order = _suffix_array(text, left, owner)
+        before = np.where(order > 0, text[order - 1].astype(np.int64), -1)
+        edge = left[order - 1] == 0  # a window's first byte follows a separator that is like no other
+        before[edge] = -1 - owner[order[edge]]
+        heads = np.flatnonzero(np.append(True, before[1:] != before[:-1]))
+        above = np.append(-1, order[heads[1:] - 1])  # the suffix above a run head ends the run before
+        by_place = np.argsort(order[heads])
+        self.symbols, self.heads, self.above = before[heads], order[heads][by_place], above[by_place]
+        self.match = _common(text, left, self.above, self.heads)
+
+    @property
+    def runs(self) -> int:
+        return len(self.heads)
+
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (self.symbols, self.heads, self.above, self.match, self.begins))
+
+    def at(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(how far it agrees with the suffix above it in order, that suffix) of each place: known at run heads, one less and one on with each step after."""
+        k = np.searchsorted(self.heads, places, "right") - 1
+        step = places - self.heads[k]
+        return np.maximum(0, self.match[k] - step), self.above[k] + step
+
+    def matches(self, length: int) -> np.ndarray:
+        """The places whose matching statistics are at least ``length``, run head by run head."""
+        n = np.minimum(np.maximum(0, self.match - length + 1), np.append(self.heads[1:], self.length) - self.heads)
+        return np.repeat(self.heads, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+
+    def repeated(self, length: int, earlier: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        """Places, in order, at which a string of ``length`` bytes starts that also starts earlier; ``earlier`` ranks places."""
+        later = self.matches(length)
+        if not later.size:
+            return later
+        _, up = self.at(later)
+        places = np.union1d(later, up)
+        root = np.arange(len(places))  # each match follows the suffixes above it to the first of its class
+        root[np.searchsorted(places, later)] = np.searchsorted(places, up)
+        while not np.array_equal(root, further := root[root]):
+            root = further
+        rank = earlier(places)
+        low = np.full(len(places), rank.max())
+        np.minimum.at(low, root, rank)
+        return places[rank > low[root]]
 
 
 def _index_marks(pieces: list[bytes], doc: np.ndarray, tag: np.ndarray, at: np.ndarray, n: np.ndarray, length: int) -> np.ndarray:
     """Marked starts of one index's windows, as windows of one or more starts."""
     index = RunIndex(pieces)
-    inside = np.arange(len(index.text)) - index.begins[index.owner]
-    d, p = doc[index.owner], at[index.owner] + inside
-    order = np.lexsort((p, d))
-    new = np.append(False, (d[order][1:] != d[order][:-1]) | (p[order][1:] != p[order][:-1]))
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.cumsum(new)
-    hit = np.flatnonzero(index.repeated(length, rank) & (inside < n[index.owner]))
+
+    def named(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        owner = np.searchsorted(index.begins, places, "right") - 1
+        return owner, places - index.begins[owner]
+
+    def earlier(places: np.ndarray) -> np.ndarray:
+        owner, inside = named(places)
+        d, p = doc[owner], at[owner] + inside
+        order = np.lexsort((p, d))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.cumsum(np.append(False, (d[order][1:] != d[order][:-1]) | (p[order][1:] != p[order][:-1])))
+        return rank
+
+    hit = index.repeated(length, earlier)
+    owner, inside = named(hit)
+    own = inside < n[owner]
+    hit, owner, inside = hit[own], owner[own], inside[own]
     if not hit.size:
         return np.zeros(0, _WINDOW)
-    cut = np.append(True, (hit[1:] != hit[:-1] + 1) | (index.owner[hit[1:]] != index.owner[hit[:-1]]))
-    first = hit[cut]
-    out = np.zeros(len(first), _WINDOW)
-    out["doc"], out["tag"], out["at"] = d[first], tag[index.owner[first]], p[first]
+    cut = np.append(True, (hit[1:] != hit[:-1] + 1) | (owner[1:] != owner[:-1]))
+    out = np.zeros(int(cut.sum()), _WINDOW)
+    out["doc"], out["tag"], out["at"] = doc[owner[cut]], tag[owner[cut]], at[owner[cut]] + inside[cut]
     out["n"] = np.diff(np.append(np.flatnonzero(cut), len(hit)))
     return out
 
@@ -499,35 +522,21 @@ def dedup_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", te
 
     A null or empty text has no bytes and nothing to remove. Rows without an id come before all ids, as one document;
     rows that share an id are places of one document: the same string at the same start is no repeat. Input columns with
-    the names of results are replaced. An empty table stays empty.
+    the names of results are replaced, others stay whatever they are called. An empty table stays empty.
     """
     docs = docs.drop("kept", "n_bytes", "n_removed", "n_spans", "spans")
     columns = docs.columns
+    doc, tag, marks = unused([*columns, "kept", "n_bytes", "n_removed", "n_spans", "spans"], "doc", "tag", "marks")
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    starts = durable(repeat_starts(slim, length).withColumnRenamed("body", "__marks"))
-    segments = segments_for(starts.count())
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield packed(_names(batch.column("doc").to_numpy(), batch.column("tag").to_numpy()), segments)
-
-    touched = docs.sparkSession.sparkContext.broadcast(seen_filter(mapped(starts.select("doc", "tag"), pack, "segment long, hashes binary"), segments, 1))
-
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = np.array([_NO_ID if i is None else i for i in batch.column(id_col).cast(pa.int64()).to_pylist()], np.int64)
-            tags = np.fromiter((xxhash.xxh32_intdigest(x.as_py() or b"") for x in batch.column(text_col).cast(pa.large_binary())), np.int64, len(ids))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids), pa.array(tags), pa.array(touched.value.has(_names(ids, tags)))], [*batch.schema.names, "__doc", "__tag", "__touched"])
-
-    types = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    every = mapped(docs, named, f"{types}, __doc long, __tag long, __touched boolean")
+    starts = durable(repeat_starts(slim, length).select(F.col("doc").alias(doc), F.col("tag").alias(tag), F.col("body").alias(marks)))
+    loses = may_be_among(starts, doc, F.col(id_col))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, size, removed, spans = [], [], [], []
-            for x, marks in zip(batch.column(text_col).cast(pa.large_binary()), batch.column("__marks").to_pylist()):
+            for x, own in zip(batch.column(text_col).cast(pa.large_binary()), batch.column(marks).to_pylist()):
                 b = x.as_py() or b""
-                runs = merged(np.frombuffer(marks, "<u4").reshape(-1, 2), length).tolist() if marks else []
+                runs = merged(np.frombuffer(own, "<u4").reshape(-1, 2), length).tolist() if own else []
                 at, out = 0, []
                 for a, z in runs:
                     out.append(b[at:a])
@@ -539,12 +548,8 @@ def dedup_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", te
             new = {"kept": pa.array(kept, pa.binary()), "n_bytes": pa.array(size, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(list(map(len, spans)), pa.int64()), "spans": pa.array(spans, pa.list_(pa.list_(pa.int64())))}
             yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in columns} | new)
 
+    types = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
     schema = f"{types}, kept binary, n_bytes long, n_removed long, n_spans long, spans array<array<long>>"
-    clean = every.where("not __touched").select(*columns, F.coalesce(F.encode(F.col(text_col), "UTF-8"), F.lit(b"")).alias("kept"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.array().cast("array<array<bigint>>").alias("spans"))
-    hit = every.where("__touched").join(starts, (F.col("__doc") == F.col("doc")) & (F.col("__tag") == F.col("tag")), "left").select(*columns, "__marks")
-    return clean.union(mapped(hit, cut, schema))
-
-
-def _names(doc: np.ndarray, tag: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return _mix(doc.astype(np.int64).view(np.uint64) * np.uint64(_BASE) + tag.astype(np.uint64))
+    clean = docs.where(~loses).select(*columns, F.coalesce(F.encode(F.col(text_col), "UTF-8"), F.lit(b"")).alias("kept"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.array().cast("array<array<bigint>>").alias("spans"))
+    named = docs.where(loses).join(starts, (F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)) == F.col(doc)) & (F.crc32(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")) == F.col(tag)), "left")
+    return clean.union(mapped(named.select(*columns, marks), cut, schema))
