@@ -28,14 +28,21 @@ class Baseline:
         return json.dumps({"version": VERSION, "targetJava": self.target_java, "preview": self.preview, "scope": self.scope, "profile": self.profile, "fingerprints": sorted(set(self.fingerprints))}, indent=2) + "\n"
 
 
+def _plain(x: object) -> bool:
+    """Whether a document holds strings, whole numbers, arrays and objects only."""
+    if isinstance(x, dict):
+        return all(map(_plain, x.values()))
+    return all(map(_plain, x)) if isinstance(x, list) else isinstance(x, str) or type(x) is int
+
+
 def parse(text: str) -> Baseline:
     """A baseline document; anything else is refused with the reason."""
     try:
         d = json.loads(text, parse_constant=lambda c: (_ for _ in ()).throw(ValueError(c)), parse_float=lambda x: (_ for _ in ()).throw(ValueError(x)))
     except ValueError as e:
         raise ValueError(f"no baseline: {e}") from e
-    if not isinstance(d, dict):
-        raise ValueError("no baseline: not an object")
+    if not isinstance(d, dict) or not _plain(d):
+        raise ValueError("no baseline: not an object of strings, whole numbers, arrays and objects")
     for name, kind in MEMBERS.items():
         if not isinstance(d.get(name), kind) or isinstance(d.get(name), bool):
             raise ValueError(f"no baseline: {name} is missing or of another kind")
@@ -46,8 +53,12 @@ def parse(text: str) -> Baseline:
 
 def fingerprinted(findings: DataFrame, root: str | None = None) -> DataFrame:
     """Findings with their fingerprint; artifacts relative to ``root``."""
-    artifact = F.udf(lambda p: under_root(root, p) if p is not None else None)(F.col("location.artifact")) if root else F.col("location.artifact")
-    return findings.withColumn("fingerprint", results.fingerprint(F.col("code"), artifact, F.col("location.class_entry"), F.col("subject")))
+    artifact = F.col("location.artifact")
+    if root:
+        known = [r["artifact"] for r in findings.select("location.artifact").distinct().collect()]  # classpath entries: a driver-side list
+        spelled = findings.sparkSession.createDataFrame([(a, under_root(root, a)) for a in known if a is not None], "__artifact string, __spelled string")
+        findings, artifact = findings.join(F.broadcast(spelled), artifact == F.col("__artifact"), "left"), F.col("__spelled")
+    return findings.withColumn("fingerprint", results.fingerprint(F.col("code"), artifact, F.col("location.class_entry"), F.col("subject"))).drop("__artifact", "__spelled")
 
 
 def drift(accepted: Baseline, now: Baseline) -> list[str]:

@@ -76,7 +76,7 @@ def _emit(text: str, output: str | None) -> None:
 
 
 def _recorded(a: argparse.Namespace, prints: tuple[str, ...]) -> base.Baseline:
-    return base.Baseline(a.target_java, "enabled" if a.enable_preview else "disabled", a.scope, profile_identity(a.target_java, a.jdk), prints)
+    return base.Baseline(a.target_java, "enabled" if a.enable_preview else "disabled", a.scope, profile_identity(a.target_java, a.jdk, a.symbols), prints)
 
 
 def _check(a: argparse.Namespace, spark) -> int:

@@ -5,7 +5,7 @@ Every aggregate here combines before its shuffle; none gathers the rows of a key
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Descriptors of modules are no classes that could clash.
@@ -18,6 +18,15 @@ def first_by(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataF
     return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("__row")).select(*keys, "__row.*")
 
 
+def first_few(df: DataFrame, keys: list[str], order: str, text: str, name: str, most: int = 20) -> DataFrame:
+    """(keys, name): the texts of the first ``most`` rows of each key, in order, and how many more there are. No task gathers the rows of a key."""
+    ranked = df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(order, text))).where(F.col("__n") <= most)
+    some = ranked.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("__n", text))), lambda x: x[text]).alias("__some"))
+    more = df.groupBy(*keys).agg((F.count("*") - most).alias("__more"))
+    rest = F.when(F.col("__more") > 0, F.array(F.concat_ws(" ", F.lit("and"), F.col("__more").cast("string"), F.lit("more")))).otherwise(F.array().cast("array<string>"))
+    return some.join(more, keys).select(*keys, F.concat("__some", rest).alias(name))
+
+
 def winners(classes: DataFrame) -> DataFrame:
     """The declaration that a JVM would load for each internal name: first by (position, ordinal)."""
     return first_by(classes, ["internal_name"], ["position", "ordinal"])

@@ -86,7 +86,7 @@ def type_verdicts(types: DataFrame, unparsed: DataFrame, refs: DataFrame) -> Dat
 
 
 def member_verdicts(types: DataFrame, unparsed: DataFrame, refs: DataFrame) -> DataFrame:
-    """``refs(caller, caller_super, caller_host, kind, owner, name, descriptor, ...)`` with ``code``, ``subject`` and ``declarer``.
+    """``refs(caller, caller_super, caller_host, kind, owner, name, descriptor, ...)`` with ``code``, ``subject``, ``declarer`` and ``member_access``.
 
     In order: array owners pass; a missing owner is JP1001 unless it is declared but unreadable; signature-polymorphic
     methods pass; inaccessible owner JP1006; class against interface JP1005; missing field or method JP1002 or JP1003;
@@ -119,7 +119,7 @@ def member_verdicts(types: DataFrame, unparsed: DataFrame, refs: DataFrame) -> D
         .when(~accessible, "JP1007")
     )
     subject = F.when(F.col("__t").isNull() | code.eqNullSafe("JP1006"), F.col("owner")).otherwise(F.concat("owner", F.lit("#"), "name", "descriptor"))
-    return j.withColumn("code", code).withColumn("subject", subject).select(*refs.columns, "code", "subject", "declarer")
+    return j.withColumn("code", code).withColumn("subject", subject).select(*refs.columns, "code", "subject", "declarer", "member_access")
 
 
 def first_observed(findings: DataFrame, order: list[str]) -> DataFrame:

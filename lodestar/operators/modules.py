@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.operators.duplicates import first_by
 from lodestar.operators.hierarchy import supertype_walk
 from lodestar.operators.linkage import PUBLIC, STATIC
-from lodestar.operators.services import instantiability_faults, legal_name
+from lodestar.operators.services import CONSTRUCTOR, instantiability_faults, legal_name
+from lodestar.session import durable
 
 
 def module_name() -> Column:
@@ -47,22 +49,24 @@ def illegal_automatic_names(claims: DataFrame) -> DataFrame:
 def provider_faults(claims: DataFrame, types: DataFrame, own: DataFrame) -> DataFrame:
     """(position, display, module, service, provider, faults): providers of a module that cannot serve.
 
-    ``own(position, internal_name)`` are the classes of each artifact. A provider must be in its module; it must be of
-    the service's type, or have a public static ``provider()`` without arguments that returns an object; else it must be
-    creatable.
+    ``own(position, internal_name, access, members)`` are the classes of each artifact, access null where a class could
+    not be read. A provider outside its module has that fault alone, an unreadable one has none. Else it must not
+    provably lack a service that is declared, be no interface, not abstract and public, and have a public constructor
+    without arguments or a public static ``provider()`` whose result does not provably lack the service.
     """
     p = claims.where("descriptor is not null").select("position", "display", F.col("descriptor.module_name").alias("module"), F.explode("descriptor.provides").alias("p"))
     p = p.select("position", "display", "module", F.col("p.service").alias("service"), F.explode("p.providers").alias("provider")).distinct()
-    mine = own.select("position", F.col("internal_name").alias("provider"), F.lit(True).alias("__own")).distinct()
-    walk = supertype_walk(types, p.select(F.col("provider").alias("name"))).select(F.col("start").alias("provider"), "names", "resolved")
+    mine = first_by(own.select("position", F.col("internal_name").alias("provider"), "access", "members"), ["position", "provider"], [F.col("access").isNull()])
+    j = durable(p.join(mine.withColumn("__own", F.lit(True)), ["position", "provider"], "left"))
+    makes = F.filter("members", lambda m: (m["name"] == "provider") & m["descriptor"].rlike(r"^\(\)L[^;]+;$") & (m["access"].bitwiseAND(PUBLIC | STATIC) == (PUBLIC | STATIC)))
+    made = j.select("position", "provider", "service", F.explode(makes).alias("m")).select("position", "provider", "service", F.regexp_extract("m.descriptor", r"^\(\)L([^;]+);$", 1).alias("made"))
+    walk = durable(supertype_walk(types, p.select(F.col("provider").alias("name")).union(made.select("made")))).select("start", "names", "resolved")
+    lacks = F.coalesce(F.col("resolved") & ~F.array_contains("names", F.col("service")), F.lit(False))
+    factory = made.join(walk, F.col("made") == F.col("start"), "left").groupBy("position", "provider", "service").agg(F.bool_or(~lacks).alias("__factory"))
     known = types.select(F.col("name").alias("service"), F.lit(True).alias("__service"))
-    j = p.join(mine, ["position", "provider"], "left").join(walk, "provider", "left").join(known, "service", "left").join(types.select(F.col("name").alias("provider"), "access", "members"), "provider", "left")
-    factory = F.coalesce(F.exists("members", lambda m: (m["name"] == "provider") & m["descriptor"].startswith("()L") & (m["access"].bitwiseAND(PUBLIC | STATIC) == (PUBLIC | STATIC))), F.lit(False))
-    wrong = F.col("__service") & F.col("resolved") & ~F.array_contains("names", F.col("service")) & ~factory
-    faults = F.concat(
-        F.when(F.col("__own").isNull(), F.array(F.lit("outside the module"))).otherwise(F.array().cast("array<string>")),
-        F.when(F.coalesce(wrong, F.lit(False)), F.array(F.lit("another type"))).otherwise(F.array().cast("array<string>")),
-        F.when(F.col("access").isNotNull() & ~factory, instantiability_faults(F.col("access"), F.col("members"))).otherwise(F.array().cast("array<string>")),
-    )
+    j = j.join(walk, F.col("provider") == F.col("start"), "left").join(known, "service", "left").join(factory, ["position", "provider", "service"], "left")
+    none = F.array().cast("array<string>")
+    entry = lambda x: (x != CONSTRUCTOR) | ~F.coalesce(F.col("__factory"), F.lit(False))
+    inside = F.concat(F.when(lacks & F.col("__service").isNotNull(), F.array(F.lit("another type"))).otherwise(none), F.filter(instantiability_faults(F.col("access"), F.col("members")), entry))
+    faults = F.when(F.col("__own").isNull(), F.array(F.lit("outside the module"))).when(F.col("access").isNotNull(), inside).otherwise(none)
     return j.withColumn("faults", faults).where(F.size("faults") > 0).select("position", "display", "module", "service", "provider", "faults")
-

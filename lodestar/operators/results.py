@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.session import durable
+
 
 def canonical_order(findings: DataFrame, ordinal: str | None = None) -> DataFrame:
     """By artifact, code, subject, class entry, summary; equal ones as they were produced. Strings by UTF-16 units, as Java does."""
@@ -13,6 +15,16 @@ def canonical_order(findings: DataFrame, ordinal: str | None = None) -> DataFram
     return findings.orderBy(*keys, *([ordinal] if ordinal else []))
 
 
+def placed(findings: DataFrame, ordinal: str | None = None) -> DataFrame:
+    """Findings with ``place`` from 1 in canonical order: ranges are sorted by tasks, their sizes give where each begins."""
+    ordered = durable(canonical_order(findings, ordinal).withColumn("__id", F.monotonically_increasing_id()))
+    part, inside = F.shiftright("__id", 33), F.col("__id").bitwiseAND((1 << 33) - 1)
+    sizes = ordered.groupBy(part.alias("__part")).count()
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    base = sizes.select("__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__base"))
+    return ordered.withColumn("__part", part).join(F.broadcast(base), "__part").withColumn("place", F.col("__base") + inside + 1).drop("__id", "__part", "__base")
+
+
 def fingerprint(code: Column, artifact: Column, entry: Column, subject: Column) -> Column:
     """What a baseline knows of a finding; no severity, line or evidence."""
     return F.concat_ws("|", code, artifact, F.coalesce(entry, F.lit("")), subject)

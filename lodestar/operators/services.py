@@ -10,6 +10,8 @@ from lodestar.operators.hierarchy import supertype_walk
 from lodestar.operators.linkage import INTERFACE, PUBLIC, has
 
 ABSTRACT = 0x400
+#: The fault of a provider that nothing can create.
+CONSTRUCTOR = "no public constructor without arguments"
 _START, _PART = r"\p{javaJavaIdentifierStart}", r"\p{javaJavaIdentifierPart}"
 LEGAL_NAME = f"^{_START}{_PART}*(\\.{_START}{_PART}*)*$"
 
@@ -48,7 +50,7 @@ def internal(name: Column) -> Column:
 def instantiability_faults(access: Column, members: Column) -> Column:
     """What keeps a provider from being created: an interface, or any of abstract, not public, no public constructor."""
     constructor = F.exists(members, lambda m: (m["name"] == "<init>") & (m["descriptor"] == "()V") & (m["access"].bitwiseAND(PUBLIC) != 0))
-    others = F.filter(F.array(F.when(has(access, ABSTRACT), "abstract"), F.when(~has(access, PUBLIC), "not public"), F.when(~F.coalesce(constructor, F.lit(False)), "no public constructor without arguments")), lambda x: x.isNotNull())
+    others = F.filter(F.array(F.when(has(access, ABSTRACT), "abstract"), F.when(~has(access, PUBLIC), "not public"), F.when(~F.coalesce(constructor, F.lit(False)), CONSTRUCTOR)), lambda x: x.isNotNull())
     return F.when(has(access, INTERFACE), F.array(F.lit("an interface"))).otherwise(others)
 
 

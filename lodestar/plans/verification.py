@@ -6,6 +6,7 @@ DataFrame of ``schema.FINDING`` rows in canonical order.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -63,6 +64,8 @@ def read_facts(spark: SparkSession, request: Request, budget: archive.Budget = a
     symbols = durable(platform.platform_classes(spark, request.release, request.jdk_home, request.symbol_table))
     if symbols.where("internal_name = 'java/lang/Object'").isEmpty():
         raise classpath.RefusedRun(f"the platform symbols for release {request.release} do not describe java/lang/Object")
+    if expansion.declared > budget.expanded_bytes:
+        raise classpath.RefusedRun(f"the run expands to more than {budget.expanded_bytes} bytes")
     scanned = durable(archive.scan_entries(spark, expansion.entries, request.release, budget))
     archive.refuse(scanned, budget)
     entries = spark.createDataFrame([{k: e[k] for k in schema.struct(schema.CLASSPATH_ENTRY).fieldNames()} for e in expansion.entries], schema.CLASSPATH_ENTRY)
@@ -92,10 +95,11 @@ def conflict_findings(f: Facts) -> list[DataFrame]:
     named = verdict.join(c.select("position", "ordinal", "internal_name", "display", "entry_name"), (verdict.internal_name == c.internal_name) & (F.col("winner_position") == F.col("position")) & (F.col("winner_ordinal") == F.col("ordinal"))).drop(c.internal_name)
     code = F.when(F.col("verdict") == "identical", "JP2001").when(F.col("verdict") == "unpredictable", "JP2006").otherwise("JP2002")
     claims = c.select("internal_name", F.concat_ws(" ", "display", F.substring("digest", 1, 8)).alias("claim"), "position").join(verdict.select("internal_name"), "internal_name", "left_semi")
-    listed = claims.groupBy("internal_name").agg(F.transform(F.sort_array(F.collect_list(F.struct("position", "claim"))), lambda x: x["claim"]).alias("claims_of"))
+    listed = duplicates.first_few(claims, ["internal_name"], "position", "claim", "claims_of")
     out = [_found(named.join(listed, "internal_name"), code, binary_name(F.col("internal_name")), binary_name(F.col("internal_name")), entry=F.col("entry_name"), evidence=F.col("claims_of"))]
     shares = durable(duplicates.contributors(c))
-    split = shares.groupBy("package").agg(F.count("*").alias("n"), F.min_by("display", "position").alias("display"), F.transform(F.sort_array(F.collect_list(F.struct("position", "display"))), lambda x: x["display"]).alias("held_by")).where("n > 1")
+    split = shares.groupBy("package").agg(F.count("*").alias("n"), F.min_by("display", "position").alias("display")).where("n > 1")
+    split = split.join(duplicates.first_few(shares, ["package"], "position", "display", "held_by"), "package")
     out.append(_found(split, "JP2003", binary_name(F.col("package")), binary_name(F.col("package")), evidence=F.col("held_by")))
     rows = f.scanned.where("row = 'artifact'").join(f.entries.select("position", "display", "kind", "origin"), "position")
     versions = duplicates.version_conflicts(rows.where("coordinate is not null").select("position", "display", "coordinate.group", "coordinate.artifact", "coordinate.version"))
@@ -133,18 +137,32 @@ def hierarchy_types(f: Facts) -> DataFrame:
     return durable(linkage.resolved_types(f.classes.select("internal_name", "position", "ordinal", "shape"), f.platform))
 
 
-def reached(f: Facts, types: DataFrame) -> tuple[DataFrame, dict]:
-    """(owner, sig) of methods that the application may run, and who reached each first."""
+def reached(f: Facts, types: DataFrame) -> tuple[DataFrame, Callable[[], dict]]:
+    """(owner, sig) of methods that the application may run, and what finds who reached each first."""
     first = duplicates.winners(f.classes.select("internal_name", "position", "ordinal", "origin", "member_refs", "type_refs")).join(types.where("not from_platform").select(F.col("name").alias("internal_name")), "internal_name", "left_semi")
     first = durable(first)
     members = first.select("internal_name", F.posexplode("member_refs").alias("ref", "r")).select("internal_name", "ref", "r.method", "r.kind", "r.owner", "r.name", "r.descriptor")
     targets = first.select("internal_name", F.explode("type_refs").alias("r")).select("internal_name", "r.method", "r.target")
     facts = (types, first.select("internal_name", "origin"), members, targets)
     live = reachability.reachable_methods(*facts)
-    return live, reachability.first_callers(*facts, live)
+    return live, lambda: reachability.first_callers(*facts, live)
 
 
-def linkage_findings(f: Facts, request: Request, types: DataFrame) -> DataFrame:
+def resolution_evidence(f: Facts, types: DataFrame, found: DataFrame) -> DataFrame:
+    """``found(subject, code, owner, name, descriptor, declarer, member_access, ...)`` with ``facts``: what was selected, what the declaration is, and of a missing method up to three declarations of the same name."""
+    chosen = duplicates.winners(f.classes.select("internal_name", "position", "ordinal", "display", "digest")).select(F.col("internal_name").alias("owner"), F.concat(F.lit("selected "), "display", F.lit(" ("), F.substring("digest", 1, 8), F.lit(")")).alias("__by"))
+    top = duplicates.first_by(f.platform.select(F.col("internal_name").alias("owner"), F.concat(F.lit("supplied by the platform from "), F.coalesce("module", "internal_name")).alias("__top")), ["owner"], ["__top"])
+    own = types.select(F.col("name").alias("owner"), F.col("members").alias("__members"))
+    j = found.join(top, "owner", "left").join(chosen, "owner", "left").join(own, "owner", "left")
+    trait = F.when(F.col("code") == "JP1004", F.when(linkage.has(F.col("member_access"), linkage.STATIC), "static").otherwise("an instance member"))
+    trait = trait.when(F.col("code") == "JP1007", F.when(linkage.has(F.col("member_access"), linkage.PRIVATE), "private").when(linkage.has(F.col("member_access"), linkage.PROTECTED), "protected").otherwise("visible in its package"))
+    alike = F.filter("__members", lambda m: (m["name"] == F.col("name")) & (m["descriptor"] != F.col("descriptor")))
+    named = F.when(F.col("code") == "JP1003", F.transform(F.slice(alike, 1, 3), lambda m: F.concat(F.lit("the resolved class also declares "), m["name"], m["descriptor"])))
+    one = F.array_compact(F.array(F.when(F.col("code") != "JP1001", F.coalesce("__top", "__by")), F.concat(F.lit("the declaration in "), "declarer", F.lit(" is "), trait)))
+    return j.withColumn("facts", F.concat(one, F.coalesce(named, F.array().cast("array<string>")))).drop("__top", "__by", "__members")
+
+
+def linkage_findings(f: Facts, request: Request, types: DataFrame, most: int = 20_000) -> DataFrame:
     """JP1001 to JP1007, each (code, subject, artifact, entry) once."""
     c = f.classes.where("shape is not null")
     if request.scope == "APPLICATION":
@@ -158,19 +176,25 @@ def linkage_findings(f: Facts, request: Request, types: DataFrame) -> DataFrame:
     t = c.select(*base, F.posexplode("type_refs").alias("ref", "r")).select("*", "r.*").drop("r").withColumn("phase", F.lit(0))
     m = c.select(*base, F.col("shape.super").alias("caller_super"), F.col("host").alias("caller_host"), F.posexplode("member_refs").alias("ref", "r")).select("*", "r.*").drop("r").withColumn("phase", F.lit(1))
     if request.scope == "REACHABLE":
-        found, callers = reached(f, types)
+        found, replay = reached(f, types)
         live = durable(found.select(F.col("owner").alias("caller"), F.col("sig").alias("method")))
         t, m = t.join(live, ["caller", "method"], "left_semi"), m.join(live, ["caller", "method"], "left_semi")
     cols = ["code", "subject", "display", "entry_name", "position", "ordinal", "phase", "ref", "source_file", "severity", "line", "caller", "method"]
-    every = linkage.type_verdicts(types, unread, t).where("code is not null").select(*cols).union(linkage.member_verdicts(types, unread, m).where("code is not null").select(*cols))
-    once = linkage.first_observed(every, ["position", "ordinal", "phase", "ref"])
+    more = ["owner", "name", "descriptor", "declarer", "member_access"]
+    bare = [F.col("target").alias("owner"), *(F.lit(None).cast("string").alias(c) for c in more[1:4]), F.lit(None).cast("int").alias("member_access")]
+    every = linkage.type_verdicts(types, unread, t).where("code is not null").select(*cols, *bare).union(linkage.member_verdicts(types, unread, m).where("code is not null").select(*cols, *more))
+    once = durable(linkage.first_observed(every, ["position", "ordinal", "phase", "ref"]))
+    if once.limit(most + 1).count() > most:
+        raise classpath.RefusedRun(f"more than {most} findings")
+    once = resolution_evidence(f, types, once)
     detail = F.concat_ws(" ", "subject", F.lit("from"), F.concat(binary_name(F.col("caller")), F.lit("#"), F.col("method")))
-    evidence = F.array(detail)
+    evidence = F.concat(F.array(detail), "facts")
     if request.scope == "REACHABLE":
+        callers = replay() if not once.isEmpty() else {}
         at = once.select("caller", "method").distinct().collect()  # methods with findings, of which a run may have a bounded number
         chains = f.entries.sparkSession.createDataFrame([(r["caller"], r["method"], reachability.chain_text(callers, (r["caller"], r["method"]))) for r in at], "caller string, method string, chain string")
         once = once.join(chains, ["caller", "method"])
-        evidence = F.array(detail, F.concat(F.lit("reachable via: "), F.col("chain")))
+        evidence = F.concat(F.array(detail, F.concat(F.lit("reachable via: "), F.col("chain"))), "facts")
     return _found(once, F.col("code"), F.col("subject"), detail, severity=F.col("severity"), entry=F.col("entry_name"), source=F.col("source_file"), line=F.col("line"), evidence=evidence)
 
 
@@ -211,7 +235,7 @@ def module_findings(f: Facts, types: DataFrame) -> list[DataFrame]:
     declared = f.classes.select(F.col("internal_name").alias("name")).union(f.platform.select("internal_name")).distinct()
     entry = {"entry": F.lit("module-info.class")}
     required = modules.missing_requirements(claims, f.platform.select("module").distinct())
-    faults = modules.provider_faults(claims, types, f.classes)
+    faults = modules.provider_faults(claims, types, f.classes.select("position", "internal_name", "shape.access", "shape.members"))
     split = modules.module_splits(claims, f.classes).join(f.entries.select("position", "display"), "position")
     slash = lambda c: binary_name(F.col(c))
     return [
@@ -228,7 +252,7 @@ def verify(spark: SparkSession, request: Request, budget: archive.Budget = archi
     """All findings in canonical order. More than ``budget.findings`` of them refuse the run; none is cut off."""
     f = read_facts(spark, request, budget)
     types = hierarchy_types(f)
-    families = [*layout_findings(f, request), *conflict_findings(f), linkage_findings(f, request, types), *service_findings(f, types), *module_findings(f, types)]
+    families = [*layout_findings(f, request), *conflict_findings(f), linkage_findings(f, request, types, budget.findings), *service_findings(f, types), *module_findings(f, types)]
     every = durable(reduce(DataFrame.unionByName, families))
     if every.limit(budget.findings + 1).count() > budget.findings:
         raise classpath.RefusedRun(f"more than {budget.findings} findings")

@@ -14,6 +14,7 @@ import re
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -184,34 +185,37 @@ def _escaped(path: str) -> str:
 
 
 def scan_entries(spark: SparkSession, entries: list[dict], release: int, budget: Budget = Budget(), references: bool = True) -> DataFrame:
-    """``schema.SCANNED`` rows of all entries. Large archives are one task each; positions of one file share its bytes."""
-    listed = spark.createDataFrame([{k: e[k] for k in schema.struct(schema.CLASSPATH_ENTRY).fieldNames()} for e in entries], schema.CLASSPATH_ENTRY)
-    files = sorted({os.path.abspath(e["path"]) for e in entries if e["kind"] != "DIRECTORY"})
+    """``schema.SCANNED`` rows of all entries. A file is read once, by the task that scans all its positions.
+
+    Folders are opened by the tasks, so they must be mounted wherever executors run; archives may be on any store.
+    """
+    fields = schema.struct(schema.CLASSPATH_ENTRY).fieldNames()
+    by_file: dict[str, list[dict]] = {}
+    for e in entries:
+        by_file.setdefault(os.path.abspath(e["path"]), []).append({k: e[k] for k in fields})
+    listed = spark.createDataFrame(list(by_file.items()), f"file string, positions array<{schema.struct(schema.CLASSPATH_ENTRY).simpleString()}>")
     rows = listed.withColumn("content", F.lit(None).cast("binary"))
-    if files:
+    if files := sorted({os.path.abspath(e["path"]) for e in entries if e["kind"] != "DIRECTORY"}):
         raw = spark.read.format("binaryFile").load([_escaped(p) for p in files]).select(F.regexp_replace("path", "^file:/*", "/").alias("__file"), F.col("content"))
-        key = spark.createDataFrame([(e["position"], os.path.abspath(e["path"])) for e in entries if e["kind"] != "DIRECTORY"], "position int, __path string")
-        rows = listed.join(key, "position", "left").join(raw, F.col("__path") == F.regexp_replace(F.url_decode(F.regexp_replace("__file", r"\+", "%2B")), "^/+", "/"), "left").drop("__path", "__file")
+        rows = listed.join(raw, F.col("file") == F.regexp_replace(F.url_decode(F.regexp_replace("__file", r"\+", "%2B")), "^/+", "/"), "left").drop("__file")
     wanted = pa.schema(as_arrow(schema.SCANNED))
 
+    def facts(entry: dict, raw: bytes | None) -> Iterator[dict]:
+        try:
+            contents, folder = contents_of(entry, raw, budget)
+            yield from scan(entry["position"], contents, release, folder, references)
+        except RefusedRun as e:
+            yield _empty(entry["position"]) | {"row": "artifact", "refusal": str(e)}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                entry = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
-                out: list[dict] = []
-                try:
-                    contents, folder = contents_of(entry, entry.pop("content"), budget)
-                    for row in scan(entry["position"], contents, release, folder, references):
-                        out.append(row)
-                        if len(out) == 500:
-                            yield pa.RecordBatch.from_pylist(out, wanted)
-                            out = []
-                except RefusedRun as e:
-                    out.append(_empty(entry["position"]) | {"row": "artifact", "refusal": str(e)})
-                if out:
+                raw = batch.column("content")[k].as_py()
+                every = (row for entry in batch.column("positions")[k].as_py() for row in facts(entry, raw))
+                while out := list(islice(every, 500)):
                     yield pa.RecordBatch.from_pylist(out, wanted)
 
-    return mapped(rows.repartition(max(1, len(entries)), "position"), run, schema.SCANNED)
+    return mapped(rows.repartition(max(1, len(by_file)), "file"), run, schema.SCANNED)
 
 
 def refuse(scanned: DataFrame, budget: Budget = Budget()) -> None:

@@ -25,6 +25,7 @@ class Expansion:
     entries: list[dict] = field(default_factory=list)
     missing: list[dict] = field(default_factory=list)  # manifest entries that do not exist: declaring, named
     layout: list[dict] = field(default_factory=list)  # nested layout faults: display, kind, detail
+    declared: int = 0  # bytes of base classes that archives announce
 
 
 def classpath_list(value: str) -> list[str]:
@@ -36,24 +37,32 @@ def classpath_list(value: str) -> list[str]:
 
 
 def boot_layout(main: dict[str, str], names: list[str]) -> dict[str, str] | None:
-    """Roots of classes and libraries inside an application archive: by manifest, else by what is there."""
-    if (classes := main.get("spring-boot-classes")) and (libraries := main.get("spring-boot-lib")):
-        root = lambda x: x if x.endswith("/") else x + "/"
-        return {"classes": root(classes), "libraries": root(libraries), "index": main.get("spring-boot-classpath-index")}
-    for top in ("BOOT-INF/", "WEB-INF/"):
-        if any(n.startswith(top + "classes/") for n in names):
-            return {"classes": top + "classes/", "libraries": top + "lib/", "index": top + "classpath.idx"}
-    return None
+    """Roots of classes and libraries inside an application archive, and the index beside the libraries.
+
+    Both manifest attributes make a layout; else the usual folder that holds classes does, in which either attribute
+    alone still counts.
+    """
+    named = {k: v.strip().rstrip("/") + "/" for k, v in (("classes", main.get("spring-boot-classes")), ("libraries", main.get("spring-boot-lib"))) if v and v.strip()}
+    usual = next(({"classes": top + "classes/", "libraries": top + "lib/"} for top in ("BOOT-INF/", "WEB-INF/") if any(n.startswith(top + "classes/") for n in names)), None)
+    if len(named) < 2 and usual is None:
+        return None
+    out = (usual or {}) | named
+    return out | {"index": out["libraries"][: out["libraries"].rfind("/", 0, -1) + 1] + "classpath.idx"}
 
 
 def library_order(index: str | None, libraries: list[str], root: str) -> tuple[list[str], list[str]]:
     """Libraries in index order, then the rest in archive order; and index names that are not there."""
-    named = re.findall(r'^-\s*"?([^"\r\n]+?)"?\s*$', index or "", re.M)
+    lines = [line.strip()[2:].strip() for line in re.split("\r\n|\r|\n", index or "") if line.strip().startswith("- ")]
+    named = [x for n in lines if (x := n[1:-1] if len(n) > 1 and n[0] == n[-1] == '"' else n)]
     named = [n if n.startswith(root) or n in libraries else root + n for n in named]
     first = [n for n in dict.fromkeys(named) if n in libraries]
     return first + [n for n in libraries if n not in first], [n for n in dict.fromkeys(named) if n not in libraries]
 
 
+def _class_bytes(z: zipfile.ZipFile) -> int:
+    return sum(i.file_size for i in z.infolist() if i.filename.endswith(".class") and not i.filename.startswith("META-INF/versions/"))
+
+
 class _Expander:
     def __init__(self) -> None:
         self.out, self.visited = Expansion(), set()
@@ -85,6 +94,7 @@ class _Expander:
         try:
             with zipfile.ZipFile(path) as z:
                 names = z.namelist()
+                self.out.declared += _class_bytes(z)
                 return (parse_manifest(z.read(MANIFEST))[0] if MANIFEST in names else {}), names
         except (OSError, zipfile.BadZipFile, EOFError) as e:
             raise RefusedRun(f"cannot read {path}: {e}") from e
@@ -93,7 +103,7 @@ class _Expander:
         roots = {"classes": layout["classes"], "libraries": layout["libraries"]}
         self.add(path, f"{path}!/{layout['classes'].rstrip('/')}", "NESTED_CLASSES", "APPLICATION", nested={"outer_display": path, "path": layout["classes"]}, layout=roots)
         with zipfile.ZipFile(path) as z:
-            libraries = [n for n in names if n.startswith(layout["libraries"]) and n.endswith(ARCHIVE_SUFFIXES)]
+            libraries = [n for n in names if n.startswith(layout["libraries"]) and n.endswith(ARCHIVE_SUFFIXES) and "/" not in n[len(layout["libraries"]) :]]
             index = z.read(layout["index"]).decode("utf-8", "replace") if layout["index"] in names else None
             ordered, absent = library_order(index, libraries, layout["libraries"])
             for n in absent:
@@ -103,7 +113,9 @@ class _Expander:
                 if z.getinfo(n).compress_type != zipfile.ZIP_STORED:
                     self.out.layout.append({"display": display, "kind": "compressed", "detail": n})
                 try:
-                    inner = zipfile.ZipFile(io.BytesIO(z.read(n))).namelist()
+                    held = zipfile.ZipFile(io.BytesIO(z.read(n)))
+                    self.out.declared += _class_bytes(held)
+                    inner = held.namelist()
                 except zipfile.BadZipFile as e:
                     raise RefusedRun(f"cannot read {display}: {e}") from e
                 for deep in sorted(x for x in inner if x.endswith(NESTED_SUFFIXES)):

@@ -135,9 +135,9 @@ def platform_classes(spark: SparkSession, release: int, home: str | None = None,
     return out
 
 
-def profile_identity(release: int, home: str | None = None) -> str:
-    """What a baseline notes of the platform: ``bundled:N``, or ``jdk:N:`` and eight hex digits of ct.sym's SHA-256."""
-    if not home:
+def profile_identity(release: int, home: str | None = None, table: str | None = None) -> str:
+    """What a baseline notes of the platform: ``jdk:N:`` or ``table:N:`` and eight hex digits of the SHA-256 of ct.sym or of the table."""
+    if not home and not table:
         return f"bundled:{release}"
-    with open(os.path.join(home, "lib", "ct.sym"), "rb") as f:
-        return f"jdk:{release}:{hashlib.sha256(f.read()).hexdigest()[:8]}"
+    with open(table or os.path.join(home, "lib", "ct.sym"), "rb") as f:
+        return f"{'table' if table else 'jdk'}:{release}:{hashlib.file_digest(f, 'sha256').hexdigest()[:8]}"
