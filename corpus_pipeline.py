@@ -12,13 +12,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import durable
+from lodestar.llm.common import shared_folder, unused
 from lodestar.llm.decontaminate import decontaminate
 from lodestar.llm.lines import dedup_lines
 from lodestar.llm.packing import pack_documents
 from lodestar.llm.quality import fit_quality, score_quality
 from lodestar.llm.queries import table, tokenizer_file
-from lodestar.llm.simhash import groups
+from lodestar.llm.simhash import one_of_each_group
 
 #: Near-duplicates: words of a shingle, 64-bit lanes of a fingerprint, differing bits of all lanes, shingle minima, Jaccard
 #: similarity. Each different shingle votes once, so texts that share 0.8 of their shingles differ in 39 of 256 bits on
@@ -28,30 +28,29 @@ CUT = 0.3
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go. A null text counts as empty; rows without an id, or that share one, are judged each by its text."""
     model = fit_quality(docs, table(spark, sf_dir, "labels"), cut=CUT)
-    return score_quality(docs, model, score_col="__score").where(F.col("__score") >= CUT).drop("__score")
+    (score,) = unused(docs.columns, "score")
+    return score_quality(docs, model, score_col=score).where(F.col(score) >= CUT).drop(score)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines stay in one document only; n_chars follows the text."""
+    """Repeated lines stay in one document only; n_chars follows the text. A null text becomes an empty one."""
     return dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one with the smallest id; documents without an id stay."""
-    found = groups(docs, **NEAR)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return one_of_each_group(docs, **NEAR)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
+    """Documents that hold a benchmark passage go. Null texts and rows without an id stay unless their text holds one."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of 4096 tokens at most, packed."""
+    """Pieces of 4096 tokens at most, packed. A null text is its end id alone; rows without an id are packed as well."""
     return pack_documents(docs, tokenizer_file("word_bpe_49k.json"))
 
 
@@ -62,9 +61,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; their tables stay under the shared folder, for the caller to remove."""
     docs = table(spark, sf_dir, "documents")
-    durable(spark.range(1))  # sets a shared folder where the session names none
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
         docs = spark.read.parquet(f"{folder}/{k}-{name}")
