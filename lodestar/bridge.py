@@ -29,6 +29,7 @@ def declared(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand")
     j = li.join(p, F.col("l_partkey") == F.col("p_partkey")).where("p_size <= 45")
     grouped = j.groupBy("l_suppkey", "l_partkey", "p_size", "p_brand").agg(F.max("l_linenumber").alias("line"), F.min(F.concat("l_returnflag", "l_linestatus")).alias("kind"))
+    grouped = grouped.withColumn("kind", F.when(F.col("l_partkey") % 4 == 0, F.col("p_brand")).otherwise(F.col("kind")))
     package = F.when(F.col("p_size") == 1, F.lit(None)).otherwise(F.concat(F.lit("p/"), F.regexp_replace("p_brand", "#", "")))
     name = F.concat_ws("/", package, F.concat(F.lit("C"), F.col("l_partkey").cast("string")))
     return grouped.select(

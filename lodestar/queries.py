@@ -20,7 +20,7 @@ _ENTRIES = """entries AS (SELECT s_suppkey::INT AS position, s_name AS display,
   CASE WHEN s_suppkey % 3 = 0 THEN 'w' || (s_suppkey % 2) END AS wildcard_source FROM supplier)"""
 _CLASSES = _ENTRIES + """, g AS (SELECT l_suppkey, l_partkey, p_size, p_brand, max(l_linenumber) AS line, min(l_returnflag || l_linestatus) AS kind
   FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size <= 45 GROUP BY ALL),
-d AS (SELECT l_suppkey::INT AS position, l_partkey::INT AS ordinal, CASE WHEN p_size = 1 THEN NULL ELSE 'p/' || replace(p_brand, '#', '') END AS package, sha256(kind) AS digest,
+d AS (SELECT l_suppkey::INT AS position, l_partkey::INT AS ordinal, CASE WHEN p_size = 1 THEN NULL ELSE 'p/' || replace(p_brand, '#', '') END AS package, sha256(CASE WHEN l_partkey % 4 = 0 THEN p_brand ELSE kind END) AS digest,
   (52 + line)::INT AS major, (CASE WHEN l_partkey % 17 = 0 THEN 65535 ELSE 0 END)::INT AS minor, l_partkey AS part FROM g),
 classes AS (SELECT d.*, coalesce(package || '/', '') || 'C' || part AS internal_name, display, origin, wildcard_source FROM d JOIN entries USING (position))"""
 _TYPES = """types AS (SELECT 'C' || p_partkey AS name, CASE WHEN p_partkey >= 3 THEN 'C' || (p_partkey // 3) END AS super,
@@ -339,10 +339,7 @@ def baseline_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
 def canonical_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = b.findings(spark, sf_dir)
     f = f.withColumn("location", F.struct("artifact", "class_entry"))
-    from pyspark.sql import Window
-
-    ordered = results.canonical_order(f, "ordinal").withColumn("__id", F.monotonically_increasing_id())
-    return ordered.select("artifact", "code", "subject", "class_entry", "summary", F.row_number().over(Window.orderBy("__id")).cast("long").alias("place"))
+    return results.placed(f, "ordinal").select("artifact", "code", "subject", "class_entry", "summary", "place")
 
 
 @query(f"WITH {_FINDINGS} SELECT count(*) FILTER (severity = 'INFO') AS info, count(*) FILTER (severity = 'WARNING') AS warning, count(*) FILTER (severity = 'ERROR') AS error, count(*) AS total FROM findings")
