@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.session import durable
+from lodestar.session import Grown, durable
 
 #: Classes of one chain and interfaces of one closure at most.
 DEPTH = 256
@@ -83,10 +83,10 @@ def supertype_walk(types: DataFrame, wanted: DataFrame) -> DataFrame:
     """(start, names, resolved): all supertypes of each wanted name that resolves, over superclasses and interfaces, and whether every one of them resolves. No ceiling."""
     up = types.select("name", F.array_compact(F.array_append("interfaces", F.col("super"))).alias("above"))
     now = durable(wanted.select("name").where("name is not null").distinct().join(up, "name").select(F.col("name").alias("start"), "name", "above"))
-    found = now.select("start", "name", F.lit(True).alias("found"))
+    found = Grown(now.select("start", "name", F.lit(True).alias("found")))
     while not now.isEmpty():
-        ahead = now.select("start", F.explode("above").alias("name")).distinct().join(found, ["start", "name"], "left_anti")
+        ahead = now.select("start", F.explode("above").alias("name")).distinct().join(found.all(), ["start", "name"], "left_anti")
         ahead = durable(ahead.join(up, "name", "left").select("start", "name", "above", F.col("above").isNotNull().alias("found")))
-        found = durable(found.union(ahead.select("start", "name", "found")))
+        found.add(ahead.select("start", "name", "found"))
         now = ahead.where("found").select("start", "name", "above")
-    return found.groupBy("start").agg(F.array_sort(F.collect_set("name")).alias("names"), F.bool_and("found").alias("resolved"))
+    return found.all().groupBy("start").agg(F.array_sort(F.collect_set("name")).alias("names"), F.bool_and("found").alias("resolved"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lodestar.operators.hierarchy import interface_closure, superclass_chain
 from lodestar.operators.linkage import resolve_members
-from lodestar.session import durable
+from lodestar.session import Grown, durable
 
 DIRECT = ("INVOKE_STATIC", "INVOKE_SPECIAL", "METHOD_HANDLE")
 DISPATCHED = ("INVOKE_VIRTUAL", "INVOKE_INTERFACE")
@@ -25,12 +25,12 @@ CLINIT = "<clinit>()V"
 
 def closure_from(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(node): all nodes that ``roots(node)`` reach over ``edges(src, dst)``, roots included. Cycles end it as any other path does."""
-    found = durable(roots.select("node").where("node is not null").distinct())
-    fresh = found
+    fresh = durable(roots.select("node").where("node is not null").distinct())
+    found, edges = Grown(fresh), durable(edges.select("src", "dst"))
     while not fresh.isEmpty():
-        fresh = durable(edges.join(fresh, F.col("src") == F.col("node")).select(F.col("dst").alias("node")).where("node is not null").distinct().join(found, "node", "left_anti"))
-        found = durable(found.union(fresh))
-    return found
+        fresh = durable(edges.join(fresh, F.col("src") == F.col("node")).select(F.col("dst").alias("node")).where("node is not null").distinct().join(found.all(), "node", "left_anti"))
+        found.add(fresh)
+    return found.all()
 
 
 def probes(types: DataFrame, type_refs: DataFrame) -> DataFrame:
@@ -84,26 +84,27 @@ def reachable_methods(types: DataFrame, classes: DataFrame, member_refs: DataFra
     site_of = durable(calls.where(F.col("kind").isin(*DISPATCHED)).select("from_owner", "from_sig", F.col("owner").alias("site"), *member).distinct())
     into = durable(receivers.join(runs.withColumnRenamed("owner", "start"), ["start", *member]).select("start", "site", *member, "declarer", "sig"))
 
-    reached = durable(methods.distinct())
-    allocated = durable(application.select(F.col("internal_name").alias("type")).distinct())
-    open_sites = durable(site_of.select("site", *member).limit(0))
-    fresh, new_types = reached, allocated
+    fresh = durable(methods.distinct())
+    new_types = durable(application.select(F.col("internal_name").alias("type")).distinct())
+    reached, allocated, open_sites = Grown(fresh), Grown(new_types), Grown(durable(site_of.select("site", *member).limit(0)))
     while not (fresh.isEmpty() and new_types.isEmpty()):
         by = (F.col("from_owner") == fresh["owner"]) & (F.col("from_sig") == fresh["sig"])
-        now_sites = durable(site_of.join(fresh, by, "left_semi").select("site", *member).distinct().join(open_sites, ["site", *member], "left_anti"))
-        made_now = durable(allocates.join(fresh, by, "left_semi").select("type").distinct().join(allocated, "type", "left_anti"))
-        everyone = allocated.union(made_now)
+        now_sites = durable(site_of.join(fresh, by, "left_semi").select("site", *member).distinct().join(open_sites.all(), ["site", *member], "left_anti"))
+        made_now = durable(allocates.join(fresh, by, "left_semi").select("type").distinct().join(allocated.all(), "type", "left_anti"))
+        everyone = allocated.all().union(made_now)
         seeds = new_types.union(made_now).distinct()
         found = [
             edges.join(fresh.select(F.col("owner").alias("__o"), F.col("sig").alias("__s")), (F.col("from_owner") == F.col("__o")) & (F.col("from_sig") == F.col("__s")), "left_semi").select("owner", "sig"),
             made_now.join(starts, F.col("type") == F.col("start")).select("owner", "sig"),
             step(into.join(now_sites, ["site", *member], "left_semi").join(everyone, F.col("start") == F.col("type"), "left_semi")),
-            step(into.join(open_sites, ["site", *member], "left_semi").join(seeds, F.col("start") == F.col("type"), "left_semi")),
+            step(into.join(open_sites.all(), ["site", *member], "left_semi").join(seeds, F.col("start") == F.col("type"), "left_semi")),
         ]
-        fresh = durable(reduce(DataFrame.union, found).distinct().join(reached, ["owner", "sig"], "left_anti"))
-        reached, allocated, open_sites = durable(reached.union(fresh)), durable(everyone), durable(open_sites.union(now_sites))
+        fresh = durable(reduce(DataFrame.union, found).distinct().join(reached.all(), ["owner", "sig"], "left_anti"))
+        reached.add(fresh)
+        allocated.add(made_now)
+        open_sites.add(now_sites)
         new_types = made_now.limit(0)
-    return reached
+    return reached.all()
 
 
 def first_callers(types: DataFrame, classes: DataFrame, member_refs: DataFrame, type_refs: DataFrame, reached: DataFrame) -> dict[tuple[str, str], tuple[str, str]]:

@@ -7,6 +7,7 @@ import re
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
+from functools import reduce
 from pathlib import Path
 
 import pyarrow as pa
@@ -61,6 +62,21 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Grown:
+    """A table that grows by durable parts; a part is written once, and all of them together only now and then."""
+
+    def __init__(self, first: DataFrame, most: int = 8) -> None:
+        self.parts, self.most = [first], most
+
+    def add(self, part: DataFrame) -> None:
+        self.parts.append(part)
+        if len(self.parts) > self.most:
+            self.parts = [durable(self.all())]
+
+    def all(self) -> DataFrame:
+        return reduce(DataFrame.union, self.parts)
+
+
 def mapped(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], ddl: str) -> DataFrame:
     """``mapInArrow`` with the package shipped to the workers."""
     ship(df.sparkSession)

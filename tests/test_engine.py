@@ -276,3 +276,15 @@ def test_command_line(capsys, tmp_path):
     assert cli.main(["explain", "JP1001"]) == 0 and cli.main(["explain", "JP1O01"]) == 2 and "did you mean" in capsys.readouterr().err
     assert cli.main(["check"]) == 2 and cli.main(["nonsense"]) == 2 and cli.main(["check", "--application", str(j), "--target-java", "17", "--prune-stale"], spark=object()) == 2
     assert zipfile.is_zipfile(j)
+
+
+def test_baselines_hold_strings_and_whole_numbers_only(tmp_path):
+    sound = baseline.Baseline(17, "disabled", "all", "bundled:17", ("a",)).text()
+    assert baseline.parse(sound.replace("{", '{"more": [1, {"x": "y"}],', 1)).fingerprints == ("a",)
+    for more in ("true", "null", "[false]", "1.5", '{"x": null}'):
+        with pytest.raises(ValueError):
+            baseline.parse(sound.replace("{", f'{{"more": {more},', 1))
+    for n, text in enumerate(("one", "two")):
+        (tmp_path / f"{n}").write_text(text)
+    names = {platform.profile_identity(17, None, str(tmp_path / n)) for n in ("0", "1")}
+    assert len(names) == 2 and all(n.startswith("table:17:") for n in names) and platform.profile_identity(17) == "bundled:17"

@@ -67,6 +67,7 @@ def test_breakages_are_what_the_jvm_throws(spark, symbols, pairs):
         assert (r["code"], r["predicted_error"], r["severity"]) == (code, error, "ERROR"), name
         assert r["location"]["line"] == 1 and r["location"]["source_file"] == f"{main}.java"
         assert k.thrown([app, v2], main) == error, name
+        assert any(e.startswith("selected ") and str(v2) in e for e in r["evidence"]) == (code != "JP1001"), name
         assert k.thrown([app, v1], main) is None, name
     _, quiet = found(spark, symbols, [app], [v1])
     assert [r["code"] for r in quiet] == []
@@ -126,6 +127,38 @@ def test_nested_application(spark, symbols, tmp_path, pairs):
     assert {r["location"]["artifact"] for r in rows if r["code"] == "JP1003"} == {f"{boot}!/BOOT-INF/classes"}
 
 
+def test_nested_index_lies_beside_the_libraries(tmp_path):
+    from lodestar.sources.classpath import boot_layout, expand
+
+    names = ["BOOT-INF/classes/A.class"]
+    assert boot_layout({}, names) == {"classes": "BOOT-INF/classes/", "libraries": "BOOT-INF/lib/", "index": "BOOT-INF/classpath.idx"}
+    assert boot_layout({"spring-boot-lib": "app/jars"}, names) == {"classes": "BOOT-INF/classes/", "libraries": "app/jars/", "index": "app/classpath.idx"}
+    assert boot_layout({"spring-boot-classes": "c/", "spring-boot-lib": "l/"}, []) == {"classes": "c/", "libraries": "l/", "index": "classpath.idx"}
+    assert boot_layout({"spring-boot-lib": "l/"}, ["A.class"]) is None
+    inner = k.jar(tmp_path / "x.jar", None, {"X.class": b""}).read_bytes()
+    manifest = "Spring-Boot-Classes: c/\nSpring-Boot-Lib: l/\n"
+    app = k.jar(tmp_path / "app.jar", None, {"META-INF/MANIFEST.MF": manifest, "c/A.class": b"", "l/a.jar": inner, "l/b.jar": inner, "l/sub/c.jar": inner, "classpath.idx": '- "l/b.jar"\n'}, stored=True)
+    assert [e["display"].removeprefix(str(app)) for e in expand([str(app)], []).entries] == ["!/c", "!/l/b.jar", "!/l/a.jar", ""]
+
+
+def test_module_providers(spark, symbols, tmp_path):
+    sources = {
+        "module-info.java": "module m { exports p; provides p.S with p.Good, p.Made, p.Abs, p.Inst; }",
+        "p/S.java": "package p; public interface S {}", "p/Good.java": "package p; public class Good implements S {}",
+        "p/Made.java": "package p; public class Made { private Made() {} public static Good provider() { return new Good(); } }",
+        "p/Abs.java": "package p; public abstract class Abs implements S { public static Good provider() { return null; } }",
+        "p/Inst.java": "package p; public class Inst implements S { public Inst() {} }",
+    }
+    good = k.compiled(tmp_path / "good", sources)
+    broken = k.compiled(tmp_path / "bad", {"p/Inst.java": "package p; class Inst { Inst(int x) {} public static Wrong provider() { return null; } }", "p/Wrong.java": "package p; public class Wrong {}"})
+    shutil.copy(broken / "p/Inst.class", good / "p/Inst.class")
+    shutil.copy(broken / "p/Wrong.class", good / "p/Wrong.class")
+    (good / "p/Good.class").rename(tmp_path / "Good.class")
+    _, rows = found(spark, symbols, [k.jar(tmp_path / "m.jar", good)])
+    got = {r["subject"]: r["evidence"] for r in rows if r["code"] == "JP5003"}
+    assert got == {"p.Good": ["outside the module"], "p.Made": ["another type"], "p.Inst": ["another type", "not public", "no public constructor without arguments"], "p.Abs": ["abstract"]}
+
+
 def test_refused_runs(spark, symbols, tmp_path):
     with pytest.raises(RefusedRun):
         verify(spark, Request((str(tmp_path / "none.jar"),), release=k.RELEASE, symbol_table=symbols))
