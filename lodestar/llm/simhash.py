@@ -1,15 +1,16 @@
 """SimHash near-duplicate groups with bit-sliced comparison.
 
 Fingerprints are majority votes over the hashes of a document's word shingles. Equal fingerprints are one node (where
-similarity is asked for, equal sets of shingles). Nodes that may link meet in blocks of a block key; there the fingerprints lie vertically, bit plane by bit plane, and one
-fingerprint is compared with 64 others per machine word: each plane's XOR enters carry-save counters, and a part of the
-block is abandoned as soon as all its counters exceed the radius. Blocks give star links, never all pairs, and the
-links' components are the groups.
+similarity is asked for, equal sets of shingles). Nodes that may link meet in blocks of a block key; there the
+fingerprints lie vertically, bit plane by bit plane, and one fingerprint is compared with 64 others per machine word:
+each plane's XOR enters carry-save counters, and a part of the block is abandoned as soon as all its counters exceed the
+radius. Blocks give star links, never all pairs, and the links' components are the groups.
 
 Block keys: ``bands`` is exact. The fingerprint is cut into bands of which at most ``radius`` can differ; a key is a
 choice of bands that are equal. Blocks above ``BLOCK`` members are dealt again with twice as many bands, which leaves at most
 2**16 different fingerprints in one for 64 bits and a radius of 2. ``shingles`` takes minima of the shingle hashes
-instead, for radii at which no band is equal: documents that share most shingles share a minimum.
+instead, for radii at which no band is equal: documents that share most shingles share a minimum. Blocks that stay large
+under pairs of minima are worked on in shares (``split_links``), as are large groups whose texts are compared.
 """
 
 from __future__ import annotations
@@ -23,12 +24,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.llm.bloom import may_be_among, without
 from lodestar.llm.common import components, documents, durable, mapped, texts
 
 #: Members of a block that is compared without being dealt again.
 BLOCK = 2048
 #: Candidates compared at once, as machine words of 64.
 LANES = 512
+#: Texts of one candidate group that are compared in one task; larger groups are worked on in shares.
+SPLIT = 256
+#: Members of a share, and pivots that come to it.
+SHARE, PIVOTS = 192, 64
 
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 # The finalizer of the SplitMix64 generator.
@@ -350,30 +356,39 @@ def near_links(nodes: DataFrame, lanes: int, radius: int, how: str) -> DataFrame
     if large.isEmpty():
         return _compared(rows.select("key", "fp"), lanes, radius)
     cold = _compared(rows.join(large, "key", "left_anti").select("key", "fp"), lanes, radius)
-    return cold.union(_compared(_again(rows.join(large, "key", "left_semi"), lanes, radius, how), lanes, radius))
+    again = _again(rows.join(large, "key", "left_semi"), lanes, radius, how)
+    if how == "bands":
+        return cold.union(_compared(again, lanes, radius))
+    again = durable(again)
+    still = durable(again.groupBy("key").count().where(F.col("count") > BLOCK).select("key"))
+    links = cold.union(_compared(again.join(still, "key", "left_anti"), lanes, radius))
+    if still.isEmpty():
+        return links
+    rest = again.join(still, "key", "left_semi").select(F.col("key").alias("block"), F.col("fp").alias("node"), "fp", F.lit(None).cast("binary").alias("shingles"))
+    return links.union(split_links(rest, lanes, radius))
 
 
 def _with_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(key, node, fp, shingles) for ``wanted(doc_id, node, fp, keys)``: the sorted distinct shingles of each text, 32 bits each."""
+    """``wanted(doc_id, node, fp, keys, root)`` with ``shingles``: the sorted distinct shingle hashes of each text. Only texts that are wanted move."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, nodes, fps, sets = [], [], [], []
-            for x, node, fp, own in zip(batch.column("text").cast(pa.large_binary()), *(batch.column(c).to_pylist() for c in ("node", "fp", "keys"))):
+            nodes, keep, sets = batch.column("node").to_pylist(), [], []
+            for k, x in enumerate(batch.column("text").cast(pa.large_binary())):
                 h = np.unique(shingle_hashes(x.as_py(), words))
-                if set_digest(h) == node:  # rows may share an id
-                    keys += own
-                    nodes += [node] * len(own)
-                    fps += [fp] * len(own)
-                    sets += [np.unique((h >> np.uint64(32)).astype("<u4")).tobytes()] * len(own)
-            yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.int64()), "node": pa.array(nodes, pa.binary()), "fp": pa.array(fps, pa.binary()), "shingles": pa.array(sets, pa.binary())})
+                if set_digest(h) == nodes[k]:  # rows may share an id
+                    keep.append(k)
+                    sets.append(h.astype("<u8").tobytes())
+            kept = batch.select(["node", "fp", "keys", "root"]).take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(sets, pa.binary())], [*kept.schema.names, "shingles"])
 
-    return mapped(docs.join(wanted, "doc_id").select("text", "node", "fp", "keys"), run, "key long, node binary, fp binary, shingles binary")
+    read = docs.where(may_be_among(wanted, "doc_id", F.col("doc_id"))).join(wanted, "doc_id").select("text", "node", "fp", "keys", "root")
+    return mapped(read, run, "node binary, fp binary, keys array<long>, root long, shingles binary").dropDuplicates(["root", "node"])
 
 
 def _alike(a: bytes, b: bytes, similarity: float) -> bool:
     """Whether two sets of shingles share so much of their union."""
-    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
     if min(len(x), len(y)) < similarity * max(len(x), len(y)):
         return False
     both = len(np.intersect1d(x, y, assume_unique=True))
@@ -381,7 +396,7 @@ def _alike(a: bytes, b: bytes, similarity: float) -> bool:
 
 
 def _verified(rows: DataFrame, lanes: int, radius: int, similarity: float) -> DataFrame:
-    """Links (a, b) of nodes in the blocks of ``rows(key, node, fp, shingles)`` whose texts are as similar as wanted."""
+    """Links (a, b) of nodes in the groups of ``rows(root, node, fp, shingles)`` whose texts are as similar as wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, nodes, fps, sets = np.zeros(0, np.int64), [], [], []
@@ -394,7 +409,7 @@ def _verified(rows: DataFrame, lanes: int, radius: int, similarity: float) -> Da
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key = np.append(key, batch.column("key").to_numpy())
+            key = np.append(key, batch.column("root").to_numpy())
             nodes += batch.column("node").to_pylist()
             fps += batch.column("fp").to_pylist()
             sets += batch.column("shingles").to_pylist()
@@ -405,7 +420,92 @@ def _verified(rows: DataFrame, lanes: int, radius: int, similarity: float) -> Da
         if len(key):
             yield links(len(key))
 
-    return mapped(rows.repartition("key").sortWithinPartitions("key"), run, "a binary, b binary")
+    return mapped(rows.select("root", "node", "fp", "shingles").repartition("root").sortWithinPartitions("root"), run, "a binary, b binary")
+
+
+def pivot_links(pivot: list[bool], comp: list[bytes], fp: np.ndarray, radius: int, same: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
+    """Links of the pivots among some rows with the other rows that are near them, as far as they join what ``comp`` does not join already."""
+    up: dict = {}
+
+    def root(x):
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    out, lots = [], planes(fp)
+    for p in np.flatnonzero(pivot).tolist():
+        flip = _flips(fp[p])
+        for x in _rows(near(lambda k: lots[k] ^ flip[k], len(lots), len(fp), radius)).tolist():  # noqa: B023
+            a, b = root(comp[x]), root(comp[p])
+            if a != b and (same is None or same(x, p)):
+                up[a] = b
+                out.append((x, p))
+    return out
+
+
+def _met(rows: DataFrame, named: DataFrame, picked: DataFrame, lanes: int, radius: int, similarity: float | None) -> DataFrame:
+    """Links (a, b) of the ``picked(block, node, group, groups)`` pivots with all members of their blocks, each share of members with each group of pivots."""
+    few = picked.select("block", "groups").distinct()
+    shares = F.ceil(F.count("*") / SHARE).cast("int").alias("shares")
+    sized = few.join(named.groupBy("block").agg(shares), "block")
+    own = rows.join(named, ["block", "node"])
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cols = ["comp", "node", "fp", "shingles"]
+    members = own.join(sized, "block").select("block", each("groups").alias("group"), F.pmod(F.xxhash64("node"), F.col("shares")).cast("int").alias("share"), F.lit(False).alias("pivot"), *cols)
+    pivots = own.join(picked.drop("groups"), ["block", "node"]).join(sized, "block").select("block", "group", each("shares").alias("share"), F.lit(True).alias("pivot"), *cols)
+    dealt = members.union(pivots).select(F.xxhash64("block", "group", "share").alias("key"), "pivot", *cols)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def links() -> pa.RecordBatch:
+            pivot, comp, nodes, fps, sets = zip(*held)
+            same = None if similarity is None else lambda x, y: _alike(sets[x], sets[y], similarity)
+            found = pivot_links(list(pivot), list(comp), np.frombuffer(b"".join(fps), ">u8").astype(np.uint64).reshape(-1, lanes), radius, same)
+            return pa.RecordBatch.from_pydict({"a": pa.array([nodes[x] for x, _ in found], pa.binary()), "b": pa.array([nodes[y] for _, y in found], pa.binary())})
+
+        for batch in batches:
+            for key, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "pivot", *cols))):
+                if key != now and held:
+                    yield links()
+                    held = []
+                now = key
+                held.append(row)
+        if held:
+            yield links()
+
+    return mapped(dealt.repartition("key").sortWithinPartitions("key"), run, "a binary, b binary")
+
+
+def split_links(rows: DataFrame, lanes: int, radius: int, similarity: float | None = None, links: DataFrame | None = None, rounds: int | None = None) -> DataFrame:
+    """Links (a, b) that connect, block by block of ``rows(block, node, fp, shingles)``, all nodes that are near enough, however large a block is.
+
+    Some pivots of a block meet all its members, in shares of bounded size. What then belongs to the block's largest
+    component needs no more links inside it; of the rest more pivots are taken, four times as many each round, until no
+    node of it has not met all others. ``links`` are known already; ``rounds`` ends it early.
+    """
+    rows = durable(rows)
+    found, settled, k = links, None, 0
+    while rounds is None or k < rounds:
+        own = rows.select("block", "node")
+        named = own.withColumn("comp", F.col("node")) if found is None else own.join(components(found), "node", "left").select("block", "node", F.coalesce("root", "node").alias("comp"))
+        named = durable(named)
+        main = named.groupBy("block", "comp").count().groupBy("block").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
+        rest = named.join(main, "block").where("comp <> main").select("block", "node")
+        rest = durable(rest if settled is None else rest.join(settled, ["block", "node"], "left_anti"))
+        if rest.isEmpty():
+            break
+        most = F.lit(PIVOTS * 4**k)
+        waiting = rest.groupBy("block").agg(F.count("*").alias("n"))
+        picked = rest.join(waiting, "block").where(F.pmod(F.xxhash64("node", F.lit(k)), F.col("n")) < most)
+        picked = picked.withColumn("groups", F.ceil(F.least("n", most) / PIVOTS).cast("int"))
+        picked = durable(picked.select("block", "node", F.pmod(F.xxhash64("node"), F.col("groups")).cast("int").alias("group"), "groups"))
+        now = _met(rows, named, picked, lanes, radius, similarity)
+        found = durable(now if found is None else found.union(now))
+        met = picked.select("block", "node")
+        settled = met if settled is None else settled.union(met)
+        k += 1
+    return found
 
 
 def similar_links(docs: DataFrame, prints: DataFrame, words: int, lanes: int, radius: int, similarity: float) -> DataFrame:
@@ -413,15 +513,32 @@ def similar_links(docs: DataFrame, prints: DataFrame, words: int, lanes: int, ra
 
     Links by fingerprint alone come first; equal fingerprints of different sets need none. Only the texts of their
     components are read again, one for each set, and compared inside the component: by bit planes, and where those are
-    near enough by their sets.
+    near enough by their sets. A component of more than ``SPLIT`` sets is split: pivots meet all of it in shares, and what
+    they leave apart meets in blocks of shingle minima, again in shares.
     """
     nodes = prints.where("doc_id is not null")
     near = components(near_links(nodes.select("fp", "keys").distinct(), lanes, radius, "shingles"))
-    low = nodes.groupBy("node", "fp").agg(F.min("doc_id").alias("doc_id"))
+    low = nodes.groupBy("node", "fp", "keys").agg(F.min("doc_id").alias("doc_id"))
     shared = low.groupBy("fp").count().where(F.col("count") > 1).select("fp", F.col("fp").alias("root"))
     roots = near.withColumnRenamed("node", "fp").union(shared.join(near.select(F.col("node").alias("fp")), "fp", "left_anti"))
-    wanted = roots.join(low, "fp").select("doc_id", "node", "fp", F.array(F.xxhash64("root")).alias("keys"))
-    return _verified(_with_sets(docs, durable(wanted), words).dropDuplicates(["key", "node"]), lanes, radius, similarity)
+    wanted = durable(roots.join(low, "fp").select("doc_id", "node", "fp", "keys", F.xxhash64("root").alias("root")))
+    large = durable(wanted.groupBy("root").count().where(F.col("count") > SPLIT).select("root"))
+    if large.isEmpty():
+        return _verified(_with_sets(docs, wanted, words), lanes, radius, similarity)
+    links = _verified(_with_sets(docs, wanted.join(large, "root", "left_anti"), words), lanes, radius, similarity)
+    rows = durable(_with_sets(docs, durable(wanted.join(large, "root", "left_semi")), words))
+    some = split_links(rows.select(F.col("root").alias("block"), "node", "fp", "shingles"), lanes, radius, similarity, rounds=1)
+    spots = F.posexplode("keys").alias("at", "key")
+    blocks = rows.select("root", "node", "fp", "shingles", spots).select(F.xxhash64("root", "at", "key").alias("block"), "node", "fp", "shingles")
+    return links.union(split_links(_open_blocks(blocks, some), lanes, radius, similarity, links=some))
+
+
+def _open_blocks(blocks: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows of blocks whose nodes the links do not all connect."""
+    roots = components(links)
+    named = blocks.select("block", "node").join(roots, "node", "left").select("block", F.coalesce("root", "node").alias("comp"))
+    several = named.groupBy("block").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("block")
+    return blocks.join(several, "block", "left_semi")
 
 
 def groups(docs: DataFrame, words: int = 3, radius: int = 2, lanes: int = 1, minima: int = 0, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -450,3 +567,10 @@ def groups(docs: DataFrame, words: int = 3, radius: int = 2, lanes: int = 1, min
     named = durable(low.join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root")))
     least = named.groupBy("root").agg(F.min("low").alias("component_id"))
     return prints.select("doc_id", "fp", "node").join(named.join(least, "root").select("node", "component_id"), "node").select("doc_id", "fp", "component_id")
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of ``docs`` as they are, of each group (see ``groups``, which takes ``how``) those with the smallest id; rows without an id stay."""
+    found = groups(docs, id_col=id_col, text_col=text_col, **how)
+    gone = durable(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(id_col)).distinct())
+    return without(docs, gone, id_col)

@@ -13,10 +13,11 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestar.llm import bloom, common, kdtree, notices, packing, queries, repeats, simhash
+from lodestar.llm import bloom, chat, common, kdtree, notices, packing, queries, repeats, simhash
 from lodestar.llm.attribution import attribute, encoding, line_sections, section_tokens
 from lodestar.llm.chat import rotate_perspectives
 from lodestar.llm.common import components
+from lodestar.llm import decontaminate as decontamination
 from lodestar.llm.decontaminate import SeedTable, decontaminate, find_leaks
 from lodestar.llm.kdtree import top_k
 from lodestar.llm.lines import dedup_lines
@@ -132,7 +133,8 @@ def test_word_encoder_equals_a_fresh_tokenizer():
 def test_packed_documents(spark):
     rng = random.Random(4)
     rows = ODD + [(k, words(rng, rng.choice([1, 5, 300, 6000]), 9000), "en") for k in range(10, 60)]
-    out = packing.pack_documents(frame(spark, rows), P.path("word_bpe_49k.json"), 1000, ids=True).collect()
+    clash = frame(spark, [(*r, 1, 2) for r in rows], DOCS + ", piece int, salt int")
+    out = packing.pack_documents(clash, P.path("word_bpe_49k.json"), 1000, ids=True).collect()
     enc = packing.WordEncoder(P.path("word_bpe_49k.json"))
     want = Counter()
     for i, t, _ in rows:
@@ -228,9 +230,13 @@ def test_near_groups_by_shingle_minima(spark):
     assert {r["doc_id"]: r["component_id"] for r in out} == {i: i // 10 * 10 for i, _, _ in rows}
 
 
-@pytest.mark.parametrize("block", [2048, 3])
-def test_similar_groups_are_exact(spark, monkeypatch, block):
+@pytest.mark.parametrize("block,split", [(2048, 256), (3, 256), (2048, 4), (3, 4)])
+def test_similar_groups_are_exact(spark, monkeypatch, block, split):
     monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "SPLIT", split)
+    if split == 4:
+        monkeypatch.setattr(simhash, "SHARE", 3)
+        monkeypatch.setattr(simhash, "PIVOTS", 1)
     rng = random.Random(14)
     rows = [(None, "no id here at all, but words", "en"), (500, "", "en"), (501, None, "en")]
     for k in range(6):
@@ -273,6 +279,55 @@ def test_equal_fingerprints_of_different_texts_are_compared(spark):
     assert {frozenset((bytes(r["a"]), bytes(r["b"]))) for r in links} == {frozenset((nodes[i], nodes[i + 1])) for i in range(0, 10, 2)}
 
 
+def test_shares_connect_what_is_near(spark, monkeypatch):
+    """Chains, far apart clusters and single nodes of two blocks, against all pairs."""
+    monkeypatch.setattr(simhash, "SHARE", 4)
+    monkeypatch.setattr(simhash, "PIVOTS", 2)
+    rng = np.random.default_rng(6)
+    fp = rng.integers(0, 2**64, (60, 2), dtype=np.uint64)
+    for k in range(1, 60):
+        if k % 12:  # each twelve a chain of steps of 9 bits, of which only neighbours are near
+            fp[k] = fp[k - 1]
+            for bit in range(9 * (k % 12), 9 * (k % 12) + 9):
+                fp[k, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    order = rng.permutation(60)
+    block = (np.arange(60) >= 36).astype(int)
+    rows = [(int(block[k]), bytes([k]), fp[k].astype(">u8").tobytes(), None) for k in order.tolist()]
+    links = simhash.split_links(frame(spark, rows, "block long, node binary, fp binary, shingles binary"), 2, 10).collect()
+    got = groups_of([(r["a"][0], r["b"][0]) for r in links], 60)
+    far = np.bitwise_count(fp[:, None] ^ fp[None]).sum(2)
+    assert got == groups_of(zip(*(x.tolist() for x in np.nonzero((far <= 10) & (block[:, None] == block[None])))), 60) and len(set(got)) == 5
+
+
+def test_one_document_of_each_group_stays(spark):
+    rows = [(3, "a b c d e f g", "en"), (2, "A b c d e f g", "de"), (2, "A b c d e f g", "fr"), (None, "a b c d e f g", "en"), (4, None, "en"), (5, "", "en"), (6, "other words that are here alone", "en")]
+    docs = frame(spark, [(*r, 1) for r in rows], DOCS + ", gone int")
+    got = simhash.one_of_each_group(docs, **corpus_pipeline.NEAR)
+    assert got.columns == docs.columns
+    assert Counter((r["doc_id"], r["lang"]) for r in got.collect()) == Counter([(2, "de"), (2, "fr"), (None, "en"), (4, "en"), (6, "en")])
+
+
+# helpers
+
+
+def test_prefix_sums(spark, monkeypatch):
+    monkeypatch.setattr(common, "RANGE", 8)
+    rows = [(k % 3, k * 37 % 101 - 20, k) for k in range(60)] + [(7, -5, 2)]
+    got = common.prefix_sums(frame(spark, rows, "key int, at long, total long"), ["key"], "at", F.col("total"), "base").collect()
+    assert {(r["key"], r["at"], r["base"]) for r in got} == {(a, b, sum(z for x, y, z in rows if x == a and y < b)) for a, b, _ in rows}
+    assert common.unused(["a", "A_", "b"], "a", "b", "c") == ["a__", "b_", "c"]
+
+
+def test_rows_of_other_ids_are_told(spark):
+    rng = random.Random(18)
+    ids = [rng.randrange(10**6) for _ in range(3000)]
+    docs = frame(spark, [(x, "t", "en") for x in [*ids[:500], *range(-600, 0), None]])
+    maybe = {r["doc_id"] for r in docs.where(bloom.may_be_among(frame(spark, [(x,) for x in ids], "x long"), "x", F.col("doc_id"))).collect()}
+    assert set(ids[:500]) <= maybe and None not in maybe and len(maybe) < 520
+    assert docs.where(bloom.may_be_among(frame(spark, [(None,)], "x long"), "x", F.col("doc_id"))).where("doc_id is null").count() == 1
+    assert bloom.without(docs, frame(spark, [(ids[0],), (None,)], "doc_id long"), "doc_id").count() == docs.count() - ids[:500].count(ids[0])
+
+
 # Bloom filters and lines
 
 
@@ -309,10 +364,10 @@ def test_lines(spark):
     rng = random.Random(6)
     pool = [f"  A Line number {k} with Text enough " for k in range(12)] + ["short", "", "éééééééééééééééééééé", "ÉÉÉÉÉÉÉÉÉÉÉÉÉÉÉÉÉÉÉÉ", "kkkkkkkkkkkkkkkkkkkK\r", "\tTAB and more than twenty\x0b"]
     rows = ODD + [(k, "\n".join(rng.choice(pool) if rng.random() < 0.7 else words(rng, 8) for _ in range(rng.randrange(9))), "en") for k in range(10, 60)] + [(5, "same line of more than twenty", "x"), (None, pool[0], "y")]
-    clash = frame(spark, [(*r, 7, "kept?") for r in rows], DOCS + ", n_lines int, key string")
+    clash = frame(spark, [(*r, 7, "kept?", 1, 2, 3) for r in rows], DOCS + ", n_lines int, key string, __id int, id int, drops int")
     out = dedup_lines(clash)
     assert Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in out.collect()) == plain_lines(rows)
-    assert {"lang", "key"} <= set(out.columns)
+    assert {"lang", "key", "__id", "id", "drops"} <= set(out.columns)
     assert dedup_lines(frame(spark, [])).count() == 0
 
 
@@ -351,6 +406,39 @@ def test_every_exact_place_is_found(spark):
     assert scan_notices(frame(spark, rows), (Notice("x", "no such phrase at all", 1),)).where(F.size("spans") > 0).count() == 0
 
 
+def test_inexact_places_against_all_substrings():
+    """Every run of words within the edits is a span or meets one, and no span has more edits than it says."""
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rng = random.Random(24)
+    met = 0
+    for phrase, e in (("abc de", 1), ("abc de fg", 2), ("mit license here", 3)):
+        search = notices._Search(Notice("x", phrase, e))
+        for _ in range(150):
+            w = []
+            for _ in range(rng.randrange(1, 6)):
+                near = list(phrase)
+                for _ in range(rng.randrange(e + 2)):
+                    at = rng.randrange(len(near))
+                    near[at : at + rng.randrange(2)] = rng.choice(["", "q", "z", " "])
+                w += "".join(near).split() + rng.choice([[], ["no"], ["abc"], ["de", "x"]])
+            text = " ".join(w).encode()
+            spots = [0, *(k + 1 for k, c in enumerate(text) if c == 32)]
+            want = [(a, z, d) for a in spots for z in (*(s - 1 for s in spots[1:]), len(text)) if 0 < z - a <= len(phrase) + e and (d := edits(text[a:z], phrase.encode())) <= e]
+            got = search.places(text)
+            assert {(a, z) for a, z, d in want} >= {(a, z) for a, z, _ in got} and all(dict(((a, z), d) for a, z, d in want)[a, z] <= k <= e for a, z, k in got)
+            assert all(any(a < z2 and a2 < z for a2, z2, _ in got) for a, z, _ in want), (text, phrase)
+            met += len(want)
+    assert met > 300
+
+
 # chat
 
 
@@ -366,26 +454,46 @@ def test_perspectives(spark):
     assert [text[m["from"] : m["to"]] for r in parts for m in r["mask"]] == ["first<|end|>\n", "hi<|end|>\n"]
 
 
+TURNS = "conv_id long, turn long, role string, text string"
+
+
 def test_long_conversations_come_in_parts(spark):
     turns = [(1, k, "ab"[k % 2], f"t{k}") for k in range(200)] + [(1, 70, "a", f"z{k}") for k in range(600)]
-    out = rotate_perspectives(frame(spark, turns, "conv_id long, turn long, role string, text string")).where("perspective = 'a'").orderBy("part").collect()
-    assert [r["part"] for r in out] == list(range(len(out))) and max(r["n_turns"] for r in out) < 400
+    out = rotate_perspectives(frame(spark, turns, TURNS)).where("perspective = 'a'").orderBy("part").collect()
+    assert [r["part"] for r in out] == list(range(len(out))) and max(r["n_turns"] for r in out) <= 256
     whole = "".join(r["text"] for r in out)
     assert [r["start_char"] for r in out] == [sum(len(x["text"]) for x in out[:k]) for k in range(len(out))]
     said = [whole[m["from"] : m["to"]] for r in out for m in r["mask"]]
     assert len(said) == 700 and all(s[0] in "tz" for s in said) and len(re.findall(r"<\|user:b\|>", whole)) == 100
-    assert rotate_perspectives(frame(spark, [], "conv_id long, turn long, role string, text string")).count() == 0
+    assert rotate_perspectives(frame(spark, [], TURNS)).count() == 0
+
+
+@pytest.mark.parametrize("rows", [255, 256, 257, 513])
+def test_turns_of_one_number_keep_their_order_at_every_size(spark, rows):
+    turns = [(1, 5, "a", f"m{k:03}") for k in range(rows)]
+    out = rotate_perspectives(frame(spark, turns[::-1], TURNS).repartition(3)).orderBy("part").collect()
+    assert [r["n_turns"] for r in out] == [256] * (rows // 256) + [rows % 256] * (rows % 256 > 0)
+    assert re.findall(r"m\d+", "".join(r["text"] for r in out)) == [x[3] for x in turns]
 
 
-def test_long_conversations_equal_the_sql(spark, tmp_path):
+@pytest.mark.parametrize("sent", [10_000, 0])
+def test_long_conversations_equal_the_sql(spark, tmp_path, monkeypatch, sent):
     duckdb = pytest.importorskip("duckdb")
+    monkeypatch.setattr(chat, "SENT_BLOCKS", sent)
+    monkeypatch.setattr(common, "RANGE", 3)
+    rng = random.Random(19)
     turns = [(1, k, "ab"[k % 2], f"t{k}") for k in range(150)] + [(1, 70, "ab"[k % 2], f"z{k}") for k in range(600)] + [(2, 0, "a", "x")]
-    frame(spark, turns, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    turns += [(3, 9, "a", "same")] * 700 + [(3, 9, "a", "same!"), (3, None, None, None), (3, -70, "c", "early")]
+    turns += [(None, rng.choice([None, -1, 3, 64, 900]), rng.choice("abc"), rng.choice([None, "", "é日本", "q"])) for _ in range(700)]
+    turns += [(4, rng.randrange(300), rng.choice(["a", "system", None]), f"v{rng.randrange(9)}") for _ in range(1500)] + [(5, 1, "system", "alone")]
+    clash = spark.createDataFrame([(*x, 7, "y") for x in turns], TURNS + ", block int, part string").coalesce(1)
+    clash.write.parquet(f"{tmp_path}/conversations.parquet")
     db = duckdb.connect()
     db.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
     rel = db.execute(queries.ORACLE_SQL["op4_chat"])
     cols = [d[0] for d in rel.description]
-    assert sorted(map(tuple, queries.op4_chat(spark, str(tmp_path)).select(cols).collect())) == sorted(rel.fetchall())
+    key = lambda r: tuple((x is not None, x) for x in r)
+    assert sorted(map(tuple, queries.op4_chat(spark, str(tmp_path)).select(cols).collect()), key=key) == sorted(rel.fetchall(), key=key)
 
 
 # decontamination
@@ -443,6 +551,37 @@ def test_every_passage_of_the_rule_is_found():
     assert SeedTable([(7, " ".join(item))], 13, 0.8).leaks([" ".join(copy).encode()]) == [(0, 7, 0, 16, 14)]
 
 
+def test_repeated_words_and_phrases_are_bounded(monkeypatch):
+    import time
+
+    rng = random.Random(21)
+    item = "word " * 200 + words(rng, 30, 5000) + " word" * 170
+    table = SeedTable([(7, item), (8, "a b " * 100)], 13, 0.8)
+    began = time.process_time()
+    got = table.leaks([b"word " * 20_000, b"a b " * 10_000, (words(rng, 500, 5000) + " ").encode() * 20])
+    assert time.process_time() - began < 2
+    assert [(t, i, n) for t, i, *_, n in got] == [(0, 7, 370), (1, 8, 200)]
+    # listing and marking find the same
+    bag = ["x", "y", "x y", "z z z", *words(rng, 4).split()]
+    items = [(k, " ".join(rng.choice(bag) for _ in range(rng.randrange(1, 40)))) for k in range(12)]
+    block = [" ".join(rng.choice(bag) for _ in range(rng.randrange(60))).encode() for _ in range(40)]
+    table = SeedTable(items, 13, 0.8)
+    listed = table.leaks(block)
+    monkeypatch.setattr(decontamination, "HITS", 0)
+    monkeypatch.setattr(decontamination, "COMPARED", 64)
+    assert table.leaks(block) == listed and len(listed) > 20
+
+
+def test_leaks_of_repeated_rows_and_clashing_names(spark):
+    text = words(random.Random(22), 40, 2000)
+    rows = [(1, text, 5), (1, text, 5), (1, "lead " + text, 6), (None, text, 7), (2, None, 8), (3, "clean", 9), (3, "clean", 9)]
+    docs = frame(spark, rows, "doc_id long, text string, item_id int")
+    bench = frame(spark, [(7, text), (7, text), (8, text), (None, text)], "item_id long, text string")
+    got = sorted(map(tuple, find_leaks(docs, bench).collect()), key=str)
+    assert got == sorted([(d, i, 0, 40, 40) for d in (1, None) for i in (7, 8)], key=str)
+    assert Counter(map(tuple, decontaminate(docs, bench).collect())) == Counter([(2, None, 8), (3, "clean", 9), (3, "clean", 9)])
+
+
 # quality
 
 
@@ -462,6 +601,36 @@ def test_quality_ranks_held_out_rows(spark):
     assert score_quality(docs.limit(0), model).count() == 0
     one = fit_pairs(np.ones((4, 3)), np.ones(4, int))
     assert (one.scores(np.zeros((2, 3))) > 0.3).all()
+    assert (score_quality(docs, fit_quality(docs.limit(0), labels)).where("score < 0.3").count()) == 0
+    twice = fit_quality(docs.union(docs).repartition(7), labels.union(labels).withColumn("text", F.lit(1)))
+    assert np.allclose(twice.weights, model.weights, atol=1e-3)
+
+
+def test_quality_learns_from_words(spark):
+    """Texts that differ by their words alone, of the same lengths and counts."""
+    rng = random.Random(23)
+    pools = {1: [f"ab{k:03}" for k in range(0, 300)], 0: [f"cd{k:03}" for k in range(0, 300)]}
+    rows = [(k, " ".join(rng.choice(pools[k % 2] if rng.random() < 0.3 else pools[rng.randrange(2)]) for _ in range(60)), "en") for k in range(600)]
+    labels = frame(spark, [(k, k % 2) for k in range(400)], "doc_id long, quality int")
+    docs = frame(spark, rows)
+    got = {r["doc_id"]: r["score"] for r in score_quality(docs, fit_quality(docs, labels)).collect()}
+    pairs = [got[a] > got[b] for a in range(401, 600, 2) for b in range(400, 600, 2)]
+    assert np.mean(pairs) > 0.95
+
+
+def test_pair_weights_equal_an_independent_fit():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 6))
+    y = (x @ np.array([1.0, -2, 0, 0.5, 0, 1]) + rng.normal(size=400) > 0).astype(int)
+    model = fit_pairs(x, y, pairs=3000, ridge=3.0)
+    z = np.clip((x - x.mean(0)) / x.std(0), -6, 6)
+    z = np.concatenate([z, z * z], 1)
+    draw = np.random.default_rng(7)
+    up, down = draw.choice(np.flatnonzero(y == 1), 3000), draw.choice(np.flatnonzero(y == 0), 3000)
+    d, w = z[up] - z[down], np.zeros(12)
+    for _ in range(20_000):  # plain gradient ascent on the loss of explicit differences
+        w += 2e-4 * (d.T @ (1 / (1 + np.exp(d @ w))) - 3.0 * w)
+    assert np.allclose(model.weights, w, atol=2e-3)
 
 
 # tokens
@@ -497,6 +666,34 @@ def test_tokens_per_section(spark):
     assert section_tokens(frame(spark, []), str(path), P.PATTERN).count() == 0
 
 
+@pytest.mark.parametrize("rule", ["first", "last", "most"])
+def test_tokens_of_sections_from_a_table(spark, rule):
+    path = str(P.path("byte_bpe_50k.tiktoken"))
+    enc, sizes = encoding(path, P.PATTERN)
+    rng = random.Random(25)
+    rows = [(k, words(rng, rng.randrange(1, 30)) + "é 日本", "en") for k in range(12)] + [(3, "another text of the same id", "de"), (None, "no id", "en"), (50, None, "en"), (51, "", "en"), (52, "without sections", "en")]
+    table = [(k, *sorted((rng.randrange(60), rng.randrange(60)))) for k in [*range(12), 50, 51, 99] for _ in range(4)] + [(3, 0, 10), (3, 0, 10), (4, None, 5), (None, 0, 3)]
+    sections = frame(spark, [(*x, "kind") for x in table], "doc_id long, start long, end long, text string")
+    docs = frame(spark, [(*r, 5) for r in rows], DOCS + ", sections int")
+    got = Counter(map(tuple, section_tokens(docs, path, P.PATTERN, rule, sections=sections).collect()))
+    want = Counter()
+    for i, t, _ in rows:
+        own = sorted({(a, z) for d, a, z in table if d == i and i is not None and a is not None})
+        ends = np.cumsum(sizes[enc.encode_ordinary(t or "")]).tolist()
+        tally = Counter()
+        for a, z in zip([0, *ends], ends):
+            held = [max(0, min(z, e) - max(a, s)) for s, e in own]
+            if rule == "most":
+                mine = [held.index(max(held))] if held and max(held) else []
+            else:
+                mine = [k for k, (s, e) in enumerate(own) if s <= (a if rule == "first" else z - 1) < e]
+            for k in mine:
+                tally[k, "n"] += 1
+                tally[k, "over"] += held[k] < z - a
+        want.update((i, k, s, e, tally[k, "n"], tally[k, "over"]) for k, (s, e) in enumerate(own))
+    assert got == want and sum(got.values()) > 40
+
+
 # top-k
 
 
@@ -508,7 +705,7 @@ def test_top_k(spark, monkeypatch, shard, big):
     scale = 1e6 if big else 1.0
     vectors = [(k, (rng.normal(size=4) * scale if k % 4 else np.array([1.0, -0.5, 0.25, 0.0]) * scale).astype(np.float32).tolist()) for k in range(300)]
     odd = [(400, None), (420, [1.0, None, 0.0, 0.0]), (440, [float("nan")] * 4), (460, [float("inf")] * 4), (None, [9.0] * 4), (480, [1.0])]
-    df = frame(spark, vectors + odd, "vec_id long, embedding array<float>")
+    df = frame(spark, [(*r, 1, 2) for r in vectors + odd], "vec_id long, embedding array<float>, id int, shard int")
     got = {}
     for r in top_k(df, F.col("vec_id") % 20 == 0, 7).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
@@ -533,6 +730,33 @@ def test_top_k_keeps_repeated_rows(spark, monkeypatch):
         assert sorted(got[q]) == [(n + 1, j, -s) for n, (s, j) in enumerate(pairs)]
 
 
+def test_one_vector_of_another_length_changes_nothing(spark):
+    rows = [(k, [float(k % 7), float(k % 5)]) for k in range(100)]
+    want = sorted(map(tuple, top_k(frame(spark, rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 3).collect()))
+    got = top_k(frame(spark, [*rows, (100, [1.0, 2.0, 3.0]), (101, [])], "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 3)
+    assert sorted(map(tuple, got.collect())) == want and len(want) == 15
+    none = frame(spark, [(k, []) for k in range(0, 60, 20)], "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, top_k(none, F.col("vec_id") == 20, 3).collect())) == [(20, 1, 0, 0), (20, 2, 40, 0)]
+
+
+def test_cells_keep_far_queries_away(spark, monkeypatch):
+    """Clusters far apart: the boxes of other cells cannot beat the kth score, and ties keep their order."""
+    monkeypatch.setattr(kdtree, "SHARD", 100)
+    rng = np.random.default_rng(8)
+    centre = np.array([[9, 0, 0], [-9, 0, 0], [0, 9, 0], [0, -9, 0]], float)
+    rows = [(k, (centre[k % 4] + rng.integers(-1, 2, 3) / 4).tolist()) for k in range(800)]
+    points = np.array([[int(64 * x) for x in v] for _, v in rows])
+    cut = kdtree.Splits(points, 8)
+    low, high = (np.array([f(points[cut.of(points) == c], 0) for c in range(cut.cells)]) for f in (np.min, np.max))
+    assert cut.cells == 8 and (kdtree._bounds(points[:1], low, high) < int(np.sort(points @ points[0])[-21])).sum() >= 4
+    got = {}
+    for r in top_k(frame(spark, rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 20).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    for q in range(0, 800, 20):
+        pairs = sorted((-int(s), j) for j, s in enumerate(points @ points[q]) if j != q)[:20]
+        assert sorted(got[q]) == [(n + 1, j, -s) for n, (s, j) in enumerate(pairs)]
+
+
 # repeats
 
 
@@ -566,7 +790,8 @@ def test_repeats(spark, monkeypatch, length, hot):
     pool = [words(rng, 40) for _ in range(5)] + ["ab" * 90, "q" * 300, "ÄÖ日本" * 40]
     rows = [(1, None, "en"), (2, "", None), (None, pool[0], "en"), (4, pool[1], "de"), (4, pool[1], "de"), (5, "x" * 3000, "fr")]
     rows += [(k, " ".join(rng.choice(pool)[rng.randrange(30) :] if rng.random() < 0.5 else words(rng, 30, 3000) for _ in range(rng.randrange(6))), "en") for k in range(10, 60)]
-    docs = frame(spark, [(*r, 1) for r in rows], DOCS + ", n_bytes int").repartition(5)
+    extra = ", ".join(f"{c} int" for c in ("n_bytes", "doc", "tag", "marks", "__doc", "id", "body"))
+    docs = frame(spark, [(*r, *[1] * 7) for r in rows], f"{DOCS}, {extra}").repartition(5)
     out = repeats.dedup_repeats(docs, length).collect()
     assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in out) == plain_repeats(rows, length)
     assert all(sum(z - a for a, z in r["spans"]) == r["n_removed"] for r in out)
@@ -576,6 +801,29 @@ def test_repeats(spark, monkeypatch, length, hot):
 def test_run_index_is_compressed_on_repetitive_text():
     piece = words(random.Random(1), 20).encode()
     index = repeats.RunIndex([piece] * 50)
-    assert index.runs < len(index.text) / 10
-    rank = np.arange(len(index.text))
-    assert index.repeated(len(piece), rank).sum() == 49
+    assert index.runs < index.length / 10
+    assert len(index.repeated(len(piece), lambda p: p)) == 49
+    for n in (50, 500):  # what is kept grows with the runs, not with the text
+        rng = random.Random(n)
+        long = repeats.RunIndex([words(rng, 400).encode() * 6] * 4)
+        assert long.runs < long.length / 3 and long.nbytes() <= 40 * long.runs + 100
+
+
+def test_run_index_gives_matching_statistics():
+    rng = random.Random(20)
+    for _ in range(60):
+        pieces = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(1, 20))) for _ in range(rng.randrange(1, 7))]
+        index = repeats.RunIndex(pieces)
+        suffix = sorted((p[k:], m, index.begins[m] + k) for m, p in enumerate(pieces) for k in range(len(p)))
+        for (a, _, _), (b, _, at) in zip([(b"", 0, 0), *suffix], suffix):
+            agree = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+            assert index.at(np.array([at]))[0].tolist() == [agree]
+        rank = dict(zip(rng.sample(range(1000), index.length), range(index.length)))
+        order = np.array(list(rank))
+        for n in (1, 3, 6):
+            first = {}
+            for s, _, at in suffix:
+                if len(s) >= n:
+                    first[s[:n]] = min(first.get(s[:n], 10**6), order[at])
+            want = sorted(at for s, _, at in suffix if len(s) >= n and order[at] > first[s[:n]])
+            assert index.repeated(n, lambda p: order[p]).tolist() == want
