@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import documents, durable, mapped
+from lodestar.llm.common import documents, durable, mapped, prefix_sums, unused
 
 Group = tuple[list[tuple[int, int]], int]  # ([(length, how many of it in each sequence)], sequences)
 
@@ -314,21 +314,21 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     groups, _ = plan(counts, capacity)
     place = placements(groups)
-    salts = spark.createDataFrame([(s, -(-n // SALT_ROWS)) for s, n in counts.items()], "length long, _salts long")
     names = pieces.columns
-    salted = pieces.join(F.broadcast(salts), "length").withColumn("_salt", F.pmod(F.xxhash64(*[c for c in names if c not in ("length", "ids")]), F.col("_salts")))
-    before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    base = salted.groupBy("length", "_salt").count().select("length", "_salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))
+    salt, salts, base, rank = unused([*names, "sequence_id", "offset", "count"], "salt", "salts", "base", "rank")
+    dealt = spark.createDataFrame([(s, -(-n // SALT_ROWS)) for s, n in counts.items()], f"length long, {salts} long")
     order = [c for c in names if c not in ("length", "ids")]
-    ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*order)) - 1)
-    ranked = ranked.join(base, ["length", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_base")).select(*names, "_rank")
+    salted = pieces.join(F.broadcast(dealt), "length").withColumn(salt, F.pmod(F.xxhash64(*order), F.col(salts)))  # at most `capacity` rows
+    bases = prefix_sums(salted.groupBy("length", salt).count(), ["length"], salt, F.col("count"), base).select("length", salt, base)
+    ranked = salted.withColumn(rank, F.row_number().over(Window.partitionBy("length", salt).orderBy(*order)) - 1)
+    ranked = ranked.join(bases, ["length", salt]).withColumn(rank, F.col(rank) + F.col(base)).select(*names, rank)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rank = batch.column("_rank").to_numpy()
+            nth = batch.column(rank).to_numpy()
             n = batch.column("length").to_numpy()
-            at = np.searchsorted(place["key"], n << 44 | rank, "right") - 1
-            r = rank - (place["key"][at] & ((1 << 44) - 1))
+            at = np.searchsorted(place["key"], n << 44 | nth, "right") - 1
+            r = nth - (place["key"][at] & ((1 << 44) - 1))
             each = place["each"][at]
             out = {c: batch.column(c) for c in names}
             out |= {"sequence_id": pa.array(place["first"][at] + r // each), "offset": pa.array(place["offset"][at] + r % each * n)}
@@ -339,5 +339,11 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Tokenise, cut and pack whole documents; ``ids`` adds each piece's token ids as little-endian unsigned 32-bit binary."""
+    """Tokenise, cut and pack whole documents: the rows of ``token_pieces`` with ``sequence_id`` and ``offset``.
+
+    ``ids`` adds each piece's token ids as little-endian unsigned 32-bit binary. A null or empty text is the end id
+    alone; a text of more than ``capacity`` ids is cut, so it never counts more than its ids. Rows that share an id, or
+    have none, are documents of their own, equal ones too; which of equal pieces goes where is any. Other columns of
+    ``docs``, whatever they are called, are left out. An empty table stays empty.
+    """
     return pack(durable(token_pieces(docs, tokenizer_path, capacity, end_id, ids, id_col, text_col)), capacity)
