@@ -35,6 +35,8 @@ LANES = 512
 SPLIT = 256
 #: Members of a share, and pivots that come to it.
 SHARE, PIVOTS = 192, 64
+#: Blocks whose sizes are sent to all tasks; more are joined.
+SENT_BLOCKS = 10_000
 
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 # The finalizer of the SplitMix64 generator.
@@ -443,11 +445,17 @@ def pivot_links(pivot: list[bool], comp: list[bytes], fp: np.ndarray, radius: in
     return out
 
 
+def _about_blocks(facts: DataFrame) -> DataFrame:
+    """Facts, one row a block, as the side of a join: sent to all tasks where they are few, so that a large block's rows need not meet for it."""
+    facts = durable(facts)
+    return F.broadcast(facts) if facts.count() <= SENT_BLOCKS else facts
+
+
 def _met(rows: DataFrame, named: DataFrame, picked: DataFrame, lanes: int, radius: int, similarity: float | None) -> DataFrame:
     """Links (a, b) of the ``picked(block, node, group, groups)`` pivots with all members of their blocks, each share of members with each group of pivots."""
     few = picked.select("block", "groups").distinct()
     shares = F.ceil(F.count("*") / SHARE).cast("int").alias("shares")
-    sized = few.join(named.groupBy("block").agg(shares), "block")
+    sized = _about_blocks(few.join(named.groupBy("block").agg(shares), "block"))
     own = rows.join(named, ["block", "node"])
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     cols = ["comp", "node", "fp", "shingles"]
@@ -491,12 +499,12 @@ def split_links(rows: DataFrame, lanes: int, radius: int, similarity: float | No
         named = own.withColumn("comp", F.col("node")) if found is None else own.join(components(found), "node", "left").select("block", "node", F.coalesce("root", "node").alias("comp"))
         named = durable(named)
         main = named.groupBy("block", "comp").count().groupBy("block").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
-        rest = named.join(main, "block").where("comp <> main").select("block", "node")
+        rest = named.join(_about_blocks(main), "block").where("comp <> main").select("block", "node")
         rest = durable(rest if settled is None else rest.join(settled, ["block", "node"], "left_anti"))
         if rest.isEmpty():
             break
         most = F.lit(PIVOTS * 4**k)
-        waiting = rest.groupBy("block").agg(F.count("*").alias("n"))
+        waiting = _about_blocks(rest.groupBy("block").agg(F.count("*").alias("n")))
         picked = rest.join(waiting, "block").where(F.pmod(F.xxhash64("node", F.lit(k)), F.col("n")) < most)
         picked = picked.withColumn("groups", F.ceil(F.least("n", most) / PIVOTS).cast("int"))
         picked = durable(picked.select("block", "node", F.pmod(F.xxhash64("node"), F.col("groups")).cast("int").alias("group"), "groups"))
