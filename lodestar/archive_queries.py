@@ -303,13 +303,13 @@ def type_access(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage.type_verdicts(_packaged_types(spark, sf_dir), spark.createDataFrame([], "name string"), r).where("code is not null").select("ref", "code")
 
 
-@query("""WITH l AS (SELECT o_custkey, CASE WHEN l_partkey % 3 = 0 THEN p_type ELSE 'x.' || replace(replace(p_type, ' ', '_'), '-', '_') END AS declared_name, o_orderkey::INT AS line_number FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey)
-SELECT o_custkey, declared_name, min(line_number) AS line_number FROM l WHERE declared_name LIKE '% %' GROUP BY 1, 2""")
+@query("""WITH l AS (SELECT o_custkey, CASE WHEN l_partkey % 3 = 0 THEN '9' || p_type ELSE 'x.' || replace(replace(p_type, ' ', '_'), '-', '_') END AS declared_name, o_orderkey::INT AS line_number FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey)
+SELECT o_custkey, declared_name, min(line_number) AS line_number FROM l WHERE declared_name LIKE '9%' GROUP BY 1, 2""")
 def service_malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that are no legal name, the first of equal ones in a file."""
     o = b.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
     j = o.join(b.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey"), F.col("o_orderkey") == F.col("l_orderkey")).join(b.table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    name = F.when(F.col("l_partkey") % 3 == 0, F.col("p_type")).otherwise(F.concat(F.lit("x."), F.translate("p_type", " -", "__")))
+    name = F.when(F.col("l_partkey") % 3 == 0, F.concat(F.lit("9"), "p_type")).otherwise(F.concat(F.lit("x."), F.translate("p_type", " -", "__")))
     lines = j.select("o_custkey", name.alias("declared_name"), F.col("o_orderkey").cast("int").alias("line_number"))
     return services.malformed_lines(lines, ["o_custkey"]).select("o_custkey", "declared_name", "line_number")
 
