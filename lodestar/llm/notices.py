@@ -1,13 +1,14 @@
 """License scans: fuzzy search for short notices, by pigeonhole seeds and bounded-error matching.
 
 A notice that matches with at most e errors holds one of e + 1 pieces of it unchanged. Pieces are searched exactly; around
-each hit the ``regex`` library verifies the whole notice with at most e insertions, deletions and substitutions,
-between word ends. Notices that allow no error are their own only piece.
+each hit the ``regex`` library verifies each run of words of about the notice's length as a whole, with at most e
+insertions, deletions and substitutions. Notices that allow no error are their own only piece.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -49,13 +50,14 @@ class _Search:
         self.notice, self.phrase, self.reach = notice, phrase, len(phrase) + 2 * e
         cut = [len(phrase) * k // (e + 1) for k in range(e + 2)]
         self.pieces = [(a, phrase[a:z]) for a, z in zip(cut, cut[1:])]
-        self.match = regex.compile(rb"(?b)(?<![^ ])(?:%s){e<=%d}(?![^ ])" % (regex.escape(phrase, literal_spaces=True), e))
+        self.match = regex.compile(rb"(?b)(?:%s){e<=%d}" % (regex.escape(phrase, literal_spaces=True), e))
 
     def places(self, norm: bytes) -> list[tuple[int, int, int]]:
-        """(from, to, errors) of every match in words joined by single spaces."""
+        """(from, to, errors) of every match in words joined by single spaces; of inexact ones that overlap the best, then the first."""
         e = self.notice.errors
+        out = [(at, at + len(self.phrase), 0) for at in self._exact(norm)]
         if not e:
-            return [(at, at + len(self.phrase), 0) for at in self._exact(norm)]
+            return out
         spans: list[list[int]] = []
         starts = sorted(at - a for a, piece in self.pieces for at in _finds(norm, piece))
         for s in starts:
@@ -64,22 +66,26 @@ class _Search:
                 spans[-1][1] = hi
             else:
                 spans.append([lo, hi])
-        out = {(at, at + len(self.phrase)): 0 for at in self._exact(norm)} if starts else {}
-        for lo, hi in spans:
-            for m in self._matches(norm, lo, hi):
-                if (lo == 0 or m.start() > lo or norm[lo - 1] == 32) and (hi == len(norm) or m.end() < hi or norm[hi] == 32):
-                    if not any(a < m.end() and m.start() < z for a, z in out):
-                        out[m.span()] = sum(m.fuzzy_counts)
-        return sorted((a, z, k) for (a, z), k in out.items())
-
-    def _matches(self, norm: bytes, lo: int, hi: int) -> Iterator[regex.Match]:
-        """The best match of a window, then those of what it leaves before and behind it."""
-        left = [(lo, hi)]
-        while left:
-            a, z = left.pop()
-            if z - a >= len(self.phrase) - self.notice.errors and (m := self.match.search(norm, a, z)):
-                yield m
-                left += [(m.end() + 1, z), (a, m.start() - 1)]
+        taken: list[tuple[int, int]] = []
+        for a, z, _ in out:
+            insort(taken, (a, z))
+        for k, a, z in sorted(x for lo, hi in spans for x in self._matches(norm, lo, hi) if x[0]):
+            at = bisect_left(taken, (a, z))
+            if (at == len(taken) or taken[at][0] >= z) and (not at or taken[at - 1][1] <= a):
+                taken.insert(at, (a, z))
+                out.append((a, z, k))
+        return sorted(out)
+
+    def _matches(self, norm: bytes, lo: int, hi: int) -> Iterator[tuple[int, int, int]]:
+        """(errors, from, to) of all runs of words in a window that match as a whole."""
+        n, e = len(self.phrase), self.notice.errors
+        cuts = [lo - 1] * (not lo or norm[lo - 1] == 32) + [lo + k for k, c in enumerate(norm[lo:hi]) if c == 32] + [hi] * (hi == len(norm) or norm[hi] == 32)
+        for k, a in enumerate(cuts):
+            for z in cuts[k + 1 :]:
+                if z - a - 1 > n + e:
+                    break
+                if z - a - 1 >= n - e and (m := self.match.fullmatch(norm, a + 1, z)):
+                    yield sum(m.fuzzy_counts), a + 1, z
 
     def _exact(self, norm: bytes) -> Iterator[int]:
         """Places where the phrase stands between word ends."""
@@ -117,8 +123,9 @@ def scan_text(text: bytes, searches: list[_Search]) -> tuple[int, list[dict]]:
 def scan_notices(docs: DataFrame, notices: tuple[Notice, ...] = NOTICES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, spans) of every row: whole texts, words as runs of letters, digits and non-ASCII characters.
 
-    Exact places of a notice are always spans; inexact ones are left out where they overlap an exact one. A null or
-    empty text has no words and no spans. Rows that share an id, or have none, keep their rows.
+    Exact places of a notice are always spans; inexact ones are left out where they overlap an exact one, or a better or
+    earlier one. A null or empty text has no words and no spans. Rows that share an id, or have none, keep their rows.
+    Other columns play no part. An empty table stays empty.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -42,7 +42,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """License notices in all documents."""
+    """License notices in all documents; spans as label:from:to:edits, bytes of the text."""
     out = scan_notices(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["base"])
     joined = lambda spans: F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
@@ -51,6 +51,7 @@ def op3_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(first).alias("first_word"), F.array_max(first).alias("last_word"),
         joined(base).alias("base_labels"), joined(F.col("spans")).alias("labels"), F.coalesce(best, F.lit(0.0)).alias("score"),
+        F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["label"], s["start"].cast("string"), s["end"].cast("string"), s["errors"].cast("string"))), ",").alias("spans"),
     )
 
 
