@@ -352,7 +352,7 @@ def reachable_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rapid type analysis over the bridged types: consecutive returned parts call each other, constructors allocate."""
     t = b.types(spark, sf_dir).withColumn("members", F.concat("members", F.array(F.struct(F.lit("<init>").alias("name"), F.lit("()V").alias("descriptor"), F.lit(1).alias("access")))))
     t = durable(t)
-    classes = t.where("not from_platform").select(F.col("name").alias("internal_name"), F.when(F.substring("name", 2, 20).cast("long") % 50 == 0, "APPLICATION").otherwise("CLASSPATH").alias("origin"))
+    classes = t.where("not from_platform").select(F.col("name").alias("internal_name"), F.when(F.substring("name", 2, 20).cast("long") % 5 == 0, "APPLICATION").otherwise("CLASSPATH").alias("origin"))
     e, name = b.call_edges(spark, sf_dir), lambda c: F.concat(F.lit("C"), F.col(c).cast("string"))
     kinds = F.array(*[F.lit(k) for k in ("INVOKE_VIRTUAL", "INVOKE_STATIC", "INVOKE_INTERFACE", "INVOKE_SPECIAL")])
     kind = F.element_at(kinds, (F.col("dst") % 4 + 1).cast("int"))
