@@ -209,8 +209,7 @@ k AS (SELECT archive, count(*) + count(*) FILTER (p % 19 = 0) AS classes, coales
 SELECT archive, (classes + 2)::INT AS entry_count, classes::INT AS class_count, 0 AS nested_archive_count, levels, 'k.Svc' AS declared_services, versions FROM k JOIN h USING (archive)""")
 def inspect_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = archives(spark, sf_dir)
-    rows = [inspection.inspect(f"{folder}/a{a}.jar") for a in range(ARCHIVES)]
-    out = spark.createDataFrame(rows, inspection.SUMMARY)
+    out = inspection.inspection(spark, [f"{folder}/a{a}.jar" for a in range(ARCHIVES)])
     versions = F.array_sort(F.transform("multi_release_versions", lambda v: v.cast("string")))
     return out.select(F.regexp_extract("artifact", "([^/]+)$", 1).alias("archive"), "entry_count", "class_count", "nested_archive_count", F.array_join("bytecode_levels", ",").alias("levels"), F.array_join("declared_services", ",").alias("declared_services"), F.array_join(versions, ",").alias("versions"))
 

@@ -1,4 +1,4 @@
-"""The command line: check, baseline, inspect, explain. Exit status 0 is clean, 1 has findings, 2 is a refused invocation."""
+"""The command line: check, baseline, inspect, explain, symbols. Exit status 0 is clean, 1 has findings, 2 is a refused invocation."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ from lodestar.functions.names import suggestions, under_root
 from lodestar.plans.inspection import inspect
 from lodestar.plans.verification import Request, verify
 from lodestar.sources.classpath import RefusedRun, classpath_list
-from lodestar.sources.platform import profile_identity
+from lodestar.sources.platform import make_table, profile_identity
 
 CLEAN, FINDINGS, REFUSED = 0, 1, 2
 
@@ -34,7 +34,7 @@ def _request_options(p: argparse.ArgumentParser) -> None:
     p.add_argument("--enable-preview", action="store_true")
     p.add_argument("--scope", choices=["application", "all", "reachable"], default="application")
     p.add_argument("--jdk")
-    p.add_argument("--symbols", help="platform symbols as a text table")
+    p.add_argument("--symbols", help="platform symbols as a text table, or a folder of one for each release")
     p.add_argument("--path-root")
 
 
@@ -59,6 +59,10 @@ def parser() -> argparse.ArgumentParser:
     i.add_argument("--path-root")
     e = sub.add_parser("explain", allow_abbrev=False)
     e.add_argument("code", nargs="?")
+    s = sub.add_parser("symbols", allow_abbrev=False)
+    s.add_argument("--jdk", required=True)
+    s.add_argument("--target-java", type=int, action="append", required=True)
+    s.add_argument("--out", "--output", dest="out", required=True, help="folder of the tables")
     return top
 
 
@@ -140,6 +144,10 @@ def main(argv: list[str] | None = None, spark=None) -> int:
             from lodestar.session import session
 
             spark = session("lodestar")
+        if a.command == "symbols":
+            for release in a.target_java:
+                print(f"wrote {make_table(spark, a.out, release, a.jdk)}", file=sys.stderr)
+            return CLEAN
         return _check(a, spark) if a.command == "check" else _baseline(a, spark)
     except (RefusedRun, ValueError, OSError) as e:
         print(f"error: {e}", file=sys.stderr)

@@ -58,10 +58,14 @@ class Contents:
             raise RefusedRun(f"{display} has more than {budget.entries} entries")
 
     def read(self, name: str, most: int | None = None) -> bytes:
-        data = self._read(name, most or self.budget.class_bytes)
+        data = self._read(name, most or self.budget.class_bytes, None)
         self.expanded += len(data)
         return data
 
+    def head(self, name: str, size: int) -> bytes:
+        """The first bytes of an entry; no more of it is read."""
+        return self._read(name, self.budget.class_bytes, size)
+
 
 def archive_contents(display: str, raw: bytes, budget: Budget, prefix: str = "", without: tuple[str, ...] = ()) -> Contents:
     try:
@@ -70,12 +74,12 @@ def archive_contents(display: str, raw: bytes, budget: Budget, prefix: str = "",
     except (zipfile.BadZipFile, EOFError, ValueError) as e:
         raise RefusedRun(f"cannot read {display}: {e}") from e
 
-    def read(name: str, most: int) -> bytes:
+    def read(name: str, most: int, first: int | None) -> bytes:
         info = infos[prefix + name]
         _checked(info, most, budget, display)
         try:
             with z.open(info) as f:
-                data = f.read(most + 1)
+                data = f.read(most + 1 if first is None else first)
         except (zipfile.BadZipFile, EOFError, OSError, NotImplementedError, ValueError) as e:
             raise RefusedRun(f"cannot read {display}!/{name}: {e}") from e
         if len(data) > most:
@@ -155,9 +159,9 @@ def scan(position: int, c: Contents, release: int, folder: bool = False, referen
 def _folder_contents(display: str, root: str, budget: Budget) -> Contents:
     names = sorted(os.path.relpath(os.path.join(d, n), root).replace("\\", "/") for d, _, files in os.walk(root) for n in files)
 
-    def read(name: str, most: int) -> bytes:
+    def read(name: str, most: int, first: int | None) -> bytes:
         with open(os.path.join(root, name), "rb") as f:
-            data = f.read(most + 1)
+            data = f.read(most + 1 if first is None else first)
         if len(data) > most:
             raise RefusedRun(f"{display}/{name} is larger than {most} bytes")
         return data
@@ -184,6 +188,14 @@ def _escaped(path: str) -> str:
     return re.sub(r"([\\{}\[\]*?,])", r"\\\1", path)
 
 
+def with_content(listed: DataFrame, files: list[str]) -> DataFrame:
+    """``listed(file, ...)`` with the bytes of those ``files``, absolute paths, as ``content``; null for other rows."""
+    if not files:
+        return listed.withColumn("content", F.lit(None).cast("binary"))
+    raw = listed.sparkSession.read.format("binaryFile").load([_escaped(p) for p in files]).select(F.regexp_replace("path", "^file:/*", "/").alias("file"), "content")
+    return listed.join(raw, "file", "left")
+
+
 def scan_entries(spark: SparkSession, entries: list[dict], release: int, budget: Budget = Budget(), references: bool = True) -> DataFrame:
     """``schema.SCANNED`` rows of all entries. A file is read once, by the task that scans all its positions.
 
@@ -194,10 +206,7 @@ def scan_entries(spark: SparkSession, entries: list[dict], release: int, budget:
     for e in entries:
         by_file.setdefault(os.path.abspath(e["path"]), []).append({k: e[k] for k in fields})
     listed = spark.createDataFrame(list(by_file.items()), f"file string, positions array<{schema.struct(schema.CLASSPATH_ENTRY).simpleString()}>")
-    rows = listed.withColumn("content", F.lit(None).cast("binary"))
-    if files := sorted({os.path.abspath(e["path"]) for e in entries if e["kind"] != "DIRECTORY"}):
-        raw = spark.read.format("binaryFile").load([_escaped(p) for p in files]).select(F.regexp_replace("path", "^file:/*", "/").alias("__file"), F.col("content"))
-        rows = listed.join(raw, F.col("file") == F.regexp_replace(F.url_decode(F.regexp_replace("__file", r"\+", "%2B")), "^/+", "/"), "left").drop("__file")
+    rows = with_content(listed, sorted({os.path.abspath(e["path"]) for e in entries if e["kind"] != "DIRECTORY"}))
     wanted = pa.schema(as_arrow(schema.SCANNED))
 
     def facts(entry: dict, raw: bytes | None) -> Iterator[dict]:

@@ -40,6 +40,20 @@ def write_table(path: str, release: int, runtime: str, rows: list[tuple[str, dic
         f.writelines(encode_line(m, s) + "\n" for m, s in sorted(rows, key=lambda r: r[1]["internal_name"]))
 
 
+def table_of(folder_or_table: str, release: int) -> str:
+    """The table of a release: ``N.gz`` of a folder of tables, else the table that is named."""
+    return os.path.join(folder_or_table, f"{release}.gz") if os.path.isdir(folder_or_table) else folder_or_table
+
+
+def make_table(spark: SparkSession, folder: str, release: int, home: str) -> str:
+    """Write a JDK's symbols of a release as ``N.gz`` of a folder; a platform's classes are few, so the driver writes them."""
+    rows = [(r["module"], r["shape"].asDict(True)) for r in platform_classes(spark, release, home).collect()]
+    os.makedirs(folder, exist_ok=True)
+    path = os.path.join(folder, f"{release}.gz")
+    write_table(path, release, os.path.basename(os.path.normpath(home)), rows)
+    return path
+
+
 def read_table(spark: SparkSession, path: str, release: int) -> DataFrame:
     """``schema.PLATFORM_CLASS`` rows of a text table; its header must name the release and the number of classes."""
     lines = spark.read.text(path)
@@ -117,11 +131,14 @@ def read_jmods(spark: SparkSession, home: str) -> DataFrame:
 
 
 def platform_classes(spark: SparkSession, release: int, home: str | None = None, table: str | None = None) -> DataFrame:
-    """Platform classes of a release: a text table, else a JDK home's ct.sym, else its jmods where they are of that release."""
+    """Platform classes of a release: a text table or a folder of them, else a JDK home's ct.sym, else its jmods where they are of that release."""
     if table:
-        return read_table(spark, table, release)
+        path = table_of(table, release)
+        if not os.path.exists(path):
+            raise RefusedRun(f"{table} has no table of release {release}")
+        return read_table(spark, path, release)
     if not home:
-        raise RefusedRun(f"no platform symbols for release {release}: name a table or a JDK home")
+        raise RefusedRun(f"no platform symbols for release {release}: name a table, a folder of tables that the symbols command has made, or a JDK home")
     sym = os.path.join(home, "lib", "ct.sym")
     if not os.path.exists(sym):
         raise RefusedRun(f"{home} has no lib/ct.sym")
@@ -139,5 +156,5 @@ def profile_identity(release: int, home: str | None = None, table: str | None =
     """What a baseline notes of the platform: ``jdk:N:`` or ``table:N:`` and eight hex digits of the SHA-256 of ct.sym or of the table."""
     if not home and not table:
         return f"bundled:{release}"
-    with open(table or os.path.join(home, "lib", "ct.sym"), "rb") as f:
+    with open(table_of(table, release) if table else os.path.join(home, "lib", "ct.sym"), "rb") as f:
         return f"{'table' if table else 'jdk'}:{release}:{hashlib.file_digest(f, 'sha256').hexdigest()[:8]}"

@@ -6,6 +6,7 @@ import json
 import random
 import shutil
 import zipfile
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from lodestar import baseline, cli, report
 from lodestar.functions import names
 from lodestar.functions.catalog import CODES, explain
 from lodestar.operators import duplicates, hierarchy, levels, reachability, results, services
-from lodestar.plans.inspection import inspect
+from lodestar.plans.inspection import inspect, inspection
 from lodestar.sources import archive, classfile, classpath, manifest, platform
 from tests import javakit as k
 
@@ -259,6 +260,36 @@ def test_inspection(tmp_path):
     assert (facts["entry_count"], facts["class_count"], facts["nested_archive_count"], facts["bytecode_levels"], facts["declared_services"], facts["multi_release_versions"]) == (5, 3, 1, ["55:1", "65:1"], ["p.S"], [11])
 
 
+def test_inspection_by_tasks(spark, tmp_path):
+    j = k.jar(tmp_path / "x y+%.jar", None, {"A.class": classfile.MAGIC + b"\0\0\0\x37", "META-INF/versions/11/A.class": classfile.MAGIC + b"\0\0\0\x41", "B.class": b""})
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "C.class").write_bytes(classfile.MAGIC + b"\0\0\0\x3d" + b"x" * 100)
+    (tmp_path / "bad.jar").write_bytes(b"no archive")
+    paths = [str(j), str(tmp_path / "d"), str(tmp_path / "bad.jar"), str(j)]
+    got = sorted((r.asDict() for r in inspection(spark, paths).collect()), key=lambda r: r["artifact"])
+    assert [r["artifact"] for r in got] == sorted(paths)
+    sound = [r for r in got if not r.pop("refusal")]
+    assert sound == sorted((inspect(p) for p in paths if not p.endswith("bad.jar")), key=lambda r: r["artifact"]) and len(sound) == 3
+    with pytest.raises(classpath.RefusedRun):
+        inspect(str(tmp_path / "bad.jar"))
+    with pytest.raises(classpath.RefusedRun):
+        inspection(spark, [str(tmp_path / "none.jar")])
+
+
+@pytest.mark.skipif(not shutil.which("javac"), reason="needs a JDK")
+def test_symbols_of_a_release_are_found_in_their_folder(spark, tmp_path, capsys):
+    home = str(Path(shutil.which("javac")).resolve().parent.parent)
+    folder = tmp_path / "symbols"
+    assert cli.main(["symbols", "--jdk", home, "--target-java", "11", "--out", str(folder)], spark=spark) == 0
+    assert [p.name for p in folder.iterdir()] == ["11.gz"] and str(folder / "11.gz") in capsys.readouterr().err
+    key = lambda df: df.selectExpr("internal_name", "module", "to_json(shape) AS shape")
+    made, own = key(platform.platform_classes(spark, 11, table=str(folder))), key(platform.platform_classes(spark, 11, home))
+    assert made.count() == own.count() > 1000 and made.exceptAll(own).isEmpty()
+    with pytest.raises(classpath.RefusedRun):
+        platform.platform_classes(spark, 17, table=str(folder))
+    assert platform.profile_identity(11, None, str(folder)) == platform.profile_identity(11, None, str(folder / "11.gz"))
+
+
 def test_reports_and_explanations():
     f = {"code": "JP1003", "severity": "ERROR", "predicted_error": "NoSuchMethodError", "location": {"artifact": "/r/a.jar", "class_entry": "p/A.class", "source_file": "A.java", "line": 3}, "subject": "s", "summary": "Missing *method*", "explanation": "e", "evidence": ["reachable via: a -> b"], "remediation": ["fix"]}
     text = report.human([f], 2, 1, 1, 1)
