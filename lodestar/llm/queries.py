@@ -12,6 +12,7 @@ from lodestar.llm.chat import rotate_perspectives
 from lodestar.llm.decontaminate import find_leaks
 from lodestar.llm.kdtree import top_k
 from lodestar.llm.lines import dedup_lines
+from lodestar.llm.minhash import fingerprints
 from lodestar.llm.notices import scan_notices
 from lodestar.llm.packing import pack_documents
 from lodestar.llm.quality import fit_quality, held_out, score_quality
@@ -99,6 +100,11 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MinHash fingerprints of all documents and of their edited texts, with likenesses."""
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -116,21 +122,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_topk": op8_topk,
     "op9_repeats": op9_repeats,
     "op10_lines": op10_lines,
+    "op11_fingerprints": op11_fingerprints,
     "pipeline": pipeline,
 }
 
 _OP4 = r"""
 WITH t AS (SELECT conv_id, turn, coalesce(floor(turn / 64), -1e18) AS block, coalesce(role, 'unknown') AS role, coalesce(text, '') AS said FROM conversations),
-c AS (SELECT *, (row_number() OVER (PARTITION BY conv_id, block ORDER BY turn NULLS FIRST, role, said) - 1) // 256 AS cut FROM t),
+a AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, said) AS no FROM t),
+c AS (SELECT *, (no - min(no) OVER (PARTITION BY conv_id, block)) // 256 AS cut FROM a),
 n AS (SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY block, cut) - 1 AS part FROM c),
 p AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'),
-s AS (SELECT n.conv_id, perspective, part, turn, role, said, role = perspective AS own,
+s AS (SELECT n.conv_id, perspective, part, no, role, said, role = perspective AS own,
         '<|' || CASE WHEN role = perspective THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user:' || role END || '|>' || chr(10) AS head,
         said || '<|end|>' || chr(10) AS tail
       FROM n JOIN p ON n.conv_id IS NOT DISTINCT FROM p.conv_id),
-o AS (SELECT *, coalesce(sum(length(head) + length(tail)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, role, said ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM s)
-SELECT conv_id, perspective, part::BIGINT AS part, min(pos) AS start_char, string_agg(head || tail, '' ORDER BY turn NULLS FIRST, role, said) AS text,
-  coalesce(string_agg((pos + length(head))::VARCHAR || '-' || (pos + length(head) + length(tail))::VARCHAR, ',' ORDER BY turn NULLS FIRST, role, said) FILTER (own), '') AS mask, count(*) AS n_turns
+o AS (SELECT *, coalesce(sum(length(head) + length(tail)) OVER (PARTITION BY conv_id, perspective ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM s)
+SELECT conv_id, perspective, part::BIGINT AS part, min(pos) AS start_char, string_agg(head || tail, '' ORDER BY no) AS text,
+  coalesce(string_agg((pos + length(head))::VARCHAR || '-' || (pos + length(head) + length(tail))::VARCHAR, ',' ORDER BY no) FILTER (own), '') AS mask, count(*) AS n_turns
 FROM o GROUP BY conv_id, perspective, part
 """
 
@@ -165,4 +173,32 @@ SELECT n.doc_id, n.len::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_rem
 FROM n LEFT JOIN t USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_chat": _OP4, "op8_topk": _OP8, "op9_repeats": _OP9, "op10_lines": _OP10}
+#: CRC-32 in SQL: a table by the rule of its polynomial, and the fold over the bytes of ``x``.
+_CRC_TABLE = "SELECT list(v ORDER BY i) AS crc FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) t(i))"
+_CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(range(1, octet_length(encode(x)) + 1), lambda i: ('0x' || hex(encode(x)[i : i]))::BIGINT)), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295)"
+
+_OP11 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+i AS (SELECT doc_id, arg_min(text, md5(text)) AS lead_text FROM d WHERE doc_id IS NOT NULL GROUP BY doc_id),
+o AS (SELECT doc_id, coalesce(lead(lead_text) OVER (ORDER BY doc_id), first_value(lead_text) OVER (ORDER BY doc_id)) AS next FROM i),
+r AS (SELECT d.doc_id, text, next, length(text) AS n, left(text, n - n // 2) || coalesce(left(next, n // 2), '') AS edited FROM d LEFT JOIN o ON d.doc_id = o.doc_id),
+t AS (SELECT row_number() OVER () AS id, text FROM (SELECT text FROM r UNION SELECT edited FROM r)),
+w AS (SELECT id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]'), lambda x: x <> '') AS w FROM t),
+s AS (SELECT id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS x FROM w),
+c AS ({_CRC_TABLE}),
+u AS (SELECT x, {_CRC} * 1540483477 & 4294967295 AS h FROM (SELECT DISTINCT x FROM s), c),
+m AS (SELECT id, h >> 24 AS bin, min(h) AS h FROM s JOIN u USING (x) WHERE h & 16777215 <> 16777215 GROUP BY ALL),
+a AS (SELECT id, list(h) AS filled FROM m GROUP BY id),
+b AS (SELECT b AS bin, ((b + 1) * 2654435761 >> 7) & 255 AS start, ((b + 1) * 2246822519 >> 9) & 255 | 1 AS stride FROM range(256) x(b)),
+v AS (SELECT a.id, b.bin, coalesce(h, list_min(list_transform(filled, lambda x: (((x >> 24) - start) * stride & 255) * 16 + (x & 15)))) & 15 AS low FROM a CROSS JOIN b LEFT JOIN m ON m.id = a.id AND m.bin = b.bin),
+f AS (SELECT id, string_agg(substr('0123456789abcdef', low + 1, 1), '' ORDER BY bin) AS fp FROM v GROUP BY id),
+g AS (SELECT text, coalesce(fp, '') AS fp FROM t LEFT JOIN f ON t.id = f.id),
+j AS (SELECT r.*, x.fp AS fingerprint, y.fp AS edited_fingerprint, z.fp AS next_fingerprint FROM r JOIN g x ON x.text = r.text JOIN g y ON y.text = r.edited LEFT JOIN g z ON z.text = r.next),
+k AS (SELECT *, len(list_filter(range(1, 257), lambda i: fingerprint[i] = edited_fingerprint[i])) AS e, len(list_filter(range(1, 257), lambda i: fingerprint[i] = next_fingerprint[i])) AS x FROM j)
+SELECT doc_id, n::BIGINT AS n_chars, sha256(edited) AS edited_sha256, fingerprint, edited_fingerprint,
+  CASE WHEN fingerprint = '' AND edited_fingerprint = '' THEN 1 WHEN fingerprint = '' OR edited_fingerprint = '' THEN 0 ELSE greatest(0, (e / 256 - 0.0625::DOUBLE) / 0.9375::DOUBLE) END::DOUBLE AS near_edited,
+  CASE WHEN next_fingerprint IS NULL THEN NULL WHEN fingerprint = '' AND next_fingerprint = '' THEN 1 WHEN fingerprint = '' OR next_fingerprint = '' THEN 0 ELSE greatest(0, (x / 256 - 0.0625::DOUBLE) / 0.9375::DOUBLE) END::DOUBLE AS near_next
+FROM k
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_chat": _OP4, "op8_topk": _OP8, "op9_repeats": _OP9, "op10_lines": _OP10, "op11_fingerprints": _OP11}
