@@ -17,7 +17,9 @@ from lodestar.llm.notices import scan_notices
 from lodestar.llm.packing import pack_documents
 from lodestar.llm.quality import fit_quality, held_out, score_quality
 from lodestar.llm.repeats import dedup_repeats
+from lodestar.llm.resample import resample
 from lodestar.llm.simhash import groups
+from lodestar.llm.variants import spelling_groups
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,6 +107,16 @@ def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their near words' count and the form that they are a variant of."""
+    return spelling_groups(table(spark, sf_dir, "documents"))
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents of 20 words or more, drawn towards the benchmark's features."""
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -123,6 +135,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_repeats": op9_repeats,
     "op10_lines": op10_lines,
     "op11_fingerprints": op11_fingerprints,
+    "op12_variants": op12_variants,
+    "op13_resample": op13_resample,
     "pipeline": pipeline,
 }
 
@@ -201,4 +215,39 @@ SELECT doc_id, n::BIGINT AS n_chars, sha256(edited) AS edited_sha256, fingerprin
 FROM k
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_chat": _OP4, "op8_topk": _OP8, "op9_repeats": _OP9, "op10_lines": _OP10, "op11_fingerprints": _OP11}
+_OP12 = f"""
+WITH RECURSIVE c AS ({_CRC_TABLE}),
+r AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+g AS (SELECT coalesce(doc_id::VARCHAR, '') || ':' || run AS x, run, count(*) AS n FROM r WHERE length(run) >= 7 GROUP BY ALL),
+h AS (SELECT run, n, {_CRC} AS h FROM g, c),
+k AS (SELECT CASE WHEN h % 31 = 0 THEN left(run, (h % length(run))::BIGINT) || substr(run, (h % length(run) + 2)::BIGINT) ELSE run END AS word, n FROM h),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM k WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+v AS (SELECT word, i, left(word, i - 1) || substr(word, i + 1) AS d FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)),
+e AS (SELECT a.word, b.word AS near FROM v a JOIN v b ON a.i = b.i AND a.d = b.d WHERE a.word <> b.word
+  UNION SELECT v.word, w.word FROM v JOIN w ON v.d = w.word UNION SELECT w.word, v.word FROM v JOIN w ON v.d = w.word),
+b AS (SELECT e.word, count(*) AS n_near, max(w.n) AS best_n, arg_min(e.near, (-w.n, e.near)) AS best FROM e JOIN w ON e.near = w.word GROUP BY e.word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN best_n >= 10 * w.n THEN best END AS form, CASE WHEN best_n >= 10 * w.n THEN best_n END::BIGINT AS form_n FROM w LEFT JOIN b ON w.word = b.word),
+t AS (SELECT word, word AS here, 0 AS depth FROM f UNION ALL SELECT t.word, f.form, depth + 1 FROM t JOIN f ON t.here = f.word WHERE f.form IS NOT NULL),
+z AS (SELECT word, arg_max(here, depth) AS root FROM t GROUP BY word)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN z ON f.word = z.word
+"""
+
+_OP13 = f"""
+WITH c AS ({_CRC_TABLE}),
+x AS (SELECT row_number() OVER () AS r, doc_id, text, FALSE AS target FROM documents UNION ALL SELECT -row_number() OVER (), NULL, text, TRUE FROM benchmark),
+w AS (SELECT r, doc_id, target, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]'), lambda x: x <> '') AS w FROM x),
+f AS (SELECT r, target, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS x FROM w),
+b AS (SELECT x, {_CRC} % 10000 AS bucket FROM (SELECT DISTINCT x FROM f), c),
+n AS (SELECT r, target, bucket, count(*) AS n FROM f JOIN b ON f.x = b.x GROUP BY ALL),
+k AS (SELECT bucket, coalesce(sum(n) FILTER (NOT target), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (target), 0)::DOUBLE AS t FROM n GROUP BY bucket),
+a AS (SELECT coalesce(sum(s), 0) AS s_all, coalesce(sum(t), 0) AS t_all FROM k),
+g AS (SELECT bucket, floor(1000 * ln((t + 1) * (s_all + 10000) / ((s + 1) * (t_all + 10000))))::BIGINT AS gain FROM k, a),
+d AS (SELECT r, sum(n) AS n, sum(n * gain) AS total FROM n JOIN g ON n.bucket = g.bucket WHERE NOT target GROUP BY r),
+v AS (SELECT doc_id, len(w) AS words, coalesce(d.n, 0)::BIGINT AS n_features, coalesce(floor(total / d.n), 0)::BIGINT AS weight FROM w LEFT JOIN d ON w.r = d.r WHERE NOT target),
+z AS (SELECT *, weight + floor(-1000 * ln(-ln((('0x' || left(sha256('7:' || doc_id), 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM v),
+o AS (SELECT *, doc_id IS NOT NULL AND words >= 20 AS may FROM z),
+p AS (SELECT *, row_number() OVER (PARTITION BY may ORDER BY score DESC, doc_id, n_features, weight) AS place, count(*) FILTER (may) OVER () AS eligible FROM o)
+SELECT doc_id, n_features, weight, score, CASE WHEN may AND place <= 25 * eligible // 100 THEN place END::BIGINT AS rank FROM p
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_chat": _OP4, "op8_topk": _OP8, "op9_repeats": _OP9, "op10_lines": _OP10, "op11_fingerprints": _OP11, "op12_variants": _OP12, "op13_resample": _OP13}
