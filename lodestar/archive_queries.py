@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from lodestar import bridge as b
 from lodestar import schema
 from lodestar.functions import names as fn
-from lodestar.operators import duplicates, hierarchy, linkage, modules, reachability, results, services
+from lodestar.operators import duplicates, hierarchy, linkage, modules, proof, reachability, results, services
 from lodestar.plans import inspection, verification
-from lodestar.queries import _CLAIMS, _ENTRIES, _FINDINGS, _REFS, _RESOLVED, _TYPES, _claims, _findings, query
+from lodestar.queries import _CLAIMS, _EDGES, _ENTRIES, _FINDINGS, _REFS, _RESOLVED, _TYPES, _claims, _findings, query
 from lodestar.session import durable, shared_folder, ship
 from lodestar.sources import archive, classpath, generate, platform
 
@@ -203,6 +203,43 @@ def nested_layout_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("kind", F.expr(_PLACE).alias("place"), "detail")
 
 
+# An index over a library for each nation, by region: every fifth from 0 is named without its folder, from 1 as it is, from 2 twice,
+# from 3 under a name that is not there; the others are not named.
+_INDEX = """x AS (SELECT n_nationkey AS n, n_regionkey AS r, 'BOOT-INF/lib/n' || n_nationkey || '.jar' AS lib FROM nation)"""
+
+
+def _indexed(spark: SparkSession, sf_dir: str) -> classpath.Expansion:
+    folder = archives(spark, sf_dir)
+    path = os.path.join(folder, "indexed", "app.jar")
+    if not os.path.exists(path):
+        rows = sorted((r["n_regionkey"], r["n_nationkey"]) for r in b.table(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey").collect())  # 25 nations
+        line = {0: "n{0}.jar", 1: '"BOOT-INF/lib/n{0}.jar"', 2: "BOOT-INF/lib/n{0}.jar", 3: "BOOT-INF/lib/x{0}.jar"}
+        lines = [f"- {line[n % 5].format(n)}" for _, n in rows if n % 5 < 4 for _ in range(1 + (n % 5 == 2))]
+        entries = {"BOOT-INF/classes/A.class": generate.class_file("A", "java/lang/Object", 1, 52), "BOOT-INF/classpath.idx": "\n".join(lines).encode()}
+        for n in sorted(n for _, n in rows):
+            entries[f"BOOT-INF/lib/n{n}.jar"] = generate.archive({f"L{n}_{k}.class": generate.class_file(f"L{n}_{k}", "java/lang/Object", 1, 52) for k in range(1 + n % 3)})
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(path, "wb") as f:
+            f.write(generate.archive(entries))
+    return classpath.expand([path], [])
+
+
+@query(f"""WITH {_INDEX}, o AS (SELECT *, row_number() OVER (ORDER BY n % 5 NOT IN (1, 2), CASE WHEN n % 5 IN (1, 2) THEN r END, n) AS place FROM x)
+SELECT place::INT AS position, lib, (1 + n % 3)::BIGINT AS classes FROM o""")
+def library_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Libraries of an application in the order of its index, and what each holds."""
+    found = _indexed(spark, sf_dir)
+    libraries = spark.createDataFrame([(e["position"], e["nested"]["path"]) for e in found.entries if e["kind"] == "NESTED_ARCHIVE"], "position int, lib string")
+    counted = archive.scan_entries(spark, found.entries, b.TARGET).where("row = 'class'").groupBy("position").agg(F.count("*").alias("classes"))
+    return libraries.join(counted, "position").select("position", "lib", "classes")
+
+
+@query(f"""WITH {_INDEX} SELECT 'absent' AS kind, CASE n % 5 WHEN 0 THEN 'n' || n || '.jar' WHEN 3 THEN 'BOOT-INF/lib/x' || n || '.jar' ELSE lib END AS detail FROM x WHERE n % 5 IN (0, 2, 3)""")
+def library_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the index that name no library: bare names, names again, names that are not there."""
+    return spark.createDataFrame([(x["kind"], x["detail"]) for x in _indexed(spark, sf_dir).layout], "kind string, detail string")
+
+
 @query(f"""WITH {_P}, l AS (SELECT archive, CASE WHEN v THEN 53 ELSE 52 + size % 6 END AS major FROM (SELECT archive, size, broken, p, unnest([false, true]) AS v FROM c) WHERE NOT (v AND p % 19 <> 0) AND NOT (NOT v AND broken)),
 h AS (SELECT archive, string_agg(major || ':' || n, ',' ORDER BY major) AS levels FROM (SELECT archive, major, count(*) AS n FROM l GROUP BY 1, 2) GROUP BY 1),
 k AS (SELECT archive, count(*) + count(*) FILTER (p % 19 = 0) AS classes, coalesce(string_agg(DISTINCT (9 + p % 6)::VARCHAR, ',' ORDER BY (9 + p % 6)::VARCHAR) FILTER (p % 19 = 0), '') AS versions FROM c GROUP BY 1)
@@ -346,18 +383,66 @@ def module_provider_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("position", "service", "provider", F.array_join("faults", ",").alias("faults"))
 
 
-@query()
-def reachable_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rapid type analysis over the bridged types: consecutive returned parts call each other, constructors allocate."""
-    t = b.types(spark, sf_dir).withColumn("members", F.concat("members", F.array(F.struct(F.lit("<init>").alias("name"), F.lit("()V").alias("descriptor"), F.lit(1).alias("access")))))
-    t = durable(t)
-    classes = t.where("not from_platform").select(F.col("name").alias("internal_name"), F.when(F.substring("name", 2, 20).cast("long") % 5 == 0, "APPLICATION").otherwise("CLASSPATH").alias("origin"))
+# The call graph of the bridge: consecutive returned parts of an order call each other, by a constructor where the caller's number
+# leaves 3 by 4; a called number leaves the kind of the call. Every 50th part less one extends LinkageError.
+_CALLS = f"""{_TYPES}, {_EDGES},
+q AS (SELECT name, CASE WHEN n % 50 = 49 THEN 'java/lang/LinkageError' ELSE super END AS super, interfaces, access, from_platform, n FROM (SELECT *, substr(name, 2)::BIGINT AS n FROM types)
+  UNION ALL SELECT 'java/lang/LinkageError', NULL, []::VARCHAR[], 1, TRUE, NULL),
+mm AS (SELECT name, 'm' || (n % 7) AS sig FROM q WHERE n IS NOT NULL UNION ALL SELECT name, '<init>' FROM q WHERE n IS NOT NULL UNION ALL SELECT name, '<clinit>' FROM q WHERE n % 4 = 1),
+c AS (SELECT name AS start, 0 AS depth, name FROM q UNION ALL SELECT start, depth + 1, p.name FROM c JOIN q t ON t.name = c.name JOIN q p ON p.name = t.super),
+x AS (SELECT name AS sub, unnest(interfaces) AS name, generate_subscripts(interfaces, 1) AS n FROM q),
+i AS (SELECT start, 0 AS generation, [depth, x.n] AS key, x.name FROM c JOIN x ON x.sub = c.name UNION ALL SELECT i.start, generation + 1, list_append(key, x.n), x.name FROM i JOIN x ON x.sub = i.name WHERE generation < 16),
+f AS (SELECT start, name, min({{'g': generation, 'k': key}}) AS place FROM i JOIN (SELECT name FROM q) t USING (name) GROUP BY 1, 2),
+a AS (SELECT start, 0 AS phase, 0 AS g, [depth] AS key, name FROM c UNION ALL SELECT start, 1, place.g, place.k, name FROM f),
+res AS (SELECT start, sig, d AS declarer FROM (SELECT a.start, mm.sig, a.name AS d, row_number() OVER (PARTITION BY a.start, mm.sig ORDER BY a.phase, a.g, a.key) AS r
+  FROM a JOIN mm ON mm.name = a.name JOIN q o ON o.name = a.start WHERE o.access < 512 OR a.phase = 1 OR a.name = a.start) JOIN q ON q.name = d WHERE r = 1 AND NOT q.from_platform),
+e0 AS (SELECT 'C' || src AS fo, CASE WHEN src % 4 = 3 THEN '<init>' ELSE 'm' || (src % 7) END AS fs, ['INVOKE_VIRTUAL', 'INVOKE_STATIC', 'INVOKE_INTERFACE', 'INVOKE_SPECIAL'][dst % 4 + 1] AS kind, 'C' || dst AS owner,
+  CASE WHEN dst % 4 = 3 THEN '<init>' ELSE 'm' || (dst % 7) END AS sig, src, dst FROM edges),
+silent AS (SELECT DISTINCT fo, fs FROM e0 JOIN c ON c.start = owner WHERE c.name = 'java/lang/LinkageError'),
+e AS (SELECT e0.*, caller.super FROM e0 JOIN q caller ON caller.name = fo AND NOT caller.from_platform ANTI JOIN silent s ON s.fo = e0.fo AND s.fs = e0.fs),
+ups AS (SELECT c.start, c.name FROM c JOIN q s ON s.name = c.start AND NOT s.from_platform JOIN q u ON u.name = c.name AND NOT u.from_platform AND u.n % 4 = 1),
+fixed AS (SELECT fo, fs, declarer AS owner, res.sig FROM e JOIN res ON res.start = e.owner AND res.sig = e.sig UNION SELECT fo, fs, ups.name, '<clinit>' FROM e JOIN ups ON ups.start = e.owner WHERE kind = 'INVOKE_STATIC'),
+made AS (SELECT DISTINCT fo, fs, e.owner AS type FROM e JOIN q ON q.name = e.owner AND NOT q.from_platform AND q.n % 5 <> 0 WHERE sig = '<init>' AND NOT (fs = '<init>' AND (e.owner = fo OR e.owner = e.super))),
+disp AS (SELECT DISTINCT fo, fs, a.start AS receiver, declarer AS owner, res.sig FROM e JOIN a ON a.name = e.owner JOIN res ON res.start = a.start AND res.sig = e.sig WHERE kind IN ('INVOKE_VIRTUAL', 'INVOKE_INTERFACE')),
+app AS (SELECT name FROM q WHERE NOT from_platform AND n % 5 = 0)"""
+
+
+def _calls(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(types, classes, member_refs, type_refs) of the bridge's call graph; ``member_refs`` carry ``ref``, their order in a class."""
+    number = F.substring("name", 2, 20).cast("long")
+    own = [F.struct(F.lit(n).alias("name"), F.lit("()V").alias("descriptor"), F.lit(1).alias("access")) for n in ("<init>", "<clinit>")]
+    t = b.types(spark, sf_dir).withColumn("members", F.concat("members", F.array(own[0]), F.when(number % 4 == 1, F.array(own[1])).otherwise(F.array().cast("array<struct<name:string,descriptor:string,access:int>>"))))
+    t = t.withColumn("super", F.when(number % 50 == 49, reachability.LINKAGE_ERROR).otherwise(F.col("super")))
+    error = spark.createDataFrame([(reachability.LINKAGE_ERROR, None, [], 1, [], True, None, [])], t.schema)
+    t = durable(t.union(error))
+    classes = t.where("not from_platform").select(F.col("name").alias("internal_name"), F.when(number % 5 == 0, "APPLICATION").otherwise("CLASSPATH").alias("origin"))
     e, name = b.call_edges(spark, sf_dir), lambda c: F.concat(F.lit("C"), F.col(c).cast("string"))
     kinds = F.array(*[F.lit(k) for k in ("INVOKE_VIRTUAL", "INVOKE_STATIC", "INVOKE_INTERFACE", "INVOKE_SPECIAL")])
-    kind = F.element_at(kinds, (F.col("dst") % 4 + 1).cast("int"))
-    called = F.when(kind == "INVOKE_SPECIAL", F.lit("<init>")).otherwise(F.concat(F.lit("m"), (F.col("dst") % 7).cast("string")))
-    refs = e.select(name("src").alias("internal_name"), F.concat(F.lit("m"), (F.col("src") % 7).cast("string"), F.lit("()V")).alias("method"), kind.alias("kind"), name("dst").alias("owner"), called.alias("name"), F.lit("()V").alias("descriptor"))
-    return reachability.reachable_methods(t, classes, refs, spark.createDataFrame([], "internal_name string, method string, target string"))
+    in_method = F.when(F.col("src") % 4 == 3, "<init>()V").otherwise(F.concat(F.lit("m"), (F.col("src") % 7).cast("string"), F.lit("()V")))
+    called = F.when(F.col("dst") % 4 == 3, F.lit("<init>")).otherwise(F.concat(F.lit("m"), (F.col("dst") % 7).cast("string")))
+    refs = e.select(name("src").alias("internal_name"), F.col("dst").alias("ref"), in_method.alias("method"), F.element_at(kinds, (F.col("dst") % 4 + 1).cast("int")).alias("kind"), name("dst").alias("owner"), called.alias("name"), F.lit("()V").alias("descriptor"))
+    return t, classes, refs, e.select(name("src").alias("internal_name"), in_method.alias("method"), name("dst").alias("target"))
+
+
+@query(f"""WITH RECURSIVE {_CALLS},
+s(kind, owner, sig) USING KEY (kind, owner, sig) AS (SELECT 'M' AS kind, mm.name AS owner, sig FROM mm JOIN app ON app.name = mm.name UNION ALL SELECT 'A', name, '' FROM app
+  UNION (WITH n AS (SELECT 'M' AS kind, fixed.owner, fixed.sig FROM recurring.s r JOIN fixed ON r.kind = 'M' AND fo = r.owner AND fs = r.sig
+    UNION SELECT 'T', type, '' FROM recurring.s r JOIN made ON r.kind = 'M' AND fo = r.owner AND fs = r.sig
+    UNION SELECT 'M', ups.name, '<clinit>' FROM recurring.s r JOIN ups ON r.kind = 'T' AND ups.start = r.owner
+    UNION SELECT 'M', disp.owner, disp.sig FROM recurring.s r JOIN disp ON r.kind = 'M' AND fo = r.owner AND fs = r.sig JOIN recurring.s t ON t.kind IN ('A', 'T') AND t.owner = receiver)
+  SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM recurring.s o WHERE o.kind = n.kind AND o.owner = n.owner AND o.sig = n.sig)))
+SELECT owner, sig || '()V' AS sig FROM s WHERE kind = 'M'""")
+def reachable_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rapid type analysis over the bridge's call graph."""
+    return reachability.reachable_methods(*_calls(spark, sf_dir))
+
+
+@query()
+def proof_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who called what before each reached method of the libraries, from an entry of the application on."""
+    graph = reachability.CallGraph(*_calls(spark, sf_dir))
+    live = durable(graph.reached())
+    return proof.proof_chains(graph, live, live.join(graph.entries, ["owner", "sig"], "left_anti"))
 
 
 @query(f"WITH {_FINDINGS} SELECT fingerprint FROM accepted WHERE fingerprint IN (SELECT fingerprint FROM printed)")

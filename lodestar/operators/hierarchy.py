@@ -1,14 +1,12 @@
-"""Type hierarchies as ordered closures, level by level.
+"""Type hierarchies as ordered closures, by pointer doubling.
 
-``types(name, super, interfaces)`` has one row a name. A closure is computed for wanted names only; each level is one
-equi-join and is checkpointed, so that plans stay flat however deep a hierarchy is.
+``types(name, super, interfaces)`` has one row a name. A round doubles the length of the paths that are known, so a
+hierarchy of 250 levels takes 8 rounds; each round is one equi-join and is checkpointed, so that plans stay flat.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.session import Grown, durable
@@ -17,22 +15,53 @@ from lodestar.session import Grown, durable
 DEPTH = 256
 
 
+def chains(types: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(name, path): of every type the names of its superclass chain, itself first.
+
+    ``ahead`` points as many steps up as the path has names. A walk that comes back to a name only repeats itself from
+    there, so a path ends with its last new name.
+    """
+    known = types.select("name", F.col("super").alias("ahead"))
+    real = known.select(F.col("name").alias("ahead"))
+    now = durable(known.join(real, "ahead", "left_semi").select("name", F.array("name").alias("path"), "ahead").union(known.join(real, "ahead", "left_anti").select("name", F.array("name"), F.lit(None).cast("string"))))
+    length = 1
+    while length < depth and not now.where("ahead is not null").isEmpty():
+        on = now.select(F.col("name").alias("ahead"), F.col("path").alias("more"), F.col("ahead").alias("next"))
+        going, ended = now.where("ahead is not null"), now.where("ahead is null")
+        joined = going.join(on, "ahead").withColumn("whole", F.concat("path", "more"))
+        joined = joined.select("name", F.array_distinct("whole").alias("path"), F.when(F.size(F.array_distinct("whole")) == F.size("whole"), F.col("next")).alias("ahead"))
+        now = durable(joined.union(ended))
+        length *= 2
+    return now.select("name", F.slice("path", 1, depth).alias("path"))
+
+
 def superclass_chain(types: DataFrame, wanted: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(start, depth, name): each wanted name that resolves, then its superclasses, nearest first.
 
     A chain ends before a name that does not resolve or that it holds already, and after ``depth`` classes.
     """
-    up = types.select("name", "super")
-    level = durable(wanted.select(F.col("name").alias("start")).where(F.col("start").isNotNull()).distinct().join(up, F.col("start") == F.col("name")).select("start", "name", "super", F.array("name").alias("seen")))
-    levels, k = [level.select("start", F.lit(0).alias("depth"), "name")], 0
-    while k + 1 < depth:
-        k += 1
-        ahead = level.where(F.col("super").isNotNull() & ~F.array_contains("seen", F.col("super"))).select("start", F.col("super").alias("name"), "seen")
-        level = durable(ahead.join(up, "name").select("start", "name", "super", F.concat("seen", F.array("name")).alias("seen")))
-        if level.isEmpty():
+    starts = wanted.select("name").where("name is not null").distinct()
+    return chains(types, depth).join(starts, "name", "left_semi").select(F.col("name").alias("start"), F.posexplode("path").alias("depth", "name"))
+
+
+def _superinterfaces(types: DataFrame) -> DataFrame:
+    """(name, above, key): what each named interface reaches over declared interfaces; ``key`` has the numbers of the declarations on the shortest way, of several the smallest.
+
+    The way of a pair is put together of the ways of two halves, which are shortest and smallest themselves.
+    """
+    step = types.select("name", F.posexplode("interfaces").alias("i", "above")).where("above is not null")
+    best = lambda df: df.groupBy("name", "above").agg(F.min(F.struct(F.size("key").alias("n"), "key")).alias("k")).select("name", "above", "k.key")
+    named = step.select(F.col("above").alias("name")).distinct()
+    ways = durable(best(step.join(named, "name", "left_semi").select("name", "above", F.array("i").alias("key"))))
+    count = ways.count()
+    while count:
+        on = ways.select(F.col("name").alias("above"), F.col("above").alias("top"), F.col("key").alias("more"))
+        further = ways.join(on, "above").select("name", F.col("top").alias("above"), F.concat("key", "more").alias("key"))
+        ways = durable(best(ways.union(further)))
+        before, count = count, ways.count()
+        if count == before:
             break
-        levels.append(level.select("start", F.lit(k).alias("depth"), "name"))
-    return reduce(DataFrame.union, levels)
+    return ways
 
 
 def interface_closure(types: DataFrame, chain: DataFrame, most: int | None = DEPTH, unresolved: bool = False) -> DataFrame:
@@ -41,32 +70,17 @@ def interface_closure(types: DataFrame, chain: DataFrame, most: int | None = DEP
     ``key`` orders the interfaces of one generation: the numbers of the declarations on the way. Names that do not
     resolve are passed over, or kept with ``found`` false. At most ``most`` interfaces of a start stay.
     """
-    declared = types.select("name", "interfaces")
-    known = durable(chain.select("name").distinct().join(declared, "name"))
-    level = chain.join(known, "name").select("start", F.array("depth").alias("key"), "interfaces")
-    seen: DataFrame | None = None
-    levels: list[DataFrame] = []
-    generation = 0
-    while True:
-        ahead = level.select("start", "key", F.posexplode("interfaces").alias("i", "name"))
-        ahead = ahead.groupBy("start", "name").agg(F.min(F.concat("key", F.array("i"))).alias("key"))
-        if seen is not None:
-            ahead = ahead.join(seen, ["start", "name"], "left_anti")
-        now = durable(ahead.join(declared, "name", "left").select("start", F.lit(generation).alias("generation"), "key", "name", "interfaces", F.col("interfaces").isNotNull().alias("found")))
-        if now.isEmpty():
-            break
-        levels.append(now.select("start", "generation", "key", "name", "found"))
-        seen = now.select("start", "name") if seen is None else seen.union(now.select("start", "name"))
-        level = now.where("found").select("start", "key", "interfaces")
-        generation += 1
-    if not levels:
-        levels = [now.select("start", "generation", "key", "name", "found")]
-    out = reduce(DataFrame.union, levels)
+    declared = types.select("name", F.posexplode("interfaces").alias("i", "above")).where("above is not null")
+    ways = _superinterfaces(types)
+    first = chain.join(declared, "name").select("start", F.array("depth", "i").alias("key"), F.col("above").alias("name"))
+    first = durable(first.groupBy("start", "name").agg(F.min("key").alias("key")))
+    further = first.join(ways.withColumnRenamed("key", "more"), "name").select("start", F.concat("key", "more").alias("key"), F.col("above").alias("name"))
+    visit = first.select("start", "key", "name").union(further).groupBy("start", "name").agg(F.min(F.struct((F.size("key") - 2).alias("generation"), "key")).alias("v"))
+    out = visit.select("start", "v.generation", "v.key", "name").join(types.select("name", F.lit(True).alias("found")), "name", "left")
+    out = durable(out.select("start", "generation", "key", "name", F.coalesce("found", F.lit(False)).alias("found")))
     if not unresolved:
         out = out.where("found").drop("found")
         if most is not None:
-            from pyspark.sql import Window
-
             order = Window.partitionBy("start").orderBy("generation", "key")  # the interfaces of one class
             out = out.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= most).drop("__n")
     return out

@@ -1,18 +1,19 @@
 """Reachable methods by rapid type analysis: a semi-naive fixpoint of DataFrame joins.
 
 A round joins only what the round before found. Edges whose target does not depend on what is allocated are resolved once
-before the loop; a call site is dispatched to every allocated class below its owner, also to those allocated later.
+before the loop. Dispatched calls go to what allocated types below their owner run, also those allocated later: see
+``dispatch``, which tells it from points of the hierarchy and ranges of numbers, not from every type below an owner.
 """
 
 from __future__ import annotations
 
-import heapq
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.operators.hierarchy import interface_closure, superclass_chain
+from lodestar.operators.dispatch import Dispatch
+from lodestar.operators.hierarchy import superclass_chain
 from lodestar.operators.linkage import resolve_members
 from lodestar.session import Grown, durable
 
@@ -21,6 +22,8 @@ DISPATCHED = ("INVOKE_VIRTUAL", "INVOKE_INTERFACE")
 INITIALIZING = ("GET_STATIC", "PUT_STATIC", "INVOKE_STATIC")
 LINKAGE_ERROR = "java/lang/LinkageError"
 CLINIT = "<clinit>()V"
+MEMBER = ["name", "descriptor"]
+FROM = ["from_owner", "from_sig"]
 
 
 def closure_from(edges: DataFrame, roots: DataFrame) -> DataFrame:
@@ -40,166 +43,85 @@ def probes(types: DataFrame, type_refs: DataFrame) -> DataFrame:
     return type_refs.join(errors, "target", "left_semi").select(F.col("internal_name").alias("owner"), F.col("method").alias("sig")).distinct()
 
 
-def reachable_methods(types: DataFrame, classes: DataFrame, member_refs: DataFrame, type_refs: DataFrame) -> DataFrame:
-    """(owner, sig): the methods that application code may run.
+def _constructs(name: Column) -> Column:
+    return name.startswith("<") & ~F.lit(CLINIT).startswith(name)
+
+
+class CallGraph:
+    """What the references of a classpath may run, resolved once.
 
     ``classes(internal_name, origin)`` are winners, the references those of winners: ``member_refs(internal_name, method,
-    kind, owner, name, descriptor)``, ``type_refs(internal_name, method, target)``. Platform methods are never nodes.
-    """
-    mine = durable(types.where("not from_platform").select("name", "super", "interfaces", "members"))
-    live = classes.join(mine.select(F.col("name").alias("internal_name"), "members"), "internal_name")
-    application = durable(live.where("origin = 'APPLICATION'").select("internal_name", "members"))
-    methods = application.select(F.col("internal_name").alias("owner"), F.explode("members").alias("m")).where(F.col("m.descriptor").startswith("(")).select("owner", F.concat("m.name", "m.descriptor").alias("sig"))
-    refs = member_refs.join(mine.select(F.col("name").alias("internal_name")), "internal_name", "left_semi").where(~F.col("owner").startswith("["))
-    silent = probes(types, type_refs)
-    refs = refs.select(F.col("internal_name").alias("from_owner"), F.col("method").alias("from_sig"), "kind", "owner", "name", "descriptor").distinct()
-    refs = durable(refs.join(silent, (F.col("from_owner") == silent["owner"]) & (F.col("from_sig") == silent["sig"]), "left_anti"))
-
-    chain = durable(superclass_chain(types, mine.select("name")))
-    above = durable(chain.select("start", "name").union(interface_closure(types, chain).select("start", "name")).distinct())
-    own_names = mine.select("name")
-    clinit = mine.where(F.exists("members", lambda m: (m["name"] == "<clinit>") & (m["descriptor"] == "()V"))).select(F.col("name").alias("owner"))
-    starts = durable(chain.join(clinit, F.col("name") == F.col("owner")).select("start", "owner", F.lit(CLINIT).alias("sig")))
-
-    # targets that a (type, member) runs: the owners themselves, and every class below an owner of a dispatched call
-    calls = refs.where(F.col("descriptor").startswith("("))
-    sites = durable(calls.where(F.col("kind").isin(*DISPATCHED)).select("owner", "name", "descriptor").distinct())
-    receivers = durable(sites.join(above, sites["owner"] == above["name"]).select("start", F.col("owner").alias("site"), sites["name"], "descriptor"))
-    asked = calls.select("owner", "name", "descriptor").union(receivers.select(F.col("start"), "name", "descriptor"))
-    runs = resolve_members(types, asked).join(own_names, F.col("declarer") == own_names["name"], "left_semi")
-    runs = durable(runs.select("owner", "name", "descriptor", F.col("declarer"), F.concat("name", "descriptor").alias("sig")))
-
-    member = ["name", "descriptor"]
-    step = lambda df: df.select(F.col("declarer").alias("owner"), "sig")
-    edge = calls.where(F.col("kind").isin(*DIRECT + DISPATCHED)).select("from_owner", "from_sig", "owner", *member).distinct().join(runs, ["owner", *member])
-    fixed = [edge.select("from_owner", "from_sig", F.col("declarer").alias("owner"), "sig")]
-    inits = refs.where(F.col("kind").isin(*INITIALIZING)).select("from_owner", "from_sig", F.col("owner").alias("start")).distinct()
-    fixed.append(inits.join(starts, "start").select("from_owner", "from_sig", "owner", "sig"))
-    edges = durable(reduce(DataFrame.union, fixed).distinct())
-    parents = mine.select(F.col("name").alias("from_owner"), F.col("super").alias("__super"))
-    made = refs.where(F.col("name").startswith("<") & ~F.lit(CLINIT).startswith(F.col("name"))).join(own_names, F.col("owner") == own_names["name"], "left_semi").join(parents, "from_owner", "left")
-    in_constructor = F.col("from_sig").startswith("<") & ~F.lit(CLINIT).startswith(F.col("from_sig"))
-    chaining = in_constructor & ((F.col("from_owner") == F.col("owner")) | F.coalesce(F.col("__super") == F.col("owner"), F.lit(False)))
-    allocates = durable(made.where(~chaining).select("from_owner", "from_sig", F.col("owner").alias("type")).distinct())
-    site_of = durable(calls.where(F.col("kind").isin(*DISPATCHED)).select("from_owner", "from_sig", F.col("owner").alias("site"), *member).distinct())
-    into = durable(receivers.join(runs.withColumnRenamed("owner", "start"), ["start", *member]).select("start", "site", *member, "declarer", "sig"))
-
-    fresh = durable(methods.distinct())
-    new_types = durable(application.select(F.col("internal_name").alias("type")).distinct())
-    reached, allocated, open_sites = Grown(fresh), Grown(new_types), Grown(durable(site_of.select("site", *member).limit(0)))
-    while not (fresh.isEmpty() and new_types.isEmpty()):
-        by = (F.col("from_owner") == fresh["owner"]) & (F.col("from_sig") == fresh["sig"])
-        now_sites = durable(site_of.join(fresh, by, "left_semi").select("site", *member).distinct().join(open_sites.all(), ["site", *member], "left_anti"))
-        made_now = durable(allocates.join(fresh, by, "left_semi").select("type").distinct().join(allocated.all(), "type", "left_anti"))
-        everyone = allocated.all().union(made_now)
-        seeds = new_types.union(made_now).distinct()
-        found = [
-            edges.join(fresh.select(F.col("owner").alias("__o"), F.col("sig").alias("__s")), (F.col("from_owner") == F.col("__o")) & (F.col("from_sig") == F.col("__s")), "left_semi").select("owner", "sig"),
-            made_now.join(starts, F.col("type") == F.col("start")).select("owner", "sig"),
-            step(into.join(now_sites, ["site", *member], "left_semi").join(everyone, F.col("start") == F.col("type"), "left_semi")),
-            step(into.join(open_sites.all(), ["site", *member], "left_semi").join(seeds, F.col("start") == F.col("type"), "left_semi")),
-        ]
-        fresh = durable(reduce(DataFrame.union, found).distinct().join(reached.all(), ["owner", "sig"], "left_anti"))
-        reached.add(fresh)
-        allocated.add(made_now)
-        open_sites.add(now_sites)
-        new_types = made_now.limit(0)
-    return reached.all()
-
-
-def first_callers(types: DataFrame, classes: DataFrame, member_refs: DataFrame, type_refs: DataFrame, reached: DataFrame) -> dict[tuple[str, str], tuple[str, str]]:
-    """Who reached each method first, when methods are taken in (owner, signature) order and references in class order.
-
-    Which methods are reached does not depend on the order, who reaches them first does; so the set is found by joins and
-    only its own subgraph comes to the driver, where the ordered worklist is replayed. ``member_refs`` carries ``ref``,
-    the order of references in a class.
+    kind, owner, name, descriptor[, ref])``, ``type_refs(internal_name, method, target)``. Platform methods are never nodes.
+    ``ref`` is the order of references in a class. Tables are keyed by the method that refers (``from_owner``, ``from_sig``).
     """
-    mine = durable(types.where("not from_platform").select("name", "super", "interfaces", "members"))
-    silent = probes(types, type_refs)
-    at = reached.select(F.col("owner").alias("internal_name"), F.col("sig").alias("method")).join(silent.select(F.col("owner").alias("internal_name"), F.col("sig").alias("method")), ["internal_name", "method"], "left_anti")
-    refs = durable(member_refs.join(at, ["internal_name", "method"], "left_semi").where(~F.col("owner").startswith("[")))
-    live = classes.join(mine.select(F.col("name").alias("internal_name"), "members", "super"), "internal_name")
-    application = live.where("origin = 'APPLICATION'")
-    made = refs.where(F.col("name").startswith("<") & (F.col("name") != "<clinit>")).select(F.col("owner").alias("name"))
-    used = durable(made.union(application.select("internal_name")).union(refs.where(F.col("kind").isin(*INITIALIZING)).select("owner")).distinct().join(mine.select("name"), "name", "left_semi"))
-    chain = durable(superclass_chain(types, used))
-    above: dict[str, list[str]] = {}
-    for r in chain.orderBy("start", "depth").collect():
-        above.setdefault(r["start"], []).append(r["name"])
-    chains = {k: list(v) for k, v in above.items()}
-    for r in interface_closure(types, chain).orderBy("start", "generation", "key").collect():
-        above[r["start"]].append(r["name"])
-    calls = refs.where(F.col("descriptor").startswith("("))
-    sites = calls.where(F.col("kind").isin(*DISPATCHED)).select("owner", "name", "descriptor").distinct()
-    pairs = _pairs(types, above)
-    asked = calls.select("owner", "name", "descriptor").union(sites.join(pairs, sites["owner"] == pairs["up"]).select("start", sites["name"], "descriptor"))
-    runs = {(r["owner"], r["name"], r["descriptor"]): (r["declarer"], r["name"] + r["descriptor"]) for r in resolve_members(types, asked).join(mine.select(F.col("name").alias("declarer")), "declarer", "left_semi").collect()}
-    parents = {r["name"]: r["super"] for r in mine.join(refs.select(F.col("internal_name").alias("name")).distinct(), "name", "left_semi").select("name", "super").collect()}
-    initial = {r["name"] for r in mine.where(F.exists("members", lambda m: (m["name"] == "<clinit>") & (m["descriptor"] == "()V"))).join(chain.select("name").distinct(), "name", "left_semi").select("name").collect()}
-    by: dict[tuple[str, str], list] = {}
-    for r in refs.orderBy("internal_name", "method", "ref").collect():
-        by.setdefault((r["internal_name"], r["method"]), []).append((r["kind"], r["owner"], r["name"], r["descriptor"]))
-    own = application.select("internal_name", F.explode("members").alias("m")).where(F.col("m.descriptor").startswith("(")).select("internal_name", F.concat("m.name", "m.descriptor").alias("sig"))
-    entry = sorted({(r["internal_name"], r["sig"]) for r in own.collect()}, key=_java)
-    return _replay(entry, [r["internal_name"] for r in application.select("internal_name").collect()], by, runs, above, chains, parents, initial)
-
-
-def _pairs(types: DataFrame, above: dict[str, list[str]]) -> DataFrame:
-    """(start, up) rows of the supertypes that the driver knows of."""
-    return types.sparkSession.createDataFrame([(s, u) for s, ups in above.items() for u in ups], "start string, up string")
-
-
-def _java(node) -> tuple:
-    """Java's order of strings, by UTF-16 units."""
-    return tuple(x.encode("utf-16-be") for x in node)
-
-
-def _replay(entry, application, by, runs, above, chains, parents, initial) -> dict:
-    reached, callers, pending = set(entry), {}, [(_java(n), n) for n in entry]
-    heapq.heapify(pending)
-    allocated: set[str] = set(application)
-    sites: dict[str, dict[str, tuple]] = {}
-
-    def reach(caller, target) -> None:
-        if target and target not in reached:
-            reached.add(target)
-            callers[target] = caller
-            heapq.heappush(pending, (_java(target), target))
-
-    def initialize(caller, name) -> None:
-        for up in chains.get(name, ()):
-            if up in initial:
-                reach(caller, (up, CLINIT))
-
-    while pending:
-        _, at = heapq.heappop(pending)
-        for kind, owner, name, descriptor in by.get(at, ()):
-            if kind in INITIALIZING:
-                initialize(at, owner)
-            constructs = name.startswith("<") and not CLINIT.startswith(name)
-            if constructs and owner in above and owner not in allocated:
-                if not (at[1].startswith("<") and not CLINIT.startswith(at[1]) and owner in (at[0], parents.get(at[0]))):
-                    allocated.add(owner)
-                    initialize(at, owner)
-                    for up in above[owner]:
-                        for _, (caller, n, d) in sorted(sites.get(up, {}).items(), key=lambda x: _java([x[0]])):
-                            reach(caller, runs.get((owner, n, d)))
-            if kind in DIRECT:
-                reach(at, runs.get((owner, name, descriptor)))
-            if kind in DISPATCHED:
-                sites.setdefault(owner, {}).setdefault(name + descriptor, (at, name, descriptor))
-                reach(at, runs.get((owner, name, descriptor)))
-                for receiver in sorted((a for a in allocated if owner in above.get(a, ())), key=lambda a: _java([a])):
-                    reach(at, runs.get((receiver, name, descriptor)))
-    return callers
-
-
-def chain_text(callers: dict[tuple[str, str], tuple[str, str]], node: tuple[str, str]) -> str:
-    """``entry -> ... -> node``; of more than 12 steps the first and last five stay."""
-    steps = [node]
-    while steps[-1] in callers:
-        steps.append(callers[steps[-1]])
-    texts = [f"{owner.replace('/', '.')}#{sig}" for owner, sig in reversed(steps)]
-    if len(texts) > 12:
-        texts = [*texts[:5], f"... {len(texts) - 10} hops ...", *texts[-5:]]
-    return " -> ".join(texts)
+
+    def __init__(self, types: DataFrame, classes: DataFrame, member_refs: DataFrame, type_refs: DataFrame) -> None:
+        self.types = types
+        mine = durable(types.where("not from_platform").select("name", "super", "interfaces", "members"))
+        own_names = mine.select("name")
+        live = classes.join(mine.select(F.col("name").alias("internal_name"), "members"), "internal_name")
+        application = durable(live.where("origin = 'APPLICATION'").select("internal_name", "members"))
+        methods = application.select(F.col("internal_name").alias("owner"), F.explode("members").alias("m")).where(F.col("m.descriptor").startswith("("))
+        #: Methods of the application, and its types, which count as allocated from the start and are not initialized.
+        self.entries = durable(methods.select("owner", F.concat("m.name", "m.descriptor").alias("sig")).distinct())
+        self.surface = durable(application.select(F.col("internal_name").alias("type")).distinct())
+
+        refs = member_refs if "ref" in member_refs.columns else member_refs.withColumn("ref", F.lit(0))
+        refs = refs.join(own_names.withColumnRenamed("name", "internal_name"), "internal_name", "left_semi").where(~F.col("owner").startswith("["))
+        refs = refs.groupBy(F.col("internal_name").alias("from_owner"), F.col("method").alias("from_sig"), "kind", "owner", *MEMBER).agg(F.min("ref").alias("ref"))  # again it changes nothing
+        refs = durable(refs.join(probes(types, type_refs).toDF(*FROM), FROM, "left_anti"))
+        calls = refs.where(F.col("descriptor").startswith("("))
+
+        chain = durable(superclass_chain(types, own_names))
+        higher = superclass_chain(types, chain.select("name").distinct().join(own_names, "name", "left_anti"))
+        clinit = mine.where(F.exists("members", lambda m: (m["name"] == "<clinit>") & (m["descriptor"] == "()V"))).select("name")
+        #: (start, depth, owner, sig): initializers that run when a class is initialized.
+        self.starts = durable(chain.join(clinit, "name", "left_semi").select("start", "depth", F.col("name").alias("owner"), F.lit(CLINIT).alias("sig")))
+
+        runs = resolve_members(types, calls.select("owner", *MEMBER)).join(own_names.withColumnRenamed("name", "declarer"), "declarer", "left_semi")
+        runs = runs.select("owner", *MEMBER, "declarer", F.concat(*MEMBER).alias("sig"))
+        #: (from, ref, owner, sig): what a reference runs whatever is allocated.
+        self.direct = durable(calls.where(F.col("kind").isin(*DIRECT + DISPATCHED)).join(runs, ["owner", *MEMBER]).select(*FROM, "ref", F.col("declarer").alias("owner"), "sig"))
+        #: (from, ref, start): classes that a reference initializes.
+        self.initializes = durable(refs.where(F.col("kind").isin(*INITIALIZING)).select(*FROM, "ref", F.col("owner").alias("start")))
+        made = refs.where(_constructs(F.col("name"))).join(own_names.withColumnRenamed("name", "owner"), "owner", "left_semi").join(mine.select(F.col("name").alias("from_owner"), F.col("super").alias("parent")), "from_owner", "left")
+        chaining = _constructs(F.col("from_sig")) & ((F.col("from_owner") == F.col("owner")) | F.coalesce(F.col("parent") == F.col("owner"), F.lit(False)))
+        #: (from, ref, type): types that a reference allocates; a constructor that calls one of its own class or the superclass does not.
+        self.allocates = durable(made.where(~chaining).select(*FROM, "ref", F.col("owner").alias("type")))
+        #: (from, ref, site, name, descriptor): dispatched calls.
+        self.sites = durable(calls.where(F.col("kind").isin(*DISPATCHED)).select(*FROM, "ref", F.col("owner").alias("site"), *MEMBER))
+        every = self.surface.union(self.allocates.select("type")).distinct()
+        self.dispatch = Dispatch(types, durable(chain.union(higher)), durable(self.sites.select(F.col("site").alias("owner"), *MEMBER).distinct()), every, own_names)
+
+    def reached(self) -> DataFrame:
+        """(owner, sig): the methods that application code may run."""
+        nodes = lambda df: df.select(F.col("owner").alias("from_owner"), F.col("sig").alias("from_sig"))
+        step = lambda df: df.select(F.col("declarer").alias("owner"), "sig")
+        edges = durable(self.direct.select(*FROM, "owner", "sig").union(self.initializes.join(self.starts, "start").select(*FROM, "owner", "sig")).distinct())
+        point, site, dispatch = ["at", *MEMBER], ["site", *MEMBER], self.dispatch
+        fresh, first = self.entries, self.surface
+        reached, allocated = Grown(fresh), Grown(first)
+        open_sites, alive = Grown(durable(self.sites.select(*site).limit(0))), Grown(durable(dispatch.targets.select(*point).limit(0)))
+        blocks = Grown(durable(dispatch.blocks(first.limit(0))))
+        while not fresh.isEmpty():
+            now_sites = durable(self.sites.join(nodes(fresh), FROM, "left_semi").select(*site).distinct().join(open_sites.all(), site, "left_anti"))
+            made_now = durable(self.allocates.join(nodes(fresh), FROM, "left_semi").select("type").distinct().join(allocated.all(), "type", "left_anti"))
+            new_types = made_now.union(first)
+            new_blocks = durable(dispatch.blocks(new_types).join(blocks.all(), ["level", "block"], "left_anti"))
+            woken = durable(dispatch.woken(new_types, new_blocks).join(alive.all(), point, "left_anti"))
+            found = [
+                edges.join(nodes(fresh), FROM, "left_semi").select("owner", "sig"),
+                self.starts.join(made_now.withColumnRenamed("type", "start"), "start", "left_semi").select("owner", "sig"),
+                step(dispatch.targets.join(now_sites, site, "left_semi").join(alive.all().union(woken), point, "left_semi")),
+                step(dispatch.targets.join(woken, point, "left_semi").join(open_sites.all(), site, "left_semi")),
+            ]
+            fresh = durable(reduce(DataFrame.union, found).distinct().join(reached.all(), ["owner", "sig"], "left_anti"))
+            for table, part in ((reached, fresh), (allocated, made_now), (open_sites, now_sites), (alive, woken), (blocks, new_blocks)):
+                table.add(part)
+            first = self.surface.limit(0)
+        return reached.all()
+
+
+def reachable_methods(types: DataFrame, classes: DataFrame, member_refs: DataFrame, type_refs: DataFrame) -> DataFrame:
+    """(owner, sig): the methods that application code may run; see ``CallGraph``."""
+    return CallGraph(types, classes, member_refs, type_refs).reached()

@@ -6,7 +6,6 @@ DataFrame of ``schema.FINDING`` rows in canonical order.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 from lodestar import schema
 from lodestar.functions.catalog import CODES
 from lodestar.functions.names import binary_name, package_of
-from lodestar.operators import duplicates, levels, linkage, modules, reachability, results, services
+from lodestar.operators import duplicates, levels, linkage, modules, proof, reachability, results, services
 from lodestar.session import durable
 from lodestar.sources import archive, classpath, platform
 
@@ -60,7 +59,7 @@ class Result:
 
 
 def read_facts(spark: SparkSession, request: Request, budget: archive.Budget = archive.Budget()) -> Facts:
-    expansion = classpath.expand(list(request.applications), list(request.classpath))
+    expansion = classpath.expand(list(request.applications), list(request.classpath), budget)
     symbols = durable(platform.platform_classes(spark, request.release, request.jdk_home, request.symbol_table))
     if symbols.where("internal_name = 'java/lang/Object'").isEmpty():
         raise classpath.RefusedRun(f"the platform symbols for release {request.release} do not describe java/lang/Object")
@@ -137,15 +136,13 @@ def hierarchy_types(f: Facts) -> DataFrame:
     return durable(linkage.resolved_types(f.classes.select("internal_name", "position", "ordinal", "shape"), f.platform))
 
 
-def reached(f: Facts, types: DataFrame) -> tuple[DataFrame, Callable[[], dict]]:
-    """(owner, sig) of methods that the application may run, and what finds who reached each first."""
+def call_graph(f: Facts, types: DataFrame) -> reachability.CallGraph:
+    """What the winners among the classes may run."""
     first = duplicates.winners(f.classes.select("internal_name", "position", "ordinal", "origin", "member_refs", "type_refs")).join(types.where("not from_platform").select(F.col("name").alias("internal_name")), "internal_name", "left_semi")
     first = durable(first)
     members = first.select("internal_name", F.posexplode("member_refs").alias("ref", "r")).select("internal_name", "ref", "r.method", "r.kind", "r.owner", "r.name", "r.descriptor")
     targets = first.select("internal_name", F.explode("type_refs").alias("r")).select("internal_name", "r.method", "r.target")
-    facts = (types, first.select("internal_name", "origin"), members, targets)
-    live = reachability.reachable_methods(*facts)
-    return live, lambda: reachability.first_callers(*facts, live)
+    return reachability.CallGraph(types, first.select("internal_name", "origin"), members, targets)
 
 
 def resolution_evidence(f: Facts, types: DataFrame, found: DataFrame) -> DataFrame:
@@ -176,7 +173,8 @@ def linkage_findings(f: Facts, request: Request, types: DataFrame, most: int = 2
     t = c.select(*base, F.posexplode("type_refs").alias("ref", "r")).select("*", "r.*").drop("r").withColumn("phase", F.lit(0))
     m = c.select(*base, F.col("shape.super").alias("caller_super"), F.col("host").alias("caller_host"), F.posexplode("member_refs").alias("ref", "r")).select("*", "r.*").drop("r").withColumn("phase", F.lit(1))
     if request.scope == "REACHABLE":
-        found, replay = reached(f, types)
+        graph = call_graph(f, types)
+        found = durable(graph.reached())
         live = durable(found.select(F.col("owner").alias("caller"), F.col("sig").alias("method")))
         t, m = t.join(live, ["caller", "method"], "left_semi"), m.join(live, ["caller", "method"], "left_semi")
     cols = ["code", "subject", "display", "entry_name", "position", "ordinal", "phase", "ref", "source_file", "severity", "line", "caller", "method"]
@@ -190,9 +188,8 @@ def linkage_findings(f: Facts, request: Request, types: DataFrame, most: int = 2
     detail = F.concat_ws(" ", "subject", F.lit("from"), F.concat(binary_name(F.col("caller")), F.lit("#"), F.col("method")))
     evidence = F.concat(F.array(detail), "facts")
     if request.scope == "REACHABLE":
-        callers = replay() if not once.isEmpty() else {}
-        at = once.select("caller", "method").distinct().collect()  # methods with findings, of which a run may have a bounded number
-        chains = f.entries.sparkSession.createDataFrame([(r["caller"], r["method"], reachability.chain_text(callers, (r["caller"], r["method"]))) for r in at], "caller string, method string, chain string")
+        wanted = durable(once.select(F.col("caller").alias("owner"), F.col("method").alias("sig")).distinct())  # as many as a run may have findings
+        chains = proof.proof_chains(graph, found, wanted).select(F.col("owner").alias("caller"), F.col("sig").alias("method"), "chain") if not once.isEmpty() else wanted.select("owner", "sig", "sig").toDF("caller", "method", "chain")
         once = once.join(chains, ["caller", "method"])
         evidence = F.concat(F.array(detail, F.concat(F.lit("reachable via: "), F.col("chain"))), "facts")
     return _found(once, F.col("code"), F.col("subject"), detail, severity=F.col("severity"), entry=F.col("entry_name"), source=F.col("source_file"), line=F.col("line"), evidence=evidence)

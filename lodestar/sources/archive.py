@@ -1,7 +1,8 @@
 """Artifacts read into fact rows: a distributed scan of archives and class folders.
 
-``spark.read.format("binaryFile")`` brings each archive to a task, so any store that Spark reads will do; folders are
-read file by file. Budgets are ceilings that refuse a run: tasks report a refusal as a row, and the driver raises the one
+``spark.read.format("binaryFile")`` brings a small archive to a task. A large one, or one that presents several positions, is
+split: each task reads the directory at the file's end and then only its own range of the entries, in the order that one
+task would take them; such archives, and folders, must be mounted wherever executors run. Budgets are ceilings that refuse a run: tasks report a refusal as a row, and the driver raises the one
 of the first position, whichever task was faster.
 """
 
@@ -13,7 +14,6 @@ import os
 import re
 import zipfile
 from collections.abc import Iterator
-from dataclasses import dataclass
 from itertools import islice
 
 import pyarrow as pa
@@ -22,33 +22,15 @@ from pyspark.sql import functions as F
 
 from lodestar import schema
 from lodestar.session import as_arrow, mapped
+from lodestar.sources.budget import Budget, RefusedRun, checked
 from lodestar.sources.classfile import NEWEST_MAJOR, MalformedClass, parse, version
-from lodestar.sources.classpath import MANIFEST, RefusedRun
+from lodestar.sources.classpath import MANIFEST
 from lodestar.sources.manifest import coordinate, is_true, package_of, parse_manifest, properties, sealed_packages
 
 VERSIONS = "META-INF/versions/"
 SERVICES = "META-INF/services/"
 
 
-@dataclass(frozen=True)
-class Budget:
-    """Ceilings of one run."""
-
-    entries: int = 262_144
-    class_bytes: int = 32 << 20
-    nested_bytes: int = 256 << 20
-    expanded_bytes: int = 4 << 30
-    ratio: int = 200
-    findings: int = 20_000
-
-
-def _checked(info: zipfile.ZipInfo, most: int, budget: Budget, where: str) -> None:
-    if info.file_size > most:
-        raise RefusedRun(f"{where}!/{info.filename} is larger than {most} bytes")
-    if info.compress_size > 0 and info.file_size > 0 and info.file_size // info.compress_size > budget.ratio:
-        raise RefusedRun(f"{where}!/{info.filename} expands more than {budget.ratio} times")
-
-
 class Contents:
     """Names of an artifact's entries in order, and their bytes; a part of an archive is one of these as well."""
 
@@ -67,16 +49,17 @@ class Contents:
         return self._read(name, self.budget.class_bytes, size)
 
 
-def archive_contents(display: str, raw: bytes, budget: Budget, prefix: str = "", without: tuple[str, ...] = ()) -> Contents:
+def archive_contents(display: str, raw: bytes | str, budget: Budget, prefix: str = "", without: tuple[str, ...] = ()) -> Contents:
+    """Contents of an archive of which the bytes, or only the path, are known; of a path no more is read than is asked for."""
     try:
-        z = zipfile.ZipFile(io.BytesIO(raw))
+        z = zipfile.ZipFile(raw if isinstance(raw, str) else io.BytesIO(raw))
         infos = {i.filename: i for i in z.infolist() if not i.is_dir()}
-    except (zipfile.BadZipFile, EOFError, ValueError) as e:
+    except (zipfile.BadZipFile, EOFError, OSError, ValueError) as e:
         raise RefusedRun(f"cannot read {display}: {e}") from e
 
     def read(name: str, most: int, first: int | None) -> bytes:
         info = infos[prefix + name]
-        _checked(info, most, budget, display)
+        checked(info, most, budget, display)
         try:
             with z.open(info) as f:
                 data = f.read(most + 1 if first is None else first)
@@ -113,15 +96,19 @@ def _empty(position: int) -> dict:
     return dict.fromkeys(schema.SCANNED_COLUMNS) | {"position": position}
 
 
-def scan(position: int, c: Contents, release: int, folder: bool = False, references: bool = True) -> Iterator[dict]:
-    """Fact rows of one artifact; ``folder``: base entries only, no manifest is honoured."""
+def scan(position: int, c: Contents, release: int, folder: bool = False, references: bool = True, part: int = 0, parts: int = 1) -> Iterator[dict]:
+    """Fact rows of one artifact; ``folder``: base entries only, no manifest is honoured.
+
+    Of several ``parts`` each has a range of the classes, the first the artifact's own row as well.
+    """
     main, sections = parse_manifest(c.read(MANIFEST)) if MANIFEST in c.names and not folder else ({}, {})
     multi = is_true(main.get("multi-release"))
     pick = selected(c.names, release, multi)
     packages: set[str] = set()
-    ordinal = 0
     entries = sorted((entry, base) for base, (entry, _) in pick.items() if base.endswith(".class"))
-    for entry, base in entries:
+    low, high = len(entries) * part // parts, len(entries) * (part + 1) // parts
+    ordinal = low
+    for entry, base in entries[low:high]:
         data = c.read(entry)
         row = _empty(position) | {"row": "class", "ordinal": ordinal, "entry_name": entry}
         ordinal += 1
@@ -148,6 +135,11 @@ def scan(position: int, c: Contents, release: int, folder: bool = False, referen
                     "member_refs": [dict(zip(("kind", "owner", "name", "descriptor", "method", "line"), m)) for m in f.member_refs],
                 }
         yield row
+    if part:
+        yield _empty(position) | {"row": "part", "expanded": c.expanded}
+        return
+    if is_true(main.get("sealed")):  # which packages are declared shows in the first bytes of the other parts' classes
+        packages.update(p for entry, base in entries[high:] if (p := package_of(base[: -len(".class")])) and version(c.head(entry, 8)) is not None)
     poms = [properties(c.read(n)) for n in c.names if n.startswith("META-INF/maven/") and n.endswith("pom.properties")]
     services = [{"service": n[len(SERVICES) :], "text": c.read(n).decode("utf-8", "replace")} for n in c.names if n.startswith(SERVICES) and "/" not in n[len(SERVICES) :]]
     yield _empty(position) | {
@@ -169,7 +161,7 @@ def _folder_contents(display: str, root: str, budget: Budget) -> Contents:
     return Contents(display, names, read, budget)
 
 
-def contents_of(entry: dict, raw: bytes | None, budget: Budget) -> tuple[Contents, bool]:
+def contents_of(entry: dict, raw: bytes | str | None, budget: Budget) -> tuple[Contents, bool]:
     """What an entry of the classpath presents, and whether it is a folder."""
     kind, display = entry["kind"], entry["display"]
     if kind == "DIRECTORY":
@@ -181,7 +173,9 @@ def contents_of(entry: dict, raw: bytes | None, budget: Budget) -> tuple[Content
     if kind == "NESTED_CLASSES":
         return archive_contents(display, raw, budget, prefix=entry["nested"]["path"]), False
     outer = archive_contents(display, raw, budget)
-    return archive_contents(display, outer.read(entry["nested"]["path"], budget.nested_bytes), budget), False
+    inner = archive_contents(display, outer.read(entry["nested"]["path"], budget.nested_bytes), budget)
+    inner.expanded = outer.expanded
+    return inner, False
 
 
 def _escaped(path: str) -> str:
@@ -196,35 +190,46 @@ def with_content(listed: DataFrame, files: list[str]) -> DataFrame:
     return listed.join(raw, "file", "left")
 
 
-def scan_entries(spark: SparkSession, entries: list[dict], release: int, budget: Budget = Budget(), references: bool = True) -> DataFrame:
-    """``schema.SCANNED`` rows of all entries. A file is read once, by the task that scans all its positions.
+#: Bytes of an archive for each task that scans it.
+SPLIT = 32 << 20
 
-    Folders are opened by the tasks, so they must be mounted wherever executors run; archives may be on any store.
-    """
+
+def parts_of(entry: dict) -> int:
+    """Tasks for one position; classes of a nested library are at hand as a whole."""
+    return max(1, -(-os.path.getsize(entry["path"]) // SPLIT)) if entry["kind"] in ("ARCHIVE", "HOST_ARCHIVE", "NESTED_CLASSES") else 1
+
+
+def scan_entries(spark: SparkSession, entries: list[dict], release: int, budget: Budget = Budget(), references: bool = True) -> DataFrame:
+    """``schema.SCANNED`` rows of all entries, and of each further part of an archive a row ``part`` with what it read."""
     fields = schema.struct(schema.CLASSPATH_ENTRY).fieldNames()
-    by_file: dict[str, list[dict]] = {}
+    used: dict[str, int] = {}
+    for e in entries:
+        used[e["path"]] = used.get(e["path"], 0) + parts_of(e)
+    rows, files = [], []
     for e in entries:
-        by_file.setdefault(os.path.abspath(e["path"]), []).append({k: e[k] for k in fields})
-    listed = spark.createDataFrame(list(by_file.items()), f"file string, positions array<{schema.struct(schema.CLASSPATH_ENTRY).simpleString()}>")
-    rows = with_content(listed, sorted({os.path.abspath(e["path"]) for e in entries if e["kind"] != "DIRECTORY"}))
+        file, split = os.path.abspath(e["path"]), used[e["path"]] > 1
+        if e["kind"] != "DIRECTORY" and not split:
+            files.append(file)
+        rows += [(file, {k: e[k] for k in fields}, file if split else None, k, parts_of(e)) for k in range(parts_of(e))]
+    listed = spark.createDataFrame(rows, f"file string, entry {schema.struct(schema.CLASSPATH_ENTRY).simpleString()}, path string, part int, parts int")
     wanted = pa.schema(as_arrow(schema.SCANNED))
 
-    def facts(entry: dict, raw: bytes | None) -> Iterator[dict]:
+    def facts(entry: dict, raw: bytes | str | None, part: int, parts: int) -> Iterator[dict]:
         try:
             contents, folder = contents_of(entry, raw, budget)
-            yield from scan(entry["position"], contents, release, folder, references)
+            yield from scan(entry["position"], contents, release, folder, references, part, parts)
         except RefusedRun as e:
             yield _empty(entry["position"]) | {"row": "artifact", "refusal": str(e)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                raw = batch.column("content")[k].as_py()
-                every = (row for entry in batch.column("positions")[k].as_py() for row in facts(entry, raw))
+                at = {c: batch.column(c)[k].as_py() for c in ("entry", "path", "part", "parts", "content")}
+                every = facts(at["entry"], at["path"] or at["content"], at["part"], at["parts"])
                 while out := list(islice(every, 500)):
                     yield pa.RecordBatch.from_pylist(out, wanted)
 
-    return mapped(rows.repartition(max(1, len(by_file)), "file"), run, schema.SCANNED)
+    return mapped(with_content(listed, sorted(set(files))).repartition(max(1, len(rows))), run, schema.SCANNED)
 
 
 def refuse(scanned: DataFrame, budget: Budget = Budget()) -> None:

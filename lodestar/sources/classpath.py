@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import io
 import os
 import re
 import zipfile
 from dataclasses import dataclass, field
 from pathlib import Path
 
+from lodestar.sources.budget import Budget, RefusedRun, checked
 from lodestar.sources.manifest import class_path, parse_manifest
 
 MANIFEST = "META-INF/MANIFEST.MF"
@@ -16,16 +16,12 @@ ARCHIVE_SUFFIXES = (".jar", ".JAR")
 NESTED_SUFFIXES = (".jar", ".JAR", ".zip")
 
 
-class RefusedRun(ValueError):
-    """Input that cannot be analysed at all."""
-
-
 @dataclass
 class Expansion:
     entries: list[dict] = field(default_factory=list)
     missing: list[dict] = field(default_factory=list)  # manifest entries that do not exist: declaring, named
     layout: list[dict] = field(default_factory=list)  # nested layout faults: display, kind, detail
-    declared: int = 0  # bytes of base classes that archives announce
+    declared: int = 0  # bytes of base classes and of nested libraries that archives announce
 
 
 def classpath_list(value: str) -> list[str]:
@@ -50,13 +46,21 @@ def boot_layout(main: dict[str, str], names: list[str]) -> dict[str, str] | None
     return out | {"index": out["libraries"][: out["libraries"].rfind("/", 0, -1) + 1] + "classpath.idx"}
 
 
-def library_order(index: str | None, libraries: list[str], root: str) -> tuple[list[str], list[str]]:
-    """Libraries in index order, then the rest in archive order; and index names that are not there."""
+def library_order(index: str | None, libraries: list[str]) -> tuple[list[str], list[str]]:
+    """Libraries in index order, then the rest in archive order; and index names that are not there.
+
+    Names count as they are written, and a library is there once: a name again is one that is not there.
+    """
     lines = [line.strip()[2:].strip() for line in re.split("\r\n|\r|\n", index or "") if line.strip().startswith("- ")]
     named = [x for n in lines if (x := n[1:-1] if len(n) > 1 and n[0] == n[-1] == '"' else n)]
-    named = [n if n.startswith(root) or n in libraries else root + n for n in named]
-    first = [n for n in dict.fromkeys(named) if n in libraries]
-    return first + [n for n in libraries if n not in first], [n for n in dict.fromkeys(named) if n not in libraries]
+    left, first, absent = dict.fromkeys(libraries), [], []
+    for n in named:
+        if n in left:
+            first.append(n)
+            del left[n]
+        else:
+            absent.append(n)
+    return first + list(left), absent
 
 
 def _class_bytes(z: zipfile.ZipFile) -> int:
@@ -64,8 +68,8 @@ def _class_bytes(z: zipfile.ZipFile) -> int:
 
 
 class _Expander:
-    def __init__(self) -> None:
-        self.out, self.visited = Expansion(), set()
+    def __init__(self, budget: Budget) -> None:
+        self.out, self.visited, self.budget = Expansion(), set(), budget
 
     def add(self, path: str, display: str, kind: str, origin: str, wildcard: str | None = None, nested: dict | None = None, layout: dict | None = None) -> None:
         self.out.entries.append({"position": len(self.out.entries), "display": display, "path": path, "kind": kind, "origin": origin, "wildcard_source": wildcard, "nested": nested, "layout": layout})
@@ -104,19 +108,25 @@ class _Expander:
         self.add(path, f"{path}!/{layout['classes'].rstrip('/')}", "NESTED_CLASSES", "APPLICATION", nested={"outer_display": path, "path": layout["classes"]}, layout=roots)
         with zipfile.ZipFile(path) as z:
             libraries = [n for n in names if n.startswith(layout["libraries"]) and n.endswith(ARCHIVE_SUFFIXES) and "/" not in n[len(layout["libraries"]) :]]
-            index = z.read(layout["index"]).decode("utf-8", "replace") if layout["index"] in names else None
-            ordered, absent = library_order(index, libraries, layout["libraries"])
+            index = None
+            if layout["index"] in names:
+                checked(z.getinfo(layout["index"]), self.budget.nested_bytes, self.budget, path)
+                index = z.read(layout["index"]).decode("utf-8", "replace")
+            ordered, absent = library_order(index, libraries)
             for n in absent:
                 self.out.layout.append({"display": path, "kind": "absent", "detail": n})
             for n in ordered:
                 display = f"{path}!/{n}"
-                if z.getinfo(n).compress_type != zipfile.ZIP_STORED:
+                info = z.getinfo(n)
+                checked(info, self.budget.nested_bytes, self.budget, path)
+                self.out.declared += info.file_size
+                if info.compress_type != zipfile.ZIP_STORED:
                     self.out.layout.append({"display": display, "kind": "compressed", "detail": n})
                 try:
-                    held = zipfile.ZipFile(io.BytesIO(z.read(n)))
-                    self.out.declared += _class_bytes(held)
-                    inner = held.namelist()
-                except zipfile.BadZipFile as e:
+                    with z.open(n) as stream, zipfile.ZipFile(stream) as held:  # its directory; of a stored one no more is read
+                        self.out.declared += _class_bytes(held)
+                        inner = held.namelist()
+                except (zipfile.BadZipFile, EOFError, OSError) as e:
                     raise RefusedRun(f"cannot read {display}: {e}") from e
                 for deep in sorted(x for x in inner if x.endswith(NESTED_SUFFIXES)):
                     self.out.layout.append({"display": display, "kind": "deep", "detail": deep})
@@ -146,11 +156,11 @@ class _Expander:
         self.entry(value, "CLASSPATH")
 
 
-def expand(applications: list[str], classpath: list[str]) -> Expansion:
+def expand(applications: list[str], classpath: list[str], budget: Budget = Budget()) -> Expansion:
     """Applications first, then the classpath, both in the caller's order; a path that was seen already is left out."""
     if not applications:
         raise RefusedRun("at least one application is needed")
-    e = _Expander()
+    e = _Expander(budget)
     for a in applications:
         if not os.path.exists(a):
             raise RefusedRun(f"no such application: {a}")

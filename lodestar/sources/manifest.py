@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 
 def parse_manifest(raw: bytes) -> tuple[dict[str, str], dict[str, dict[str, str]]]:
-    """Main attributes and those of each named section; lines continue after a line end and a space, names match in any case."""
+    """Main attributes and those of each named section; lines continue after a line end and a space, names match in any case.
+
+    An attribute that comes again has its last value, a section that comes again adds to the first.
+    """
     main: dict[str, str] = {}
     sections: dict[str, dict[str, str]] = {}
     now = main
-    text = raw.decode("utf-8", "replace").replace("\r\n", "\n").replace("\r", "\n").replace("\n ", "")
+    text = raw.replace(b"\r\n", b"\n").replace(b"\r", b"\n").replace(b"\n ", b"").decode("utf-8", "replace")  # lines may break inside a character
     fresh = False
     for line in text.split("\n"):
         if not line:
@@ -21,7 +26,7 @@ def parse_manifest(raw: bytes) -> tuple[dict[str, str], dict[str, dict[str, str]
         if fresh and name.lower() == "name":
             now = sections.setdefault(value, {})
         else:
-            now.setdefault(name.lower(), value)
+            now[name.lower()] = value
         fresh = False
     return main, sections
 
@@ -47,15 +52,32 @@ def class_path(main: dict[str, str]) -> list[str]:
     return (main.get("class-path") or "").split()
 
 
+_BREAK = re.compile("\r\n|\r|\n")
+_KEY = re.compile(r"((?:[^\\=: \t\f]|\\.)*)[ \t\f]*[=:]?[ \t\f]*(.*)", re.DOTALL)
+_ESCAPE = re.compile(r"\\(u[0-9A-Fa-f]{4}|.)", re.DOTALL)
+_NAMED = {"t": "\t", "n": "\n", "r": "\r", "f": "\f"}
+
+
 def properties(raw: bytes) -> dict[str, str]:
-    """The plain ``key=value`` lines of a properties file."""
+    """A properties file as Java loads it.
+
+    An odd number of backslashes at its end continues a line; a key ends at the first ``=``, ``:`` or blank that is not
+    escaped; a key that comes again has its last value.
+    """
     out: dict[str, str] = {}
-    for line in raw.decode("latin-1").splitlines():
-        line = line.strip()
-        if line and line[0] not in "#!":
-            cut = min((i for i in (line.find("="), line.find(":")) if i >= 0), default=-1)
-            if cut >= 0:
-                out[line[:cut].strip()] = line[cut + 1 :].strip()
+    held = ""
+    for line in [*_BREAK.split(raw.decode("latin-1")), ""]:
+        line = line.lstrip(" \t\f")
+        if not held and line[:1] in ("", "#", "!"):
+            continue
+        held += line
+        if (len(held) - len(held.rstrip("\\"))) % 2:
+            held = held[:-1]
+            if line:
+                continue
+        key, value = (_ESCAPE.sub(lambda m: chr(int(m[1][1:], 16)) if len(m[1]) == 5 else _NAMED.get(m[1], m[1]), x) for x in _KEY.match(held).groups())
+        out[key] = value
+        held = ""
     return out
 
 
