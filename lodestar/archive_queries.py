@@ -409,7 +409,7 @@ app AS (SELECT name FROM q WHERE NOT from_platform AND n % 5 = 0)"""
 
 def _calls(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(types, classes, member_refs, type_refs) of the bridge's call graph; ``member_refs`` carry ``ref``, their order in a class."""
-    number = F.substring("name", 2, 20).cast("long")
+    number = F.substring("name", 2, 20).try_cast("long")  # LinkageError has none
     own = [F.struct(F.lit(n).alias("name"), F.lit("()V").alias("descriptor"), F.lit(1).alias("access")) for n in ("<init>", "<clinit>")]
     t = b.types(spark, sf_dir).withColumn("members", F.concat("members", F.array(own[0]), F.when(number % 4 == 1, F.array(own[1])).otherwise(F.array().cast("array<struct<name:string,descriptor:string,access:int>>"))))
     t = t.withColumn("super", F.when(number % 50 == 49, reachability.LINKAGE_ERROR).otherwise(F.col("super")))

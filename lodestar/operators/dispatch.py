@@ -121,11 +121,8 @@ class Dispatch:
         self.levels = max(1, int(self.numbers.agg(F.max("high")).first()[0] or 0).bit_length())
         self.covers = durable(gaps.select("at", *MEMBER, F.inline(range_blocks(F.col("low"), F.col("high"), self.levels))).distinct())
 
-    def blocks(self, fresh: DataFrame) -> DataFrame:
-        """(level, block): blocks that hold the numbers of ``fresh(type)``."""
-        return self.receivers.join(fresh, "type", "left_semi").select(F.inline(number_blocks(F.col("low"), self.levels))).distinct()
-
-    def woken(self, fresh: DataFrame, blocks: DataFrame) -> DataFrame:
-        """(at, name, descriptor): points with a receiver in ``blocks``, and the special types among ``fresh(type)``."""
+    def woken(self, fresh: DataFrame) -> DataFrame:
+        """(at, name, descriptor): points with a receiver among ``fresh(type)``, and the special types among them."""
+        blocks = self.receivers.join(fresh, "type", "left_semi").select(F.inline(number_blocks(F.col("low"), self.levels))).distinct()
         by_range = self.covers.join(blocks, ["level", "block"], "left_semi").select("at", *MEMBER)
         return by_range.union(self.special.join(fresh, "type", "left_semi").select(F.col("type").alias("at"), *MEMBER)).distinct()

@@ -100,15 +100,16 @@ class CallGraph:
         edges = durable(self.direct.select(*FROM, "owner", "sig").union(self.initializes.join(self.starts, "start").select(*FROM, "owner", "sig")).distinct())
         point, site, dispatch = ["at", *MEMBER], ["site", *MEMBER], self.dispatch
         fresh, first = self.entries, self.surface
-        reached, allocated = Grown(fresh), Grown(first)
-        open_sites, alive = Grown(durable(self.sites.select(*site).limit(0))), Grown(durable(dispatch.targets.select(*point).limit(0)))
-        blocks = Grown(durable(dispatch.blocks(first.limit(0))))
+        none = durable(dispatch.targets.select(*site, "at").limit(0))
+        reached, allocated, open_sites, alive = Grown(fresh), Grown(first), Grown(none.select(*site)), Grown(none.select(*point))
         while not fresh.isEmpty():
-            now_sites = durable(self.sites.join(nodes(fresh), FROM, "left_semi").select(*site).distinct().join(open_sites.all(), site, "left_anti"))
-            made_now = durable(self.allocates.join(nodes(fresh), FROM, "left_semi").select("type").distinct().join(allocated.all(), "type", "left_anti"))
-            new_types = made_now.union(first)
-            new_blocks = durable(dispatch.blocks(new_types).join(blocks.all(), ["level", "block"], "left_anti"))
-            woken = durable(dispatch.woken(new_types, new_blocks).join(alive.all(), point, "left_anti"))
+            opens = self.sites.join(nodes(fresh), FROM, "left_semi").select(*site).distinct().join(open_sites.all(), site, "left_anti")
+            makes = self.allocates.join(nodes(fresh), FROM, "left_semi").select("type").distinct().join(allocated.all(), "type", "left_anti")
+            both = durable(opens.withColumn("type", F.lit(None).cast("string")).unionByName(makes, allowMissingColumns=True))  # one job for the two
+            now_sites, made_now = both.where("type is null").select(*site), both.where("type is not null").select("type")
+            new_types = made_now if first is None else made_now.union(first)
+            asleep = first is None and made_now.isEmpty()
+            woken = none.select(*point) if asleep else durable(dispatch.woken(new_types).join(alive.all(), point, "left_anti"))
             found = [
                 edges.join(nodes(fresh), FROM, "left_semi").select("owner", "sig"),
                 self.starts.join(made_now.withColumnRenamed("type", "start"), "start", "left_semi").select("owner", "sig"),
@@ -116,9 +117,12 @@ class CallGraph:
                 step(dispatch.targets.join(woken, point, "left_semi").join(open_sites.all(), site, "left_semi")),
             ]
             fresh = durable(reduce(DataFrame.union, found).distinct().join(reached.all(), ["owner", "sig"], "left_anti"))
-            for table, part in ((reached, fresh), (allocated, made_now), (open_sites, now_sites), (alive, woken), (blocks, new_blocks)):
-                table.add(part)
-            first = self.surface.limit(0)
+            reached.add(fresh)
+            open_sites.add(now_sites)
+            if not asleep:
+                allocated.add(made_now)
+                alive.add(woken)
+            first = None
         return reached.all()
 
 
