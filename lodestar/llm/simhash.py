@@ -9,8 +9,8 @@ radius. Blocks give star links, never all pairs, and the links' components are t
 Block keys: ``bands`` is exact. The fingerprint is cut into bands of which at most ``radius`` can differ; a key is a
 choice of bands that are equal. Blocks above ``BLOCK`` members are dealt again with twice as many bands, which leaves at most
 2**16 different fingerprints in one for 64 bits and a radius of 2. ``shingles`` takes minima of the shingle hashes
-instead, for radii at which no band is equal: documents that share most shingles share a minimum. Blocks that stay large
-under pairs of minima are worked on in shares (``split_links``), as are large groups whose texts are compared.
+instead, for radii at which no band is equal: documents that share most shingles share a minimum. Large blocks of these are
+worked on in shares (``split_links``), as are large groups whose texts are compared; that changes the work, not the links.
 """
 
 from __future__ import annotations
@@ -33,8 +33,10 @@ BLOCK = 2048
 LANES = 512
 #: Texts of one candidate group that are compared in one task; larger groups are worked on in shares.
 SPLIT = 256
-#: Members of a share, and pivots that come to it.
-SHARE, PIVOTS = 192, 64
+#: Members of a share and pivots of a group at most, and bytes of their shingles; a task compares one group with one share.
+SHARE, GROUP, HELD = 2048, 512, 16 << 20
+#: Pivots of a block in each pass; the last pass takes all that have not met the others.
+PASSES = (64, 1024, None)
 #: Blocks whose sizes are sent to all tasks; more are joined.
 SENT_BLOCKS = 10_000
 
@@ -276,17 +278,12 @@ def _narrow_keys(fp: np.ndarray, radius: int) -> np.ndarray:
     return np.stack(cols, 1)
 
 
-def _pair_keys(keys: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return np.stack([mix(mix(keys[:, i], 1) + keys[:, j], 2 + i) for i, j in combinations(range(keys.shape[1]), 2)], 1)
-
-
 def _matrix(column: pa.Array, lanes: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), ">u8").astype(np.uint64).reshape(-1, lanes)
 
 
 def _keyed(nodes: DataFrame, lanes: int, radius: int, how: str) -> DataFrame:
-    """(key, fp, mates): a row for each node and block key, with the node's other keys where they come from shingles."""
+    """(key, fp): a row for each node and block key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -302,27 +299,23 @@ def _keyed(nodes: DataFrame, lanes: int, radius: int, how: str) -> DataFrame:
                 with np.errstate(over="ignore"):
                     keys = np.stack([mix(keys[:, k] + np.uint64(k), 1) for k in range(width)], 1)
             n, k = keys.shape
-            yield pa.RecordBatch.from_pydict({"key": pa.array(keys.view(np.int64).reshape(-1)), "fp": batch.column("fp").take(pa.array(np.repeat(np.arange(n), k))), "mates": pa.array([row for row in keys.view(np.int64).tolist() for _ in range(k)] if how != "bands" else [[]] * (n * k), pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({"key": pa.array(keys.view(np.int64).reshape(-1)), "fp": batch.column("fp").take(pa.array(np.repeat(np.arange(n), k)))})
 
-    return mapped(nodes, run, "key long, fp binary, mates array<long>")
+    return mapped(nodes, run, "key long, fp binary")
 
 
-def _again(rows: DataFrame, lanes: int, radius: int, how: str) -> DataFrame:
-    """The rows of large blocks under narrower keys."""
+def _again(rows: DataFrame, radius: int) -> DataFrame:
+    """The rows of large blocks of single-lane fingerprints under narrower keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            fp = _matrix(batch.column("fp"), lanes)
-            if how == "bands":
-                keys = _narrow_keys(fp, radius)
-            else:
-                keys = _pair_keys(np.array(batch.column("mates").to_pylist(), np.int64).view(np.uint64))
+            keys = _narrow_keys(_matrix(batch.column("fp"), 1), radius)
             n, k = keys.shape
             yield pa.RecordBatch.from_pydict({"key": pa.array(keys.view(np.int64).reshape(-1)), "fp": batch.column("fp").take(pa.array(np.repeat(np.arange(n), k)))})
 
-    return mapped(rows, run, "key long, fp binary").distinct()
+    return mapped(rows.select("fp"), run, "key long, fp binary").distinct()
 
 
 def _compared(rows: DataFrame, lanes: int, radius: int) -> DataFrame:
@@ -358,20 +351,15 @@ def near_links(nodes: DataFrame, lanes: int, radius: int, how: str) -> DataFrame
     if large.isEmpty():
         return _compared(rows.select("key", "fp"), lanes, radius)
     cold = _compared(rows.join(large, "key", "left_anti").select("key", "fp"), lanes, radius)
-    again = _again(rows.join(large, "key", "left_semi"), lanes, radius, how)
+    wide = rows.join(large, "key", "left_semi")
     if how == "bands":
-        return cold.union(_compared(again, lanes, radius))
-    again = durable(again)
-    still = durable(again.groupBy("key").count().where(F.col("count") > BLOCK).select("key"))
-    links = cold.union(_compared(again.join(still, "key", "left_anti"), lanes, radius))
-    if still.isEmpty():
-        return links
-    rest = again.join(still, "key", "left_semi").select(F.col("key").alias("block"), F.col("fp").alias("node"), "fp", F.lit(None).cast("binary").alias("shingles"))
-    return links.union(split_links(rest, lanes, radius))
+        return cold.union(_compared(_again(wide, radius), lanes, radius))
+    wide = wide.select(F.col("key").alias("block"), F.col("fp").alias("node"), "fp", F.lit(None).cast("binary").alias("shingles"))
+    return cold.union(split_links(wide, lanes, radius))
 
 
 def _with_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """``wanted(doc_id, node, fp, keys, root)`` with ``shingles``: the sorted distinct shingle hashes of each text. Only texts that are wanted move."""
+    """``wanted(doc_id, node, fp, root)`` with ``shingles``: the sorted distinct shingle hashes of each text. Only texts that are wanted move."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -381,11 +369,11 @@ def _with_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 if set_digest(h) == nodes[k]:  # rows may share an id
                     keep.append(k)
                     sets.append(h.astype("<u8").tobytes())
-            kept = batch.select(["node", "fp", "keys", "root"]).take(pa.array(keep, pa.int64()))
+            kept = batch.select(["node", "fp", "root"]).take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(sets, pa.binary())], [*kept.schema.names, "shingles"])
 
-    read = docs.where(may_be_among(wanted, "doc_id", F.col("doc_id"))).join(wanted, "doc_id").select("text", "node", "fp", "keys", "root")
-    return mapped(read, run, "node binary, fp binary, keys array<long>, root long, shingles binary").dropDuplicates(["root", "node"])
+    read = docs.where(may_be_among(wanted, "doc_id", F.col("doc_id"))).join(wanted, "doc_id").select("text", "node", "fp", "root")
+    return mapped(read, run, "node binary, fp binary, root long, shingles binary").dropDuplicates(["root", "node"])
 
 
 def _alike(a: bytes, b: bytes, similarity: float) -> bool:
@@ -425,23 +413,44 @@ def _verified(rows: DataFrame, lanes: int, radius: int, similarity: float) -> Da
     return mapped(rows.select("root", "node", "fp", "shingles").repartition("root").sortWithinPartitions("root"), run, "a binary, b binary")
 
 
-def pivot_links(pivot: list[bool], comp: list[bytes], fp: np.ndarray, radius: int, same: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
-    """Links of the pivots among some rows with the other rows that are near them, as far as they join what ``comp`` does not join already."""
-    up: dict = {}
+class Sets:
+    """Sets of 64-bit hashes, numbered together, so that one of them is compared with all others at once."""
 
-    def root(x):
-        while (y := up.get(x, x)) != x:
-            up[x] = x = up.get(y, y)
-        return x
+    def __init__(self, raw: list[bytes], similarity: float) -> None:
+        self.similarity = similarity
+        self.sizes = np.array([len(x) // 8 for x in raw], np.int64)
+        values, self.ids = np.unique(np.frombuffer(b"".join(raw), "<u8"), return_inverse=True)
+        self.ends = np.cumsum(self.sizes)
+        self.flags = np.zeros(len(values), np.int64)
 
+    def like(self, p: int, some: np.ndarray) -> np.ndarray:
+        """Which of the sets ``some`` share as much of their union with set ``p`` as is wanted, as a mask."""
+        own = self.ids[self.ends[p] - self.sizes[p] : self.ends[p]]
+        self.flags[own] = 1
+        sums = np.append(0, np.cumsum(self.flags[self.ids]))
+        self.flags[own] = 0
+        both = sums[self.ends[some]] - sums[self.ends[some] - self.sizes[some]]
+        return both >= self.similarity * (self.sizes[some] + self.sizes[p] - both)
+
+
+def pivot_links(pivot: list[bool], comp: list[bytes], fp: np.ndarray, radius: int, like: Callable[[int, np.ndarray], np.ndarray] | None = None) -> list[tuple[int, int]]:
+    """Links of the pivots among some rows with the other rows that are near them, as far as they join what ``comp`` does not join already.
+
+    ``like(p, rows)`` tells which of the rows near a pivot are to be linked, where it is given.
+    """
+    names: dict[bytes, int] = {}
+    label = np.array([names.setdefault(c, len(names)) for c in comp], np.int64)
     out, lots = [], planes(fp)
     for p in np.flatnonzero(pivot).tolist():
         flip = _flips(fp[p])
-        for x in _rows(near(lambda k: lots[k] ^ flip[k], len(lots), len(fp), radius)).tolist():  # noqa: B023
-            a, b = root(comp[x]), root(comp[p])
-            if a != b and (same is None or same(x, p)):
-                up[a] = b
+        some = _rows(near(lambda k: lots[k] ^ flip[k], len(lots), len(fp), radius))  # noqa: B023
+        some = some[label[some] != label[p]]
+        if len(some) and like is not None:
+            some = some[like(p, some)]
+        for x in some.tolist():
+            if label[x] != label[p]:
                 out.append((x, p))
+                label[label == label[x]] = label[p]
     return out
 
 
@@ -452,15 +461,19 @@ def _about_blocks(facts: DataFrame) -> DataFrame:
 
 
 def _met(rows: DataFrame, named: DataFrame, picked: DataFrame, lanes: int, radius: int, similarity: float | None) -> DataFrame:
-    """Links (a, b) of the ``picked(block, node, group, groups)`` pivots with all members of their blocks, each share of members with each group of pivots."""
+    """Links (a, b) of the ``picked(block, node, group, groups)`` pivots with all members of their blocks, each share of members with each group of pivots.
+
+    A member that is a pivot itself does not come to the groups before its own, which come to it.
+    """
     few = picked.select("block", "groups").distinct()
-    shares = F.ceil(F.count("*") / SHARE).cast("int").alias("shares")
-    sized = _about_blocks(few.join(named.groupBy("block").agg(shares), "block"))
+    shares = F.ceil(F.greatest(F.count("*") / SHARE, F.sum("bytes") / HELD)).cast("int").alias("shares")
+    sized = _about_blocks(few.join(rows.groupBy("block").agg(shares), "block"))
     own = rows.join(named, ["block", "node"])
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     cols = ["comp", "node", "fp", "shingles"]
-    members = own.join(sized, "block").select("block", each("groups").alias("group"), F.pmod(F.xxhash64("node"), F.col("shares")).cast("int").alias("share"), F.lit(False).alias("pivot"), *cols)
-    pivots = own.join(picked.drop("groups"), ["block", "node"]).join(sized, "block").select("block", "group", each("shares").alias("share"), F.lit(True).alias("pivot"), *cols)
+    members = own.join(picked.select("block", "node", F.col("group").alias("first")), ["block", "node"], "left").join(sized, "block")
+    share = F.pmod(F.xxhash64("node"), F.col("shares")).cast("int").alias("share")
+    members = members.select("block", F.explode(F.sequence(F.coalesce("first", F.lit(0)), F.col("groups") - 1)).alias("group"), share, F.lit(False).alias("pivot"), *cols)
+    pivots = own.join(picked.drop("groups"), ["block", "node"]).join(sized, "block").select("block", "group", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(True).alias("pivot"), *cols)
     dealt = members.union(pivots).select(F.xxhash64("block", "group", "share").alias("key"), "pivot", *cols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -468,8 +481,8 @@ def _met(rows: DataFrame, named: DataFrame, picked: DataFrame, lanes: int, radiu
 
         def links() -> pa.RecordBatch:
             pivot, comp, nodes, fps, sets = zip(*held)
-            same = None if similarity is None else lambda x, y: _alike(sets[x], sets[y], similarity)
-            found = pivot_links(list(pivot), list(comp), np.frombuffer(b"".join(fps), ">u8").astype(np.uint64).reshape(-1, lanes), radius, same)
+            like = None if similarity is None else Sets(list(sets), similarity).like
+            found = pivot_links(list(pivot), list(comp), np.frombuffer(b"".join(fps), ">u8").astype(np.uint64).reshape(-1, lanes), radius, like)
             return pa.RecordBatch.from_pydict({"a": pa.array([nodes[x] for x, _ in found], pa.binary()), "b": pa.array([nodes[y] for _, y in found], pa.binary())})
 
         for batch in batches:
@@ -485,35 +498,34 @@ def _met(rows: DataFrame, named: DataFrame, picked: DataFrame, lanes: int, radiu
     return mapped(dealt.repartition("key").sortWithinPartitions("key"), run, "a binary, b binary")
 
 
-def split_links(rows: DataFrame, lanes: int, radius: int, similarity: float | None = None, links: DataFrame | None = None, rounds: int | None = None) -> DataFrame:
+def split_links(rows: DataFrame, lanes: int, radius: int, similarity: float | None = None) -> DataFrame:
     """Links (a, b) that connect, block by block of ``rows(block, node, fp, shingles)``, all nodes that are near enough, however large a block is.
 
     Some pivots of a block meet all its members, in shares of bounded size. What then belongs to the block's largest
-    component needs no more links inside it; of the rest more pivots are taken, four times as many each round, until no
-    node of it has not met all others. ``links`` are known already; ``rounds`` ends it early.
+    component needs no more links inside it; of the rest more pivots are taken, and in the last pass all of it meets all
+    members, so that every two nodes have met, or are joined with most of the block. The passes are as many for any block.
     """
-    rows = durable(rows)
-    found, settled, k = links, None, 0
-    while rounds is None or k < rounds:
-        own = rows.select("block", "node")
-        named = own.withColumn("comp", F.col("node")) if found is None else own.join(components(found), "node", "left").select("block", "node", F.coalesce("root", "node").alias("comp"))
+    rows = durable(rows.withColumn("bytes", F.coalesce(F.length("shingles"), F.lit(0)) + F.length("fp")))
+    own = rows.select("block", "node", "bytes")
+    found, settled = None, None
+    for k, most in enumerate(PASSES):
+        named = own.withColumn("comp", F.col("node")) if found is None else own.join(components(found), "node", "left").select("block", "node", "bytes", F.coalesce("root", "node").alias("comp"))
         named = durable(named)
         main = named.groupBy("block", "comp").count().groupBy("block").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
-        rest = named.join(_about_blocks(main), "block").where("comp <> main").select("block", "node")
+        rest = named.join(_about_blocks(main), "block").where("comp <> main").select("block", "node", "bytes")
         rest = durable(rest if settled is None else rest.join(settled, ["block", "node"], "left_anti"))
         if rest.isEmpty():
             break
-        most = F.lit(PIVOTS * 4**k)
-        waiting = _about_blocks(rest.groupBy("block").agg(F.count("*").alias("n")))
-        picked = rest.join(waiting, "block").where(F.pmod(F.xxhash64("node", F.lit(k)), F.col("n")) < most)
-        picked = picked.withColumn("groups", F.ceil(F.least("n", most) / PIVOTS).cast("int"))
-        picked = durable(picked.select("block", "node", F.pmod(F.xxhash64("node"), F.col("groups")).cast("int").alias("group"), "groups"))
-        now = _met(rows, named, picked, lanes, radius, similarity)
+        waiting = _about_blocks(rest.groupBy("block").agg(F.count("*").alias("n"), F.sum("bytes").alias("size")))
+        taken = F.lit(1.0) if most is None else F.least(F.lit(1.0), most / F.col("n"))
+        picked = rest.join(waiting, "block").where(F.pmod(F.xxhash64("node", F.lit(k)), F.lit(1 << 20)) < taken * (1 << 20))
+        picked = picked.withColumn("groups", F.ceil(F.greatest(F.col("n") * taken / GROUP, F.col("size") * taken / HELD)).cast("int"))
+        picked = durable(picked.select("block", "node", F.pmod(F.xxhash64("node", F.lit(-1)), F.col("groups")).cast("int").alias("group"), "groups"))
+        now = _met(rows, named.drop("bytes"), picked, lanes, radius, similarity)
         found = durable(now if found is None else found.union(now))
         met = picked.select("block", "node")
         settled = met if settled is None else settled.union(met)
-        k += 1
-    return found
+    return rows.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0) if found is None else found
 
 
 def similar_links(docs: DataFrame, prints: DataFrame, words: int, lanes: int, radius: int, similarity: float) -> DataFrame:
@@ -521,32 +533,20 @@ def similar_links(docs: DataFrame, prints: DataFrame, words: int, lanes: int, ra
 
     Links by fingerprint alone come first; equal fingerprints of different sets need none. Only the texts of their
     components are read again, one for each set, and compared inside the component: by bit planes, and where those are
-    near enough by their sets. A component of more than ``SPLIT`` sets is split: pivots meet all of it in shares, and what
-    they leave apart meets in blocks of shingle minima, again in shares.
+    near enough by their sets. A component of more than ``SPLIT`` sets is worked on in shares, with the same result.
     """
     nodes = prints.where("doc_id is not null")
     near = components(near_links(nodes.select("fp", "keys").distinct(), lanes, radius, "shingles"))
-    low = nodes.groupBy("node", "fp", "keys").agg(F.min("doc_id").alias("doc_id"))
+    low = nodes.groupBy("node", "fp").agg(F.min("doc_id").alias("doc_id"))
     shared = low.groupBy("fp").count().where(F.col("count") > 1).select("fp", F.col("fp").alias("root"))
     roots = near.withColumnRenamed("node", "fp").union(shared.join(near.select(F.col("node").alias("fp")), "fp", "left_anti"))
-    wanted = durable(roots.join(low, "fp").select("doc_id", "node", "fp", "keys", F.xxhash64("root").alias("root")))
+    wanted = durable(roots.join(low, "fp").select("doc_id", "node", "fp", F.xxhash64("root").alias("root")))
     large = durable(wanted.groupBy("root").count().where(F.col("count") > SPLIT).select("root"))
     if large.isEmpty():
         return _verified(_with_sets(docs, wanted, words), lanes, radius, similarity)
     links = _verified(_with_sets(docs, wanted.join(large, "root", "left_anti"), words), lanes, radius, similarity)
-    rows = durable(_with_sets(docs, durable(wanted.join(large, "root", "left_semi")), words))
-    some = split_links(rows.select(F.col("root").alias("block"), "node", "fp", "shingles"), lanes, radius, similarity, rounds=1)
-    spots = F.posexplode("keys").alias("at", "key")
-    blocks = rows.select("root", "node", "fp", "shingles", spots).select(F.xxhash64("root", "at", "key").alias("block"), "node", "fp", "shingles")
-    return links.union(split_links(_open_blocks(blocks, some), lanes, radius, similarity, links=some))
-
-
-def _open_blocks(blocks: DataFrame, links: DataFrame) -> DataFrame:
-    """The rows of blocks whose nodes the links do not all connect."""
-    roots = components(links)
-    named = blocks.select("block", "node").join(roots, "node", "left").select("block", F.coalesce("root", "node").alias("comp"))
-    several = named.groupBy("block").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("block")
-    return blocks.join(several, "block", "left_semi")
+    rows = _with_sets(docs, durable(wanted.join(large, "root", "left_semi")), words)
+    return links.union(split_links(rows.select(F.col("root").alias("block"), "node", "fp", "shingles"), lanes, radius, similarity))
 
 
 def groups(docs: DataFrame, words: int = 3, radius: int = 2, lanes: int = 1, minima: int = 0, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

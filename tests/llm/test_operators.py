@@ -236,7 +236,8 @@ def test_similar_groups_are_exact(spark, monkeypatch, block, split):
     monkeypatch.setattr(simhash, "SPLIT", split)
     if split == 4:
         monkeypatch.setattr(simhash, "SHARE", 3)
-        monkeypatch.setattr(simhash, "PIVOTS", 1)
+        monkeypatch.setattr(simhash, "GROUP", 2)
+        monkeypatch.setattr(simhash, "PASSES", (1, None))
     rng = random.Random(14)
     rows = [(None, "no id here at all, but words", "en"), (500, "", "en"), (501, None, "en")]
     for k in range(6):
@@ -256,6 +257,39 @@ def test_similar_groups_are_exact(spark, monkeypatch, block, split):
     assert Counter((i, bytes(f), c) for i, f, c in got) == Counter(want)
 
 
+def test_a_group_of_600_texts_is_exact_at_real_sizes(spark):
+    """Copies of one text: chains of small changes, texts apart from all others, and a second cluster, all near by fingerprint."""
+    rng = random.Random(15)
+    base = [f"b{k}" for k in range(120)]
+    rows, now = [], list(base)
+    for k in range(600):
+        text = list(base)
+        if k < 250:  # a chain: each some words on from the one before
+            now[rng.randrange(120)] = f"c{k}"
+            text = list(now)
+        for at in rng.sample(range(120), 6 if k >= 420 else 1):
+            text[at] = f"n{k}x{at}"
+        rows.append((k, " ".join(text), "en"))
+    sets = [np.unique(simhash.shingle_hashes(t.encode(), 5)) for _, t, _ in rows]
+    pairs = [(a, b) for a in range(600) for b in range(a) if simhash._alike(sets[a].astype("<u8").tobytes(), sets[b].astype("<u8").tobytes(), 0.8)]
+    roots = groups_of(pairs, 600)
+    first = {}
+    for k, r in enumerate(roots):
+        first.setdefault(r, k)
+    out = simhash.groups(frame(spark, rows), **corpus_pipeline.NEAR).collect()
+    assert {r["doc_id"]: r["component_id"] for r in out} == {k: first[r] for k, r in enumerate(roots)} and len(set(roots)) > 100
+
+
+def test_sets_are_compared_as_one_by_one():
+    rng = random.Random(3)
+    sets = [np.array(sorted(rng.sample(range(40), rng.choice([0, 1, 20, 30]))), "<u8").tobytes() for _ in range(60)]
+    some = np.array(sorted(rng.sample(range(60), 25)))
+    held = simhash.Sets(sets, 0.5)
+    for p in range(60):
+        if sets[p]:
+            assert held.like(p, some).tolist() == [simhash._alike(sets[p], sets[x], 0.5) for x in some]
+
+
 def test_near_copies_that_repeat_a_passage_are_found(spark):
     rng = random.Random(16)
     rows = []
@@ -282,7 +316,8 @@ def test_equal_fingerprints_of_different_texts_are_compared(spark):
 def test_shares_connect_what_is_near(spark, monkeypatch):
     """Chains, far apart clusters and single nodes of two blocks, against all pairs."""
     monkeypatch.setattr(simhash, "SHARE", 4)
-    monkeypatch.setattr(simhash, "PIVOTS", 2)
+    monkeypatch.setattr(simhash, "GROUP", 3)
+    monkeypatch.setattr(simhash, "PASSES", (2, 5, None))
     rng = np.random.default_rng(6)
     fp = rng.integers(0, 2**64, (60, 2), dtype=np.uint64)
     for k in range(1, 60):
