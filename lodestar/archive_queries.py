@@ -463,6 +463,39 @@ def report_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("p_partkey", fn.nested_display(F.col("s_name"), path).alias("nested"), escaped.alias("escaped"), fn.canonical_name(F.col("p_type")).alias("canonical"), fn.binary_name(F.translate("p_name", " ", "/")).alias("dotted"))
 
 
+# Paths of parts, absolute and not, with steps back, empty and same steps, some of them outside the root, some inside an archive.
+_ROOT, _CWD = "/srv/app/./x/..", "/srv/app/work"
+_PATHS = """p AS (SELECT p_partkey AS k, ['/srv/app/', 'lib/../', '/srv/./app//', '../', '/srv/app/a/../../', '', '/../srv/app/b/', '../../../../'][p_partkey % 8 + 1] || CASE WHEN p_partkey % 5 = 0 THEN 'd/../' ELSE '' END
+  || CASE WHEN p_partkey % 64 = 0 THEN '' WHEN p_partkey % 64 = 5 THEN '.' ELSE replace(p_name, ' ', '/') END || CASE WHEN p_partkey % 3 = 0 THEN '!/x/../y' ELSE '' END AS path FROM part),
+o AS (SELECT *, split_part(path, '!/', 1) AS outer_path, CASE WHEN contains(path, '!/') THEN '!/x/../y' ELSE '' END AS rest FROM p),
+g AS (SELECT *, starts_with(outer_path, '/') AS absolute, list_filter(string_split(outer_path, '/'), lambda x: x NOT IN ('', '.')) AS segs FROM o)"""
+_FOLD = lambda onto, absolute: f"""list_reduce(list_prepend({onto}, list_transform(segs, lambda x: [x])), lambda a, x: CASE WHEN x[1] <> '..' THEN list_concat(a, x)
+  WHEN len(a) > 0 AND a[-1] <> '..' THEN a[:-2] WHEN {absolute} THEN a ELSE list_concat(a, x) END)"""
+
+
+@query(f"""WITH {_PATHS}, f AS (SELECT *, CASE WHEN absolute THEN '/' ELSE '' END || array_to_string({_FOLD("[]::VARCHAR[]", "absolute")}, '/') AS plain, {_FOLD("CASE WHEN absolute THEN []::VARCHAR[] ELSE ['srv', 'app', 'work'] END", "TRUE")} AS whole FROM g)
+SELECT k, path, CASE WHEN plain = '' THEN outer_path WHEN whole[:2] = ['srv', 'app'] AND len(whole) > 2 THEN array_to_string(whole[3:], '/') ELSE plain END || rest AS measured FROM f""")
+def measured_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths in their shortest spelling, relative to a root where they lie below it."""
+    k = F.col("p_partkey")
+    heads = ("/srv/app/", "lib/../", "/srv/./app//", "../", "/srv/app/a/../../", "", "/../srv/app/b/", "../../../../")
+    name = F.when(k % 64 == 0, "").when(k % 64 == 5, ".").otherwise(F.translate("p_name", " ", "/"))
+    path = F.concat(F.element_at(F.array(*map(F.lit, heads)), (k % 8 + 1).cast("int")), F.when(k % 5 == 0, "d/../").otherwise(""), name, F.when(k % 3 == 0, "!/x/../y").otherwise(""))
+    return b.table(spark, sf_dir, "part").select(k.alias("k"), path.alias("path")).withColumn("measured", fn.measured(F.col("path"), _ROOT, _CWD))
+
+
+@query("""WITH n AS (SELECT DISTINCT substr(p_name, 1, unnest([2, 4, 7])::INT) AS name FROM part WHERE p_partkey % 97 = 1 AND length(p_name) >= 7),
+a AS (SELECT '(' || string_agg(regexp_escape(name), '|' ORDER BY length(name) DESC, name) || ')' AS pattern FROM n)
+SELECT p_partkey, regexp_replace(p_name || ' of ' || p_type || ' ' || p_name, pattern, '<\\1>', 'g') AS text FROM part, a""")
+def respelled_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts in which names are respelled, the longest at every place."""
+    p = b.table(spark, sf_dir, "part")
+    names = p.where("p_partkey % 97 = 1 and length(p_name) >= 7").select(F.explode(F.array(*[F.substring("p_name", 1, n) for n in (2, 4, 7)])).alias("name")).distinct()
+    known = {r["name"]: f"<{r['name']}>" for r in names.collect()}  # entries of a classpath, in the engine
+    text = F.concat("p_name", F.lit(" of "), "p_type", F.lit(" "), "p_name")
+    return p.select("p_partkey", fn.Respelling(known).column(spark, text).alias("text"))
+
+
 @query(f"WITH {_FINDINGS} SELECT artifact, CASE WHEN count(*) > 5 THEN list_aggregate(list_slice(list(summary ORDER BY ordinal, summary), 1, 5), 'string_agg', '|') || '|and ' || (count(*) - 5) || ' more' ELSE string_agg(summary, '|' ORDER BY ordinal, summary) END AS some FROM findings GROUP BY 1")
 def bounded_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first few texts of a key and how many there are beside them."""

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.functions.names import under_root
+from lodestar.functions.names import measured
 from lodestar.operators import results
 
 VERSION = "1"
@@ -54,11 +54,7 @@ def parse(text: str) -> Baseline:
 def fingerprinted(findings: DataFrame, root: str | None = None) -> DataFrame:
     """Findings with their fingerprint; artifacts relative to ``root``."""
     artifact = F.col("location.artifact")
-    if root:
-        known = [r["artifact"] for r in findings.select("location.artifact").distinct().collect()]  # classpath entries: a driver-side list
-        spelled = findings.sparkSession.createDataFrame([(a, under_root(root, a)) for a in known if a is not None], "__artifact string, __spelled string")
-        findings, artifact = findings.join(F.broadcast(spelled), artifact == F.col("__artifact"), "left"), F.col("__spelled")
-    return findings.withColumn("fingerprint", results.fingerprint(F.col("code"), artifact, F.col("location.class_entry"), F.col("subject"))).drop("__artifact", "__spelled")
+    return findings.withColumn("fingerprint", results.fingerprint(F.col("code"), measured(artifact, root) if root else artifact, F.col("location.class_entry"), F.col("subject")))
 
 
 def drift(accepted: Baseline, now: Baseline) -> list[str]:

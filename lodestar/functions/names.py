@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import posixpath
-import re
+import os
 
-from pyspark.sql import Column, DataFrame, Window
+import ahocorasick
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestar.session import ship
+
 # Primitive types of descriptors.
 PRIMITIVES = {"B": "byte", "C": "char", "D": "double", "F": "float", "I": "int", "J": "long", "S": "short", "V": "void", "Z": "boolean"}
 _TYPE = r"\[*(?:L[^;]*;|[BCDFIJSVZ])"
@@ -64,20 +67,94 @@ def markdown(text: Column) -> Column:
     return F.regexp_replace(text, r"([\\`*_\[\]<>#])", r"\\$1")
 
 
-def under_root(root: str | None, path: str) -> str:
-    """A path relative to the root; as it is if it lies outside or there is no root. What follows ``!/`` stays."""
+def _segments(path: str, onto: list[str] | None = None, absolute: bool = True) -> list[str]:
+    out = list(onto or [])
+    for x in path.split("/"):
+        if x == ".." and out and out[-1] != "..":
+            out.pop()
+        elif x == ".." and not absolute or x not in ("", ".", ".."):
+            out.append(x)
+    return out
+
+
+def under_root(root: str | None, path: str, cwd: str | None = None) -> str:
+    """A path in the shortest spelling, relative to the root if it lies below it; as it is if there is no root, or nothing is left of it. What follows ``!/`` stays."""
     if root is None:
         return path
+    cwd = cwd or os.getcwd()
     outer, mark, inner = path.partition("!/")
-    rel = posixpath.relpath(posixpath.normpath(posixpath.join(root, outer)) if not outer.startswith("/") else posixpath.normpath(outer), posixpath.normpath(root))
-    return path if rel == ".." or rel.startswith("../") else rel + mark + inner
+    absolute = outer.startswith("/")
+    plain = "/" * absolute + "/".join(_segments(outer, None, absolute))
+    top = _segments(root, [] if root.startswith("/") else _segments(cwd))
+    whole = _segments(outer, [] if absolute else _segments(cwd))
+    below = top and whole[: len(top)] == top and len(whole) > len(top)
+    return (outer if not plain else "/".join(whole[len(top) :]) if below else plain) + mark + inner
+
+
+def measured(path: Column, root: str, cwd: str | None = None) -> Column:
+    """``under_root`` as a column: the segments of a path are folded with an array as the stack."""
+    cwd = cwd or os.getcwd()
+    strings = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
+    at = F.instr(path, "!/")
+    outer, rest = F.when(at > 0, F.substr(path, F.lit(1), at - 1)).otherwise(path), F.when(at > 0, F.substr(path, at)).otherwise(F.lit(""))
+    absolute = outer.startswith("/")
+    last = lambda a: F.get(a, F.size(a) - 1)
+
+    def folded(onto: Column, rooted: Column) -> Column:
+        up = lambda a, x: F.when(F.coalesce(last(a) != "..", F.lit(False)), F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).when(rooted, a).otherwise(F.array_append(a, x))
+        return F.aggregate(F.filter(F.split(outer, "/"), lambda x: ~x.isin("", ".")), onto, lambda a, x: F.when(x == "..", up(a, x)).otherwise(F.array_append(a, x)))
+
+    plain = F.concat(F.when(absolute, "/").otherwise(""), F.array_join(folded(strings([]), absolute), "/"))
+    here, top = _segments(cwd), _segments(root, [] if root.startswith("/") else _segments(cwd))
+    whole = folded(F.when(absolute, strings([])).otherwise(strings(here)), F.lit(True))
+    n = len(top)
+    below = F.lit(n > 0) & (F.slice(whole, 1, n) == strings(top)) & (F.size(whole) > n) if n else F.lit(False)
+    spelled = F.when(plain == "", outer).when(below, F.array_join(F.slice(whole, n + 1, F.greatest(F.size(whole) - n, F.lit(0))), "/")).otherwise(plain)
+    return F.concat(spelled, rest)
+
+
+class Respelling:
+    """Texts with each occurrence of a name replaced in one pass: at every place the longest name that begins there.
+
+    An automaton of all names reads a text once, however many names there are; it pickles, so tasks can have it.
+    """
+
+    def __init__(self, names: dict[str, str]) -> None:
+        self.names, self.automaton = names, ahocorasick.Automaton()
+        for n in names:
+            if n:
+                self.automaton.add_word(n, n)
+        self.automaton.make_automaton()
+
+    def of(self, text: str) -> str:
+        if not len(self.automaton):
+            return text
+        longest: dict[int, int] = {}
+        for end, name in self.automaton.iter(text):
+            start = end + 1 - len(name)
+            longest[start] = max(longest.get(start, 0), len(name))
+        out, at = [], 0
+        for start in sorted(longest):
+            if start >= at:
+                end = start + longest[start]
+                out += [text[at:start], self.names[text[start:end]]]
+                at = end
+        return "".join([*out, text[at:]])
+
+    def column(self, spark: SparkSession, text: Column) -> Column:
+        """The same in tasks; null stays null."""
+        ship(spark)
+        sent = spark.sparkContext.broadcast(self)
+
+        @F.pandas_udf("string")
+        def respell(x: pd.Series) -> pd.Series:
+            return x.map(sent.value.of, na_action="ignore")
+
+        return respell(text)
 
 
 def respelled(text: str, names: dict[str, str]) -> str:
-    """Each occurrence of a name in one pass, the longest name first at every place."""
-    if not names:
-        return text
-    return re.sub("|".join(re.escape(n) for n in sorted(names, key=lambda n: (-len(n), n))), lambda m: names[m[0]], text)
+    return Respelling(names).of(text)
 
 
 def spelling_suggestions(words: DataFrame, vocabulary: DataFrame, most: int = 2, distance: int = 2) -> DataFrame:

@@ -147,15 +147,15 @@ def call_graph(f: Facts, types: DataFrame) -> reachability.CallGraph:
 
 def resolution_evidence(f: Facts, types: DataFrame, found: DataFrame) -> DataFrame:
     """``found(subject, code, owner, name, descriptor, declarer, member_access, ...)`` with ``facts``: what was selected, what the declaration is, and of a missing method up to three declarations of the same name."""
-    chosen = duplicates.winners(f.classes.select("internal_name", "position", "ordinal", "display", "digest")).select(F.col("internal_name").alias("owner"), F.concat(F.lit("selected "), "display", F.lit(" ("), F.substring("digest", 1, 8), F.lit(")")).alias("__by"))
-    top = duplicates.first_by(f.platform.select(F.col("internal_name").alias("owner"), F.concat(F.lit("supplied by the platform from "), F.coalesce("module", "internal_name")).alias("__top")), ["owner"], ["__top"])
+    chosen = duplicates.winners(f.classes.select("internal_name", "position", "ordinal", "display", "digest")).select(F.col("internal_name").alias("owner"), F.concat(F.lit("taken from "), "display", F.lit(", SHA-256 "), F.substring("digest", 1, 8)).alias("__by"))
+    top = duplicates.first_by(f.platform.select(F.col("internal_name").alias("owner"), F.concat(F.lit("part of the platform: "), F.coalesce("module", "internal_name")).alias("__top")), ["owner"], ["__top"])
     own = types.select(F.col("name").alias("owner"), F.col("members").alias("__members"))
     j = found.join(top, "owner", "left").join(chosen, "owner", "left").join(own, "owner", "left")
     trait = F.when(F.col("code") == "JP1004", F.when(linkage.has(F.col("member_access"), linkage.STATIC), "static").otherwise("an instance member"))
     trait = trait.when(F.col("code") == "JP1007", F.when(linkage.has(F.col("member_access"), linkage.PRIVATE), "private").when(linkage.has(F.col("member_access"), linkage.PROTECTED), "protected").otherwise("visible in its package"))
     alike = F.filter("__members", lambda m: (m["name"] == F.col("name")) & (m["descriptor"] != F.col("descriptor")))
-    named = F.when(F.col("code") == "JP1003", F.transform(F.slice(alike, 1, 3), lambda m: F.concat(F.lit("the resolved class also declares "), m["name"], m["descriptor"])))
-    one = F.array_compact(F.array(F.when(F.col("code") != "JP1001", F.coalesce("__top", "__by")), F.concat(F.lit("the declaration in "), "declarer", F.lit(" is "), trait)))
+    named = F.when(F.col("code") == "JP1003", F.transform(F.slice(alike, 1, 3), lambda m: F.concat(F.lit("of that name there: "), m["name"], m["descriptor"])))
+    one = F.array_compact(F.array(F.when(F.col("code") != "JP1001", F.coalesce("__top", "__by")), F.concat("declarer", F.lit(" has it as "), trait)))
     return j.withColumn("facts", F.concat(one, F.coalesce(named, F.array().cast("array<string>")))).drop("__top", "__by", "__members")
 
 

@@ -8,7 +8,7 @@ import re
 
 from pyspark.sql import Row
 
-from lodestar.functions.names import respelled, under_root
+from lodestar.functions.names import Respelling, under_root
 
 TOOL = {"name": "lodestar", "version": "1"}
 
@@ -21,11 +21,12 @@ def rooted(rows: list[Row], root: str | None) -> list[dict]:
     """Findings as dicts with artifact paths relative to the root, also where evidence names them."""
     out = [r.asDict(True) for r in rows]
     names = {d["location"]["artifact"]: under_root(root, d["location"]["artifact"]) for d in out}
+    spelling = Respelling(names)
     for d in out:
         d["location"]["artifact"] = names[d["location"]["artifact"]]
         for c in ("evidence", "remediation"):
-            d[c] = [respelled(x, names) for x in d[c] or []]
-        d["summary"] = respelled(d["summary"], names)
+            d[c] = [spelling.of(x) for x in d[c] or []]
+        d["summary"] = spelling.of(d["summary"])
     return out
 
 

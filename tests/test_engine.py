@@ -4,6 +4,7 @@ import gzip
 import itertools
 import json
 import random
+import re
 import shutil
 import zipfile
 from pathlib import Path
@@ -212,7 +213,25 @@ def test_scalar_functions(spark):
     assert value(names.markdown(F.lit("a*b_[c]<d>#`\\"))) == report.markdown("a*b_[c]<d>#`\\")
     assert value(names.quantity(F.lit(1), "class", "classes")) == "1 class" and value(names.package_of(F.lit("A"))) is None
     assert names.under_root("/r", "/r/a/../b.jar!/x/../y") == "b.jar!/x/../y" and names.under_root("/r", "/s/b.jar") == "/s/b.jar" and names.under_root(None, "x") == "x"
-    assert names.respelled("aab ab", {"a": "1", "aa": "2", "b": "a"}) == "2a 1a"
+    assert names.respelled("aab ab", {"a": "1", "aa": "2", "b": "a"}) == "2a 1a" and names.respelled("x", {}) == "x" and names.respelled("abcd bcx", {"abx": "1", "bc": "2", "bcd": "3", "d": "4"}) == "a3 2x"
+
+
+def test_paths_are_measured_alike_on_the_driver_and_in_tasks(spark):
+    paths = ["/r/a/../b.jar!/x/../y", "/s/b.jar", "b.jar", "../c.jar", "../../../x", "", ".", "/", "/r", "/r/", "r/../..", "a/./b//c!/d!/e", "/../r/q", "é/日本.jar", None]
+    for root, cwd in (("/r", "/r/w"), ("/", "/r"), ("w/..", "/r"), ("/r/w/v", "/r/w")):
+        got = spark.createDataFrame([(p,) for p in paths], "p string").select("p", names.measured(F.col("p"), root, cwd).alias("m")).collect()
+        assert [r["m"] for r in got] == [None if p is None else names.under_root(root, p, cwd) for p in paths]
+    told = lambda p, root="/r", cwd="/r/w": names.under_root(root, p, cwd)
+    assert [told(p) for p in ("/r/a/../b.jar!/x/../y", "/s/./b.jar", "b.jar", "../c.jar", "../../../x", "", "/r")] == ["b.jar!/x/../y", "/s/b.jar", "w/b.jar", "c.jar", "../../../x", "", "/r"]
+
+
+def test_respelling_in_tasks(spark):
+    rng = random.Random(9)
+    known = {"".join(rng.choice("ab") for _ in range(rng.randrange(1, 5))): f"<{k}>" for k in range(12)}
+    plain = lambda t: re.sub("|".join(sorted(known, key=len, reverse=True)), lambda m: known[m[0]], t)
+    texts = ["".join(rng.choice("abc ") for _ in range(40)) for _ in range(50)] + ["", None]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(names.Respelling(known).column(spark, F.col("t")).alias("r")).collect()
+    assert [r["r"] for r in got] == [None if t is None else plain(t) for t in texts]
     assert names.suggestions("chek", ["check", "baseline", "cheks"]) == ["check", "cheks"]
 
 

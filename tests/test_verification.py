@@ -67,7 +67,7 @@ def test_breakages_are_what_the_jvm_throws(spark, symbols, pairs):
         assert (r["code"], r["predicted_error"], r["severity"]) == (code, error, "ERROR"), name
         assert r["location"]["line"] == 1 and r["location"]["source_file"] == f"{main}.java"
         assert k.thrown([app, v2], main) == error, name
-        assert any(e.startswith("selected ") and str(v2) in e for e in r["evidence"]) == (code != "JP1001"), name
+        assert any(e.startswith("taken from ") and str(v2) in e for e in r["evidence"]) == (code != "JP1001"), name
         assert k.thrown([app, v1], main) is None, name
     _, quiet = found(spark, symbols, [app], [v1])
     assert [r["code"] for r in quiet] == []
