@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from lodestar import bridge as b
 from lodestar import schema
 from lodestar.functions import names as fn
-from lodestar.operators import duplicates, hierarchy, linkage, modules, proof, reachability, results, services
+from lodestar.operators import duplicates, hierarchy, linkage, modules, proof, reachability, report_rows, results, services
 from lodestar.plans import inspection, verification
 from lodestar.queries import _CLAIMS, _EDGES, _ENTRIES, _FINDINGS, _REFS, _RESOLVED, _TYPES, _claims, _findings, query
 from lodestar.session import durable, shared_folder, ship
@@ -496,6 +496,46 @@ def respelled_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", fn.Respelling(known).column(spark, text).alias("text"))
 
 
+# Findings with all their members: a third predicts an error, every tenth was reached along a chain, every seventh has no evidence.
+_WHOLE = f"""{_FINDINGS}, whole AS (SELECT *, CASE WHEN ordinal % 3 = 0 THEN 'NoSuchMethodError' END AS predicted_error, 'What ' || code || ' says' AS explanation,
+  CASE WHEN ordinal % 7 = 0 THEN []::VARCHAR[] WHEN ordinal % 10 = 0 THEN [summary, 'reachable via: E1#a -> "' || subject || '"'] ELSE [summary] END AS evidence, ['mend ' || subject] AS remediation,
+  CASE WHEN ordinal % 4 = 0 THEN (ordinal % 50)::INT END AS line FROM findings)"""
+
+
+def _whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, texts = F.col("ordinal"), lambda *c: F.array(*c).cast("array<string>")
+    f = b.findings(spark, sf_dir).withColumn("predicted_error", F.when(n % 3 == 0, "NoSuchMethodError")).withColumn("explanation", F.concat(F.lit("What "), "code", F.lit(" says")))
+    chain = F.concat(F.lit('reachable via: E1#a -> "'), "subject", F.lit('"'))
+    f = f.withColumn("evidence", F.when(n % 7 == 0, texts()).when(n % 10 == 0, texts("summary", chain)).otherwise(texts("summary"))).withColumn("remediation", texts(F.concat(F.lit("mend "), "subject")))
+    return f.withColumn("location", F.struct("artifact", "class_entry", F.lit(None).cast("string").alias("source_file"), F.when(n % 4 == 0, (n % 50).cast("int")).alias("line")))
+
+
+@query(f"""WITH {_WHOLE} SELECT ordinal, to_json(struct_pack(code := code, severity := severity, predicted_error := predicted_error, location := struct_pack(artifact := artifact, class_entry := class_entry, source_file := NULL::VARCHAR, line := line),
+subject := subject, summary := summary, explanation := explanation, evidence := evidence, remediation := remediation))::VARCHAR AS value FROM whole""")
+def report_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings as JSON objects, made in tasks."""
+    return report_rows.json_rows(_whole(spark, sf_dir)).select("ordinal", "value")
+
+
+_RESULT = """ruleId := code, level := CASE severity WHEN 'INFO' THEN 'note' ELSE lower(severity) END, message := struct_pack(text := summary, markdown := regexp_replace(summary, '([\\\\`*_\\[\\]<>#])', '\\\\\\1', 'g')),
+locations := [struct_pack(physicalLocation := struct_pack(artifactLocation := struct_pack(uri := artifact)), logicalLocations := [struct_pack(fullyQualifiedName := subject)])],
+properties := struct_pack(evidence := evidence, remediation := remediation, predictedError := predicted_error)"""
+
+
+@query(f"""WITH {_WHOLE}, c AS (SELECT *, list_filter(evidence, lambda e: starts_with(e, 'reachable via: ')) AS chains FROM whole)
+SELECT ordinal, CASE WHEN len(chains) = 0 THEN to_json(struct_pack({_RESULT}))::VARCHAR ELSE to_json(struct_pack({_RESULT},
+codeFlows := [struct_pack(threadFlows := [struct_pack(locations := list_transform(string_split(chains[1][16:], ' -> '), lambda s: struct_pack(location := struct_pack(message := struct_pack(text := s)))))])]))::VARCHAR END AS value FROM c""")
+def sarif_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings as SARIF results, made in tasks."""
+    return report_rows.sarif_rows(_whole(spark, sf_dir)).select("ordinal", "value")
+
+
+@query(f"""WITH {_WHOLE} SELECT code, to_json(struct_pack(id := code, shortDescription := struct_pack(text := summary), fullDescription := struct_pack(text := explanation)))::VARCHAR AS value
+FROM whole QUALIFY row_number() OVER (PARTITION BY code ORDER BY position, ordinal) = 1""")
+def sarif_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report_rows.sarif_rules(_whole(spark, sf_dir), ["position", "ordinal"])
+
+
 @query(f"WITH {_FINDINGS} SELECT artifact, CASE WHEN count(*) > 5 THEN list_aggregate(list_slice(list(summary ORDER BY ordinal, summary), 1, 5), 'string_agg', '|') || '|and ' || (count(*) - 5) || ' more' ELSE string_agg(summary, '|' ORDER BY ordinal, summary) END AS some FROM findings GROUP BY 1")
 def bounded_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first few texts of a key and how many there are beside them."""

@@ -216,6 +216,28 @@ def test_scalar_functions(spark):
     assert names.respelled("aab ab", {"a": "1", "aa": "2", "b": "a"}) == "2a 1a" and names.respelled("x", {}) == "x" and names.respelled("abcd bcx", {"abx": "1", "bc": "2", "bcd": "3", "d": "4"}) == "a3 2x"
 
 
+def test_report_rows_are_those_of_the_driver(spark, tmp_path):
+    from lodestar import schema
+    from lodestar.operators import report_rows
+
+    at = lambda e, line: ("/r/a.jar", e, "A.java" if e else None, line)
+    rows = [
+        ("JP1003", "ERROR", "NoSuchMethodError", at("p/A.class", 3), "s#*", "Missing *method* é", "why", ["x", "reachable via: a -> b -> c"], ["fix"]),
+        ("JP2003", "INFO", None, at(None, None), 'q"', "Split `p`\n", "because", [], []),
+        ("JP2003", "WARNING", None, at("x", 1), "q", "Split", "because", ["only"], []),
+    ]
+    df = spark.createDataFrame(rows, schema.FINDING)
+    found = [r.asDict(True) for r in df.collect()]
+    assert sorted((json.loads(r["value"]) for r in report_rows.json_rows(df).collect()), key=str) == sorted(found, key=str)
+    run = json.loads(report.sarif(found))["runs"][0]
+    assert sorted((json.loads(r["value"]) for r in report_rows.sarif_rows(df).collect()), key=str) == sorted(run["results"], key=str)
+    rules = [json.loads(r["value"]) for r in report_rows.sarif_rules(df, ["severity"]).orderBy("code").collect()]
+    assert rules == run["tool"]["driver"]["rules"]
+    report_rows.write_lines(report_rows.json_rows(df), ["code", "summary"], str(tmp_path / "out"))
+    lines = [x for p in sorted((tmp_path / "out").glob("part-*")) for x in p.read_text(encoding="utf-8").splitlines()]
+    assert [json.loads(x)["summary"] for x in lines] == ["Missing *method* é", "Split", "Split `p`\n"]
+
+
 def test_paths_are_measured_alike_on_the_driver_and_in_tasks(spark):
     paths = ["/r/a/../b.jar!/x/../y", "/s/b.jar", "b.jar", "../c.jar", "../../../x", "", ".", "/", "/r", "/r/", "r/../..", "a/./b//c!/d!/e", "/../r/q", "é/日本.jar", None]
     for root, cwd in (("/r", "/r/w"), ("/", "/r"), ("w/..", "/r"), ("/r/w/v", "/r/w")):
