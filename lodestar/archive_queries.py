@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
 from urllib.parse import urlparse
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ from lodestar.functions import names as fn
 from lodestar.operators import duplicates, hierarchy, linkage, modules, proof, reachability, report_rows, results, services
 from lodestar.plans import inspection, verification
 from lodestar.queries import _CLAIMS, _EDGES, _ENTRIES, _FINDINGS, _REFS, _RESOLVED, _TYPES, _claims, _findings, query
-from lodestar.session import durable, shared_folder, ship
+from lodestar.session import as_arrow, durable, mapped, shared_folder, ship
 from lodestar.sources import archive, classpath, generate, platform
 
 ARCHIVES = 8
@@ -254,10 +256,16 @@ def inspect_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_P} SELECT name AS internal_name, 'm' || a AS module, CASE WHEN p % 11 = 0 THEN 1537 WHEN p % 6 <> 0 THEN 33 ELSE 32 END::INT AS access, CASE WHEN p < 2 OR p % 11 = 0 THEN 'java/lang/Object' ELSE {_NAMED("p // 2")} END AS super,
 'f' || (p % 4) || 'I9,m' || (p % 7) || '()V' || CASE WHEN p % 2 = 0 THEN 1 ELSE 2 END || ',run()V9' AS members FROM c""")
 def platform_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shapes written to a table of platform symbols and read again."""
-    path = os.path.join(archives(spark, sf_dir), "symbols.gz")
-    rows = [(f"m{r['p_partkey'] % ARCHIVES}", platform.shape_of(_class(r["p_partkey"], r["p_size"]))) for r in b.table(spark, sf_dir, "part").select("p_partkey", "p_size").distinct().toLocalIterator()]
-    platform.write_table(path, 17, "parts", rows)
+    """Shapes written to a table of platform symbols, by tasks, and read again."""
+    path = f"{shared_folder(spark)}/symbols-{uuid.uuid4().hex}"
+    wanted = pa.schema(as_arrow(schema.PLATFORM_CLASS))
+
+    def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            every = [(p, platform.shape_of(_class(p, size))) for p, size in zip(batch.column("p_partkey").to_pylist(), batch.column("p_size").to_pylist())]
+            yield pa.RecordBatch.from_pylist([{"internal_name": s["internal_name"], "module": f"m{p % ARCHIVES}", "shape": s} for p, s in every], wanted)
+
+    platform.write_table_parts(durable(mapped(b.table(spark, sf_dir, "part").select("p_partkey", "p_size").distinct(), shapes, schema.PLATFORM_CLASS)), path, 17, "parts")
     member = lambda m: F.concat(m["name"], m["descriptor"], m["access"].cast("string"))
     return platform.read_table(spark, path, 17).select("internal_name", "module", "shape.access", "shape.super", F.array_join(F.transform("shape.members", member), ",").alias("members"))
 

@@ -40,6 +40,19 @@ def write_table(path: str, release: int, runtime: str, rows: list[tuple[str, dic
         f.writelines(encode_line(m, s) + "\n" for m, s in sorted(rows, key=lambda r: r[1]["internal_name"]))
 
 
+def write_table_parts(shapes: DataFrame, folder: str, release: int, runtime: str) -> None:
+    """The same table as a folder of compressed parts that tasks write, from ``schema.PLATFORM_CLASS`` rows; ``read_table`` reads either."""
+    number = lambda c: F.lower(F.hex(c))
+    plain = lambda c: F.coalesce(c, F.lit(""))
+    listed = lambda c: F.array_join(F.coalesce(c, F.array().cast("array<string>")), ",")
+    s = F.col("shape")
+    members = F.transform(s["members"], lambda m: F.concat_ws("\t", m["name"], m["descriptor"], number(m["access"])))
+    head = F.concat_ws("\t", s["internal_name"], plain(F.col("module")), number(s["access"]), plain(s["super"]), listed(s["interfaces"]), plain(s["nest_host"]), listed(s["nest_members"]))
+    lines = shapes.select(F.when(F.size(members) > 0, F.concat(head, F.lit("\t"), F.array_join(members, "\t"))).otherwise(head).alias("value"))
+    first = shapes.agg(F.count("*").alias("n")).select(F.concat_ws("\t", F.lit(MAGIC), F.lit(FORMAT), F.lit(str(release)), F.col("n").cast("string"), F.lit(runtime)).alias("value"))
+    first.union(lines.repartitionByRange("value").sortWithinPartitions("value")).write.mode("overwrite").option("compression", "gzip").text(folder)
+
+
 def table_of(folder_or_table: str, release: int) -> str:
     """The table of a release: ``N.gz`` of a folder of tables, else the table that is named."""
     return os.path.join(folder_or_table, f"{release}.gz") if os.path.isdir(folder_or_table) else folder_or_table
