@@ -8,10 +8,10 @@ insertions, deletions and substitutions. Notices that allow no error are their o
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -44,12 +44,17 @@ NOTICES = (
 )
 
 
+#: Strings of which a search remembers whether they match.
+MEMO = 1 << 16
+
+
 class _Search:
     def __init__(self, notice: Notice) -> None:
         phrase, e = notice.phrase.encode(), notice.errors
         self.notice, self.phrase, self.reach = notice, phrase, len(phrase) + 2 * e
         cut = [len(phrase) * k // (e + 1) for k in range(e + 2)]
         self.pieces = [(a, phrase[a:z]) for a, z in zip(cut, cut[1:])]
+        self.known: dict[bytes, int | None] = {}
         self.match = regex.compile(rb"(?b)(?:%s){e<=%d}" % (regex.escape(phrase, literal_spaces=True), e))
 
     def places(self, norm: bytes) -> list[tuple[int, int, int]]:
@@ -66,26 +71,35 @@ class _Search:
                 spans[-1][1] = hi
             else:
                 spans.append([lo, hi])
-        taken: list[tuple[int, int]] = []
+        taken = bytearray(len(norm))
         for a, z, _ in out:
-            insort(taken, (a, z))
+            taken[a:z] = b"\1" * (z - a)
         for k, a, z in sorted(x for lo, hi in spans for x in self._matches(norm, lo, hi) if x[0]):
-            at = bisect_left(taken, (a, z))
-            if (at == len(taken) or taken[at][0] >= z) and (not at or taken[at - 1][1] <= a):
-                taken.insert(at, (a, z))
+            if taken.find(1, a, z) < 0:
+                taken[a:z] = b"\1" * (z - a)
                 out.append((a, z, k))
         return sorted(out)
 
+    def errors(self, words: bytes) -> int | None:
+        """Errors with which these words match as a whole, if they do; each string is verified once."""
+        if words not in self.known:
+            if len(self.known) >= MEMO:
+                self.known.clear()
+            m = self.match.fullmatch(words)
+            self.known[words] = sum(m.fuzzy_counts) if m else None
+        return self.known[words]
+
     def _matches(self, norm: bytes, lo: int, hi: int) -> Iterator[tuple[int, int, int]]:
         """(errors, from, to) of all runs of words in a window that match as a whole."""
         n, e = len(self.phrase), self.notice.errors
         cuts = [lo - 1] * (not lo or norm[lo - 1] == 32) + [lo + k for k, c in enumerate(norm[lo:hi]) if c == 32] + [hi] * (hi == len(norm) or norm[hi] == 32)
         for k, a in enumerate(cuts):
-            for z in cuts[k + 1 :]:
+            for j in range(k + 1, len(cuts)):
+                z = cuts[j]
                 if z - a - 1 > n + e:
                     break
-                if z - a - 1 >= n - e and (m := self.match.fullmatch(norm, a + 1, z)):
-                    yield sum(m.fuzzy_counts), a + 1, z
+                if z - a - 1 >= n - e and (found := self.errors(norm[a + 1 : z])) is not None:
+                    yield found, a + 1, z
 
     def _exact(self, norm: bytes) -> Iterator[int]:
         """Places where the phrase stands between word ends."""
@@ -109,13 +123,14 @@ def scan_text(text: bytes, searches: list[_Search]) -> tuple[int, list[dict]]:
     """Words of a text and the spans of notices in it; start and end are bytes of the text as it is."""
     plain = text.translate(PLAIN)
     words = plain.split()
-    norm, out, offsets = b" ".join(words), [], None
+    norm, out, offsets, blanks = b" ".join(words), [], None, None
     for s in searches:
         for a, z, k in s.places(norm):
             if offsets is None:
                 offsets = [m.span() for m in re.finditer(rb"[^ ]+", plain)]
-            first = norm.count(b" ", 0, a)
-            n = norm.count(b" ", a, z) + 1
+                blanks = np.flatnonzero(np.frombuffer(norm, np.uint8) == 32)
+            first, last = np.searchsorted(blanks, (a, z)).tolist()  # blanks before a place are words before it
+            n = last - first + 1
             out.append({"label": s.notice.label, "notice": s.notice.phrase, "first_word": first, "n_words": n, "start": offsets[first][0], "end": offsets[first + n - 1][1], "errors": k, "base": s.notice.base and not k})
     return len(words), sorted(out, key=lambda x: (x["first_word"], x["notice"]))
 

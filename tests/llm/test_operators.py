@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -423,6 +424,19 @@ def test_notices(spark):
     assert scan_notices(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("unit,places", [(b"license ", 0), (b"cc by x ", 1), (b"all right reserved x ", 1)])
+def test_long_texts_of_notices_take_linear_time(unit, places):
+    took = []
+    for size in (200_000, 1_600_000):
+        searches = [notices._Search(n) for n in notices.NOTICES]
+        began = time.process_time()
+        n, spans = notices.scan_text(unit * (size // len(unit)), searches)
+        took.append(time.process_time() - began)
+        assert len(spans) == places * (size // len(unit)) and n == len(unit.split()) * (size // len(unit))
+        assert [s["first_word"] for s in spans[:3]] == [k * len(unit.split()) for k in range(3)][: len(spans)]
+    assert took[1] < 24 * took[0] + 1  # eight times the text
+
+
 def test_inexact_notices_before_a_better_one_are_found():
     search = notices._Search(Notice("reserved", "all rights reserved", 1, True))
     assert search.places(b"all right reserved x all rights reserved") == [(0, 18, 1), (21, 40, 0)]
