@@ -454,20 +454,14 @@ def pivot_links(pivot: list[bool], comp: list[bytes], fp: np.ndarray, radius: in
     return out
 
 
-def _about_blocks(facts: DataFrame) -> DataFrame:
-    """Facts, one row a block, as the side of a join: sent to all tasks where they are few, so that a large block's rows need not meet for it."""
-    facts = durable(facts)
-    return F.broadcast(facts) if facts.count() <= SENT_BLOCKS else facts
-
-
-def _met(rows: DataFrame, named: DataFrame, picked: DataFrame, lanes: int, radius: int, similarity: float | None) -> DataFrame:
+def _met(rows: DataFrame, named: DataFrame, picked: DataFrame, lanes: int, radius: int, similarity: float | None, sent: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Links (a, b) of the ``picked(block, node, group, groups)`` pivots with all members of their blocks, each share of members with each group of pivots.
 
     A member that is a pivot itself does not come to the groups before its own, which come to it.
     """
     few = picked.select("block", "groups").distinct()
     shares = F.ceil(F.greatest(F.count("*") / SHARE, F.sum("bytes") / HELD)).cast("int").alias("shares")
-    sized = _about_blocks(few.join(rows.groupBy("block").agg(shares), "block"))
+    sized = sent(few.join(rows.groupBy("block").agg(shares), "block"))
     own = rows.join(named, ["block", "node"])
     cols = ["comp", "node", "fp", "shingles"]
     members = own.join(picked.select("block", "node", F.col("group").alias("first")), ["block", "node"], "left").join(sized, "block")
@@ -507,21 +501,23 @@ def split_links(rows: DataFrame, lanes: int, radius: int, similarity: float | No
     """
     rows = durable(rows.withColumn("bytes", F.coalesce(F.length("shingles"), F.lit(0)) + F.length("fp")))
     own = rows.select("block", "node", "bytes")
+    # facts of which there is one row a block are sent to all tasks where blocks are few, so that a large block's rows need not meet for them
+    sent = F.broadcast if rows.select("block").distinct().count() <= SENT_BLOCKS else lambda facts: facts
     found, settled = None, None
     for k, most in enumerate(PASSES):
         named = own.withColumn("comp", F.col("node")) if found is None else own.join(components(found), "node", "left").select("block", "node", "bytes", F.coalesce("root", "node").alias("comp"))
         named = durable(named)
         main = named.groupBy("block", "comp").count().groupBy("block").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
-        rest = named.join(_about_blocks(main), "block").where("comp <> main").select("block", "node", "bytes")
+        rest = named.join(sent(main), "block").where("comp <> main").select("block", "node", "bytes")
         rest = durable(rest if settled is None else rest.join(settled, ["block", "node"], "left_anti"))
         if rest.isEmpty():
             break
-        waiting = _about_blocks(rest.groupBy("block").agg(F.count("*").alias("n"), F.sum("bytes").alias("size")))
+        waiting = sent(rest.groupBy("block").agg(F.count("*").alias("n"), F.sum("bytes").alias("size")))
         taken = F.lit(1.0) if most is None else F.least(F.lit(1.0), most / F.col("n"))
         picked = rest.join(waiting, "block").where(F.pmod(F.xxhash64("node", F.lit(k)), F.lit(1 << 20)) < taken * (1 << 20))
         picked = picked.withColumn("groups", F.ceil(F.greatest(F.col("n") * taken / GROUP, F.col("size") * taken / HELD)).cast("int"))
         picked = durable(picked.select("block", "node", F.pmod(F.xxhash64("node", F.lit(-1)), F.col("groups")).cast("int").alias("group"), "groups"))
-        now = _met(rows, named.drop("bytes"), picked, lanes, radius, similarity)
+        now = _met(rows, named.drop("bytes"), picked, lanes, radius, similarity, sent)
         found = durable(now if found is None else found.union(now))
         met = picked.select("block", "node")
         settled = met if settled is None else settled.union(met)
@@ -544,8 +540,9 @@ def similar_links(docs: DataFrame, prints: DataFrame, words: int, lanes: int, ra
     large = durable(wanted.groupBy("root").count().where(F.col("count") > SPLIT).select("root"))
     if large.isEmpty():
         return _verified(_with_sets(docs, wanted, words), lanes, radius, similarity)
-    links = _verified(_with_sets(docs, wanted.join(large, "root", "left_anti"), words), lanes, radius, similarity)
-    rows = _with_sets(docs, durable(wanted.join(large, "root", "left_semi")), words)
+    sets = durable(_with_sets(docs, wanted, words))
+    links = _verified(sets.join(large, "root", "left_anti"), lanes, radius, similarity)
+    rows = sets.join(large, "root", "left_semi")
     return links.union(split_links(rows.select(F.col("root").alias("block"), "node", "fp", "shingles"), lanes, radius, similarity))
 
 
