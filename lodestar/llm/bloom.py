@@ -126,8 +126,10 @@ def seen_filter(rows: DataFrame, segments: int, times: int = 2) -> Filter:
             yield _slot(slot, bits)
 
     built = mapped(rows.repartition("segment").sortWithinPartitions("segment"), build, "slot long, bits binary")
+    if segments > slots:  # else a slot is one segment, which one task has built
+        built = mapped(built.repartition("slot"), join, "slot long, bits binary")
     out = Filter(segments, slots)
-    for r in mapped(built.repartition("slot"), join, "slot long, bits binary").toLocalIterator():
+    for r in built.collect():  # ``MOST_BITS`` bits at most, in one job; an iterator takes a job for each partition
         out.merge(r["slot"], r["bits"])
     return out
 

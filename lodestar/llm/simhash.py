@@ -10,7 +10,8 @@ Block keys: ``bands`` is exact. The fingerprint is cut into bands of which at mo
 choice of bands that are equal. Blocks above ``BLOCK`` members are dealt again with twice as many bands, which leaves at most
 2**16 different fingerprints in one for 64 bits and a radius of 2. ``shingles`` takes minima of the shingle hashes
 instead, for radii at which no band is equal: documents that share most shingles share a minimum. Large blocks of these are
-worked on in shares (``split_links``), as are large groups whose texts are compared; that changes the work, not the links.
+dealt as pairs of shares beside the small ones, still larger ones are worked on in passes (``split_links``), as are large
+groups whose texts are compared; that changes the work, not the links.
 """
 
 from __future__ import annotations
@@ -37,7 +38,11 @@ SPLIT = 256
 SHARE, GROUP, HELD = 2048, 512, 16 << 20
 #: Pivots of a block in each pass; the last pass takes all that have not met the others.
 PASSES = (64, 1024, None)
-#: Blocks whose sizes are sent to all tasks; more are joined.
+#: Members of a block that are all pivots in the first pass, which leaves nothing for the others.
+WHOLE = 4096
+#: Nodes of a block that is dealt as pairs of shares at most, and of a share about; larger blocks are worked on in passes.
+PAIRED, PAIR = 8192, 1024
+#: Blocks of which facts are sent to all tasks; facts of more are joined.
 SENT_BLOCKS = 10_000
 
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -318,6 +323,15 @@ def _again(rows: DataFrame, radius: int) -> DataFrame:
     return mapped(rows.select("fp"), run, "key long, fp binary").distinct()
 
 
+def _together(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of one key in one task, sorted by it.
+
+    After a join by the key Spark leaves out a repartition by that key, and may then split a skewed partition of the join,
+    which parts a key; it does not leave out one by an expression of the key.
+    """
+    return rows.repartition(F.xxhash64(key)).sortWithinPartitions(key)
+
+
 def _compared(rows: DataFrame, lanes: int, radius: int) -> DataFrame:
     """Links (a, b) of the blocks of ``rows(key, fp)``; a task holds its largest block and one batch."""
 
@@ -341,21 +355,37 @@ def _compared(rows: DataFrame, lanes: int, radius: int) -> DataFrame:
         if len(key):
             yield links(len(key))
 
-    return mapped(rows.repartition("key").sortWithinPartitions("key"), run, "a binary, b binary")
+    return mapped(_together(rows, "key"), run, "a binary, b binary")
 
 
 def near_links(nodes: DataFrame, lanes: int, radius: int, how: str) -> DataFrame:
     """Links between different fingerprints of ``nodes(fp, keys)`` that connect all that lie within the radius and meet in a block."""
     rows = durable(_keyed(nodes, lanes, radius, how))
-    large = durable(rows.groupBy("key").count().where(F.col("count") > BLOCK).select("key"))
-    if large.isEmpty():
+    large = durable(rows.groupBy("key").count().where(F.col("count") > BLOCK))
+    facts = large.agg(F.count("*").alias("blocks"), F.max("count").alias("most")).first()
+    if not facts["blocks"]:
         return _compared(rows.select("key", "fp"), lanes, radius)
-    cold = _compared(rows.join(large, "key", "left_anti").select("key", "fp"), lanes, radius)
-    wide = rows.join(large, "key", "left_semi")
     if how == "bands":
-        return cold.union(_compared(_again(wide, radius), lanes, radius))
-    wide = wide.select(F.col("key").alias("block"), F.col("fp").alias("node"), "fp", F.lit(None).cast("binary").alias("shingles"))
-    return cold.union(split_links(wide, lanes, radius))
+        cold = _compared(rows.join(large, "key", "left_anti").select("key", "fp"), lanes, radius)
+        return cold.union(_compared(_again(rows.join(large, "key", "left_semi"), radius), lanes, radius))
+    sized = rows.join(F.broadcast(large) if facts["blocks"] <= SENT_BLOCKS else large, "key", "left")
+    links = _compared(_paired(sized.where(F.col("count").isNull() | (F.col("count") <= PAIRED))), lanes, radius)
+    if facts["most"] <= PAIRED:
+        return links
+    wide = sized.where(F.col("count") > PAIRED).select(F.col("key").alias("block"), F.col("fp").alias("node"), "fp", F.lit(None).cast("binary").alias("shingles"))
+    return links.union(split_links(wide, lanes, radius))
+
+
+def _paired(sized: DataFrame) -> DataFrame:
+    """(key, fp) of ``sized(key, fp, count)``; where a count is given, under a key for each pair of shares of the block that the row is in.
+
+    Every two rows of such a block meet: rows of two shares under the key of both, rows of one share under each key of it.
+    """
+    shares = F.greatest(F.ceil(F.col("count") / PAIR), F.lit(2)).cast("int")
+    own = F.pmod(F.xxhash64("fp"), shares).cast("int")
+    others = F.filter(F.sequence(F.lit(0), shares - 1), lambda x: x != own)
+    pairs = F.transform(others, lambda x: F.xxhash64("key", F.least(x, own), F.greatest(x, own)))
+    return sized.select(F.explode(F.when(F.col("count").isNull(), F.array("key")).otherwise(pairs)).alias("key"), "fp")
 
 
 def _with_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -410,7 +440,7 @@ def _verified(rows: DataFrame, lanes: int, radius: int, similarity: float) -> Da
         if len(key):
             yield links(len(key))
 
-    return mapped(rows.select("root", "node", "fp", "shingles").repartition("root").sortWithinPartitions("root"), run, "a binary, b binary")
+    return mapped(_together(rows.select("root", "node", "fp", "shingles"), "root"), run, "a binary, b binary")
 
 
 class Sets:
@@ -454,15 +484,16 @@ def pivot_links(pivot: list[bool], comp: list[bytes], fp: np.ndarray, radius: in
     return out
 
 
-def _met(rows: DataFrame, named: DataFrame, picked: DataFrame, lanes: int, radius: int, similarity: float | None, sent: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _met(rows: DataFrame, named: DataFrame | None, picked: DataFrame, lanes: int, radius: int, similarity: float | None, sent: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Links (a, b) of the ``picked(block, node, group, groups)`` pivots with all members of their blocks, each share of members with each group of pivots.
 
-    A member that is a pivot itself does not come to the groups before its own, which come to it.
+    A member that is a pivot itself does not come to the groups before its own, which come to it. Without ``named(block,
+    node, comp)`` nothing is joined yet.
     """
     few = picked.select("block", "groups").distinct()
     shares = F.ceil(F.greatest(F.count("*") / SHARE, F.sum("bytes") / HELD)).cast("int").alias("shares")
     sized = sent(few.join(rows.groupBy("block").agg(shares), "block"))
-    own = rows.join(named, ["block", "node"])
+    own = rows.withColumn("comp", F.col("node")) if named is None else rows.join(named, ["block", "node"])
     cols = ["comp", "node", "fp", "shingles"]
     members = own.join(picked.select("block", "node", F.col("group").alias("first")), ["block", "node"], "left").join(sized, "block")
     share = F.pmod(F.xxhash64("node"), F.col("shares")).cast("int").alias("share")
@@ -497,28 +528,35 @@ def split_links(rows: DataFrame, lanes: int, radius: int, similarity: float | No
 
     Some pivots of a block meet all its members, in shares of bounded size. What then belongs to the block's largest
     component needs no more links inside it; of the rest more pivots are taken, and in the last pass all of it meets all
-    members, so that every two nodes have met, or are joined with most of the block. The passes are as many for any block.
+    members, so that every two nodes have met, or are joined with most of the block. The passes are as many for any block,
+    but all nodes of a block of at most ``WHOLE`` are pivots of the first pass, which is the only one if no block is larger.
     """
     rows = durable(rows.withColumn("bytes", F.coalesce(F.length("shingles"), F.lit(0)) + F.length("fp")))
     own = rows.select("block", "node", "bytes")
+    facts = own.groupBy("block").count().agg(F.count("*").alias("blocks"), F.max("count").alias("most")).first()
     # facts of which there is one row a block are sent to all tasks where blocks are few, so that a large block's rows need not meet for them
-    sent = F.broadcast if rows.select("block").distinct().count() <= SENT_BLOCKS else lambda facts: facts
+    sent = F.broadcast if facts["blocks"] <= SENT_BLOCKS else lambda few: few
     found, settled = None, None
     for k, most in enumerate(PASSES):
-        named = own.withColumn("comp", F.col("node")) if found is None else own.join(components(found), "node", "left").select("block", "node", "bytes", F.coalesce("root", "node").alias("comp"))
-        named = durable(named)
-        main = named.groupBy("block", "comp").count().groupBy("block").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
-        rest = named.join(sent(main), "block").where("comp <> main").select("block", "node", "bytes")
-        rest = durable(rest if settled is None else rest.join(settled, ["block", "node"], "left_anti"))
-        if rest.isEmpty():
-            break
+        named, rest = None, own
+        if found is not None:
+            named = durable(own.join(components(found), "node", "left").select("block", "node", "bytes", F.coalesce("root", "node").alias("comp")))
+            main = named.groupBy("block", "comp").count().groupBy("block").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
+            rest = named.join(sent(main), "block").where("comp <> main").select("block", "node", "bytes")
+            rest = durable(rest.join(settled, ["block", "node"], "left_anti"))
+            if rest.isEmpty():
+                break
+            named = named.drop("bytes")
         waiting = sent(rest.groupBy("block").agg(F.count("*").alias("n"), F.sum("bytes").alias("size")))
         taken = F.lit(1.0) if most is None else F.least(F.lit(1.0), most / F.col("n"))
+        taken = taken if k else F.when(F.col("n") <= WHOLE, 1.0).otherwise(taken)
         picked = rest.join(waiting, "block").where(F.pmod(F.xxhash64("node", F.lit(k)), F.lit(1 << 20)) < taken * (1 << 20))
         picked = picked.withColumn("groups", F.ceil(F.greatest(F.col("n") * taken / GROUP, F.col("size") * taken / HELD)).cast("int"))
         picked = durable(picked.select("block", "node", F.pmod(F.xxhash64("node", F.lit(-1)), F.col("groups")).cast("int").alias("group"), "groups"))
-        now = _met(rows, named.drop("bytes"), picked, lanes, radius, similarity, sent)
+        now = _met(rows, named, picked, lanes, radius, similarity, sent)
         found = durable(now if found is None else found.union(now))
+        if (facts["most"] or 0) <= WHOLE:
+            break
         met = picked.select("block", "node")
         settled = met if settled is None else settled.union(met)
     return rows.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0) if found is None else found
