@@ -7,7 +7,9 @@ undeclared on purpose, since the tables' own keys have no orphans.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TARGET = 12
@@ -78,16 +80,23 @@ def wanted_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.concat(F.lit("C"), F.col("p_partkey").cast("string")).alias("name"))
 
 
-def member_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(ref, caller, caller_super, caller_host, kind, owner, name, descriptor): an order line each."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber").distinct()
+def owner_and_caller() -> tuple[Column, Column]:
+    """(owner, caller) of an order line: a part, and one of 97 that follows from it."""
+    return F.concat(F.lit("C"), F.col("l_partkey").cast("string")).alias("owner"), F.concat(F.lit("C"), (F.col("l_partkey") % 97 + 1).cast("string")).alias("caller")
+
+
+def member_refs(spark: SparkSession, sf_dir: str, by_owner: bool = False, named: Callable[[Column], Column] = lambda c: c) -> DataFrame:
+    """(ref, caller, caller_super, caller_host, kind, owner, name, descriptor): an order line each; ``by_owner`` deals them while they are narrow. ``named`` gives the types other names."""
+    owner, caller = owner_and_caller()
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", named(owner).alias("owner"))
+    li = (li.repartition("owner") if by_owner else li).distinct()
     kinds = F.array(*[F.lit(k) for k in ("INVOKE_VIRTUAL", "INVOKE_STATIC", "INVOKE_INTERFACE", "GET_STATIC", "GET_FIELD", "METHOD_HANDLE")])
     kind = F.element_at(kinds, (F.col("l_orderkey") % 6 + 1).cast("int"))
-    caller = F.concat(F.lit("C"), (F.col("l_partkey") % 97 + 1).cast("string"))
+    above = F.concat(F.lit("C"), F.floor((F.col("l_partkey") % 97 + 1) / 3).cast("string"))
     method = ~kind.isin("GET_STATIC", "GET_FIELD")
     r = li.select(
-        F.concat_ws("-", "l_orderkey", "l_partkey", "l_linenumber").alias("ref"), caller.alias("caller"), F.concat(F.lit("C"), F.floor((F.col("l_partkey") % 97 + 1) / 3).cast("string")).alias("caller_super"), caller.alias("caller_host"), kind.alias("kind"),
-        F.concat(F.lit("C"), F.col("l_partkey").cast("string")).alias("owner"), F.when(method, F.concat(F.lit("m"), (F.col("l_orderkey") % 3).cast("string"))).otherwise(F.concat(F.lit("f"), (F.col("l_orderkey") % 3).cast("string"))).alias("name"), F.when(method, "()V").otherwise("I").alias("descriptor"),
+        F.concat_ws("-", "l_orderkey", "l_partkey", "l_linenumber").alias("ref"), named(caller).alias("caller"), named(above).alias("caller_super"), named(caller).alias("caller_host"), kind.alias("kind"),
+        "owner", F.when(method, F.concat(F.lit("m"), (F.col("l_orderkey") % 3).cast("string"))).otherwise(F.concat(F.lit("f"), (F.col("l_orderkey") % 3).cast("string"))).alias("name"), F.when(method, "()V").otherwise("I").alias("descriptor"),
     )
     return r
 

@@ -35,13 +35,15 @@ def chains(types: DataFrame, depth: int = DEPTH) -> DataFrame:
     return now.select("name", F.slice("path", 1, depth).alias("path"))
 
 
-def superclass_chain(types: DataFrame, wanted: DataFrame, depth: int = DEPTH) -> DataFrame:
+def superclass_chain(types: DataFrame, wanted: DataFrame, depth: int = DEPTH, paths: DataFrame | None = None) -> DataFrame:
     """(start, depth, name): each wanted name that resolves, then its superclasses, nearest first.
 
-    A chain ends before a name that does not resolve or that it holds already, and after ``depth`` classes.
+    A chain ends before a name that does not resolve or that it holds already, and after ``depth`` classes. ``paths``: the
+    ``chains`` of the types, where they are at hand.
     """
     starts = wanted.select("name").where("name is not null").distinct()
-    return chains(types, depth).join(starts, "name", "left_semi").select(F.col("name").alias("start"), F.posexplode("path").alias("depth", "name"))
+    paths = chains(types, depth) if paths is None else paths
+    return paths.join(starts, "name", "left_semi").select(F.col("name").alias("start"), F.posexplode("path").alias("depth", "name"))
 
 
 def _superinterfaces(types: DataFrame) -> DataFrame:
@@ -86,9 +88,9 @@ def interface_closure(types: DataFrame, chain: DataFrame, most: int | None = DEP
     return out
 
 
-def ordered_closure(types: DataFrame, wanted: DataFrame) -> DataFrame:
+def ordered_closure(types: DataFrame, wanted: DataFrame, paths: DataFrame | None = None) -> DataFrame:
     """(start, phase, generation, key, name): the chain (phase 0), then the interface closure (phase 1), in lookup order."""
-    chain = durable(superclass_chain(types, wanted))
+    chain = superclass_chain(types, wanted, paths=paths)
     closure = interface_closure(types, chain)
     return chain.select("start", F.lit(0).alias("phase"), F.col("depth").alias("generation"), F.array("depth").alias("key"), "name").union(closure.select("start", F.lit(1), "generation", "key", "name"))
 

@@ -197,7 +197,7 @@ v AS (SELECT ref, CASE WHEN NOT known THEN 'JP1001' WHEN access & 1 = 0 AND from
 SELECT ref, code FROM v WHERE code IS NOT NULL""")
 def first_failure_per_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = spark.createDataFrame([], "name string")
-    return linkage.member_verdicts(b.types(spark, sf_dir), none, b.member_refs(spark, sf_dir)).where("code is not null").select("ref", "code")
+    return linkage.member_verdicts(b.types(spark, sf_dir), none, b.member_refs(spark, sf_dir, by_owner=True), b.member_refs(spark, sf_dir)).where("code is not null").select("ref", "code")
 
 
 @query(_RESOLVED + " SELECT owner, name, count(*) AS refs FROM r WHERE EXISTS (SELECT 1 FROM types WHERE types.name = r.owner) AND NOT EXISTS (SELECT 1 FROM best WHERE best.owner = r.owner AND best.name = r.name AND best.method = r.method) GROUP BY 1, 2")

@@ -50,3 +50,18 @@ def test_archives_of_a_table_may_be_larger_than_an_applications(spark, monkeypat
     wanted = sorted(rel.fetchall())
     got = entry.queries()["nested_positions"](spark, folder).collect()
     assert sorted(tuple(r[d[0]] for d in rel.description) for r in got) == wanted
+
+
+def shuffled(spark, name):
+    """Bytes that a query writes to shuffles, for each order line."""
+    store, folder = spark.sparkContext._jsc.sc().statusStore(), "/root/testdata/sf0.01"
+    total = lambda: sum(store.executorList(False).apply(i).totalShuffleWrite() for i in range(store.executorList(False).size()))
+    before = total()
+    entry.queries()[name](spark, folder).write.format("noop").mode("overwrite").save()
+    return (total() - before) / spark.read.parquet(f"{folder}/lineitem.parquet").count()
+
+
+@pytest.mark.parametrize("name", ["first_failure_per_ref"])
+def test_references_move_while_they_are_narrow(spark, name):
+    got = shuffled(spark, name)
+    assert 0 < got < 120
