@@ -78,14 +78,14 @@ class Dispatch:
     are their own points in ``special(type, name, descriptor)``.
     """
 
-    def __init__(self, types: DataFrame, chain: DataFrame, sites: DataFrame, allocatable: DataFrame, own: DataFrame) -> None:
+    def __init__(self, types: DataFrame, chain: DataFrame, sites: DataFrame, allocatable: DataFrame, own: DataFrame, paths: DataFrame | None = None, ways: DataFrame | None = None) -> None:
         """``chain`` holds the chain of every class in it; ``sites(owner, name, descriptor)``, ``allocatable(type)``, ``own(name)``: declarers that count."""
         shapes = types.select("name", has(F.col("access"), INTERFACE).alias("is_interface"))
         signatures = sites.select(*MEMBER).distinct()
         declared = types.select(F.col("name").alias("at"), F.explode("members").alias("m")).select("at", "m.name", "m.descriptor").join(signatures, MEMBER, "left_semi").select("at", *MEMBER).distinct()
         declared = durable(declared)
         nodes = durable(chain.select("name").distinct())
-        brought = durable(interface_closure(types, nodes.select(F.col("name").alias("start"), F.lit(0).alias("depth"), "name"), most=None).select(F.col("start").alias("at"), F.col("name").alias("interface")))
+        brought = durable(interface_closure(types, nodes.select(F.col("name").alias("start"), F.lit(0).alias("depth"), "name"), most=None, ways=ways).select(F.col("start").alias("at"), F.col("name").alias("interface")))
         self.numbers = durable(nested_sets(types, chain))
         mixed = chain.join(shapes.where("is_interface"), "name", "left_semi").select(F.col("start").alias("type")).distinct()
         regular = self.numbers.select(F.col("name").alias("type")).join(mixed, "type", "left_anti")
@@ -104,7 +104,7 @@ class Dispatch:
         self.special = durable(special.select(F.col("at").alias("type"), *MEMBER).distinct())
 
         asked = points.select(F.col("at").alias("owner"), *MEMBER).union(special.select(F.col("at").alias("owner"), *MEMBER))
-        runs = resolve_members(types, asked).join(own.withColumnRenamed("name", "declarer"), "declarer", "left_semi")
+        runs = resolve_members(types, asked, paths, ways).join(own.withColumnRenamed("name", "declarer"), "declarer", "left_semi")
         runs = durable(runs.select(F.col("owner").alias("at"), *MEMBER, "declarer", F.concat("name", "descriptor").alias("sig")))
         below = points.select("at", *MEMBER).join(above, "at").join(sites.withColumnRenamed("owner", "site"), ["site", *MEMBER], "left_semi").select("at", "site", *MEMBER)
         self.targets = durable(below.union(special).distinct().join(runs, ["at", *MEMBER]).select("site", *MEMBER, "at", "declarer", "sig"))

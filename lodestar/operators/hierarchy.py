@@ -46,7 +46,7 @@ def superclass_chain(types: DataFrame, wanted: DataFrame, depth: int = DEPTH, pa
     return paths.join(starts, "name", "left_semi").select(F.col("name").alias("start"), F.posexplode("path").alias("depth", "name"))
 
 
-def _superinterfaces(types: DataFrame) -> DataFrame:
+def superinterfaces(types: DataFrame) -> DataFrame:
     """(name, above, key): what each named interface reaches over declared interfaces; ``key`` has the numbers of the declarations on the shortest way, of several the smallest.
 
     The way of a pair is put together of the ways of two halves, which are shortest and smallest themselves.
@@ -66,14 +66,15 @@ def _superinterfaces(types: DataFrame) -> DataFrame:
     return ways
 
 
-def interface_closure(types: DataFrame, chain: DataFrame, most: int | None = DEPTH, unresolved: bool = False) -> DataFrame:
+def interface_closure(types: DataFrame, chain: DataFrame, most: int | None = DEPTH, unresolved: bool = False, ways: DataFrame | None = None) -> DataFrame:
     """(start, generation, key, name[, found]): interfaces of a chain, breadth first in declared order, first visit wins.
 
     ``key`` orders the interfaces of one generation: the numbers of the declarations on the way. Names that do not
-    resolve are passed over, or kept with ``found`` false. At most ``most`` interfaces of a start stay.
+    resolve are passed over, or kept with ``found`` false. At most ``most`` interfaces of a start stay. ``ways``: the
+    ``superinterfaces`` of the types, where they are at hand.
     """
     declared = types.select("name", F.posexplode("interfaces").alias("i", "above")).where("above is not null")
-    ways = _superinterfaces(types)
+    ways = superinterfaces(types) if ways is None else ways
     first = chain.join(declared, "name").select("start", F.array("depth", "i").alias("key"), F.col("above").alias("name"))
     first = durable(first.groupBy("start", "name").agg(F.min("key").alias("key")))
     further = first.join(ways.withColumnRenamed("key", "more"), "name").select("start", F.concat("key", "more").alias("key"), F.col("above").alias("name"))
@@ -88,10 +89,10 @@ def interface_closure(types: DataFrame, chain: DataFrame, most: int | None = DEP
     return out
 
 
-def ordered_closure(types: DataFrame, wanted: DataFrame, paths: DataFrame | None = None) -> DataFrame:
+def ordered_closure(types: DataFrame, wanted: DataFrame, paths: DataFrame | None = None, ways: DataFrame | None = None) -> DataFrame:
     """(start, phase, generation, key, name): the chain (phase 0), then the interface closure (phase 1), in lookup order."""
     chain = superclass_chain(types, wanted, paths=paths)
-    closure = interface_closure(types, chain)
+    closure = interface_closure(types, chain, ways=ways)
     return chain.select("start", F.lit(0).alias("phase"), F.col("depth").alias("generation"), F.array("depth").alias("key"), "name").union(closure.select("start", F.lit(1), "generation", "key", "name"))
 
 

@@ -24,14 +24,15 @@ from lodestar.operators.reachability import FROM, CallGraph
 from lodestar.session import durable, shared_folder
 
 #: Numbers on a page (as a power of two), pages of a kind held at once, and pages read by one job.
-PAGE_BITS, PAGES, AHEAD = 10, 64, 32
+PAGE_BITS, PAGES, AHEAD = 10, 1024, 32
 #: What a page's rows say of a number: initialize, allocate, run, open a site; of a type's points; of a point's sites.
 INITIALIZE, ALLOCATE, RUN, OPEN, WAKE, TARGET, SITE = range(7)
 NONE, ENTRY = -1, -2
+NOTHING = np.zeros(0, np.int64), np.zeros(0, np.int8), np.zeros(0, np.int64)
 
 
 class Pages:
-    """Rows (number, place, act, value) by number, read a few pages at a time."""
+    """Rows (number, place, act, value) by number, 17 bytes each; a page is read with those that are needed soon and those behind it."""
 
     def __init__(self, rows: DataFrame, folder: str) -> None:
         spark = rows.sparkSession
@@ -39,6 +40,7 @@ class Pages:
         held = rows.groupBy(page).agg(F.sort_array(F.collect_list(F.struct("number", "place", "act", "value"))).alias("rows"))
         held.repartitionByRange("page").sortWithinPartitions("page").write.parquet(folder)
         self.table, self.cache = spark.read.parquet(folder), OrderedDict()
+        self.end = (self.table.agg(F.max("page")).first()[0] or 0) + 1
 
     def load(self, pages: list[int]) -> None:
         """Read the pages that are not held, with one job."""
@@ -46,20 +48,20 @@ class Pages:
         if not missing:
             return
         for p in missing:
-            self.cache[p] = {}
+            self.cache[p] = NOTHING
         for r in self.table.where(F.col("page").isin(missing)).select("page", "rows.number", "rows.act", "rows.value").collect():  # AHEAD pages
-            here = self.cache[r["page"]]
-            for number, act, value in zip(r["number"], r["act"], r["value"]):
-                here.setdefault(number, []).append((act, value))
+            self.cache[r["page"]] = np.array(r["number"], np.int64), np.array(r["act"], np.int8), np.array(r["value"], np.int64)
         while len(self.cache) > max(PAGES, AHEAD):
             self.cache.popitem(last=False)
 
     def of(self, number: int, soon=()) -> list[tuple[int, int]]:
         page = number >> PAGE_BITS
         if page not in self.cache:
-            self.load([page, *(n >> PAGE_BITS for n in soon)])
+            self.load([page, *(n >> PAGE_BITS for n in soon), *range(page + 1, min(page + AHEAD, self.end))])
         self.cache.move_to_end(page)
-        return self.cache[page].get(number, [])
+        numbers, acts, values = self.cache[page]  # in order of the numbers
+        low, high = np.searchsorted(numbers, (number, number + 1))
+        return list(zip(acts[low:high].tolist(), values[low:high].tolist()))
 
 
 def numbered(rows: DataFrame, order: list[Column]) -> DataFrame:
@@ -162,14 +164,14 @@ def proof_chains(graph: CallGraph, reached: DataFrame, wanted: DataFrame) -> Dat
     methods = methods.union(say(graph.allocates.join(at, FROM).join(types.select("type", F.col("number").alias("value")), "type"), ALLOCATE))
     methods = methods.union(say(graph.sites.join(at, FROM).join(sites.withColumnRenamed("number", "value"), ["site", *MEMBER]), OPEN))
 
-    chain = superclass_chain(graph.types, dispatch.receivers.select(F.col("type").alias("name"))).select(F.col("start").alias("type"), "depth", F.col("name").alias("at"))
+    chain = superclass_chain(graph.types, dispatch.receivers.select(F.col("type").alias("name")), paths=graph.paths).select(F.col("start").alias("type"), "depth", F.col("name").alias("at"))
     nearest = chain.join(dispatch.points.select("at", *MEMBER), "at").groupBy("type", *MEMBER).agg(F.min_by("at", "depth").alias("at"))
     runs = nearest.union(dispatch.special.select("type", *MEMBER, F.col("type").alias("at"))).join(points.select("at", *MEMBER, F.col("number").alias("value")), ["at", *MEMBER]).select("type", "value")
     woken = say(runs.join(types, "type").withColumn("ref", F.lit(1)), WAKE)
     started = graph.starts.withColumnRenamed("start", "type").join(types, "type").join(goal, ["owner", "sig"])
     of_types = woken.union(say(started.withColumn("ref", F.lit(0)), INITIALIZE))
 
-    names = ordered_closure(graph.types, points.select(F.col("at").alias("name")).distinct()).select(F.col("start").alias("at"), F.struct("phase", "generation", "key").alias("way"), F.col("name").alias("site"))
+    names = ordered_closure(graph.types, points.select(F.col("at").alias("name")).distinct(), graph.paths, graph.ways).select(F.col("start").alias("at"), F.struct("phase", "generation", "key").alias("way"), F.col("name").alias("site"))
     ordered = targets.select("at", "site", *MEMBER, "value").distinct().join(points, ["at", *MEMBER]).join(names, ["at", "site"])
     ranked = ordered.groupBy("number").agg(F.sort_array(F.collect_list(F.struct("way", "value"))).alias("all")).select("number", F.posexplode(F.col("all.value")).alias("ref", "value"))  # the supertypes of one class
     of_points = say(ranked.withColumn("ref", F.col("ref") + 1), SITE).union(say(points.select("number", F.lit(0).alias("ref"), F.col("declarer").alias("owner"), "sig").join(goal, ["owner", "sig"]), TARGET))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.operators.dispatch import Dispatch
-from lodestar.operators.hierarchy import superclass_chain
+from lodestar.operators.hierarchy import chains, superclass_chain, superinterfaces
 from lodestar.operators.linkage import resolve_members
 from lodestar.session import Grown, durable
 
@@ -36,9 +36,9 @@ def closure_from(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return found.all()
 
 
-def probes(types: DataFrame, type_refs: DataFrame) -> DataFrame:
+def probes(types: DataFrame, type_refs: DataFrame, paths: DataFrame | None = None) -> DataFrame:
     """(owner, sig): methods that name a LinkageError; they expect failures, so no edge leaves them."""
-    chain = superclass_chain(types, type_refs.select(F.col("target").alias("name")).distinct())
+    chain = superclass_chain(types, type_refs.select(F.col("target").alias("name")).distinct(), paths=paths)
     errors = chain.where(F.col("name") == LINKAGE_ERROR).select(F.col("start").alias("target"))
     return type_refs.join(errors, "target", "left_semi").select(F.col("internal_name").alias("owner"), F.col("method").alias("sig")).distinct()
 
@@ -57,6 +57,8 @@ class CallGraph:
 
     def __init__(self, types: DataFrame, classes: DataFrame, member_refs: DataFrame, type_refs: DataFrame) -> None:
         self.types = types
+        #: What every step asks of the hierarchy is made once.
+        self.paths, self.ways = chains(types), superinterfaces(types)
         mine = durable(types.where("not from_platform").select("name", "super", "interfaces", "members"))
         own_names = mine.select("name")
         live = classes.join(mine.select(F.col("name").alias("internal_name"), "members"), "internal_name")
@@ -69,16 +71,16 @@ class CallGraph:
         refs = member_refs if "ref" in member_refs.columns else member_refs.withColumn("ref", F.lit(0))
         refs = refs.join(own_names.withColumnRenamed("name", "internal_name"), "internal_name", "left_semi").where(~F.col("owner").startswith("["))
         refs = refs.groupBy(F.col("internal_name").alias("from_owner"), F.col("method").alias("from_sig"), "kind", "owner", *MEMBER).agg(F.min("ref").alias("ref"))  # again it changes nothing
-        refs = durable(refs.join(probes(types, type_refs).toDF(*FROM), FROM, "left_anti"))
+        refs = durable(refs.join(probes(types, type_refs, self.paths).toDF(*FROM), FROM, "left_anti"))
         calls = refs.where(F.col("descriptor").startswith("("))
 
-        chain = durable(superclass_chain(types, own_names))
-        higher = superclass_chain(types, chain.select("name").distinct().join(own_names, "name", "left_anti"))
+        chain = durable(superclass_chain(types, own_names, paths=self.paths))
+        higher = superclass_chain(types, chain.select("name").distinct().join(own_names, "name", "left_anti"), paths=self.paths)
         clinit = mine.where(F.exists("members", lambda m: (m["name"] == "<clinit>") & (m["descriptor"] == "()V"))).select("name")
         #: (start, depth, owner, sig): initializers that run when a class is initialized.
         self.starts = durable(chain.join(clinit, "name", "left_semi").select("start", "depth", F.col("name").alias("owner"), F.lit(CLINIT).alias("sig")))
 
-        runs = resolve_members(types, calls.select("owner", *MEMBER)).join(own_names.withColumnRenamed("name", "declarer"), "declarer", "left_semi")
+        runs = resolve_members(types, calls.select("owner", *MEMBER), self.paths, self.ways).join(own_names.withColumnRenamed("name", "declarer"), "declarer", "left_semi")
         runs = runs.select("owner", *MEMBER, "declarer", F.concat(*MEMBER).alias("sig"))
         #: (from, ref, owner, sig): what a reference runs whatever is allocated.
         self.direct = durable(calls.where(F.col("kind").isin(*DIRECT + DISPATCHED)).join(runs, ["owner", *MEMBER]).select(*FROM, "ref", F.col("declarer").alias("owner"), "sig"))
@@ -91,7 +93,7 @@ class CallGraph:
         #: (from, ref, site, name, descriptor): dispatched calls.
         self.sites = durable(calls.where(F.col("kind").isin(*DISPATCHED)).select(*FROM, "ref", F.col("owner").alias("site"), *MEMBER))
         every = self.surface.union(self.allocates.select("type")).distinct()
-        self.dispatch = Dispatch(types, durable(chain.union(higher)), durable(self.sites.select(F.col("site").alias("owner"), *MEMBER).distinct()), every, own_names)
+        self.dispatch = Dispatch(types, durable(chain.union(higher)), durable(self.sites.select(F.col("site").alias("owner"), *MEMBER).distinct()), every, own_names, self.paths, self.ways)
 
     def reached(self) -> DataFrame:
         """(owner, sig): the methods that application code may run."""

@@ -65,3 +65,35 @@ def shuffled(spark, name):
 def test_references_move_while_they_are_narrow(spark, name):
     got = shuffled(spark, name)
     assert 0 < got < 120
+
+
+def test_pages_of_the_replay_are_read_with_those_behind_them(spark, tmp_path, monkeypatch):
+    from lodestar.operators import proof
+
+    monkeypatch.setattr(proof, "PAGE_BITS", 2)
+    rows = spark.range(1600).selectExpr("id AS number", "0L AS place", "2 AS act", "id * 3 AS value")
+    pages, reads = proof.Pages(rows, str(tmp_path / "pages")), []
+
+    class Counted:
+        def __init__(self, table):
+            self.table = table
+
+        def where(self, condition):
+            reads.append(1)
+            return self.table.where(condition)
+
+    pages.table = Counted(pages.table)
+    assert [pages.of(n) for n in [*range(1600), *range(1600)]] == [[(2, 3 * n)] for n in range(1600)] * 2
+    assert len(reads) <= 1600 / 4 / proof.AHEAD + 1
+
+
+def test_a_call_graph_makes_its_chains_once(spark, monkeypatch):
+    from lodestar import archive_queries
+    from lodestar.operators import hierarchy, reachability
+
+    made = []
+    real = hierarchy.chains
+    for module in (hierarchy, reachability):
+        monkeypatch.setattr(module, "chains", lambda *a, **k: made.append(1) or real(*a, **k), raising=False)
+    reachability.CallGraph(*archive_queries._calls(spark, SF))
+    assert len(made) == 1
